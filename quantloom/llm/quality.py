@@ -139,3 +139,36 @@ def keep_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...
     cols = docs.columns
     kept = docs.select(*[F.col(f"`{c}`") for c in cols], measures(F.col(text_col)).alias(name))
     return kept.where(verdict(F.col(name), rules)["kept"]).select(*[F.col(f"`{c}`") for c in cols])
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The same rows by relational SQL: words and windows as rows, counted by grouping."""
+    stops = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
+    white = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def broken(r: Rule) -> str:
+        top, _, bottom = r.measure.partition(" / ")
+        x = f"({top}::DOUBLE / nullif({bottom}, 0))"
+        tests = [f"{x} < {r.low}"] * (r.low is not None) + [f"{x} > {r.high}"] * (r.high is not None)
+        return f"coalesce({' OR '.join(tests)}, false)"
+
+    failed = ", ".join(f"CASE WHEN {broken(r)} THEN '{r.name}' END" for r in rules)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+        list_filter(string_split(text, chr(10)), lambda x: length(trim(x, {white})) > 0) AS ls FROM d),
+g AS (SELECT doc_id, i, ws[i] AS a, ws[i+1] AS b, ws[i+2] AS c FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM g) WHERE n > 1),
+p AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines,
+        len(list_filter(ws, lambda x: x IN ({stops})))::BIGINT AS n_stop_words,
+        len(list_filter(ls, lambda x: regexp_matches(x, '^[\\x20\\x09-\\x0D]*[-*•]')))::BIGINT AS n_bullet_lines,
+        len(list_filter(ls, lambda x: ends_with(x, '...') OR ends_with(x, '…')))::BIGINT AS n_ellipsis_lines,
+        coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+      FROM w LEFT JOIN p USING (doc_id)),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+        list_filter([{failed}], lambda x: x IS NOT NULL) AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND len(failed_rules) = 0 AS kept, failed_rules FROM f"""

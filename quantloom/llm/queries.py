@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, quality, sstable
+from . import bpe, common, html_text, packing, quality, roles, sstable, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(common.table(spark, sf_dir, "documents"))
 
@@ -34,10 +40,61 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
+def op7_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(common.table(spark, sf_dir, "pages"))
+
+
+def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encode, then decode of its ids, each whole text; only digests leave the task."""
+    vocabulary = "byte_bpe_50k.json"
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = bpe.coder(vocabulary)
+        decimal = np.array([str(i) for i in range(coder.merges.size)], object)
+        for batch in common.chunks(batches, "text"):
+            offsets, ids = coder.encode(batch.column("text"))
+            words = decimal[ids].tolist()
+            of_ids = [hashlib.sha256(",".join(words[a:b]).encode()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            of_text = [hashlib.sha256(t.encode()).hexdigest() for t in coder.decode(offsets, ids)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(of_ids), pa.array(of_text)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.mapInArrow(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op9_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 4 is not 2, and scores every row."""
+    docs, labels = common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels")
+    held = common.crc32_mod("doc_id", 4) == 2
+    model = toxicity.sample_and_train(docs, labels, ~held)
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted", "spans")
+
+
+def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.repair(common.table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_pivot_top_k": op1_pivot_top_k,
     "op3_quality_rules": op3_quality_rules,
     "op4_sstable_shards": op4_sstable_shards,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_block_rules": op7_block_rules,
+    "op8_bpe_codec": op8_bpe_codec,
+    "op9_crf_toxicity": op9_crf_toxicity,
+    "op10_role_repair": op10_role_repair,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_pivot_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::DOUBLE) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10""",
+    "op3_quality_rules": quality.oracle_sql(),
+}

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from . import common
 
 #: Distinct words a worker remembers before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 250_000
 
 #: Words of letters alone are one piece each, so that many can be encoded as one text and told apart by piece ends.
 JOINED = 100
