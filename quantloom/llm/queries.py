@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_text, jaccard, packing, quality, roles, sstable, topk, toxicity
+from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from rows whose crc32(doc_id) mod 5 is not 1, and scores every row."""
+    return katz.katz_scores(common.table(spark, sf_dir, "documents"), common.crc32_mod("doc_id", 5) != 1)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(common.table(spark, sf_dir, "documents"))
 
@@ -80,6 +85,7 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_pivot_top_k": op1_pivot_top_k,
+    "op2_katz_backoff": op2_katz_backoff,
     "op3_quality_rules": op3_quality_rules,
     "op4_sstable_shards": op4_sstable_shards,
     "op5_jaccard_join": op5_jaccard_join,
