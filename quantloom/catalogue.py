@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .queries import base, indicators, market
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "vec_backtest_sma"
+QUERIES = base.QUERIES
+ORACLE_SQL = base.ORACLE_SQL
+FLAGSHIP = "bars_daily"
+MODULES = [market, indicators]
