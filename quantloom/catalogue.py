@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import base, indicators, market, signals
+from .queries import analytics, base, indicators, market, signals
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "vec_backtest_sma"
-MODULES = [market, indicators, signals]
+MODULES = [market, indicators, signals, analytics]
