@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, base, enrichment, indicators, market, signals
+from .queries import analytics, base, enrichment, indicators, market, signals, simulation
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "vec_backtest_sma"
-MODULES = [market, indicators, signals, analytics, enrichment]
+MODULES = [market, indicators, signals, analytics, enrichment, simulation]

@@ -98,6 +98,8 @@ def fill_price(kind: Column, side: Column, limit: Column, stop: Column, model: s
 
 def stop_levels(entry: Column, atr: Column, stop_pct: float | None, atr_multiple: float | None, target_pct: float | None) -> dict[str, Column]:
     """Stop (the tighter of percentage and ATR) and target of a long position."""
-    levels = [entry * (1 - stop_pct)] * (stop_pct is not None) + [entry - atr * atr_multiple] * (atr_multiple is not None)
+    levels = [entry * (1 - stop_pct)] if stop_pct is not None else []
+    if atr_multiple is not None:
+        levels.append(entry - atr * atr_multiple)
     tight = F.lit(None).cast("double") if not levels else levels[0] if len(levels) == 1 else F.greatest(*levels)
     return {"stop": tight, "target": entry * (1 + target_pct) if target_pct is not None else F.lit(None).cast("double")}

@@ -54,13 +54,13 @@ def resample_ffill_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH span AS (SELECT symbol, min(date) AS f, max(date) AS l FROM brand GROUP BY symbol),
-cal AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6),
+cal AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series(DATE '1994-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6),
 g AS (SELECT symbol, date FROM span JOIN cal ON date BETWEEN f AND l),
 x AS (SELECT g.symbol, g.date, last_value(b.open IGNORE NULLS) OVER w AS open, last_value(b.close IGNORE NULLS) OVER w AS close, last_value(b.volume IGNORE NULLS) OVER w AS volume
   FROM g LEFT JOIN brand b USING (symbol, date) WINDOW w AS (PARTITION BY g.symbol ORDER BY g.date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW))
 SELECT symbol, date, round(open, 6) AS open, round(close, 6) AS close, volume FROM x WHERE close IS NOT NULL""", "brand")
 def calendar_reindex_ffill5(spark: SparkSession, sf: str) -> DataFrame:
-    out = bars.reindex(bars.brand_bars(spark, sf), bars.weekdays(spark, "1992-01-01", "1999-12-31"))
+    out = bars.reindex(bars.brand_bars(spark, sf), bars.weekdays(spark, "1994-01-01", "2002-12-31"))
     return rounded(out.select("symbol", "date", "open", "close", "volume"))
 
 
@@ -75,10 +75,10 @@ def cache_upsert_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT symbol, min(date) AS f, max(date) AS l, count(*) AS n_bars FROM brand GROUP BY symbol),
-cal AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6)
+cal AS (SELECT d::DATE AS date FROM (SELECT unnest(generate_series(DATE '1994-01-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS d) WHERE isodow(d) < 6)
 SELECT symbol, n_bars, count(*) AS n_sessions, n_bars < 0.90 * count(*) AS stale FROM s JOIN cal ON date BETWEEN f AND l GROUP BY symbol, n_bars""", "brand")
 def coverage_check(spark: SparkSession, sf: str) -> DataFrame:
-    return bars.coverage(bars.brand_bars(spark, sf), bars.weekdays(spark, "1992-01-01", "1999-12-31"))
+    return bars.coverage(bars.brand_bars(spark, sf), bars.weekdays(spark, "1994-01-01", "2002-12-31"))
 
 
 @query("""
@@ -122,12 +122,12 @@ def _filings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {_FILINGS}, l AS (SELECT symbol, metric, filed, arg_max(value, (o_orderkey, value)) AS value FROM fil GROUP BY ALL),
-p AS (SELECT s.symbol, m.metric, a.as_of FROM (SELECT DISTINCT symbol FROM fil) s, (SELECT DISTINCT metric FROM fil) m, (SELECT unnest([DATE '1993-06-30', DATE '1995-12-31', DATE '1997-03-15']) AS as_of) a)
+p AS (SELECT s.symbol, m.metric, a.as_of FROM (SELECT DISTINCT symbol FROM fil) s, (SELECT DISTINCT metric FROM fil) m, (SELECT unnest([DATE '1996-06-30', DATE '1998-12-31', DATE '2000-03-15']) AS as_of) a)
 SELECT p.symbol, p.metric, p.as_of, round(l.value, 6) AS value FROM p ASOF LEFT JOIN l ON p.symbol = l.symbol AND p.metric = l.metric AND p.as_of >= l.filed""")
 def asof_pit_kv(spark: SparkSession, sf: str) -> DataFrame:
     """The latest value of each (symbol, field) known on some days."""
     f = _filings(spark, sf)
-    days = spark.sql("SELECT explode(array(DATE'1993-06-30', DATE'1995-12-31', DATE'1997-03-15')) AS as_of")
+    days = spark.sql("SELECT explode(array(DATE'1996-06-30', DATE'1998-12-31', DATE'2000-03-15')) AS as_of")
     known = f.join(F.broadcast(days), C("filed_date") <= C("as_of")).groupBy("symbol", "metric", "as_of").agg(F.max_by("value", F.struct("filed_date", "o_orderkey", "value")).alias("value"))
     keys = f.select("symbol").distinct().crossJoin(F.broadcast(f.select("metric").distinct())).crossJoin(F.broadcast(days))
     return rounded(keys.join(known, ["symbol", "metric", "as_of"], "left"))
