@@ -12,6 +12,7 @@ from ..operators import metrics as M
 from ..operators import research
 from ..operators import simulator as S
 from ..plans import strategies
+from ..session import materialise, shared_dir
 from ..sources import bars
 from ..streaming import streams
 from .base import query, r6, rounded
@@ -28,6 +29,7 @@ def _crossover(spark: SparkSession, sf: str, fast: int = 10, slow: int = 30) ->
 
 def _summary(events: DataFrame) -> DataFrame:
     """Per run: days, final equity, trades, profit and fees."""
+    events = materialise(events, "events")
     e = S.equity_of(events).groupBy("run_id").agg(F.count(F.lit(1)).alias("days"), F.max_by("equity", "date").alias("final_equity"))
     t = S.trades_of(events).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_trades"), F.sum("pnl").alias("pnl"), F.sum("fees").alias("fees"))
     return rounded(e.join(t, "run_id", "left"))
@@ -86,7 +88,8 @@ def grid_features(spark: SparkSession, prices: DataFrame, grid: DataFrame, fasts
 
 
 def _scores(events: DataFrame) -> DataFrame:
-    return M.returns(S.equity_of(events), ["run_id"]).groupBy("run_id").agg(M.sharpe(C("r")).alias("sharpe"))
+    """Sharpe ratio of each run; runs are simulated once, whatever reads their scores."""
+    return materialise(M.returns(S.equity_of(events), ["run_id"]).groupBy("run_id").agg(M.sharpe(C("r")).alias("sharpe")), "scores")
 
 
 @query()
@@ -139,7 +142,7 @@ def multi_strategy(spark: SparkSession, sf: str) -> DataFrame:
     """Three strategies with shares of the capital; combined equity is carried forward over all their days."""
     shares = {"fast": (0.4, 5, 20), "slow": (0.4, 20, 60)}
     parts = [_crossover(spark, sf, a, b).withColumns({"run_id": F.lit(n), "set_cash": F.lit(100_000.0 * w)}) for n, (w, a, b) in shares.items()]
-    e = S.equity_of(S.simulate(reduce(DataFrame.unionByName, parts)))
+    e = materialise(S.equity_of(S.simulate(reduce(DataFrame.unionByName, parts))), "equity")
     days = e.select("date").distinct().crossJoin(F.broadcast(e.select("run_id").distinct()))
     w = Window.partitionBy("run_id").orderBy("date")
     held = F.last("equity", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -183,7 +186,7 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger over a stream of feature rows; equal to the batch run, but for the final closing."""
-    path = streams._shared(spark, "features")
+    path = shared_dir(spark, "features")
     _crossover(spark, sf).coalesce(1).write.parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    return rounded(S.equity_of(streams.drained(streams.ledger(stream, S.Settings(stop_loss=0.08)), "ledger")))
+    return rounded(S.equity_of(streams.drained(streams.ledger(stream, S.Settings(max_positions=5)), "ledger")))

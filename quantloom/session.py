@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Fixed values of a local session; a cluster sets its own.
 LOCAL = {
@@ -43,3 +44,17 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(root)))
     context.addPyFile(target)
     context._package_shipped = True
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below ./spark-checkpoints where
+    that is unset, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-checkpoints')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once, written to the shared folder and read again."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,6 @@ transformations serve a stream that never ends.
 from __future__ import annotations
 
 import pickle
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,20 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import simulator
+from ..session import shared_dir
 
 C = F.col
 WATERMARK = "1 hour"
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import os
-
-        base = f"file://{os.path.abspath('spark-checkpoints')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, its time stamps as instants."""
     raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -39,7 +30,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all there is and reads back what it wrote; event times come back without a zone."""
     spark = stream.sparkSession
-    path = _shared(spark, name)
+    path = shared_dir(spark, name)
     stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{path}/data")
     return out.select(*[C(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.simpleString() == "timestamp" else C(f.name) for f in out.schema])
