@@ -1,6 +1,5 @@
 import pytest
-from compare import assert_same
-from conftest import SF
+from compare import SF, assert_same
 
 from quantloom import catalogue
 
