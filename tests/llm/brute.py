@@ -64,3 +64,41 @@ def katz(docs: list[tuple[int, str | None]], modulus: int = 5, rest: int = 1):
         score = sum(math.log10(p2(h, w)) for h, w in zip([start, *seq[:-1]], seq, strict=True))
         out[i] = (held[i], len(seq), sum(w in uni for w in seq), n, base, score)
     return out, p2, uni
+
+
+def shingles(text: str | None, k: int) -> set[tuple[str, ...]]:
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+def components(docs: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, tuple[int, int]]:
+    """doc_id to (set size, smallest identifier reachable)."""
+    sets = {i: shingles(t, k) for i, t in docs}
+    comp = {i: i for i in sets}
+
+    def root(i: int) -> int:
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[x + 1 :]:
+            a, b = sets[i], sets[j]
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                p, q = root(i), root(j)
+                comp[max(p, q)] = min(p, q)
+    return {i: (len(sets[i]), root(i)) for i in ids}
+
+
+def pieces_fit(rows: list[tuple[int, int, int]], size: int) -> None:
+    """rows (sequence, offset, length): every sequence is filled without gaps from 0 to at most size."""
+    by = defaultdict(list)
+    for s, o, n in rows:
+        by[s].append((o, n))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= size
