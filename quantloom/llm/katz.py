@@ -353,9 +353,25 @@ def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", tex
         i, j, d, n_un = t["unseen"]
         with np.errstate(divide="ignore"):
             score += np.bincount(d, n_un * (np.log10(alpha[i]) + np.log10(unigram[j])), minlength=len(ids))
-        return pd.DataFrame({"doc_id": ids, "n_tokens": n_tokens.astype(np.int64), "n_known": known, "base": base, "score": score})
-
-    return _finish(answers.groupBy("source").applyInPandas(finish, RESULT), rows, stats)
+        part = ids % buckets
+        order = np.argsort(part, kind="stable")
+        columns = [c[order] for c in (ids, n_tokens.astype(np.uint32), known.astype(np.uint32), base, score)]
+        ends = np.searchsorted(part[order], np.arange(buckets + 1))
+        out = [(p, bucket, dump(*[c[a:b] for c in columns])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
+        return pd.DataFrame(out, columns=["part", "source", "payload"])
+
+    # A document's sums come from as many buckets as hold its words: they travel packed, not as rows.
+    packed = answers.groupBy("source").applyInPandas(finish, "part int, source int, payload binary")
+    return _finish(packed.groupBy("part").applyInPandas(_sum_parts, RESULT), rows, stats)
+
+
+def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The sums of one part's documents over all buckets, added in the order of the buckets."""
+    loaded = [load(p) for p in pdf.sort_values("source")["payload"]]
+    ids, n_tokens, known, base, score = (np.concatenate(c) for c in zip(*loaded, strict=True))
+    docs, at = np.unique(ids, return_inverse=True)
+    add = lambda x: np.bincount(at, x, minlength=len(docs))
+    return pd.DataFrame({"doc_id": docs, "n_tokens": add(n_tokens).astype(np.int64), "n_known": add(known).astype(np.int64), "base": add(base), "score": add(score)})
 
 
 def _statistics(table: DataFrame) -> Statistics:
