@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantloom.llm import common, jaccard, packing, quality, toxicity
 
@@ -23,10 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of documents with five-word shingle similarity of 0.8 or more, the one with the smallest
     identifier; one of repeated rows; documents without identifier stay."""
-    found = jaccard.similar(docs, k=5, percent=80)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    return jaccard.keep_one(docs, jaccard.similar(docs, k=5, percent=80))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ from . import common
 GROUPS, CLASS_RATIO, LEAF, FANOUT = 32, 1.5, 32, 16
 #: Members of a tile that one task compares; larger tiles are salted.
 TILE_MEMBERS = 256
+#: Spokes that one task verifies against a hub.
+STAR = 256
 MAX_FILTER_BITS = 1 << 27
 U = np.uint64
 
@@ -156,8 +158,8 @@ def _star(points: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int,
     return out
 
 
-def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set, its point and its tiles."""
+def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, with_keys: bool) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the set and its point; with_keys: its tiles too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -170,7 +172,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
                         continue
                     h1, h2 = mix(s ^ U(0x1234567)).sum().view(np.int64), mix(s ^ U(0x89ABCDEF0)).sum().view(np.int64)
                     point = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()
-                    rows.append((len(s), int(h1), int(h2), point, bands.keys(s).view(np.int64)))
+                    rows.append((len(s), int(h1), int(h2), point, bands.keys(s).view(np.int64) if with_keys else None))
             n, h1, h2, point, keys = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -237,15 +239,19 @@ def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
     return rows.select(*cols).repartition("tile").sortWithinPartitions("tile", "rep").mapInPandas(run, "a long, b long").distinct()
 
 
+def _place(ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix(ids.astype(np.int64).view(U)) & U(bits - 1)).astype(np.int64)
+
+
 def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes]:
     """A Bloom filter of one hash over identifiers, of bounded size: false positives only cost work."""
     bits = min(MAX_FILTER_BITS, 1 << max(10, (16 * count).bit_length()))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(bits, bool)
-        with np.errstate(over="ignore"):
-            for pdf in batches:
-                own[(mix(pdf["id"].to_numpy().astype(np.int64).view(U)) & U(bits - 1)).astype(np.int64)] = True
+        for pdf in batches:
+            own[_place(pdf["id"].to_numpy(), bits)] = True
         yield pd.DataFrame({"bits": [np.packbits(own).tobytes()]})
 
     total = np.zeros(bits // 8, np.uint8)
@@ -256,7 +262,8 @@ def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes]:
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of identifiers whose sets link. Sets are made again from the texts of the pairs' documents
-    alone, which a Bloom filter of bounded size picks while the texts are read."""
+    alone, which a Bloom filter of bounded size picks while the texts are read. Each goes to the stars that it is
+    a spoke of, and a hub to its own stars, of at most about STAR spokes each."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits, packed = _filter_of(ids, max(1, ids.count()))
     shared = docs.sparkSession.sparkContext.broadcast(packed)
@@ -264,29 +271,34 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
         for batch in batches:
-            with np.errstate(over="ignore"):
-                own = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-                keep = wanted[(mix(own) & U(bits - 1)).astype(np.int64)]
+            keep = wanted[_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)]
             for chunk in common.chunks(iter([batch.filter(pa.array(keep))]), "text"):
                 found = [s.tobytes() for s in shingle_sets(chunk.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.binary())], names=["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.binary())], names=["id", "set"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    all_sets = rows.mapInArrow(sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
-    with_b = pairs.join(all_sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = with_b.join(all_sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
+    spokes = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("spoke"))
+    hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("spoke"))
+    met = spokes.unionByName(hubs).join(rows.mapInArrow(sets, "id long, set binary"), "id")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, x = None, np.zeros(0, U)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                overlap = int((x[at] == y).sum())
-                keep.append(100 * overlap >= percent * (len(x) + len(y) - overlap))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
-
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(linked, "a long, b long")
+            out = []
+            for a, salt, spoke, i, data in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "spoke", "id")], batch.column("set"), strict=True):
+                y = np.frombuffer(data.as_buffer(), U)
+                if not spoke:
+                    star, x = (a, salt), y
+                elif star == (a, salt) and len(x) and len(y):
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    overlap = int((x[at] == y).sum())
+                    if 100 * overlap >= percent * (len(x) + len(y) - overlap):
+                        out.append((a, i))
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
+
+    dealt = met.select("a", "salt", "spoke", "id", "set").repartition("a", "salt").sortWithinPartitions("a", "salt", "spoke", "id")
+    return dealt.mapInArrow(linked, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -308,8 +320,8 @@ def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return tiles.withColumn("comp", F.col("rep"))
     out = tiles.join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
-    own = Window.partitionBy("tile")
-    return out.withColumn("low", F.min("comp").over(own)).withColumn("high", F.max("comp").over(own)).where("low <> high").drop("low", "high")
+    mixed = out.groupBy("tile").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("tile")
+    return common.materialise(out.join(mixed, "tile", "left_semi"), "mixed-tiles")
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,11 +332,11 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     either and keep a null component. Repeated rows give repeated result rows; of rows that share an identifier but
     not the text, each keeps its own count and the links are those of one of them. Other columns are not read; an
     empty table gives no row. Sets are compared by 64-bit shingle hashes."""
-    sigs = common.materialise(signatures(docs, k, percent, id_col, text_col), "signatures")
-    filled = sigs.where("n_shingles > 0 and doc_id is not null")
-    key = ["h1", "h2", "n_shingles"]
-    reps = common.materialise(filled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("point").alias("point"), F.first("keys").alias("keys")), "classes")
-    members = reps.select("rep", F.explode("keys").alias("key"))
+    sigs = common.materialise(signatures(docs, k, percent, id_col, text_col, False).drop("keys"), "signatures")
+    key, filled = ["h1", "h2", "n_shingles"], "n_shingles > 0 and doc_id is not null"
+    reps = common.materialise(sigs.where(filled).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
+    tiled = signatures(docs, k, percent, id_col, text_col, True).where(filled)  # made twice rather than stored
+    members = tiled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", F.explode("keys").alias("key"))
     own = Window.partitionBy("key")
     met = (
         members.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("x", F.bit_xor(F.xxhash64("rep")).over(own)).withColumn("low", F.min("rep").over(own))
@@ -370,3 +382,29 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         classes = classes.withColumnRenamed("rep", "component_id")
     joined = sigs.select("doc_id", *key).join(classes, key, "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Of each component in found (of similar()) the rows of its smallest identifier, one if they are repeated; rows
+    without identifier stay.
+
+    Only rows that a bounded Bloom filter holds for removed or repeated go through the exact join; the others, most
+    as a rule, are not shuffled."""
+    found = common.materialise(found.select("doc_id", "component_id"), "components")
+    counts = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("c"))
+    marked = common.materialise(counts.where("n > 1 or c <> doc_id").select(F.col("doc_id").alias("id"), (F.col("c") != F.col("doc_id")).alias("gone")), "marked")
+    bits, packed = _filter_of(marked.select("id"), max(1, marked.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+
+    def part(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+            for batch in batches:
+                ids = batch.column(id_col)
+                hit = held[_place(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)] & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    exact = part(True).join(marked.where("gone").select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
+    return part(False).unionByName(exact)

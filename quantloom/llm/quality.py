@@ -132,13 +132,11 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs alone."""
-    name = "m"
-    while name in docs.columns:
-        name += "_"
-    cols = docs.columns
-    kept = docs.select(*[F.col(f"`{c}`") for c in cols], measures(F.col(text_col)).alias(name))
-    return kept.where(verdict(F.col(name), rules)["kept"]).select(*[F.col(f"`{c}`") for c in cols])
+    """The rows of docs that the rules keep, with the columns of docs alone.
+
+    The measures are bound inside one condition: a filter over a computed column would be pushed below it and
+    evaluate them once for each mention."""
+    return docs.where(_let(measures(F.col(text_col)), lambda m: verdict(m, rules)["kept"]))
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:

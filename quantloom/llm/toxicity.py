@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Bounds of the training sample: labelled documents, and characters of one of them.
-TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 2500, 20_000
 BUCKETS, MIN_G2, MIN_DOCS = 1 << 18, 20.0, 4
 ROUNDS, RATE, PENALTY, CLIP = 40, 0.5, 1e-3, 25.0
 CACHE_WORDS = 200_000
