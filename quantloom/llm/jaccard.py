@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GROUPS, CLASS_RATIO, LEAF, FANOUT = 32, 1.5, 32, 16
+#: More groups let fewer differing shingles hide each other in the bound: fewer pairs are verified in vain.
+GROUPS, CLASS_RATIO, LEAF, FANOUT = 128, 1.5, 32, 16
 #: Members of a tile that one task compares; larger tiles are salted.
 TILE_MEMBERS = 256
 #: Spokes that one task verifies against a hub.
@@ -171,8 +172,7 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
                         rows.append((0, None, None, None, None))
                         continue
                     h1, h2 = mix(s ^ U(0x1234567)).sum().view(np.int64), mix(s ^ U(0x89ABCDEF0)).sum().view(np.int64)
-                    point = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()
-                    rows.append((len(s), int(h1), int(h2), point, bands.keys(s).view(np.int64) if with_keys else None))
+                    rows.append((len(s), int(h1), int(h2), pack_point(s), bands.keys(s).view(np.int64) if with_keys else None))
             n, h1, h2, point, keys = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
@@ -200,8 +200,15 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield held
 
 
+def pack_point(s: np.ndarray) -> bytes:
+    """The shingles in each group, in as many bytes a group as the largest count takes."""
+    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
+    kind = "<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4"
+    return counts.astype(kind).tobytes()
+
+
 def _points(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), "<i4").reshape(len(column), GROUPS).astype(np.int64)
+    return np.stack([np.frombuffer(p, f"<u{len(p) // GROUPS}").astype(np.int64) for p in column])
 
 
 def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
@@ -343,7 +350,8 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         .where("n > 1").select(F.xxhash64("n", "x", "low").alias("tile"), "rep", F.col("n").alias("size"))
     )
     tiles = common.materialise(met.distinct(), "tiles")  # bands with the same members are one tile
-    points = reps.groupBy("rep").agg(F.first("point").alias("point"))
+    met_reps = tiles.select("rep").distinct()
+    points = common.materialise(reps.join(met_reps, "rep", "left_semi").groupBy("rep").agg(F.first("point").alias("point")), "points")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     flat = lambda of: of.withColumn("home", F.lit(False)).withColumn("salt", F.lit(0))
