@@ -6,7 +6,8 @@ group are the set's point, and the sum of two points' coordinate minima bounds t
 Sets that can link meet in tiles: two sets of similarity s or more differ in at most D shingles, D following from
 their sizes, so of D + 1 bands of the hash range at least one holds the same shingles in both. A tile is a band
 with one content. In each tile, an R-tree over the points finds the sets whose bound reaches the needed overlap,
-and the surviving pairs are verified on the full sets.
+and the surviving pairs are verified on the full sets. A long set fills the groups so evenly that its bound says
+little, so pairs first meet with finer points, of about two shingles a group.
 
 Components need no link between sets that are connected already. So a first round verifies a star for each
 tile, a second one a star over the components left in it, and a last one all surviving pairs between different
@@ -15,7 +16,7 @@ components: no link between components is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,7 +161,7 @@ def _star(points: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int,
 
 
 def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, with_keys: bool) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set and its point; with_keys: its tiles too."""
+    """doc_id, n_shingles, two hashes of the set and its two points; with_keys: its tiles in their place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -169,18 +170,18 @@ def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str
             with np.errstate(over="ignore"):
                 for s in shingle_sets(batch.column("text"), k):
                     if not len(s):
-                        rows.append((0, None, None, None, None))
+                        rows.append((0, None, None, None, None, None))
                         continue
                     h1, h2 = mix(s ^ U(0x1234567)).sum().view(np.int64), mix(s ^ U(0x89ABCDEF0)).sum().view(np.int64)
-                    rows.append((len(s), int(h1), int(h2), pack_point(s), bands.keys(s).view(np.int64) if with_keys else None))
-            n, h1, h2, point, keys = zip(*rows, strict=True)
+                    rows.append((len(s), int(h1), int(h2), *((None, None, bands.keys(s).view(np.int64)) if with_keys else (pack_point(s), pack_fine(s), None))))
+            n, h1, h2, point, fine, keys = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(point, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "h1", "h2", "point", "keys"],
+                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "h1", "h2", "point", "fine", "keys"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, keys array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, fine binary, keys array<long>")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -200,15 +201,24 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
         yield held
 
 
-def pack_point(s: np.ndarray) -> bytes:
-    """The shingles in each group, in as many bytes a group as the largest count takes."""
-    counts = np.bincount((s & U(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    kind = "<u1" if counts.max() < 1 << 8 else "<u2" if counts.max() < 1 << 16 else "<u4"
-    return counts.astype(kind).tobytes()
+def pack_point(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    """The shingles in each group (a power of two), in as many bytes a group as the largest count takes; that width first."""
+    counts = np.bincount((s & U(groups - 1)).astype(np.int64), minlength=groups)
+    width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def pack_fine(s: np.ndarray) -> bytes:
+    """A point of groups in proportion to the set."""
+    return pack_point(s, max(GROUPS, 1 << (len(s) // 4).bit_length()))
+
+
+def read_point(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
 def _points(column: pd.Series) -> np.ndarray:
-    return np.stack([np.frombuffer(p, f"<u{len(p) // GROUPS}").astype(np.int64) for p in column])
+    return np.stack([read_point(p) for p in column])
 
 
 def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
@@ -269,8 +279,7 @@ def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes]:
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of identifiers whose sets link. Sets are made again from the texts of the pairs' documents
-    alone, which a Bloom filter of bounded size picks while the texts are read. Each goes to the stars that it is
-    a spoke of, and a hub to its own stars, of at most about STAR spokes each."""
+    alone, which a Bloom filter of bounded size picks while the texts are read."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bits, packed = _filter_of(ids, max(1, ids.count()))
     shared = docs.sparkSession.sparkContext.broadcast(packed)
@@ -281,31 +290,53 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str,
             keep = wanted[_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)]
             for chunk in common.chunks(iter([batch.filter(pa.array(keep))]), "text"):
                 found = [s.tobytes() for s in shingle_sets(chunk.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.binary())], names=["id", "set"])
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.binary())], names=["id", "data"])
+
+    def accept(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+        if not len(a) or not len(b):
+            return False
+        overlap = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+        return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    return _linked(pairs, rows.mapInArrow(sets, "id long, data binary"), accept)
+
+
+def refine(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bound by finer points (id, data) still reaches the needed overlap."""
+
+    def accept(x: bytes, y: bytes) -> bool:
+        p, q = read_point(x), read_point(y)
+        if len(p) < len(q):
+            p, q = q, p
+        p = p.reshape(-1, len(q)).sum(0)  # groups are low bits of the hash: the finer point folds into the coarser
+        return bool(np.minimum(p, q).sum() >= needed(p.sum(), int(q.sum()), percent))
+
+    return _linked(pairs, fine, accept)
+
+
+def _linked(pairs: DataFrame, values: DataFrame, accept: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) whose values (id, data) are accepted. Each value goes to the stars that it is a spoke of, and
+    a hub to its own stars, of at most about STAR spokes each."""
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
     spokes = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("spoke"))
     hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("spoke"))
-    met = spokes.unionByName(hubs).join(rows.mapInArrow(sets, "id long, set binary"), "id")
+    met = spokes.unionByName(hubs).join(values, "id")
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, x = None, np.zeros(0, U)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, hub = None, b""
         for batch in batches:
             out = []
-            for a, salt, spoke, i, data in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "spoke", "id")], batch.column("set"), strict=True):
-                y = np.frombuffer(data.as_buffer(), U)
+            for a, salt, spoke, i, data in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "spoke", "id")], batch.column("data"), strict=True):
                 if not spoke:
-                    star, x = (a, salt), y
-                elif star == (a, salt) and len(x) and len(y):
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    overlap = int((x[at] == y).sum())
-                    if 100 * overlap >= percent * (len(x) + len(y) - overlap):
-                        out.append((a, i))
+                    star, hub = (a, salt), data.as_py()
+                elif star == (a, salt) and accept(hub, data.as_py()):
+                    out.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
-    dealt = met.select("a", "salt", "spoke", "id", "set").repartition("a", "salt").sortWithinPartitions("a", "salt", "spoke", "id")
-    return dealt.mapInArrow(linked, "a long, b long").distinct()
+    dealt = met.select("a", "salt", "spoke", "id", "data").repartition("a", "salt").sortWithinPartitions("a", "salt", "spoke", "id")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,7 +372,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     empty table gives no row. Sets are compared by 64-bit shingle hashes."""
     sigs = common.materialise(signatures(docs, k, percent, id_col, text_col, False).drop("keys"), "signatures")
     key, filled = ["h1", "h2", "n_shingles"], "n_shingles > 0 and doc_id is not null"
-    reps = common.materialise(sigs.where(filled).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("point").alias("point")), "classes")
+    reps = common.materialise(sigs.where(filled).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine")).alias("points")), "classes")
     tiled = signatures(docs, k, percent, id_col, text_col, True).where(filled)  # made twice rather than stored
     members = tiled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", F.explode("keys").alias("key"))
     own = Window.partitionBy("key")
@@ -351,7 +382,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     )
     tiles = common.materialise(met.distinct(), "tiles")  # bands with the same members are one tile
     met_reps = tiles.select("rep").distinct()
-    points = common.materialise(reps.join(met_reps, "rep", "left_semi").groupBy("rep").agg(F.first("point").alias("point")), "points")
+    points = common.materialise(reps.join(met_reps, "rep", "left_semi").groupBy("rep").agg(F.first("points").alias("p")).select("rep", "p.point", "p.fine"), "points")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     flat = lambda of: of.withColumn("home", F.lit(False)).withColumn("salt", F.lit(0))
@@ -374,8 +405,10 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         return spread.withColumn("tile", F.xxhash64("tile", "salt"))
 
     for choose, cross in ((salted, False), (one_each, False), (crossing, True)):
-        rows = choose(_labelled(tiles, labels)).join(points, "rep")
+        rows = choose(_labelled(tiles, labels)).join(points.select("rep", "point"), "rep")
         pairs = common.materialise(_pairs(rows, percent, cross), "pairs")
+        if not pairs.isEmpty():
+            pairs = common.materialise(refine(pairs, points.select(F.col("rep").alias("id"), F.col("fine").alias("data")), percent), "close-pairs")
         if pairs.isEmpty():
             if labels is None:
                 break
