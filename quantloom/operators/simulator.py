@@ -389,8 +389,9 @@ def events_frame(out: list[dict], run_id: str) -> pd.DataFrame:
     return frame
 
 
-def simulate(features: DataFrame, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """All events of all runs: equity by day, trades and fills.
+def simulate(features: DataFrame, settings: Settings = Settings(), equity_only: bool = False) -> DataFrame:  # noqa: B008
+    """All events of all runs: equity by day, trades and fills; or equity alone, for readers of nothing else, which
+    also holds where a run's quantities outgrow a long.
 
     features: run_id, symbol, date, open, high, low, close, volume, the booleans buy and sell, and optionally short,
     cover, regime_on, rebalance, priority, limit_price, stop_price, expiry, sector, ATR, dividends, set_<option>. A
@@ -401,8 +402,9 @@ def simulate(features: DataFrame, settings: Settings = Settings()) -> DataFrame:
         book, out, day = Ledger(own.cash), [], None
         final = pdf["date"].max()
         for day, bars in days_of(pdf):
-            out += step(own, book, day, bars, key[0], last=day == final)
-        if day is not None and not book.halted:
+            events = step(own, book, day, bars, key[0], last=day == final)
+            out += [e for e in events if e["kind"] == "equity"] if equity_only else events
+        if day is not None and not book.halted and not equity_only:
             out += close_all(own, book, day)
         return events_frame(out, key[0])
 

@@ -97,8 +97,8 @@ def grid_search(spark: SparkSession, sf: str) -> DataFrame:
     """Every combination as a run of its own, ranked by Sharpe ratio; ties go to the earlier combination."""
     fasts, slows = [5, 10, 20], [50, 100]
     grid = research.parameter_grid(spark, {"fast": fasts, "slow": slows})
-    f = grid_features(spark, bars.brand_bars(spark, sf).where("symbol < 'Brand#15'"), grid, fasts, slows).withColumn("run_id", C("combo").cast("string"))
-    out = _scores(S.simulate(f)).join(grid.withColumn("run_id", C("combo").cast("string")), "run_id")
+    f = grid_features(spark, bars.brand_bars(spark, sf), grid, fasts, slows).withColumn("run_id", C("combo").cast("string"))
+    out = _scores(S.simulate(f, equity_only=True)).join(grid.withColumn("run_id", C("combo").cast("string")), "run_id")
     best = F.row_number().over(Window.orderBy(F.desc("sharpe"), "combo"))  # one row a combination
     return out.select("combo", "fast", "slow", r6("sharpe").alias("sharpe"), best.alias("rank"))
 
