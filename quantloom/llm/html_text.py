@@ -1,7 +1,8 @@
 """HTML extraction by two-pass block rules.
 
 Pass one labels each block good, bad or undecided from its place, link density, length and stop-word density.
-Pass two gives an undecided block the label of its nearest decided neighbours.
+Pass two gives an undecided block the label of its nearest decided neighbours. A mark by class or id is taken back
+where it would take the article itself, and stop words do not decide on a page in a language that the list lacks.
 """
 
 from __future__ import annotations
@@ -37,11 +38,15 @@ AWAY_WORDS = set(
     "recommended related replies reply respond search share sharing sidebar side signup skip social sponsor sponsored subscribe subscription tags toolbar widget alert "
     "complementary contentinfo".split()
 )
+#: Parts before or after an away word that make it a remark on the layout, and endings that say nothing.
+NOT_BEFORE, NOT_AFTER = {"has", "with", "without", "no", "not", "hide", "hidden"}, {"none", "off", "no", "hidden", "disabled"}
+PLAIN_ENDS = set("wrapper wrap container inner outer area section block box list content row col".split())
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?…。！？।؟۔։]")
 STOPS = frozenset(STOP_WORDS)
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -53,13 +58,27 @@ class Block:
     away: bool
     main: int  # number of the main container, 0 outside
     heading: bool
+    marks: tuple[int, ...] = ()  # enclosing elements that a class or id marks away
 
 
-def _is_away(name: str, attrs: str, inside_main: bool) -> bool:
+def _marks_away(name: str, inside_main: bool) -> bool:
+    """Whether a class name or id, as a whole or by its first or last part, is an away word."""
+    parts = [x for x in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if x]
+    while len(parts) > 1 and parts[-1] in PLAIN_ENDS:
+        parts.pop()
+    if not parts or parts[0] in NOT_BEFORE or parts[-1] in NOT_AFTER:
+        return False
+    away = lambda x: x in AWAY_WORDS or x == "header" and not inside_main
+    return away(parts[0]) or away(parts[-1]) and (len(parts) == 1 or parts[-2] not in NOT_BEFORE)
+
+
+def _is_away(name: str, attrs: str, inside_main: bool) -> bool | None:
+    """True for away; None where only a class or id says so."""
     if name in AWAY or name == "header" and not inside_main:
         return True
     if not attrs or name in ("body", "html", "article", "main"):
         return False
+    marked = False
     for key, a, b, c in ATTR.findall(attrs):
         key, value = key.lower(), (a or b or c).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -67,17 +86,34 @@ def _is_away(name: str, attrs: str, inside_main: bool) -> bool:
         if key == "role" and value.strip() in AWAY_ROLES:
             return True
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower()))
-            if words & AWAY_WORDS or "header" in words and not inside_main:
-                return True
-    return False
+            marked = marked or any(_marks_away(x, inside_main) for x in (a or b or c).split())
+    return None if marked else False
+
+
+def _taken_back(blocks: list[Block], holds: dict[int, set[str]], open_main: bool) -> set[int]:
+    """The marked elements that hold the article: main itself; an article of a page that has neither article nor
+    main nor a long text outside marked elements; or more than half of the page's long texts, unless an article or
+    main outside marked elements holds some."""
+    sizes: dict[int, int] = dict.fromkeys(holds, 0)
+    total = outside = apart = 0
+    for b in blocks:
+        if not b.away and len(b.text) >= LONG and not _linked(b):
+            total += len(b.text)
+            for e in b.marks:
+                sizes[e] += len(b.text)
+            if not b.marks:
+                outside += len(b.text)
+                apart += len(b.text) if b.main else 0
+    return {e for e, kinds in holds.items() if "main" in kinds or "article" in kinds and not open_main and not outside or 2 * sizes[e] > total and not apart}
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order. Raw elements are skipped to their end tag; p, li and the like end by
     themselves; a line break is white space, two in a row end the block."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, away, main
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, away, main, marks
+    holds: dict[int, set[str]] = {}  # main containers in each marked element
+    open_main = False
     parts: list[str] = []
     links = mains = pending_links = breaks = 0
     pos, size = 0, len(page)
@@ -89,9 +125,9 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                away, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+                away, main, marks = stack[-1][1:] if stack else (False, 0, ())
                 heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
-                out.append(Block(text, links, away, main, heading))
+                out.append(Block(text, links, away, main, heading, marks))
         links = 0
 
     while pos < size:
@@ -147,35 +183,72 @@ def blocks_of(page: str) -> list[Block]:
                     stack.pop()
             if name in VOID:
                 continue
-            away, main = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            if name in MAIN and not main:
-                mains += 1
-                main = mains
-            stack.append((name, away or _is_away(name, m[3], bool(main)), main))
+            away, main, marks = stack[-1][1:] if stack else (False, 0, ())
+            if name in MAIN:
+                if not main:
+                    mains += 1
+                    main = mains
+                if not away:
+                    open_main = open_main or not marks
+                    for e in marks:
+                        holds[e].add(name)
+            own = _is_away(name, m[3], bool(main))
+            if own is None and not away:
+                marks = (*marks, len(holds))
+                holds[len(holds)] = set()
+            stack.append((name, away or bool(own), main, marks))
     flush()
+    if holds:
+        back = _taken_back(out, holds, open_main)
+        for b in out:
+            b.away = b.away or any(e not in back for e in b.marks)
     return out
 
 
-def _first_label(b: Block) -> bool | None:
-    if b.away:
-        return False
+def _linked(b: Block) -> bool:
     chars = len(b.text) - b.text.count(" ")
-    if chars and b.link_chars / chars > MAX_LINKS:
+    return bool(chars) and b.link_chars / chars > MAX_LINKS
+
+
+def _stops(b: Block) -> float:
+    words = WORD.findall(b.text.lower())
+    return sum(w in STOPS for w in words) / max(1, len(words))
+
+
+def _first_label(b: Block) -> bool | None:
+    if b.away or _linked(b):
         return False
     if len(b.text) < LONG:
         return None
-    words = WORD.findall(b.text.lower())
-    density = sum(w in STOPS for w in words) / max(1, len(words))
-    if density >= STOPS_HIGH or b.main and density >= STOPS_LOW:
-        return True
-    return None if b.main or density >= STOPS_LOW else False
+    density = _stops(b)
+    return True if density >= STOPS_HIGH or b.main and density >= STOPS_LOW else None
+
+
+def _first_labels(blocks: list[Block]) -> list[bool | None]:
+    """Pass one. A linked heading, and a linked block of a main container, are undecided unless their neighbours are
+    linked too: both for a heading, one that is no heading for others, as in lists of links. Where the stop words
+    are missing from most of the page's long texts, those of them with an end of a sentence are good."""
+    out = [_first_label(b) for b in blocks]
+    linked = [not b.away and _linked(b) for b in blocks]
+    for i, b in enumerate(blocks):
+        if linked[i] and (b.heading or b.main):
+            near = [j for j in (i - 1, i + 1) if 0 <= j < len(blocks) and blocks[j].main == b.main]
+            bad = sum(linked[j] or blocks[j].away for j in near) == 2 if b.heading else any(linked[j] and not blocks[j].heading for j in near)
+            out[i] = False if bad else None
+    long = [i for i, b in enumerate(blocks) if not b.away and not linked[i] and len(b.text) >= LONG]
+    foreign = [i for i in long if out[i] is None and _stops(blocks[i]) < STOPS_LOW]
+    if 2 * sum(len(blocks[i].text) for i in foreign) > sum(len(blocks[i].text) for i in long):
+        for i in foreign:
+            if SENTENCE.search(blocks[i].text):
+                out[i] = True
+    return out
 
 
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Both passes. An undecided block in a main container looks at decided blocks of that container only and is
     good if there is none; elsewhere the page's ends count as bad. Neighbours that differ: the nearer in blocks
     decides, the following one for a heading, else bad outside a main container and good inside."""
-    first = [_first_label(b) for b in blocks]
+    first = _first_labels(blocks)
     n = len(blocks)
     before: list[tuple[int, bool] | None] = [None] * n
     after: list[tuple[int, bool] | None] = [None] * n

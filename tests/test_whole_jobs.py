@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from compare import SF
 
+from quantloom.llm import html_text
 from quantloom.operators import simulator as S
 from quantloom.queries import simulation
 from quantloom.sources import bars
@@ -34,3 +35,31 @@ def test_equity_of_quantities_beyond_a_long(spark):
     small = [(r.date, r.equity) for r in S.equity_of(S.simulate(f, S.Settings(cash=1e9))).orderBy("date").collect()]
     large = [(r.date, r.equity) for r in S.equity_of(S.simulate(f, S.Settings(cash=1e24), equity_only=True)).orderBy("date").collect()]
     assert [d for d, _ in large] == [d for d, _ in small] and [x / 1e24 for _, x in large] == pytest.approx([x / 1e9 for _, x in small])
+
+
+LONG = "This is the first paragraph of the article and it has a lot of the usual words in it, as one would expect of a text."
+POLISH = "Wczoraj wieczorem mieszkańcy miasta spotkali się przed ratuszem, żeby porozmawiać o nowym moście. Rozmowa trwała kilka godzin."
+COMMENT = "I think that this is the best of all the texts that I have read on the site, and it is not by far the first of them."
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "page-with-sidebar", "layout-header-fixed", "post related-none", "hasSidebar", "sidebar"])
+def test_wrapper_classes_keep_the_article(name):
+    assert html_text.main_text(f'<div class="{name}"><h1>Title</h1><p>{LONG}</p><div class="post-comments"><p>{COMMENT}</p></div></div>') == f"Title\n\n{LONG}"
+    assert html_text.main_text(f'<div class="{name}"><main><p>{LONG}</p></main></div>') == LONG
+
+
+def test_marked_parts_stay_away():
+    for name in ("reader-comments", "sidebar-left", "site-footer-wrapper", "relatedPosts", "ad"):
+        assert html_text.main_text(f"<article><p>{LONG}</p></article><div class='{name}'><article><p>{COMMENT}</p><p>{COMMENT}</p></article></div>") == LONG
+        assert html_text.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{COMMENT}</p></div>") == f"{LONG}\n\n{LONG}"
+
+
+def test_linked_headline_and_sentence_of_an_article():
+    page = f'<article><h1><a href="/">Title</a></h1><p>{LONG}</p><p><a href="/x">A short linked sentence.</a></p><p>{LONG}</p></article>'
+    assert html_text.main_text(page) == f"Title\n\n{LONG}\n\nA short linked sentence.\n\n{LONG}"
+    links = "".join(f'<li><a href="/{i}">More on topic {i}</a></li>' for i in range(4))
+    assert html_text.main_text(f"<article><p>{LONG}</p><ul>{links}</ul></article>") == LONG
+
+
+def test_page_in_a_language_without_stop_words():
+    assert html_text.main_text(f'<div><a href="/">Start</a></div><div class="content"><p>{POLISH}</p><p>{POLISH}</p></div>') == f"{POLISH}\n\n{POLISH}"
