@@ -410,8 +410,6 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
         if not pairs.isEmpty():
             pairs = common.materialise(refine(pairs, points.select(F.col("rep").alias("id"), F.col("fine").alias("data")), percent), "close-pairs")
         if pairs.isEmpty():
-            if labels is None:
-                break
             continue
         found = common.materialise(verify(docs, pairs, k, percent, id_col, text_col), "links")
         edges = found if edges is None else edges.unionByName(found)

@@ -1,14 +1,20 @@
 """Registered queries do the whole job: no id subset of their input."""
 
 import datetime as dt
+import os
+import sys
 
 import pytest
 from compare import SF
 
-from quantloom.llm import html_text
-from quantloom.operators import simulator as S
-from quantloom.queries import simulation
-from quantloom.sources import bars
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.abspath(__file__)), "llm"))
+
+import brute  # noqa: E402
+
+from quantloom.llm import html_text, jaccard  # noqa: E402
+from quantloom.operators import simulator as S  # noqa: E402
+from quantloom.queries import simulation  # noqa: E402
+from quantloom.sources import bars  # noqa: E402
 
 
 def test_grid_search_runs_over_all_bars(spark, monkeypatch):
@@ -63,3 +69,28 @@ def test_linked_headline_and_sentence_of_an_article():
 
 def test_page_in_a_language_without_stop_words():
     assert html_text.main_text(f'<div><a href="/">Start</a></div><div class="content"><p>{POLISH}</p><p>{POLISH}</p></div>') == f"{POLISH}\n\n{POLISH}"
+
+
+def _near_copies(first, second):
+    words = [f"w{i}" for i in range(60)]
+    return [(first, " ".join(words)), (second, " ".join([*words[:-1], "other"]))]
+
+
+def _assert_like_brute_force(spark, rows):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()}
+    want = brute.components(rows, 3, 90)
+    assert len({c for _, c in want.values()}) < len(rows) and got == want
+
+
+def test_link_across_salts_of_a_tile(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_MEMBERS", 1)
+    salts = {r.id: r.salt for r in spark.range(1, 50).selectExpr("id", "pmod(xxhash64(id), 2) AS salt").collect()}
+    _assert_like_brute_force(spark, _near_copies(1, next(i for i in salts if salts[i] != salts[1])))
+
+
+def test_link_between_spokes_of_a_refuted_hub(spark, monkeypatch):
+    """The hub's coarse bound takes both, as of long texts; refine() refutes it."""
+    pairs = jaccard._pairs
+    star = lambda rows, percent, crossing: pairs(rows, percent, True) if crossing else spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    monkeypatch.setattr(jaccard, "_pairs", star)
+    _assert_like_brute_force(spark, [(0, " ".join(f"v{i}" for i in range(60))), *_near_copies(1, 2)])
