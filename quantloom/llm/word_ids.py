@@ -10,8 +10,9 @@ import pyarrow.compute as pc
 
 from . import common
 
-#: Distinct words a worker remembers before it starts anew.
-CACHE_WORDS = 250_000
+#: Distinct words of a generation. A worker remembers two: a full one replaces the one before it, and words that are
+#: met again move on from there.
+GENERATION_WORDS = 500_000
 
 #: Words of letters alone are one piece each, so that many can be encoded as one text and told apart by piece ends.
 JOINED = 100
@@ -23,9 +24,36 @@ def vocabulary_path(name: str) -> str:
 
     return public_tokenizers.path(name)
 
-#: Full stops and commas between a letter and white space: a piece of their own, so that a space before them changes
-#: nothing and leaves fewer distinct words.
-LETTER_STOP = r"(\pL)([.,]+)(\s)"
+
+#: Full stops and commas between a Latin letter and white space: a piece of their own, so that a space before them
+#: changes nothing and leaves fewer distinct words. Not for letters that end in a combining mark once they are
+#: normalised and lower-cased, as the library keeps mark and stop together: of these Latin ones U+0130.
+LETTER_STOP = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([.,]+)(\\s)"
+
+
+class Generation:
+    """Words and their ids."""
+
+    def __init__(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.offsets = np.zeros(1 << 14, np.int64)
+
+    def add(self, words: list[str], sizes: np.ndarray, ids: np.ndarray) -> None:
+        known = len(self.place)
+        used = int(self.offsets[known])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        while known + len(words) + 1 > len(self.offsets):
+            self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
+        self.ids[used : used + len(ids)] = ids
+        self.offsets[known + 1 : known + 1 + len(words)] = used + np.cumsum(sizes)
+        self.place.update(zip(words, range(known, known + len(words)), strict=True))
+
+    def take(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of the words at these places, one after the other."""
+        sizes = self.offsets[place + 1] - self.offsets[place]
+        return sizes, self.ids[common.segments(self.offsets[place], sizes)]
 
 
 class WordEncoder:
@@ -45,12 +73,7 @@ class WordEncoder:
         self.ends_piece = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_piece[i] = token.endswith("</w>")
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.offsets = np.zeros(1 << 14, np.int64)
+        self.new, self.old = Generation(), Generation()
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of words, each encoded by itself."""
@@ -70,31 +93,29 @@ class WordEncoder:
         letters = [w for w in words if w.isalpha()]
         others = [w for w in words if not w.isalpha()]
         for own, encode in ((letters, self._encode_letters), (others, self._encode_words)):
-            if not own:
-                continue
-            sizes, new = encode(own)
-            known = len(self.place)
-            used = int(self.offsets[known])
-            while used + len(new) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            while known + len(own) + 1 > len(self.offsets):
-                self.offsets = np.concatenate((self.offsets, np.zeros_like(self.offsets)))
-            self.ids[used : used + len(new)] = new
-            self.offsets[known + 1 : known + 1 + len(own)] = used + np.cumsum(sizes)
-            self.place.update(zip(own, range(known, known + len(own)), strict=True))
+            if own:
+                self.new.add(own, *encode(own))
+
+    def _meet(self, words: list[str]) -> None:
+        """Brings words into the new generation."""
+        missing = [w for w in words if w not in self.new.place]
+        if self.new.place and len(self.new.place) + len(missing) > GENERATION_WORDS:
+            self.new, self.old = Generation(), self.new
+            missing = words
+        known = [w for w in missing if w in self.old.place]
+        if known:
+            self.new.add(known, *self.old.take(np.fromiter((self.old.place[w] for w in known), np.int64, len(known))))
+            missing = [w for w in missing if w not in self.old.place]
+        for i in range(0, len(missing), 20_000):
+            self._learn(missing[i : i + 20_000])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.replace_substring_regex(pc.fill_null(texts, ""), LETTER_STOP, r"\1 \2\3")
         offsets, index, distinct = common.split_words(texts, lower=False)
         words = distinct.to_pylist()
-        if len(self.place) + len(words) > CACHE_WORDS:
-            self._clear()
-        missing = [w for w in words if w not in self.place]
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
-        place = np.fromiter((self.place[w] for w in words), np.int64, len(words))[index] if words else np.zeros(0, np.int64)
-        sizes = self.offsets[place + 1] - self.offsets[place]
-        ids = self.ids[common.segments(self.offsets[place], sizes)]
+        self._meet(words)
+        place = np.fromiter((self.new.place[w] for w in words), np.int64, len(words))[index] if words else np.zeros(0, np.int64)
+        sizes, ids = self.new.take(place)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return ends[offsets], ids
 
