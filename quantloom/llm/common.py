@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -20,12 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors can all reach: below spark.checkpoint.dir of the session,
-    or below ./spark-checkpoints where that is unset (as in tests)."""
+    """A new folder that driver and executors can all reach: below spark.checkpoint.dir of the session, or below
+    ./spark-checkpoints of a local session without it; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import os
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         base = f"file://{os.path.abspath('spark-checkpoints')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -34,7 +35,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(made: DataFrame) -> None:
+    """Removes the folder of a materialised frame that nothing reads any more."""
+    spark = made.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(made.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def crc32_mod(id_col: str, modulus: int) -> Column:

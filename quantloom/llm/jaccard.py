@@ -4,18 +4,24 @@ A text's set holds the distinct hashes of its word shingles. Shingles fall into
 group are the set's point, and the sum of two points' coordinate minima bounds their overlap from above.
 
 Sets that can link meet in tiles: two sets of similarity s or more differ in at most D shingles, D following from
-their sizes, so of D + 1 bands of the hash range at least one holds the same shingles in both. A tile is a band
-with one content. In each tile, an R-tree over the points finds the sets whose bound reaches the needed overlap,
-and the surviving pairs are verified on the full sets. A long set fills the groups so evenly that its bound says
-little, so pairs first meet with finer points, of about two shingles a group.
+their sizes, so of m bands of the hash range at least m - D hold the same shingles in both. A tile is a band with one
+content. A set with D + 1 non-empty bands or more needs its D + 1 rarest alone: put all bands in order of their number
+of sets, and the rarest band that two linked sets share has as many shared ones behind it as either of them leaves
+out. So what many texts have in common brings together only those that have little else. Sets with fewer non-empty
+bands (they are few) keep all their bands, empty ones too, for each other.
+
+In each tile, an R-tree over the points finds the sets whose bound reaches the needed overlap, and the surviving pairs
+are verified on the full sets. A long set fills the groups so evenly that its bound says little, so pairs first meet
+with finer points, of about two shingles a group.
 
 Components need no link between sets that are connected already. So a first round verifies a star for each
 tile, a second one a star over the components left in it, and a last one all surviving pairs between different
-components: no link between components is missed.
+components: no link between components is missed. No task compares more than a block of a tile with another block.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,15 +30,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from . import common
 
 #: More groups let fewer differing shingles hide each other in the bound: fewer pairs are verified in vain.
 GROUPS, CLASS_RATIO, LEAF, FANOUT = 128, 1.5, 32, 16
-#: Members of a tile that one task compares; larger tiles are salted.
+#: Bands for each one in which a linked set can't differ: more of them leave out more of the frequent ones.
+SPARE = 1.5
+#: Members of a tile in a block; larger tiles are compared block by block.
 TILE_MEMBERS = 256
 #: Spokes that one task verifies against a hub.
 STAR = 256
+#: Size of a filter that is broadcast (16 MB); more identifiers than it serves meet their rows by a shuffle instead.
 MAX_FILTER_BITS = 1 << 27
 U = np.uint64
 
@@ -79,25 +89,34 @@ class Bands:
             self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * CLASS_RATIO)))
         self.edges = np.array(self.bounds)
 
-    def count(self, c: int) -> int:
-        """One more than the shingles in which two linked sets can differ, the larger of them in class c."""
-        return 2 * (self.bounds[c + 1] - 1) * (100 - self.percent) // (100 + self.percent) + 1
+    def differ(self, c: int) -> int:
+        """The shingles in which two linked sets can differ, the larger of them in class c."""
+        return 2 * (self.bounds[c + 1] - 1) * (100 - self.percent) // (100 + self.percent)
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        """The tiles of a set: all bands of its class, and of the next ones if a linked set may lie there."""
+    def keys(self, s: np.ndarray) -> list[tuple[int, int, np.ndarray]]:
+        """(class, how many of the most frequent tiles can be left out, tiles) of a set: for its own class, and for
+        the next ones if a linked set may lie there."""
         n, out = len(s), []
         c = int(np.searchsorted(self.edges, n, side="right")) - 1
         with np.errstate(over="ignore"):
-            mixed = mix(s ^ U(0xA5A5A5A55A5A5A5A))
+            sums = np.r_[U(0), np.cumsum(mix(s ^ U(0xA5A5A5A55A5A5A5A)), dtype=U)]
             while c + 1 < len(self.bounds) and (self.bounds[c] <= n or self.bounds[c] * self.percent <= 100 * n):
-                m = self.count(c)
+                least = self.differ(c) + 1
+                m = int(np.ceil(SPARE * least))
                 band = ((s >> U(32)) * U(m) >> U(32)).astype(np.int64)
-                starts = np.searchsorted(band, np.arange(m))
-                sums = np.r_[U(0), np.cumsum(mixed, dtype=U)]
+                starts = np.flatnonzero(np.diff(band, prepend=-1))
+                own = band[starts]
                 content = sums[np.r_[starts[1:], n]] - sums[starts]
-                out.append(mix(content + mix(np.arange(m).astype(U) + U(c << 40))))
+                if len(own) < least:
+                    full = np.zeros(m, U)
+                    full[own] = content
+                    own, content = np.arange(m), full
+                    spare = 0
+                else:
+                    spare = len(own) - least
+                out.append((c, spare, mix(content + mix(own.astype(U) + U(c << 40)))))
                 c += 1
-        return np.concatenate(out)
+        return out
 
 
 def needed(a: np.ndarray, b: np.ndarray | int, percent: int) -> np.ndarray:
@@ -160,28 +179,49 @@ def _star(points: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int,
     return out
 
 
-def signatures(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str, with_keys: bool) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set and its two points; with_keys: its tiles in their place."""
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
+def _hashes(s: np.ndarray) -> tuple[int, int]:
+    return int(mix(s ^ U(0x1234567)).sum().view(np.int64)), int(mix(s ^ U(0x89ABCDEF0)).sum().view(np.int64))
+
+
+def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+
+
+def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, two hashes of the set and its two points (null for an empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, types = ["n_shingles", "h1", "h2", "point", "fine"], [pa.int64()] * 3 + [pa.binary()] * 2
+        for batch in common.chunks(batches, "text"):
+            with np.errstate(over="ignore"):
+                rows = [(len(s), *_hashes(s), pack_point(s), pack_fine(s)) if len(s) else (0, None, None, None, None) for s in shingle_sets(batch.column("text"), k)]
+            made = _batch(rows, names, types)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made.columns], names=["doc_id", *names])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, fine binary")
+
+
+def tile_keys(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, the set's size and hashes, and for each of its classes: class, spare, keys (see Bands.keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        names = ["doc_id", "n_shingles", "h1", "h2", "class", "spare", "keys"]
+        types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.list_(pa.int64())]
         for batch in common.chunks(batches, "text"):
             rows = []
             with np.errstate(over="ignore"):
-                for s in shingle_sets(batch.column("text"), k):
-                    if not len(s):
-                        rows.append((0, None, None, None, None, None))
-                        continue
-                    h1, h2 = mix(s ^ U(0x1234567)).sum().view(np.int64), mix(s ^ U(0x89ABCDEF0)).sum().view(np.int64)
-                    rows.append((len(s), int(h1), int(h2), *((None, None, bands.keys(s).view(np.int64)) if with_keys else (pack_point(s), pack_fine(s), None))))
-            n, h1, h2, point, fine, keys = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(point, pa.binary()), pa.array(fine, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "h1", "h2", "point", "fine", "keys"],
-            )
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, fine binary, keys array<long>")
+                for i, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text"), k), strict=True):
+                    if len(s):
+                        rows += [(i, len(s), *_hashes(s), c, spare, keys.view(np.int64)) for c, spare, keys in bands.keys(s)]
+            yield _batch(rows, names, types)
+
+    named = _texts(docs, id_col, text_col).where("doc_id is not null")
+    return named.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, class int, spare int, keys array<long>")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -222,10 +262,10 @@ def _points(column: pd.Series) -> np.ndarray:
 
 
 def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Candidate pairs (a < b) of rows (tile, rep, comp, home, point), each tile's rows in one task.
+    """Candidate pairs (a < b) of rows (tile, rep, comp, home, probe, point), each tile's rows in one task.
 
-    Stars over the tile's rows; or, crossing, all pairs of different components, of which at most one set is of
-    the tile's main component (home false)."""
+    Stars over the tile's rows; or, crossing, each probe with the members of other components. Every set outside the
+    tile's main component (home) is a probe as well as a member, so that of two such sets the smaller asks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int]] = []
@@ -240,11 +280,12 @@ def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
                 else:
                     out += _star(points, ids, percent)
             else:
-                comps, home, first = g["comp"].to_numpy(), g["home"].to_numpy(), g["salt"].to_numpy()[0] == 0
-                tree = RTree(points, percent)
-                for i in np.flatnonzero(home):
-                    near = tree.search(points[i])
-                    near = near[(comps[near] != comps[i]) & (~home[near] | (first & (ids[near] > ids[i])))]
+                comps, home, probe = g["comp"].to_numpy(), g["home"].to_numpy(), g["probe"].to_numpy()
+                member = np.flatnonzero(~probe)
+                tree = RTree(points[member], percent)
+                for i in np.flatnonzero(probe) if len(member) else ():
+                    near = member[tree.search(points[i])]
+                    near = near[(comps[near] != comps[i]) & (~home[near] | (ids[near] > ids[i]))]
                     out += [(int(min(ids[i], j)), int(max(ids[i], j))) for j in ids[near]]
             if len(out) > 50_000:
                 yield pd.DataFrame(out, columns=["a", "b"])
@@ -252,8 +293,9 @@ def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
         if out:
             yield pd.DataFrame(out, columns=["a", "b"])
 
-    cols = ["tile", "rep", "comp", "home", "salt", "point"]
-    return rows.select(*cols).repartition("tile").sortWithinPartitions("tile", "rep").mapInPandas(run, "a long, b long").distinct()
+    cols = ["tile", "rep", "comp", "home", "probe", "point"]
+    dealt = rows.select(*cols).repartition("tile").sortWithinPartitions("tile", "rep")
+    return dealt.mapInPandas(run, "a long, b long").where("a <> b").distinct()
 
 
 def _place(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -261,9 +303,11 @@ def _place(ids: np.ndarray, bits: int) -> np.ndarray:
         return (mix(ids.astype(np.int64).view(U)) & U(bits - 1)).astype(np.int64)
 
 
-def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes]:
-    """A Bloom filter of one hash over identifiers, of bounded size: false positives only cost work."""
-    bits = min(MAX_FILTER_BITS, 1 << max(10, (16 * count).bit_length()))
+def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes] | None:
+    """A Bloom filter of one hash over identifiers: false positives only cost work. None if it were too large."""
+    bits = 1 << max(10, (16 * count).bit_length())
+    if bits > MAX_FILTER_BITS:
+        return None
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = np.zeros(bits, bool)
@@ -279,18 +323,20 @@ def _filter_of(ids: DataFrame, count: int) -> tuple[int, bytes]:
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) of identifiers whose sets link. Sets are made again from the texts of the pairs' documents
-    alone, which a Bloom filter of bounded size picks while the texts are read."""
+    alone, which a Bloom filter of bounded size picks while the texts are read; a semi-join where there are too many."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bits, packed = _filter_of(ids, max(1, ids.count()))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    found = _filter_of(ids, max(1, ids.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(found)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+        wanted = np.unpackbits(np.frombuffer(shared.value[1], np.uint8)).astype(bool) if shared.value else None
         for batch in batches:
-            keep = wanted[_place(batch.column("doc_id").to_numpy(zero_copy_only=False), bits)]
-            for chunk in common.chunks(iter([batch.filter(pa.array(keep))]), "text"):
-                found = [s.tobytes() for s in shingle_sets(chunk.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(found, pa.binary())], names=["id", "data"])
+            if wanted is not None:
+                keep = wanted[_place(batch.column("doc_id").to_numpy(zero_copy_only=False), shared.value[0])]
+                batch = batch.filter(pa.array(keep))
+            for chunk in common.chunks(iter([batch]), "text"):
+                made = [s.tobytes() for s in shingle_sets(chunk.column("text"), k)]
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(made, pa.binary())], names=["id", "data"])
 
     def accept(x: bytes, y: bytes) -> bool:
         a, b = np.frombuffer(x, U), np.frombuffer(y, U)
@@ -299,7 +345,9 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int, id_col: str,
         overlap = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
         return 100 * overlap >= percent * (len(a) + len(b) - overlap)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = _texts(docs, id_col, text_col).where("doc_id is not null")
+    if found is None:
+        rows = rows.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
     return _linked(pairs, rows.mapInArrow(sets, "id long, data binary"), accept)
 
 
@@ -318,20 +366,22 @@ def refine(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
 
 def _linked(pairs: DataFrame, values: DataFrame, accept: Callable[[bytes, bytes], bool]) -> DataFrame:
     """The pairs (a, b) whose values (id, data) are accepted. Each value goes to the stars that it is a spoke of, and
-    a hub to its own stars, of at most about STAR spokes each."""
+    a hub to its own stars, of at most about STAR spokes each. An identifier may have several values: one is enough."""
     fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"))
     spokes = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.col("b").alias("id"), F.lit(1).alias("spoke"))
     hubs = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("spoke"))
     met = spokes.unionByName(hubs).join(values, "id")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star, hub = None, b""
+        star, hubs = None, []
         for batch in batches:
             out = []
             for a, salt, spoke, i, data in zip(*[batch.column(c).to_pylist() for c in ("a", "salt", "spoke", "id")], batch.column("data"), strict=True):
+                if star != (a, salt):
+                    star, hubs = (a, salt), []
                 if not spoke:
-                    star, hub = (a, salt), data.as_py()
-                elif star == (a, salt) and accept(hub, data.as_py()):
+                    hubs.append(data.as_py())
+                elif any(accept(hub, data.as_py()) for hub in hubs):
                     out.append((a, i))
             yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
@@ -341,20 +391,23 @@ def _linked(pairs: DataFrame, values: DataFrame, accept: Callable[[bytes, bytes]
 
 def components(edges: DataFrame) -> DataFrame:
     """node, comp: the smallest node each one reaches. Labels take the least of their neighbours' and jump to their
-    label's label, until nothing changes; each round is written to the shared folder."""
+    label's label, until nothing changes; each round is written to the shared folder and replaces the one before."""
     both = common.materialise(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    step = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
     while True:
+        labels, before = step.select("node", "comp"), step
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         own = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "comp", F.least("comp", F.coalesce("near", "comp")).alias("low"))
         jump = labels.select(F.col("node").alias("n"), F.col("comp").alias("next"))
         step = common.materialise(own.join(jump, F.col("low") == F.col("n"), "left").select("node", F.col("comp").alias("old"), F.least("low", F.coalesce("next", "low")).alias("comp")), "labels")
-        labels = step.select("node", "comp")
+        common.discard(before)
         if step.where("old <> comp").isEmpty():
-            return labels
+            common.discard(both)
+            return step.select("node", "comp")
 
 
 def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The tiles with their sets' components; with labels, only tiles of several components."""
     if labels is None:
         return tiles.withColumn("comp", F.col("rep"))
     out = tiles.join(labels, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "rep")).drop("node")
@@ -362,58 +415,83 @@ def _labelled(tiles: DataFrame, labels: DataFrame | None) -> DataFrame:
     return common.materialise(out.join(mixed, "tile", "left_semi"), "mixed-tiles")
 
 
+def _blocks(size: str) -> Column:
+    return F.ceil(F.col(size) / TILE_MEMBERS).cast("int")
+
+
+def _salted(of: DataFrame) -> DataFrame:
+    """All rows of a tile, in blocks."""
+    salt = F.pmod(F.xxhash64("rep"), _blocks("size"))
+    return of.select(F.xxhash64("tile", salt).alias("tile"), "rep", "comp", F.lit(False).alias("home"), F.lit(False).alias("probe"))
+
+
+def _one_each(of: DataFrame) -> DataFrame:
+    """One set of each component of a tile, in blocks."""
+    least = of.groupBy("tile", "comp").agg(F.min("rep").alias("rep"))
+    return _salted(least.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tile"))))
+
+
+def _crossing(of: DataFrame) -> DataFrame:
+    """The sets outside a tile's largest component against all its members: blocks of the ones with blocks of the others."""
+    sizes = of.groupBy("tile", "comp").agg(F.count(F.lit(1)).alias("n"))
+    best = sizes.groupBy("tile").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("outside"))
+    marked = of.join(best, "tile").withColumn("home", F.col("comp") != F.col("main"))
+    own = lambda blocks: F.pmod(F.xxhash64("rep"), _blocks(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), _blocks(blocks) - 1))
+    probes = marked.where("home").withColumn("i", own("outside")).withColumn("j", each("all")).withColumn("probe", F.lit(True))
+    members = marked.withColumn("j", own("all")).withColumn("i", each("outside")).withColumn("probe", F.lit(False))
+    return probes.unionByName(members).select(F.xxhash64("tile", "i", "j").alias("tile"), "rep", "comp", "home", "probe")
+
+
+def _tiles(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """tile, rep, size: the sets that meet in a tile, one for each content, for tiles of two sets or more."""
+    made = tile_keys(docs, k, percent, id_col, text_col)
+    members = made.groupBy("h1", "h2", "n_shingles", "class").agg(F.min("doc_id").alias("rep"), F.first(F.struct("spare", "keys")).alias("own"))
+    rows = members.select("rep", "class", F.col("own.spare").alias("spare"), F.explode("own.keys").alias("key"))
+    band = Window.partitionBy("key")
+    counted = rows.withColumn("n", F.count(F.lit(1)).over(band)).withColumn("x", F.bit_xor(F.xxhash64("rep")).over(band)).withColumn("low", F.min("rep").over(band))
+    # A set leaves out its most frequent bands. Bands of one set alone are the rarest, and of no use.
+    frequent = Window.partitionBy("rep", "class").orderBy(F.desc("n"), F.desc("key"))
+    kept = counted.where("n > 1").withColumn("place", F.row_number().over(frequent)).where("place > spare")
+    met = kept.select(F.xxhash64("n", "x", "low").alias("tile"), "rep").repartition("tile").distinct()  # bands with the same sets are one tile
+    return met.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where("size > 1")
+
+
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest identifier that links of Jaccard >= percent/100 reach.
 
     Sets of one content are one class, kept by its smallest identifier. Null and empty texts have no shingles and
     link with nothing: their component is their own identifier. Rows with a null identifier link with nothing
-    either and keep a null component. Repeated rows give repeated result rows; of rows that share an identifier but
-    not the text, each keeps its own count and the links are those of one of them. Other columns are not read; an
-    empty table gives no row. Sets are compared by 64-bit shingle hashes."""
-    sigs = common.materialise(signatures(docs, k, percent, id_col, text_col, False).drop("keys"), "signatures")
-    key, filled = ["h1", "h2", "n_shingles"], "n_shingles > 0 and doc_id is not null"
-    reps = common.materialise(sigs.where(filled).groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine")).alias("points")), "classes")
-    tiled = signatures(docs, k, percent, id_col, text_col, True).where(filled)  # made twice rather than stored
-    members = tiled.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")).select("rep", F.explode("keys").alias("key"))
-    own = Window.partitionBy("key")
-    met = (
-        members.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("x", F.bit_xor(F.xxhash64("rep")).over(own)).withColumn("low", F.min("rep").over(own))
-        .where("n > 1").select(F.xxhash64("n", "x", "low").alias("tile"), "rep", F.col("n").alias("size"))
-    )
-    tiles = common.materialise(met.distinct(), "tiles")  # bands with the same members are one tile
+    either and keep a null component. Repeated rows give repeated result rows. Rows that share an identifier but not
+    the text are each in the component of their own text; if the identifier is the smallest with both texts, the
+    links of both are its. Other columns are not read; an empty table gives no row. Sets are compared by 64-bit
+    shingle hashes."""
+    sigs = common.materialise(signatures(docs, k, id_col, text_col), "signatures")
+    key = ["h1", "h2", "n_shingles"]
+    reps = common.materialise(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine")).alias("p")), "classes")
+    tiles = common.materialise(_tiles(docs, k, percent, id_col, text_col), "tiles")
     met_reps = tiles.select("rep").distinct()
-    points = common.materialise(reps.join(met_reps, "rep", "left_semi").groupBy("rep").agg(F.first("points").alias("p")).select("rep", "p.point", "p.fine"), "points")
+    points = common.materialise(reps.join(met_reps, "rep", "left_semi").select("rep", "p.point", "p.fine").distinct(), "points")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
-    flat = lambda of: of.withColumn("home", F.lit(False)).withColumn("salt", F.lit(0))
-
-    def salted(of: DataFrame) -> DataFrame:
-        salt = F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / TILE_MEMBERS).cast("int"))
-        return flat(of.withColumn("tile", F.xxhash64("tile", salt)))
-
-    def one_each(of: DataFrame) -> DataFrame:
-        return flat(of.groupBy("tile", "comp").agg(F.min("rep").alias("rep")))
-
-    def crossing(of: DataFrame) -> DataFrame:
-        """The sets outside a tile's largest component meet all its members; large tiles in salted parts."""
-        sizes = of.groupBy("tile", "comp").agg(F.count(F.lit(1)).alias("n"))
-        best = sizes.groupBy("tile").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"))
-        parts = F.ceil(F.col("size") / TILE_MEMBERS).cast("int")
-        marked = of.drop("size").join(best, "tile").withColumn("home", F.col("comp") != F.col("main"))
-        everywhere: Column = F.sequence(F.lit(0), parts - 1)
-        spread = marked.withColumn("salt", F.explode(F.when(F.col("home"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("rep"), parts).cast("int")))))
-        return spread.withColumn("tile", F.xxhash64("tile", "salt"))
-
-    for choose, cross in ((salted, False), (one_each, False), (crossing, True)):
-        rows = choose(_labelled(tiles, labels)).join(points.select("rep", "point"), "rep")
+    for choose, cross in ((_salted, False), (_one_each, False), (_crossing, True)):
+        mixed = _labelled(tiles, labels)
+        rows = choose(mixed).join(points.select("rep", "point"), "rep")
         pairs = common.materialise(_pairs(rows, percent, cross), "pairs")
-        if not pairs.isEmpty():
-            pairs = common.materialise(refine(pairs, points.select(F.col("rep").alias("id"), F.col("fine").alias("data")), percent), "close-pairs")
+        if labels is not None:
+            common.discard(mixed)
         if pairs.isEmpty():
             continue
-        found = common.materialise(verify(docs, pairs, k, percent, id_col, text_col), "links")
+        close = common.materialise(refine(pairs, points.select(F.col("rep").alias("id"), F.col("fine").alias("data")), percent), "close-pairs")
+        common.discard(pairs)
+        if close.isEmpty():
+            continue
+        found = common.materialise(verify(docs, close, k, percent, id_col, text_col), "links")
+        common.discard(close)
         edges = found if edges is None else edges.unionByName(found)
         labels = components(edges)
+    common.discard(tiles)
+    common.discard(points)
     classes = reps.select(*key, "rep")
     if labels is not None:
         classes = classes.join(labels, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("comp", "rep").alias("component_id"))
@@ -423,27 +501,33 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")).cast("long").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Of each component in found (of similar()) the rows of its smallest identifier, one if they are repeated; rows
-    without identifier stay.
+def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of each component in found (of similar()) the rows of its smallest identifier, one of those that repeat its
+    text (the least by the other columns that have an order); rows without identifier stay. Different texts under one
+    identifier all stay, unless all of them have a smaller identifier in their components.
 
     Only rows that a bounded Bloom filter holds for removed or repeated go through the exact join; the others, most
-    as a rule, are not shuffled."""
+    as a rule, are not shuffled. With too many for the filter, all rows go through the join."""
     found = common.materialise(found.select("doc_id", "component_id"), "components")
     counts = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("component_id").alias("c"))
     marked = common.materialise(counts.where("n > 1 or c <> doc_id").select(F.col("doc_id").alias("id"), (F.col("c") != F.col("doc_id")).alias("gone")), "marked")
-    bits, packed = _filter_of(marked.select("id"), max(1, marked.count()))
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    made = _filter_of(marked.select("id"), max(1, marked.count()))
+    shared = docs.sparkSession.sparkContext.broadcast(made)
 
     def part(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
+            held = np.unpackbits(np.frombuffer(shared.value[1], np.uint8)).astype(bool) if shared.value else None
             for batch in batches:
                 ids = batch.column(id_col)
-                hit = held[_place(ids.fill_null(0).to_numpy(zero_copy_only=False), bits)] & ids.is_valid().to_numpy(zero_copy_only=False)
+                hit = ids.is_valid().to_numpy(zero_copy_only=False)
+                if held is not None:
+                    hit = hit & held[_place(ids.fill_null(0).to_numpy(zero_copy_only=False), shared.value[0])]
                 yield batch.filter(pa.array(hit == wanted))
 
         return docs.mapInArrow(run, docs.schema)
 
-    exact = part(True).join(marked.where("gone").select(F.col("id").alias(id_col)), id_col, "left_anti").dropDuplicates([id_col]).select(*docs.columns)
-    return part(False).unionByName(exact)
+    ordered = [f.name for f in docs.schema.fields if f.name not in (id_col, text_col) and isinstance(f.dataType, AtomicType)]
+    same = Window.partitionBy(id_col, text_col).orderBy(*(ordered or [id_col]))
+    stay = part(True).join(marked.where("gone").select(F.col("id").alias(id_col)), id_col, "left_anti").select(*docs.columns)
+    place = "_place_" + uuid.uuid4().hex
+    return part(False).unionByName(stay.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).drop(place))

@@ -136,6 +136,33 @@ def test_tables_round_trip_and_lookup(spark, docs, texts, nothing, monkeypatch):
     assert sstable.write_tables(nothing, empty).count() == 0 and sstable.read_tables(spark, empty).count() == 0
 
 
+def test_ids_of_every_letter_before_a_stop():
+    import sys
+    import unicodedata
+
+    import pyarrow as pa
+
+    t, coder = tokenizer("word_bpe_49k.json"), word_ids.WordEncoder("word_bpe_49k.json")
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L"]
+    for at in range(0, len(letters), 20_000):
+        texts = [f"a{c} {c}b. {c}, x{c}." for c in letters[at : at + 20_000]]
+        offsets, ids = coder.encode(pa.array(texts))
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == want
+
+
+def test_a_full_word_cache_keeps_its_ids(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(word_ids, "GENERATION_WORDS", 60)
+    t, coder, r = tokenizer("word_bpe_49k.json"), word_ids.WordEncoder("word_bpe_49k.json"), random.Random(4)
+    vocabulary = [f"{a}{b}{c}" for a in ("un", "re", "Pre", "x1") for b in ("kind", "do", "Über", "3") for c in ("ly", ".", ",", "s", "'s", "ing")]
+    for _ in range(60):
+        texts = [" ".join(r.choices(vocabulary, k=r.randrange(40))) for _ in range(3)]
+        offsets, ids = coder.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_packing_is_whole_gapless_and_tight(spark, docs, texts, nothing):
     size = 64
     t = tokenizer("word_bpe_49k.json")
@@ -195,12 +222,84 @@ def test_similar_on_chains(spark):
     assert got == brute.components(rows, 3, 90)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_tiles_meet_every_linked_pair(percent):
+    """Small sets, so that many bands are empty and some sets have fewer full ones than they need; frequencies at
+    random, as the order in which sets leave bands out is free."""
+    r, bands = np.random.default_rng(percent), jaccard.Bands(percent)
+    short = linked = 0
+    for _ in range(3000):
+        n = int(r.integers(1, 61))
+        a = r.integers(0, 1 << 63, n).astype(np.uint64)
+        cut, grown = int(r.integers(0, n // 4 + 1)), int(r.integers(0, n // 4 + 1))
+        b = np.concatenate((a[cut:], r.integers(0, 1 << 63, grown).astype(np.uint64)))
+        a, b = np.unique(a), np.unique(b)
+        both = len(np.intersect1d(a, b))
+        if 100 * both < percent * (len(a) + len(b) - both):
+            continue
+        linked += 1
+        weight = lambda key: hash((int(key), n)) % 5  # noqa: E731, B023
+        left = []
+        for s in (a, b):
+            kept = set()
+            for c, spare, keys in bands.keys(s):
+                short += spare == 0
+                kept |= {(c, int(x)) for x in sorted(keys, key=lambda x: (-weight(x), -int(x)))[spare:]}
+            left.append(kept)
+        assert left[0] & left[1]
+    assert linked > 500 and short > 0
+
+
+def test_similar_small_sets_match_brute_force(spark):
+    r = random.Random(12)
+    rows = []
+    for i in range(60):
+        own = [f"s{i}w{j}" for j in range(r.randrange(1, 64))]
+        for v in range(5):
+            t = list(own)
+            for _ in range(r.randrange(0, 3)):
+                t[r.randrange(len(t))] = f"n{i}x{v}x{r.random()}"
+            rows.append((len(rows), " ".join(t)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((3, 90), (5, 80), (1, 80)):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar(df, k, percent).collect()}
+        assert got == brute.components(rows, k, percent)
+
+
+def test_similar_one_passage_in_many_texts(spark, monkeypatch):
+    """Unrelated texts that share half of their words: no links but those of copies, and blocks of a tile all meet."""
+    monkeypatch.setattr(jaccard, "TILE_MEMBERS", 4)
+    monkeypatch.setattr(jaccard, "STAR", 3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, f"{passage} " + " ".join(f"t{i // 2}w{j}" for j in range(36)) + f" end{i}") for i in range(60)]
+    got = {x.doc_id: x.component_id for x in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()}
+    assert got == {i: i // 2 * 2 for i in range(60)}
+
+
+def test_similar_beyond_the_filter(spark, docs, texts, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_FILTER_BITS", 1)
+    found = jaccard.similar(docs, 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute.components(list(enumerate(texts)), 3, 90)
+    assert {r.doc_id for r in jaccard.keep_one(docs, found).collect()} == {r.doc_id for r in found.collect() if r.doc_id == r.component_id}
+
+
 def test_similar_null_and_repeated_rows(spark):
     rows = [(None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (3, None)]
     got = sorted((x.doc_id or 0, x.component_id) for x in jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
     assert [c for _, c in got] == [None, 1, 1, 1, 3]
 
 
+def test_texts_that_share_an_identifier(spark):
+    """Each text is in its own component; the smallest identifier of both brings both together; none is lost."""
+    one, other = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, one), (1, other), (1, other), (2, one), (3, other + " more"), (4, "quite different words in here"), (None, one), (None, one)]
+    df = spark.createDataFrame([(i, t, f"s{n}") for n, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    found = jaccard.similar(df, 3, 90)
+    assert {(r.doc_id, r.component_id) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+    kept = jaccard.keep_one(df, found).collect()
+    assert sorted((r.doc_id or 0, r.text, r.source) for r in kept) == [(0, one, "s6"), (0, one, "s7"), (1, one, "s0"), (1, other, "s1"), (4, rows[5][1], "s5")]
+
+
 # 7: HTML
 
 
