@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .quality import STOP_WORDS
 
 #: Length (characters) from which a block is decided by itself, link density above which it is bad, stop-word
@@ -43,9 +45,14 @@ NOT_BEFORE, NOT_AFTER = {"has", "with", "without", "no", "not", "hide", "hidden"
 PLAIN_ENDS = set("wrapper wrap container inner outer area section block box list content row col".split())
 AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>", re.S)
+#: What a tag, comment or declaration starts with; its end is looked for by itself.
+OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+END_OR_QUOTE = re.compile(r"[>\"']")
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORD = re.compile(r"[^\W\d_]+")
+#: Leading zeros of a numeric reference, and numbers above all characters.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 SENTENCE = re.compile(r"[.!?…。！？।؟۔։]")
 STOPS = frozenset(STOP_WORDS)
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -58,7 +65,16 @@ class Block:
     away: bool
     main: int  # number of the main container, 0 outside
     heading: bool
-    marks: tuple[int, ...] = ()  # enclosing elements that a class or id marks away
+    mark: int = -1  # the innermost enclosing element that a class or id marks away, -1 for none
+
+
+@dataclass
+class Mark:
+    """An element that a class or id marks away, with the next one around it (-1 for none)."""
+
+    outer: int
+    holds: set[str] = field(default_factory=set)  # names of main containers in it
+    chars: int = 0  # of long texts in it
 
 
 def _marks_away(name: str, inside_main: bool) -> bool:
@@ -90,30 +106,99 @@ def _is_away(name: str, attrs: str, inside_main: bool) -> bool | None:
     return None if marked else False
 
 
-def _taken_back(blocks: list[Block], holds: dict[int, set[str]], open_main: bool) -> set[int]:
-    """The marked elements that hold the article: main itself; an article of a page that has neither article nor
-    main nor a long text outside marked elements; or more than half of the page's long texts, unless an article or
-    main outside marked elements holds some."""
-    sizes: dict[int, int] = dict.fromkeys(holds, 0)
+def _stay_away(blocks: list[Block], marks: list[Mark], open_main: bool) -> list[bool]:
+    """For each marked element whether its blocks are away: unless it and all marked ones around it are taken back.
+
+    Taken back are those that hold the article: main itself; an article of a page that has neither article nor main
+    nor a long text outside marked elements; or more than half of the page's long texts, unless an article or main
+    outside marked elements holds some."""
     total = outside = apart = 0
     for b in blocks:
         if not b.away and len(b.text) >= LONG and not _linked(b):
             total += len(b.text)
-            for e in b.marks:
-                sizes[e] += len(b.text)
-            if not b.marks:
+            if b.mark >= 0:
+                marks[b.mark].chars += len(b.text)
+            else:
                 outside += len(b.text)
                 apart += len(b.text) if b.main else 0
-    return {e for e, kinds in holds.items() if "main" in kinds or "article" in kinds and not open_main and not outside or 2 * sizes[e] > total and not apart}
+    for m in reversed(marks):  # an inner one comes after the one around it
+        if m.outer >= 0:
+            marks[m.outer].holds |= m.holds
+            marks[m.outer].chars += m.chars
+    out: list[bool] = []
+    for m in marks:
+        back = "main" in m.holds or "article" in m.holds and not open_main and not outside or 2 * m.chars > total and not apart
+        out.append(not back or m.outer >= 0 and out[m.outer])
+    return out
+
+
+class Tags:
+    """The tags of a page in order, found in time in proportion to the page."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends = True  # whether a > may follow
+        self.closed = {'"': True, "'": True}  # whether a quote may follow
+        self.plain_before = 0  # tags that start before this place end at their first >
+
+    def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next tag from pos on; without a name, the attributes are the
+        text of a CDATA section or nothing. An open comment or section ends with the page; a tag without end is text."""
+        page = self.page
+        while True:
+            m = OPENING.search(page, pos)
+            if not m:
+                return None
+            start, after = m.start(), m.end()
+            if m[0] == "<!--" or m[0] == "<![CDATA[":
+                close = "-->" if m[0] == "<!--" else "]]>"
+                end = page.find(close, after)
+                inner, end = (page[after:], len(page)) if end < 0 else (page[after:end], end + 3)
+                return start, end, "", "", inner if close == "]]>" else ""
+            end = self._end(start, after) if m[2] else self._first(after)
+            if end < 0:
+                pos = after
+                continue
+            return start, end + 1, m[1] or "", m[2] or "", page[after:end] if m[2] else ""
+
+    def _first(self, at: int) -> int:
+        found = self.page.find(">", at) if self.ends else -1
+        self.ends = found >= 0
+        return found
+
+    def _end(self, start: int, at: int) -> int:
+        """The > that ends a tag, outside quotes; the first one if a quote is never closed."""
+        first = self._first(at)
+        if first < 0 or start < self.plain_before:
+            return first
+        while True:
+            m = END_OR_QUOTE.search(self.page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            close = self.page.find(m[0], m.end()) if self.closed[m[0]] else -1
+            if close < 0:
+                self.closed[m[0]] = False
+                break
+            at = close + 1
+        self.plain_before = at
+        return first
+
+
+def _decoded(data: str) -> str:
+    return htmllib.unescape(TOO_LARGE.sub("\ufffd", ZEROS.sub("&#", data)))
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks in page order. Raw elements are skipped to their end tag; p, li and the like end by
     themselves; a line break is white space, two in a row end the block."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, away, main, marks
-    holds: dict[int, set[str]] = {}  # main containers in each marked element
-    open_main = False
+    stack: list[tuple[str, bool, int, int]] = []  # name, away, main, mark
+    opened: Counter[str] = Counter()  # the stack's names
+    marks: list[Mark] = []
+    open_main, head_ends = False, True
+    tags = Tags(page)
     parts: list[str] = []
     links = mains = pending_links = breaks = 0
     pos, size = 0, len(page)
@@ -125,37 +210,41 @@ def blocks_of(page: str) -> list[Block]:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                away, main, marks = stack[-1][1:] if stack else (False, 0, ())
+                away, main, mark = stack[-1][1:] if stack else (False, 0, -1)
                 heading = any(s[0] in ("h1", "h2", "h3", "h4", "h5", "h6") for s in stack[-3:])
-                out.append(Block(text, links, away, main, heading, marks))
+                out.append(Block(text, links, away, main, heading, mark))
         links = 0
 
+    def leave() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
     while pos < size:
-        m = TAG.search(page, pos)
-        data = page[pos : m.start() if m else size]
+        tag = tags.next(pos)
+        data = page[pos : tag[0] if tag else size]
         if data:
             if "&" in data:
-                data = htmllib.unescape(data)
+                data = _decoded(data)
             parts.append(data)
             if not data.isspace():
                 breaks = 0
                 if pending_links:
                     links += len("".join(data.split()))
-        if not m:
+        if not tag:
             break
-        pos = m.end()
-        name = (m[2] or "").lower()
+        _, pos, slash, name, attrs = tag
+        name = name.lower()
         if not name:
-            if m[0].startswith("<![CDATA["):
-                parts.append(m[0][9:-3])
+            parts.append(attrs)
             continue
-        if m[1]:
+        if slash:
             if name == "a":
                 pending_links = max(0, pending_links - 1)
             elif name in BLOCK:
                 flush()
-                if any(s[0] == name for s in stack):
-                    while stack.pop()[0] != name:
+                if opened[name]:
+                    while leave() != name:
                         pass
                     pending_links = 0
             continue
@@ -168,40 +257,42 @@ def blocks_of(page: str) -> list[Block]:
             pending_links = 1
         elif name in RAW:
             if name == "head":
-                end = re.compile(r"</head\s*>|<body\b", re.I).search(page, pos)
+                end = HEAD_END.search(page, pos) if head_ends else None
+                head_ends = end is not None
                 if end:
                     pos = end.end() if page[end.start() + 1] == "/" else end.start()
-            elif not m[3].rstrip().endswith("/"):
+            elif not attrs.rstrip().endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
                 pos = end.end() if end else size
         elif name in BLOCK:
             flush()
             if stack and stack[-1][0] == "p":
-                stack.pop()
+                leave()
             for other in IMPLIED_END.get(name, ()):
                 if stack and stack[-1][0] == other:
-                    stack.pop()
+                    leave()
             if name in VOID:
                 continue
-            away, main, marks = stack[-1][1:] if stack else (False, 0, ())
+            away, main, mark = stack[-1][1:] if stack else (False, 0, -1)
             if name in MAIN:
                 if not main:
                     mains += 1
                     main = mains
                 if not away:
-                    open_main = open_main or not marks
-                    for e in marks:
-                        holds[e].add(name)
-            own = _is_away(name, m[3], bool(main))
+                    open_main = open_main or mark < 0
+                    if mark >= 0:
+                        marks[mark].holds.add(name)
+            own = _is_away(name, attrs, bool(main))
             if own is None and not away:
-                marks = (*marks, len(holds))
-                holds[len(holds)] = set()
-            stack.append((name, away or bool(own), main, marks))
+                marks.append(Mark(mark))
+                mark = len(marks) - 1
+            stack.append((name, away or bool(own), main, mark))
+            opened[name] += 1
     flush()
-    if holds:
-        back = _taken_back(out, holds, open_main)
+    if marks:
+        away_marks = _stay_away(out, marks, open_main)
         for b in out:
-            b.away = b.away or any(e not in back for e in b.marks)
+            b.away = b.away or b.mark >= 0 and away_marks[b.mark]
     return out
 
 
@@ -292,10 +383,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null or empty html, and pages without a good block, give an empty text. One row per input row; null
     identifiers and addresses stay null; other columns are not read. It is a map: no shuffle."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(h) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches, "html"):
+            texts = [main_text(h) for h in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -102,3 +102,125 @@ def pieces_fit(rows: list[tuple[int, int, int]], size: int) -> None:
             assert o == at
             at += n
         assert at <= size
+
+
+def article(page: str | None) -> str:
+    """The main text of a well-formed page by html.parser: every block keeps all elements around it, marks are taken
+    back and neighbours are found by looking at all blocks each time."""
+    from html.parser import HTMLParser
+
+    from quantloom.llm import html_text as h
+
+    blocks: list[dict] = []
+    containers: list[tuple[str, list]] = []  # article and main with the elements around them
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.path, self.parts, self.raw, self.n, self.in_link = [], [], 0, 0, False
+
+        def flush(self):
+            text = " ".join("".join(t for t, _ in self.parts).split())
+            if text:
+                blocks.append({"text": text, "links": sum(len("".join(t.split())) for t, link in self.parts if link), "path": list(self.path)})
+            self.parts = []
+
+        def handle_starttag(self, name, attrs):
+            if name in h.RAW:
+                self.raw += 1
+            elif name == "a":
+                self.in_link = True
+            elif name == "br":
+                self.parts.append((" ", False))
+            elif name in h.BLOCK and not self.raw:
+                self.flush()
+                if self.path and self.path[-1][0] == "p":
+                    self.path.pop()
+                if name in h.MAIN:
+                    containers.append((name, list(self.path)))
+                if name not in h.VOID:
+                    self.n += 1
+                    self.path.append((name, self.get_starttag_text()[len(name) + 1 : -1], self.n))
+
+        def handle_endtag(self, name):
+            if name in h.RAW:
+                self.raw -= 1
+            elif name == "a":
+                self.in_link = False
+            elif name in h.BLOCK and not self.raw and any(x[0] == name for x in self.path):
+                self.flush()
+                while self.path.pop()[0] != name:
+                    pass
+                self.in_link = False
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.parts.append((data, self.in_link))
+
+    reader = Reader()
+    reader.feed(page or "")
+    reader.close()
+    reader.flush()
+    inside = lambda path: any(e[0] in h.MAIN for e in path)
+
+    def around(path: list) -> tuple[bool, list[int]]:
+        """Whether an element is away for sure, and those marked away before the first such one."""
+        states = [h._is_away(e[0], e[1], inside(path[: i + 1])) for i, e in enumerate(path)]
+        first_sure = states.index(True) if True in states else len(states)
+        return True in states, [e[2] for e, s in list(zip(path, states))[:first_sure] if s is None]
+
+    for b in blocks:
+        b["sure"], b["marks"] = around(b["path"])
+        b["main"] = next((e[2] for e in b["path"] if e[0] in h.MAIN), 0)
+        b["heading"] = any(re.fullmatch("h[1-6]", e[0]) for e in b["path"][-3:])
+        b["linked"] = b["links"] / len(b["text"].replace(" ", "")) > h.MAX_LINKS
+    long = [b for b in blocks if not b["sure"] and len(b["text"]) >= h.LONG and not b["linked"]]
+    size = lambda of: sum(len(b["text"]) for b in of)
+    clear = [b for b in long if not b["marks"]]
+    open_main = any(around(path) == (False, []) for _, path in containers)
+    back = set()
+    for m in {m for b in blocks for m in b["marks"]}:
+        names = {name for name, path in containers if not around(path)[0] and m in around(path)[1]}
+        if "main" in names or "article" in names and not open_main and not clear or 2 * size(b for b in long if m in b["marks"]) > size(long) and not any(b["main"] for b in clear):
+            back.add(m)
+    for b in blocks:
+        b["away"] = b["sure"] or any(m not in back for m in b["marks"])
+        found = h.WORD.findall(b["text"].lower())
+        b["stops"] = sum(w in h.STOPS for w in found) / max(1, len(found))
+
+    def first(i: int) -> bool | None:
+        b = blocks[i]
+        near = [blocks[j] for j in (i - 1, i + 1) if 0 <= j < len(blocks) and blocks[j]["main"] == b["main"]]
+        gone = lambda x: x["linked"] and not x["away"]
+        if b["away"]:
+            return False
+        if b["linked"]:
+            if b["heading"]:
+                return False if sum(x["away"] or x["linked"] for x in near) == 2 else None
+            return None if b["main"] and not any(gone(x) and not x["heading"] for x in near) else False
+        if len(b["text"]) < h.LONG:
+            return None
+        if b["stops"] >= h.STOPS_HIGH or b["main"] and b["stops"] >= h.STOPS_LOW:
+            return True
+        text = [x for x in blocks if not x["away"] and not x["linked"] and len(x["text"]) >= h.LONG]
+        foreign = [x for x in text if x["stops"] < h.STOPS_LOW]
+        return True if b["stops"] < h.STOPS_LOW and 2 * size(foreign) > size(text) and h.SENTENCE.search(b["text"]) else None
+
+    labels = [first(i) for i in range(len(blocks))]
+    good = []
+    for i, b in enumerate(blocks):
+        if labels[i] is None:
+            known = [j for j, x in enumerate(blocks) if x["main"] == b["main"] and labels[j] is not None and not (b["main"] and x["away"])]
+            p, q = max((j for j in known if j < i), default=None), min((j for j in known if j > i), default=None)
+            if b["main"] and p is None and q is None:
+                good.append(b["text"])
+                continue
+            left = labels[p] if p is not None else bool(b["main"] and labels[q])
+            right = labels[q] if q is not None else bool(b["main"] and labels[p])
+            to_left, to_right = i - (-1 if p is None else p), (len(blocks) if q is None else q) - i
+            label = left if left == right else right if b["heading"] else left if to_left < to_right else right if to_right < to_left else bool(b["main"])
+        else:
+            label = labels[i]
+        if label:
+            good.append(b["text"])
+    return "\n\n".join(good)

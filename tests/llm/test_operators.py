@@ -317,6 +317,68 @@ def test_extract_drops_what_is_no_article(spark):
     assert rows[1].n_chars == len(rows[1].text) and rows[2].text == "" and rows[None].n_chars == 0
 
 
+LONG = "This is the first paragraph of the article and it has a lot of the usual words in it, as one would expect of a text."
+
+
+@pytest.mark.parametrize("start,end", [('<div class="layout has-sidebar">', "</div>"), ('<div class="no-sidebar"><main>', "</main></div>"), ('<div class="share-enabled"><article>', "</article></div>"), ('<div class="search-results"><article>', "</article></div>")])
+def test_extract_keeps_the_article_of_odd_wrappers(start, end):
+    page = f"<body><nav><a href=/>Home</a></nav>{start}<h1>A title</h1><p>{LONG}</p><p>{LONG} Again.</p>{end}<footer>Imprint</footer></body>"
+    assert html_text.main_text(page) == f"A title\n\n{LONG}\n\n{LONG} Again." == brute.article(page)
+
+
+@pytest.mark.parametrize("sentence", ["这是一个关于许多事情的长段落,它包含许多句子。我们希望它会被保留下来,因为它是文章的正文。", "Это длинный абзац статьи, в котором рассказывается о многих вещах. "])
+def test_extract_keeps_languages_without_stop_words(sentence):
+    text = (sentence * 3).strip()
+    page = f"<body><nav><a href=/>x</a></nav><div><p>{text}</p><p>{text}</p></div><footer>y</footer></body>"
+    assert html_text.main_text(page) == f"{text}\n\n{text}" == brute.article(page)
+
+
+def test_extract_matches_the_plain_version(spark):
+    """The registered query on all pages of the smallest tables, and pages drawn at random."""
+    rows = {r.page_id: r.text for r in queries.op7_block_rules(spark, SF).collect()}
+    for r in common.table(spark, SF, "pages").collect():
+        assert rows[r.page_id] == brute.article(r.html)
+    r = random.Random(11)
+    texts = [LONG, "Short one.", "Read more", LONG.replace("the", "foo").replace("of", "bar").replace("it", "baz"), "1 2 3", "A heading"]
+    opens = ["div", "div class='ad'", "div class='has-ad'", "article", "main", "section id=sidebar", "p", "h2", "li", "footer", "header", "div class='comments list'", "div hidden"]
+
+    def make(depth: int) -> str:
+        out = ""
+        for _ in range(r.randrange(1, 4)):
+            if depth and r.random() < 0.7:
+                tag = r.choice(opens)
+                if tag not in ("p", "h2", "li"):
+                    out += f"<{tag}>{make(depth - 1)}</{tag.split()[0]}>"
+                    continue
+                out += f"<{tag}>{r.choice(texts)}</{tag}>"
+            else:
+                text = r.choice(texts)
+                out += f"<p>{f'<a href=x>{text}</a>' if r.random() < 0.2 else text}</p>"
+        return out
+
+    for _ in range(1500):
+        page = f"<body>{make(4)}</body>"
+        assert html_text.main_text(page) == brute.article(page), page
+
+
+@pytest.mark.parametrize("page", ['<a "', "<div>|</p>", "<div class=ad>|x", "<a ", "<head>", "<!--", "<a href='", "<li>|</ul>", "&#9", "<b \"'>", "<script "])
+def test_extract_takes_time_in_proportion(page):
+    import time
+
+    start = time.process_time()
+    assert isinstance(html_text.main_text("".join(x * (1_000_000 // len(page)) for x in page.split("|"))), str)
+    assert time.process_time() - start < 20
+
+
+def test_extract_edge_cases(spark):
+    assert html_text.main_text("&#" + "9" * 6000 + ";&#" + "0" * 6000 + "65; &#x41;") == ""
+    assert html_text.main_text("<main><p>&#" + "9" * 6000 + ";&#" + "0" * 6000 + "65; &#x41;</main>") == "\ufffdA A"
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    long = "<main>" + f"<p>{LONG}</p>" * 20_000 + "</main>"
+    rows = html_text.extract(spark.createDataFrame([(1, "u", long), (2, "u", "<main>a</main>"), (2, "u", "<main>a</main>")], "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in rows) == [(1, 20_000 * (len(LONG) + 2) - 2), (2, 1), (2, 1)]
+
+
 # 8: BPE
 
 
