@@ -4,9 +4,11 @@ States are the role of the last turn: start, system, user, assistant. Legal: sta
 user, user to assistant, assistant to user; a conversation ends after an assistant. Each message is kept or
 relabelled, and either starts a turn, after inserted empty turns if need be, or is merged into the turn before.
 
-A conversation is cut into blocks of turn numbers. Each block gives the least costs from any state before it to
-any after it; these small matrices are chained per conversation; each block is then solved between its known
-states. So a huge conversation spreads over tasks, which hold one block at a time.
+Messages are dealt by ranges of (conversation, turn, role, text's hash), so that a task holds whole conversations but
+for its first and last one, which neighbours may share. A conversation within one task and one block of messages is
+solved there and then. The others are cut into blocks by position: each gives the least costs from any state before it
+to any after it; these small matrices are chained per conversation; each block is then solved between its known
+states. So a huge conversation spreads over tasks, whatever its turn numbers, and tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -15,12 +17,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK_TURNS = 512
+#: Messages and text bytes from which a block is full; rows and text bytes of an output batch; longest remembered sequence of roles.
+BLOCK_TURNS, BLOCK_BYTES, BATCH_ROWS, BATCH_BYTES, REMEMBERED = 4096, 8 << 20, 10_000, 8 << 20, 64
 ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 # Other names of the roles.
@@ -110,99 +115,168 @@ class Automaton:
         return out[::-1]
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """The groups of rows that come sorted by keys, one at a time, across batches."""
-    held: list[pd.DataFrame] = []
-    for pdf in batches:
-        if held:
-            pdf = pd.concat([*held, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        k = pdf[keys]
-        new = ~((k == k.shift()) | (k.isna() & k.shift().isna())).all(axis=1).to_numpy()
-        starts = [i for i in range(len(pdf)) if new[i] or i == 0]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            yield pdf.iloc[a:b]
-        held = [pdf.iloc[starts[-1] :]]
-    if held:
-        yield held[0]
+class Solver:
+    """What becomes of messages, given their roles: all but their texts, remembered for short sequences."""
+
+    def __init__(self, costs: Costs):
+        self.auto = Automaton(costs)
+        self.known: dict[tuple, list[tuple[str, str, str, str, str, str]]] = {}
+
+    def block(self, roles: tuple[int, ...], before: int, after: int, last: bool) -> list[tuple[str, str, str, str, str, str]]:
+        """(new role, action, inserted before, inserted after, what is rendered before and after the text) of each message."""
+        key = (roles, before, after, last)
+        if key in self.known:
+            return self.known[key]
+        names, empty = ("", *ROLES), lambda added: "".join(f"<|im_start|>{names[x]}\n<|im_end|>\n" for x in added)
+        ways, out = self.auto.solve(list(roles), before, after), []
+        for i, ((new, inserted, merged), role) in enumerate(zip(ways, roles, strict=True)):
+            ends = last and i == len(ways) - 1
+            closing = self.auto.closing[new] if ends else ()
+            opened = "<|im_end|>\n" if before != START or i > 0 else ""
+            head = "\n\n" if merged else f"{opened}{empty(inserted)}<|im_start|>{names[new]}\n"
+            tail = f"<|im_end|>\n{empty(closing)}" if ends else ""
+            action = "+".join([*(["relabel"] if role != new else []), *(["merge"] if merged else [])]) or "keep"
+            out.append((names[new], action, ",".join(names[x] for x in inserted), ",".join(names[x] for x in closing), head, tail))
+        if len(roles) <= REMEMBERED:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            self.known[key] = out
+        return out
+
+    def whole(self, roles: tuple[int, ...]) -> list[tuple[str, str, str, str, str, str]]:
+        """The same for a whole conversation."""
+        found = self.known.get((roles, START))
+        if found is None:
+            (before, after), = self.auto.chain([self.auto.matrix(list(roles))])
+            found = self.block(roles, before, after, True)
+            if len(roles) <= REMEMBERED:
+                self.known[(roles, START)] = found
+        return found
+
+
+RESULT = {"conv_id": "long", "turn": "long", "role": "string", "new_role": "string", "action": "string", "inserted_before": "string", "inserted_after": "string", "rendered": "string"}
+OPEN = {"part": "int", "block": "int", "place": "int", "matrix": "array<long>"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+
+
+class Rows:
+    """Rows of these columns, gathered to batches of bounded size."""
+
+    def __init__(self, columns: dict[str, str]):
+        self.columns, self.rows, self.bytes = columns, [], 0
+
+    def add(self, row: tuple, size: int) -> None:
+        self.rows.append(row)
+        self.bytes += size
+
+    def full(self) -> bool:
+        return len(self.rows) >= BATCH_ROWS or self.bytes >= BATCH_BYTES
+
+    def batch(self) -> Iterator[pa.RecordBatch]:
+        if self.rows:
+            columns = [pa.array(c, _ARROW[t]) for c, t in zip(zip(*self.rows, strict=True), self.columns.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=list(self.columns))
+        self.rows, self.bytes = [], 0
+
+
+def _messages(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        for part in common.chunks(iter([batch]), "text"):
+            yield from zip(*[part.column(c).to_pylist() for c in columns], strict=True)
+
+
+def _schema(columns: dict[str, str]) -> str:
+    return ", ".join(f"{c} {t}" for c, t in columns.items())
 
 
 def repair(conversations: DataFrame, costs: Costs = Costs(), block_turns: int = BLOCK_TURNS) -> DataFrame:  # noqa: B008
     """One row per message: conv_id, turn, role, new_role, action (keep, relabel, merge or relabel+merge),
     inserted_before (roles of empty turns), inserted_after (of those that end the conversation) and rendered, the
-    message's part of the rendered conversation; the parts of a conversation, in the order of (turn, role, text),
-    are the whole.
-
-    Messages are ordered by turn, then role and text; a null turn comes first, a null text is empty, a null or
-    unknown role is relabelled, and messages without conv_id are a conversation of their own. Repeated rows are
-    messages of their own. Extra columns are not read; an empty table gives an empty one."""
-    rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-(1 << 60))).cast("long").alias("block"),
-    )
-    auto = Automaton(costs)
-    keys = ["conv_id", "block"]
-
-    def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, list[int]] = {}
-        out: list[tuple] = []
-        for g in _groups(batches, keys):
-            roles = tuple(_role_of(r) for r in g["role"])
-            if roles not in known:
-                if len(known) > 10_000:
-                    known.clear()
-                known[roles] = auto.matrix(list(roles))
-            out.append((g["conv_id"].iloc[0], g["block"].iloc[0], known[roles]))
-            if len(out) == 5000:
-                yield pd.DataFrame(out, columns=["conv_id", "block", "matrix"]).astype({"conv_id": "Int64"})
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["conv_id", "block", "matrix"]).astype({"conv_id": "Int64"})
-
-    narrow = rows.select(*keys, "turn", "role", "text")
-    dealt = narrow.repartition(*keys).sortWithinPartitions(*keys, "turn", "role", "text")
-    by_block = common.materialise(dealt.select(*keys, "role").mapInPandas(matrices, "conv_id long, block long, matrix array<long>"), "role-costs")
+    message's part of the rendered conversation; the parts of a conversation, in the order of its messages, are the
+    whole.
+
+    Messages are ordered by turn, then role, then their text's hash; a null turn or role comes first, a null text is
+    empty, a null or unknown role is relabelled, and messages without conv_id are a conversation of their own.
+    Repeated rows are messages of their own. Texts may have any length. Extra columns are not read; an empty table
+    gives an empty one."""
+    keys = ["conv_id", "turn", "role", "hash", "tie"]
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    # Equal rows are told apart, so that ranges can divide them too; which is which makes no difference.
+    dealt = rows.withColumn("hash", F.xxhash64("text")).withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Solves what lies within the task; the blocks of the rest stay open, their first row with the matrix."""
+        solver, out, part = Solver(costs), Rows(RESULT | OPEN), TaskContext.get().partitionId()
+        held: list[tuple] = []
+        size, blocks, current = 0, 0, None
+        inner, cut = False, False  # whether the conversation is not the task's first; whether a block of it is out
+
+        def close(solve: bool) -> None:
+            nonlocal held, size, blocks
+            roles = tuple(_role_of(m[2]) for m in held)
+            if solve:
+                for (conv, turn, role, text), (*done, head, tail) in zip(held, solver.whole(roles), strict=True):
+                    out.add((conv, turn, role, *done, head + text + tail, None, None, None, None), len(text))
+            else:
+                matrix = solver.auto.matrix(list(roles))
+                for i, (conv, turn, role, text) in enumerate(held):
+                    out.add((conv, turn, role, None, None, None, None, text, part, blocks, i, None if i else matrix), len(text))
+                blocks += 1
+            held, size = [], 0
+
+        for m in _messages(batches, ["conv_id", "turn", "role", "text"]):
+            if held and m[0] != current:
+                close(inner and not cut)
+                inner, cut = True, False
+            elif len(held) >= block_turns or size >= BLOCK_BYTES:
+                close(False)
+                cut = True
+            current = m[0]
+            held.append(m)
+            size += len(m[3])
+            if out.full():
+                yield from out.batch()
+        if held:
+            close(False)
+        yield from out.batch()
+
+    made = common.materialise(dealt.select("conv_id", "turn", "role", "text").mapInArrow(first, _schema(RESULT | OPEN)), "roles")
+    still_open = made.where("part is not null").select("conv_id", "turn", "role", F.col("rendered").alias("text"), *OPEN)
 
     def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[tuple, list[tuple[int, int]]] = {}
+        auto = Automaton(costs)
         for pdf in batches:
             out = []
-            for conv, blocks in zip(pdf["conv_id"], pdf["blocks"], strict=True):
-                ms = tuple(tuple(b["matrix"]) for b in blocks)
-                if ms not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    known[ms] = auto.chain([list(m) for m in ms])
-                out += [(conv, b["block"], s, t, i == len(blocks) - 1) for i, (b, (s, t)) in enumerate(zip(blocks, known[ms], strict=True))]
-            yield pd.DataFrame(out, columns=["conv_id", "block", "before", "after", "last"]).astype({"conv_id": "Int64"})
-
-    states = (
-        by_block.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "matrix"))).alias("blocks"))
-        .mapInPandas(chained, "conv_id long, block long, before int, after int, last boolean")
-    )
-    states = states.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before", "after", "last")
-    joined = narrow.join(states, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b")))
-
-    def solved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, keys):
-            roles = [_role_of(r) for r in g["role"]]
-            before, after, last = int(g["before"].iloc[0]), int(g["after"].iloc[0]), bool(g["last"].iloc[0])
-            ways = auto.solve(roles, before, after)
-            names = ("", *ROLES)
-            out = []
-            for i, ((new, inserted, merged), role, text) in enumerate(zip(ways, roles, g["text"], strict=True)):
-                ends = i == len(ways) - 1
-                closing = auto.closing[new] if ends and last else ()
-                opened = before != START or i > 0
-                rendered = "" if merged else ("<|im_end|>\n" if opened else "") + "".join(f"<|im_start|>{names[x]}\n<|im_end|>\n" for x in inserted) + f"<|im_start|>{names[new]}\n"
-                rendered += ("\n\n" if merged else "") + text
-                if ends and last:
-                    rendered += "<|im_end|>\n" + "".join(f"<|im_start|>{names[x]}\n<|im_end|>\n" for x in closing)
-                action = "+".join([*(["relabel"] if role != new else []), *(["merge"] if merged else [])]) or "keep"
-                out.append((names[new], action, ",".join(names[x] for x in inserted), ",".join(names[x] for x in closing), rendered))
-            done = pd.DataFrame(out, columns=["new_role", "action", "inserted_before", "inserted_after", "rendered"])
-            yield pd.concat([g[["conv_id", "turn", "role"]].reset_index(drop=True), done], axis=1)
-
-    ordered = joined.repartition(*keys).sortWithinPartitions(*keys, "turn", "role", "text").select(*keys, "turn", "role", "text", "before", "after", "last")
-    return ordered.mapInPandas(solved, "conv_id long, turn long, role string, new_role string, action string, inserted_before string, inserted_after string, rendered string")
+            for blocks in pdf["blocks"]:
+                ways = auto.chain([list(b["matrix"]) for b in blocks])
+                out += [(b["part"], b["block"], s, t, i == len(blocks) - 1) for i, (b, (s, t)) in enumerate(zip(blocks, ways, strict=True))]
+            yield pd.DataFrame(out, columns=["part", "block", "before", "after", "last"])
+
+    by_conversation = still_open.where("matrix is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("part", "block", "matrix"))).alias("blocks"))
+    states = by_conversation.mapInPandas(chained, "part int, block int, before int, after int, last boolean")
+    joined = still_open.drop("matrix").join(states, ["part", "block"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Solves open blocks between their states."""
+        solver, out, held, current = Solver(costs), Rows(RESULT), [], None
+
+        def close() -> None:
+            nonlocal held
+            before, after, last = held[0][6:]
+            for m, (*done, head, tail) in zip(held, solver.block(tuple(_role_of(m[4]) for m in held), before, after, last), strict=True):
+                out.add((*m[2:5], *done, head + m[5] + tail), len(m[5]))
+            held = []
+
+        for m in _messages(batches, ["part", "block", "conv_id", "turn", "role", "text", "before", "after", "last"]):
+            if held and m[:2] != current:
+                close()
+            current = m[:2]
+            held.append(m)
+            if out.full():
+                yield from out.batch()
+        if held:
+            close()
+        yield from out.batch()
+
+    ordered = joined.repartition("part", "block").sortWithinPartitions("part", "block", "place")
+    return made.where("part is null").select(*RESULT).unionByName(ordered.drop("place").mapInArrow(second, _schema(RESULT)))

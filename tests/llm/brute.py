@@ -224,3 +224,29 @@ def article(page: str | None) -> str:
         if label:
             good.append(b["text"])
     return "\n\n".join(good)
+
+
+def cheapest_repair(roles: list[str | None]) -> int:
+    """The least cost over all ways to keep, relabel, merge and insert, tried one by one."""
+    from quantloom.llm.roles import Costs
+
+    c = Costs()
+    legal = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+
+    def openings(last, left=3):
+        """(inserted turns, role that may follow) after a turn."""
+        for role in legal[last]:
+            yield 0, role
+            if left:
+                yield from ((n + 1, r) for n, r in openings(role, left - 1))
+
+    def rest(i: int, last) -> int:
+        if i == len(roles):
+            return {"assistant": 0, "user": 1, "system": 2, None: 0}[last] * c.insert
+        price = lambda new: 0 if new == roles[i] else c.relabel if roles[i] in ("system", "user", "assistant") else c.relabel_unknown
+        ways = [c.insert * n + price(r) + rest(i + 1, r) for n, r in openings(last)]
+        if last:
+            ways.append(c.merge + price(last) + rest(i + 1, last))
+        return min(ways)
+
+    return rest(0, None)
