@@ -60,6 +60,21 @@ def test_top_k_small_and_empty(spark):
     assert [(r.query_id, r.vec_id, r.score) for r in topk.top_k(two, F.col("vec_id") == 0).collect()] == [(0, 1, 1024 * 2048)]
 
 
+def test_top_k_bounds_exclude_most_of_clustered_vectors(spark, monkeypatch):
+    """Vectors in clusters far from each other: most are never evaluated; many identical ones; several blocks of queries."""
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 300)
+    r = random.Random(21)
+    centres = [[r.gauss(0, 3) for _ in range(6)] for _ in range(12)]
+    vectors = [(i, [c + r.gauss(0, 0.02) for c in centres[i % 12]]) for i in range(1500)] + [(i, centres[0]) for i in range(1500, 1600)]
+    df = spark.createDataFrame([(i, v) for i, v in vectors], "vec_id long, embedding array<double>")
+    rows = topk.top_k(df, F.col("vec_id") % 5 == 0, k=10).orderBy("query_id", "rank").collect()
+    got = {}
+    for x in rows:
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    assert got == best_of([(i, [math.floor(1024 * x) for x in v]) for i, v in vectors], 10)
+    assert sum(x.evaluated for x in rows if x.rank == 1) < 0.5 * len(got) * len(vectors)
+
+
 # 2: Katz
 
 
@@ -484,6 +499,48 @@ def test_roles_edge_cases(spark):
     assert roles.repair(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_repairs_are_legal_and_cheapest(spark, block):
+    """All sequences of up to four roles, and longer ones at random, each a conversation; turns in order, all null or equal."""
+    import itertools
+
+    costs, r = roles.Costs(), random.Random(13)
+    names = ["system", "user", "assistant", None]
+    sequences = [list(x) for n in range(1, 5) for x in itertools.product(names, repeat=n)] + [r.choices(names, k=6) for _ in range(15)]
+    rows = [(i, t, role, f"t{t}") for i, seq in enumerate(sequences) for t, role in enumerate(seq)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {}
+    for x in roles.repair(df, block_turns=block).collect():
+        got.setdefault(x.conv_id, []).append(x)
+    legal = {None: ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+    for i, seq in enumerate(sequences):
+        own, paid, turns = sorted(got[i], key=lambda x: x.turn), 0, []
+        for x, role in zip(own, seq, strict=True):
+            added = [y for y in x.inserted_before.split(",") if y]
+            paid += costs.insert * len(added) + (0 if x.new_role == role else costs.relabel if role else costs.relabel_unknown) + costs.merge * ("merge" in x.action)
+            if "merge" in x.action:
+                assert turns[-1][0] == x.new_role and not added
+                turns[-1][1].append(x.turn)
+            else:
+                turns += [(y, []) for y in added] + [(x.new_role, [x.turn])]
+        added = [y for y in own[-1].inserted_after.split(",") if y]
+        paid, turns = paid + costs.insert * len(added), turns + [(y, []) for y in added]
+        assert all(b in legal[a] for a, b in zip([None, *[t for t, _ in turns]], [t for t, _ in turns])) and turns[-1][0] == "assistant"
+        assert paid == brute.cheapest_repair(seq)
+        assert "".join(x.rendered for x in own) == "".join(f"<|im_start|>{role}\n" + "\n\n".join(f"t{t}" for t in held) + "<|im_end|>\n" for role, held in turns)
+
+
+def test_a_huge_conversation_without_turns(spark):
+    """Messages without identifier and turn are one conversation, cut by position; its parts in order are a legal whole."""
+    r = random.Random(14)
+    rows = [(None, None, r.choice(["user", "assistant", "user", "robot"]), r.choice(["same", "x" * 50, None, ""])) for _ in range(700)] + [(1, None, "user", "y" * 100_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = roles.repair(df, block_turns=7).collect()
+    assert len(got) == 701 and sum(x.inserted_after != "" or x.rendered.endswith("<|im_end|>\n") for x in got) == 2
+    cost = lambda of: sum({"keep": 0, "merge": 2, "relabel": 1 if x.role == "robot" else 4, "relabel+merge": 3 if x.role == "robot" else 6}[x.action] + 3 * len([y for y in (x.inserted_before + "," + x.inserted_after).split(",") if y]) for x in of)
+    assert cost(got) == cost(roles.repair(df, block_turns=1000).collect())
+
+
 def test_blocks_do_not_change_costs():
     auto, r = roles.Automaton(roles.Costs()), random.Random(6)
     for _ in range(200):
