@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder and read again: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

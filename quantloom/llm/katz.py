@@ -1,12 +1,19 @@
-"""Katz backoff scores: Good-Turing discounted bigram and unigram counts, exactly normalised backoff weights.
-
-P(w | h) = d(c) c(h, w) / c(h) for a seen pair, else alpha(h) P(w); P(w) = d(c) c(w) / N for a known word, and
-what is left for the one unknown word. Counts come from training documents, all documents are scored.
-
-Words are 64-bit hashes. Tokens are dealt to buckets by the word before them, packed as arrays; a very frequent
-word has buckets of its own, split by the word after it. Each bucket's counts become one row of a table that is
-partitioned by bucket: its contexts, pairs, per-document sums over seen pairs and the unseen pairs left to back
-off. Buckets then ask each other for the counts of the words they back off to, get alpha, and finish the sums.
+"""Katz backoff scores: Good-Turing discounted n-gram counts with exactly normalised backoff weights.
+
+P(w | h) = d(c) c(h, w) / c(h) for a seen n-gram, else alpha(h) P(w | h without its oldest word), down to single
+words: P(w) = d(c) c(w) / N for a known word, and what is left for the one unknown word. Counts come from training
+documents, all documents are scored. A text starts after as many START words as the order needs.
+
+Words are 64-bit hashes. Texts are packed to blocks of tokens, each with its distinct words; blocks learn their words'
+numbers (their ranks) and counts from ranges of the hash space. Each block then sends its distinct n-grams, once each,
+to buckets of a table that is partitioned by the word before the last one: all contexts that an n-gram backs off to end
+with that word, so that a bucket evaluates them all recursively by itself; it asks the ranges for the counts of single
+words. A frequent word has buckets of its own, split by the word after it; they add up what they know of a context in
+common. Each bucket answers with the probabilities of the n-grams that a block asked for, and the block adds them up by
+document.
+
+So an n-gram that many documents share travels once for each block, and no document's tokens meet in one place but
+its block. There are as many messages as a shuffle between blocks and buckets has segments, and never more than n-grams.
 """
 
 from __future__ import annotations
@@ -21,13 +28,14 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Text bytes for one bucket, tokens a task packs together, sampled documents for frequent words, their number.
-BUCKET_BYTES, PACK_TOKENS, SAMPLE_DOCS, MAX_HOT = 18 << 20, 4_500_000, 4000, 256
+#: Tokens of a block, tokens for one bucket (it holds fewer n-grams), words or contexts of one range.
+BLOCK_TOKENS, BUCKET_TOKENS, RANGE_KEYS = 2_000_000, 1_500_000, 2_000_000
 K = 5
 U = np.uint64
 START, END = U(0x0123456789ABCDEF), U(0xFEDCBA9876543210)
@@ -52,6 +60,29 @@ def load(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def dump_sorted(columns: list[np.ndarray], *others: np.ndarray) -> bytes:
+    """Rows sorted by non-negative columns, as differences to the row before where all earlier columns agree with it."""
+    out, same = [], np.ones(len(columns[0]), bool)
+    for c in columns:
+        step = np.diff(c, prepend=c.dtype.type(0))
+        out.append(np.where(same, step, c).astype(np.uint32))
+        same &= step == 0
+    return dump(*out, *others)
+
+
+def load_sorted(data: bytes, n: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The n sorted columns, and the others."""
+    loaded = load(data)
+    out, same = [], np.ones(len(loaded[0]), bool)
+    for c in loaded[:n]:
+        total = np.cumsum(c.astype(np.int64))
+        start = np.maximum.accumulate(np.where(same, 0, np.arange(len(c))))
+        value = total - np.where(start > 0, total[start] - c[start], 0)
+        out.append(value)
+        same &= np.diff(value, prepend=0) == 0
+    return out, loaded[n:]
+
+
 def hash_words(words: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.binary()).to_pylist()), U, len(words))
 
@@ -70,346 +101,451 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return (np.arange(1, K + 1) - step) / np.arange(1, K + 1)
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d(c) c for counts c."""
+    return np.where((c > 0) & (c <= K), d[np.clip(c, 1, K) - 1], 1.0) * c
+
+
 @dataclass
 class Statistics:
-    """What all buckets share: totals, discounts, and the frequent words' counts and backoff weights."""
+    """What all blocks and buckets share."""
 
     tokens: int = 0  # N, ends included
     words: int = 0  # V
-    docs: int = 0  # training documents
-    pair_d: np.ndarray = field(default_factory=lambda: np.ones(K))
     word_d: np.ndarray = field(default_factory=lambda: np.ones(K))
     left: float = 1.0  # probability of the unknown word
     plus: int = 0  # 1 where no word is discounted
-    hot: dict[int, int] = field(default_factory=dict)
-    hot_alpha: dict[int, tuple[float, int]] = field(default_factory=dict)  # weight, 1 where nothing is discounted
+    gram_d: dict[int, np.ndarray] = field(default_factory=dict)  # discounts by order
+
+    @classmethod
+    def of(cls, tokens: int, words: int, word_n: np.ndarray) -> Statistics:
+        out = cls(tokens, words, discounts(word_n))
+        small = float((word_n[:K] * np.arange(1, K + 1) * (1 - out.word_d)).sum())
+        if small > 0:
+            out.left = small / tokens
+        elif tokens:
+            out.plus, out.left = 1, 1 / (tokens + 1)
+        return out
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """P(w) by count; a count of 0 is the unknown word."""
-        n = self.tokens + self.plus
-        d = np.ones(len(c))
-        small = (c > 0) & (c <= K)
-        d[small] = self.word_d[c[small] - 1] if not self.plus else 1.0
-        return np.where(c > 0, d * c / max(n, 1), self.left)
-
-
-def _dealer(buckets: int, hot: dict[int, tuple[int, int]]):
-    """Bucket of (context, word): by the context, or a frequent context's own buckets by the word."""
-    keys = np.array(sorted(hot), U)
-    first = np.array([hot[int(k)][0] for k in keys], np.int64)
-    parts = np.array([hot[int(k)][1] for k in keys], np.int64)
+        return np.where(c > 0, (c if self.plus else discounted(c, self.word_d)) / max(self.tokens + self.plus, 1), self.left)
+
+
+def _code(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """One integer for each row of columns with values below sizes, in the order of the rows."""
+    out, n = columns[0].astype(np.int64), sizes[0]
+    for c, size in zip(columns[1:], sizes[1:], strict=True):
+        if n * size >= 1 << 63:
+            values, out = np.unique(out, return_inverse=True)
+            n = len(values)
+        out = out * size + c
+        n *= size
+    return out
 
-    def deal(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = (context % U(buckets)).astype(np.int64)
-        if len(keys):
-            at = np.minimum(np.searchsorted(keys, context), len(keys) - 1)
-            own = keys[at] == context
-            out[own] = first[at[own]] + ((word[own] >> U(7)) % parts[at[own]].astype(U)).astype(np.int64)
-        return out
 
-    return deal
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    return ((keys >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
 
 
-def _frequent(rows: DataFrame, n_docs: int, buckets: int) -> dict[int, tuple[int, int]]:
-    """Contexts with more tokens, by a sample, than half a bucket: hash to (first bucket, buckets). The sample only
-    decides where tokens are counted."""
-    share = min(1.0, SAMPLE_DOCS / max(1, n_docs))
+def _slices(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """(range, its slice) of sorted keys."""
+    ends = np.searchsorted(_range_of(keys, ranges), np.arange(ranges + 1))
+    for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        if b > a:
+            yield r, slice(int(a), int(b))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.chunks(batches, "text"):
-            _, index, distinct = common.split_words(batch.column("text"), lower=True)
-            n = np.bincount(index, minlength=len(distinct))
-            top = np.argsort(-n, kind="stable")[: 4 * MAX_HOT]
-            yield pa.RecordBatch.from_arrays([pa.array(hash_words(distinct.take(pa.array(top))).view(np.int64)), pa.array(n[top], pa.int64())], names=["h", "n"])
 
-    found = rows.select("text").sample(share, seed=3).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_HOT).collect()
-    bucket_tokens = BUCKET_BYTES / 6
-    hot, at = {}, buckets
-    for r in found:
-        parts = int(-(-(r.n / share) // bucket_tokens))
-        if r.n / share >= bucket_tokens / 2:
-            hot[r.h & (1 << 64) - 1] = (at, parts)
-            at += parts
-    return hot
+def _mixed(numbers: np.ndarray) -> np.ndarray:
+    x = numbers.astype(U)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> U(15))) * U(0x9E3779B97F4A7C15)
+        return (x ^ (x >> U(32))) >> U(8)
 
 
-def _pack(deal) -> Callable:
-    """Documents to (bucket, payload): contexts, their pair counts, words, documents, training flags."""
+def _dealer(buckets: int, hot: dict[int, tuple[int, int]]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Bucket of (number of the word before, number of the word): by the word before, or a frequent one's own buckets by
+    the word."""
+    keys = np.array(sorted(hot), np.int64)
+    first = np.array([hot[int(k)][0] for k in keys], np.int64)
+    parts = np.array([hot[int(k)][1] for k in keys], np.int64)
 
-    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([x[0] for x in held])
-        train = np.concatenate([x[1] for x in held])
-        context, word = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
-        doc = np.repeat(np.arange(len(ids), dtype=np.int64), np.concatenate([x[4] for x in held]))
-        bucket = deal(context, word)
-        order = np.argsort(bucket, kind="stable")
-        bucket, context, word, doc = bucket[order], context[order], word[order], doc[order]
-        at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for a, b in zip(at, np.r_[at[1:], len(bucket)], strict=True):
-            contexts, i = np.unique(context[a:b], return_inverse=True)
-            words, j = np.unique(word[a:b], return_inverse=True)
-            docs, d = np.unique(doc[a:b], return_inverse=True)
-            o = np.lexsort((d, j, i))
-            payload = dump(
-                np.diff(contexts, prepend=U(0)), np.bincount(i, minlength=len(contexts)).astype(np.uint32), np.diff(words, prepend=U(0)),
-                j[o].astype(np.uint32), d[o].astype(np.uint32), ids[docs], train[docs],
-            )
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int32()), pa.array([payload], pa.binary())], names=["bucket", "payload"])
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in common.chunks(batches, "text"):
-            offsets, index, distinct = common.split_words(batch.column("text"), lower=True)
-            h = hash_words(distinct)[index] if len(index) else np.zeros(0, U)
-            word = np.insert(h, offsets[1:], END)
-            context = np.insert(h, offsets[:-1], START)
-            held.append((batch.column("doc_id").to_numpy(), batch.column("train").to_numpy(zero_copy_only=False).astype(np.uint8), context, word, np.diff(offsets) + 1))
-            size += len(word)
-            if size >= PACK_TOKENS:
-                yield from flush(held)
-                held, size = [], 0
-        if held:
-            yield from flush(held)
+    def deal(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+        out = (_mixed(before) % U(buckets)).astype(np.int64)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, before), len(keys) - 1)
+            own = keys[at] == before
+            out[own] = first[at[own]] + (_mixed(word[own]) % parts[at[own]].astype(U)).astype(np.int64)
+        return out
 
-    return pack
+    return deal
 
 
-COLUMNS = ["contexts", "pairs", "docs", "unseen", "word_list"]
-TABLE = "bucket int, hot boolean, contexts binary, pairs binary, docs binary, unseen binary, word_list binary, n_tokens long, n_words long, pair_n array<long>, word_n array<long>, hot_word long, hot_count long, n_docs long"
+BLOCK_TABLE = "part long, words binary, tokens binary, docs binary, n_words long, n_tokens long, n_docs long"
 
 
-def _count(hot_of: dict[int, int]) -> Callable:
-    """One bucket's packed tokens to its table row."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to blocks: distinct words (sorted hashes; counts in training documents and in all), each token's word
+    with an end for every document, and the documents' identifiers (and whether they have one), training flags, lengths."""
+    at, part = 0, TaskContext.get().partitionId()
 
-    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        hot_word = hot_of.get(bucket)
-        blobs = [load(p) for p in pdf["payload"]]
-        with np.errstate(over="ignore"):
-            context_lists, word_lists = [np.cumsum(b[0], dtype=U) for b in blobs], [np.cumsum(b[2], dtype=U) for b in blobs]
-        contexts, words = np.unique(np.concatenate(context_lists)), np.unique(np.concatenate(word_lists))
-        doc_ids = np.unique(np.concatenate([b[5] for b in blobs]))
-        i = np.concatenate([np.repeat(np.searchsorted(contexts, c), b[1]) for c, b in zip(context_lists, blobs, strict=True)])
-        j = np.concatenate([np.searchsorted(words, w)[b[3]] for w, b in zip(word_lists, blobs, strict=True)])
-        d = np.concatenate([np.searchsorted(doc_ids, b[5])[b[4]] for b in blobs])
-        train = np.concatenate([b[6][b[4]] for b in blobs]).astype(bool)
-        del blobs
-        code = i * np.int64(len(words)) + j
-        pair, at = np.unique(code, return_inverse=True)
-        c = np.bincount(at, train, minlength=len(pair)).astype(np.int64)
-        c1 = np.bincount(i, train, minlength=len(contexts)).astype(np.int64)
-        seen_pair = c > 0
-        owner = pair // len(words)
-        least = np.full(len(contexts), np.iinfo(np.int64).max)
-        np.minimum.at(least, owner[seen_pair], c[seen_pair])
-        own_c, n = c[at], len(doc_ids)
-        seen = own_c > 0
-        below = np.zeros(len(contexts)) if hot_word is not None else np.log10(np.maximum(1, c1 + (least > K)))
-        is_word = (contexts != START)[i]
-        docs = [
-            doc_ids, np.bincount(d, minlength=n).astype(np.uint32), np.bincount(d[seen], minlength=n).astype(np.uint32),
-            np.bincount(d, np.where(seen, np.log10(np.maximum(own_c, 1)) - below[i], 0.0), minlength=n),
-            np.bincount(d[is_word], np.log10(c1 + 0.5)[i[is_word]] if hot_word is None else None, minlength=n).astype(float),
-            np.bincount(d[is_word & (c1[i] > 0)], minlength=n).astype(np.uint32) if hot_word is None else np.zeros(n, np.uint32),
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        nonlocal at
+        words = np.unique(np.concatenate([x[0] for x in held]))
+        tokens = np.concatenate([np.searchsorted(words, x[0]).astype(np.uint32)[x[1]] for x in held])
+        ids, has_id, train, sizes = (np.concatenate([x[i] for x in held]) for i in range(2, 6))
+        learned = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(words))
+        row = [
+            (part << 32) + at, dump(words, learned.astype(np.uint32), np.bincount(tokens, minlength=len(words)).astype(np.uint32)),
+            dump(tokens), dump(ids, has_id, train, sizes.astype(np.uint32)), len(words), len(tokens), len(ids),
         ]
-        docs += [np.bincount(d[own_c == r], minlength=n).astype(np.uint32) for r in range(1, K + 1)]
-        un = np.unique(np.stack((i[~seen], j[~seen], d[~seen])), axis=1, return_counts=True) if (~seen).any() else (np.zeros((3, 0), np.int64), np.zeros(0, np.int64))
-        used = np.union1d(pair[seen_pair] % len(words), un[0][1])
-        word_at = np.zeros(len(words), np.int64)
-        word_at[used] = np.arange(len(used))
-        own = c1[(contexts != START) & (c1 > 0)] if hot_word is None else np.zeros(0, np.int64)
-        count_of = lambda x: [int((x == r).sum()) for r in range(1, K + 2)]
-        row = {
-            "bucket": bucket, "hot": hot_word is not None,
-            "contexts": dump(contexts, c1, least), "word_list": dump(words[used]),
-            "pairs": dump(np.bincount(owner[seen_pair], minlength=len(contexts)).astype(np.uint32), word_at[pair[seen_pair] % len(words)].astype(np.uint32), c[seen_pair].astype(np.uint32)),
-            "docs": dump(*docs), "unseen": dump(un[0][0].astype(np.uint32), word_at[un[0][1]].astype(np.uint32), un[0][2].astype(np.uint32), un[1].astype(np.uint32)),
-            "n_tokens": int(own.sum()), "n_words": len(own), "pair_n": count_of(c[seen_pair]), "word_n": count_of(own),
-            "hot_word": None if hot_word is None else int(U(hot_word).view(np.int64)), "hot_count": int(c1.sum()) if hot_word is not None else 0,
-            "n_docs": int(c1[contexts == START].sum()),
-        }
-        return pd.DataFrame([row]).astype({"hot_word": "Int64"})
-
-    return count
+        at += 1
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=[c.split()[0] for c in BLOCK_TABLE.split(", ")])
+
+    held, size = [], 0
+    for batch in common.chunks(batches, "text"):
+        offsets, index, distinct = common.split_words(batch.column("text"), lower=True)
+        words = np.r_[hash_words(distinct), END]
+        ids = batch.column("doc_id")
+        held.append((words, np.insert(index, offsets[1:], len(distinct)).astype(np.uint32), ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False), batch.column("train").to_numpy(zero_copy_only=False), np.diff(offsets) + 1))
+        size += len(held[-1][1])
+        if size >= BLOCK_TOKENS:
+            yield from flush(held)
+            held, size = [], 0
+    if held:
+        yield from flush(held)
 
 
-def _read_bucket(path: str, bucket: int, columns: list[str]) -> dict[str, list[np.ndarray]]:
-    """One partition of the table."""
+def _read_raw(path: str, part: int, columns: list[str]) -> list[bytes]:
+    """Columns of one partition of a table, which is one row."""
     fs, root = pafs.FileSystem.from_uri(path)
-    files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/part={bucket}")) if f.path.endswith(".parquet")]
+    files = [f.path for f in fs.get_file_info(pafs.FileSelector(f"{root}/part={part}")) if f.path.endswith(".parquet")]
     for f in files:
         with fs.open_input_file(f) as source:
             t = pq.ParquetFile(source).read(columns=columns)
         if t.num_rows:
-            return {c: load(t.column(c)[0].as_py()) for c in columns}
-    raise FileNotFoundError(f"bucket {bucket} of {path}")
+            return [t.column(c)[0].as_py() for c in columns]
+    raise FileNotFoundError(f"partition {part} of {path}")
+
+
+def _read(path: str, part: int, columns: list[str]) -> list[list[np.ndarray]]:
+    return [load(x) for x in _read_raw(path, part, columns)]
+
+
+class Grams:
+    """A block's distinct n-grams in the order of their buckets: columns of word numbers, the last word first. token_gram
+    is the place of each token's n-gram."""
+
+    def __init__(self, numbers: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, order: int, deal: Callable):
+        """numbers: those of the block's words, ascending, and of START behind them."""
+        within = np.arange(len(tokens), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+        start = np.uint32(len(numbers) - 1)
+        columns = [tokens]
+        for k in range(1, order):
+            before = np.r_[np.full(min(k, len(tokens)), start), tokens[:-k]]
+            columns.append(np.where(within >= k, before, start))
+        codes = _code(columns[1:] + columns[:1], [len(numbers)] * order)
+        by_code = np.argsort(codes, kind="stable")
+        codes = codes[by_code]
+        new = np.flatnonzero(np.diff(codes, prepend=-1))
+        del codes
+        columns = [numbers[c[by_code[new]]] for c in columns]
+        buckets = deal(columns[1], columns[0])
+        place = np.argsort(buckets, kind="stable")
+        self.columns, buckets = [c[place] for c in columns], buckets[place]
+        rank = np.empty(len(place), np.int32)
+        rank[place] = np.arange(len(place), dtype=np.int32)
+        self.token_gram = np.empty(len(tokens), np.int32)
+        self.token_gram[by_code] = np.repeat(rank, np.diff(new, append=len(tokens)))
+        starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+        self.parts = [(int(buckets[a]), slice(int(a), int(b))) for a, b in zip(starts, np.r_[starts[1:], len(buckets)], strict=True)]
+
+
+BUCKET_TABLE = "bucket int, words binary, grams binary, asked binary, gram_n array<array<long>>, n_contexts long"
+MESSAGE = "source long, target int, payload binary"
+
+
+class Levels:
+    """The n-grams of a bucket by order. Rows are sorted by the words before the last (nearest first), then the last, so
+    that contexts of any order are runs of rows."""
+
+    def __init__(self, columns: list[np.ndarray], counts: np.ndarray):
+        n_words = int(columns[0].max()) + 1
+        self.order = len(columns)
+        self.grams, self.contexts = {}, {}  # by order: (each row's n-gram, first row of each n-gram, counts), each row's context
+        change = np.zeros(len(counts), bool)
+        for o in range(2, self.order + 1):
+            before = columns[1:o]
+            change |= np.diff(before[-1], prepend=-1) != 0
+            self.contexts[o] = np.cumsum(change) - 1
+            if o == self.order:
+                rows = np.arange(len(counts))
+                self.grams[o] = rows, rows, counts
+            else:
+                _, first, of = np.unique(self.contexts[o] * np.int64(n_words) + columns[0], return_index=True, return_inverse=True)
+                self.grams[o] = of, first, np.bincount(of, counts, minlength=len(first)).astype(np.int64)
+
+    def sums(self, unigram: np.ndarray, last: np.ndarray, stats: Statistics) -> dict[int, np.ndarray]:
+        """By order, for each context: count, least count, discounted counts, and the sum over its seen n-grams of the
+        discounted count one order below (of order 2: of the words' probabilities)."""
+        out = {}
+        for o, (_, first, c) in self.grams.items():
+            context, seen = self.contexts[o][first], c > 0
+            n = int(self.contexts[o][-1]) + 1
+            least = np.full(n, np.inf)
+            np.minimum.at(least, context[seen], c[seen])
+            if o == 2:
+                below = unigram[last[first]]
+            else:
+                of, _, lower = self.grams[o - 1]
+                below = discounted(lower, stats.gram_d[o - 1])[of[first]]
+            add = lambda x: np.bincount(context[seen], x[seen], minlength=n)  # noqa: E731, B023
+            out[o] = np.stack((add(c), least, add(discounted(c, stats.gram_d[o])), add(below)))
+        return out
+
+    def log_probabilities(self, unigram: np.ndarray, last: np.ndarray, sums: dict[int, np.ndarray], stats: Statistics) -> np.ndarray:
+        """log10 P of each row's n-gram."""
+        of_lower, lower_p, lower_total = last, unigram, None
+        for o, (of, first, c) in self.grams.items():
+            count, least, mass, seen = sums[o]
+            context = self.contexts[o][first]
+            total = np.maximum(1, count + (least > K) * (count > 0))
+            if lower_total is not None:
+                starts = np.flatnonzero(np.diff(self.contexts[o], prepend=-1))
+                seen = seen / lower_total[self.contexts[o - 1][starts]]
+            alpha = np.where(count > 0, (total - mass) / total / np.maximum(1e-300, 1 - seen), 1.0)
+            p = np.where(c > 0, discounted(c, stats.gram_d[o]) / total[context], alpha[context] * lower_p[of_lower[first]])
+            of_lower, lower_p, lower_total = of, p, total
+        with np.errstate(divide="ignore"):
+            return np.log10(lower_p[of_lower])
+
+    def keys(self, columns: list[np.ndarray]) -> np.ndarray:
+        """A hash of every context of every order."""
+        out = []
+        with np.errstate(over="ignore"):
+            for o in range(2, self.order + 1):
+                starts = np.flatnonzero(np.diff(self.contexts[o], prepend=-1))
+                key = np.full(len(starts), o << 40, U)
+                for c in columns[1:o]:
+                    key = (key + c[starts].astype(U) + U(0x9E3779B97F4A7C15)) * U(0xBF58476D1CE4E5B9)
+                    key = (key ^ (key >> U(29))) * U(0x94D049BB133111EB)
+                    key ^= key >> U(32)
+                out.append(key)
+        return np.concatenate(out)
 
 
-def _answers(pdf: pd.DataFrame, words: np.ndarray, home: np.ndarray, stats: Statistics) -> np.ndarray:
-    """Counts of a bucket's words: from the buckets they have their home in, frequent words' and the end's aside."""
-    counts = np.zeros(len(words), np.int64)
-    for target, payload in zip(pdf["target"], pdf["payload"], strict=True):
-        counts[home == target] = load(payload)[0]
-    for h, n in stats.hot.items():
-        counts[words == U(h)] = n
-    counts[words == END] = stats.docs
-    return counts
+def _count(order: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """One bucket's messages to its table row."""
 
+    def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        loaded = [load_sorted(p, order) for p in pdf["payload"]]
+        columns = [np.concatenate([x[0][k] for x in loaded]) for k in range(order)]
+        learned, sizes = np.concatenate([x[1][0] for x in loaded]), [len(x[1][0]) for x in loaded]
+        del loaded
+        _, at, of = np.unique(_code(columns, [int(c.max()) + 1 for c in columns]), return_index=True, return_inverse=True)
+        columns = [c[at] for c in columns]
+        counts = np.bincount(of, learned, minlength=len(at)).astype(np.int64)
+        levels = Levels(columns[-1:] + columns[:-1], counts)
+        gram_n = [[int((c == r).sum()) for r in range(1, K + 2)] for _, _, c in levels.grams.values()]
+        n_contexts = sum(int(levels.contexts[o][-1]) + 1 for o in levels.contexts)
+        asked = dump(pdf["source"].to_numpy(), np.array(sizes, np.int64), *[np.diff(x, prepend=0).astype(np.uint32) for x in np.split(of, np.cumsum(sizes)[:-1])])
+        row = (int(key[0]), dump_sorted([np.unique(columns[-1])]), dump_sorted(columns, counts.astype(np.uint32)), asked, gram_n, n_contexts)
+        return pd.DataFrame([row], columns=["bucket", "words", "grams", "asked", "gram_n", "n_contexts"])
 
-def _mass(contexts: int, pairs: list[np.ndarray], unigram: np.ndarray, stats: Statistics) -> tuple[np.ndarray, np.ndarray]:
-    """Per context: discounted counts of its seen pairs, and the unigram mass of their words."""
-    owner = np.repeat(np.arange(contexts), pairs[0])
-    d = np.ones(len(pairs[2]))
-    small = pairs[2] <= K
-    d[small] = stats.pair_d[pairs[2][small] - 1]
-    return np.bincount(owner, d * pairs[2], minlength=contexts), np.bincount(owner, unigram[pairs[1]], minlength=contexts)
+    return count
 
 
-RESULT = "doc_id long, n_tokens long, n_known long, base double, score double"
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every whole text; counts come from the rows
-    that learn_from admits.
+def katz_scores(docs: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row's whole text; counts of
+    n-grams up to the order come from the rows that learn_from admits.
 
-    A null or empty text is its end token alone. Rows that share an identifier are summed into one row; rows
-    without identifier are neither learned from nor scored, and keep null results. Other columns are not read; an
-    empty table gives no row. With no training token every word is unknown and has probability 1."""
+    A null or empty text is its end token alone. Every row is scored for itself, whether its identifier is null or
+    repeated; rows for which learn_from is null are held out. Texts may have any length. Other columns are not read;
+    an empty table gives no row. With no training token every word is unknown and has probability 1. Orders from 2."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn_from, F.lit(False)).alias("train"))
-    named = rows.where("doc_id is not null")
-    total, n_docs = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    hot = _frequent(named, n_docs, buckets)
-    hot_of = {first + p: h for h, (first, parts) in hot.items() for p in range(parts)}
-    blobs = named.mapInArrow(_pack(_dealer(buckets, hot)), "bucket int, payload binary")
-    path = common.shared_dir(spark, "katz")
-    counted = blobs.groupBy("bucket").applyInPandas(_count(hot_of), TABLE)
-    counted.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(path)
-    table = spark.read.schema(f"{TABLE}, part int").parquet(path)
-    if n_docs == 0:
-        return _finish(spark.createDataFrame([], RESULT), rows, Statistics())
-    stats = _statistics(table)
+    blocks_at = common.shared_dir(spark, "katz-blocks")
+    rows.mapInArrow(_blocks, BLOCK_TABLE).write.partitionBy("part").parquet(blocks_at)
+    blocks = spark.read.schema(BLOCK_TABLE).parquet(blocks_at)
+    n_words, n_tokens = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    if not n_tokens:
+        return spark.createDataFrame([], RESULT)
+    words, stats, bases, frequent = _word_counts(blocks, max(1, -(-n_words // RANGE_KEYS)))
+    known, start = words.where("source >= 0").select(*MESSAGE_COLUMNS), int(bases[-1])
+    buckets, hot = max(1, -(-n_tokens // BUCKET_TOKENS)), {}
+    n_docs = blocks.agg(F.sum("n_docs")).first()[0]
+    if n_docs >= BUCKET_TOKENS // 2:
+        frequent[start] = n_docs
+    last = buckets
+    for word, n in sorted(frequent.items()):
+        parts = -(-2 * n // BUCKET_TOKENS)
+        hot[word] = (last, parts)
+        last += parts
+    deal = _dealer(buckets, hot)
+
+    def grams_of(block: int, numbers: np.ndarray) -> tuple[Grams, np.ndarray, list[np.ndarray]]:
+        (tokens,), docs = _read(blocks_at, block, ["tokens", "docs"])
+        return Grams(np.r_[numbers, start], tokens, docs[3].astype(np.int64), order, deal), tokens, docs
+
+    def send(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's n-grams to their buckets, with their counts."""
+        grams, _, (_, _, train, sizes) = grams_of(int(key[0]), _known(pdf, bases)[0])
+        learned = np.bincount(grams.token_gram[np.repeat(train, sizes)], minlength=len(grams.columns[0])).astype(np.uint32)
+        out = [(int(key[0]), bucket, dump_sorted([c[part] for c in grams.columns[1:] + grams.columns[:1]], learned[part])) for bucket, part in grams.parts]
+        return pd.DataFrame(out, columns=MESSAGE_COLUMNS)
+
+    table_at = common.shared_dir(spark, "katz")
+    counted = known.groupBy("source").applyInPandas(send, MESSAGE).groupBy("target").applyInPandas(_count(order), BUCKET_TABLE)
+    counted.withColumn("part", F.col("bucket")).write.partitionBy("part").parquet(table_at)
+    table = spark.read.schema(f"{BUCKET_TABLE}, part int").parquet(table_at)
+    sums = table.agg(*[F.sum(F.col("gram_n")[o][r]) for o in range(order - 1) for r in range(K + 1)], F.sum(F.when(F.col("bucket") >= buckets, F.col("n_contexts")))).first()
+    for o in range(2, order + 1):
+        stats.gram_d[o] = discounts(np.array(sums[(o - 2) * (K + 1) : (o - 1) * (K + 1)], np.int64))
+    numbers = table.select("bucket")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for bucket, is_hot, contexts, words in zip(pdf["bucket"], pdf["hot"], pdf["contexts"], pdf["word_list"], strict=True):
-                words = load(words)[0]
-                home = (words % U(buckets)).astype(np.int64)
-                out = [(int(t), int(bucket), dump(words[home == t])) for t in np.unique(home)]
-                if not is_hot:
-                    out.append((int(bucket), -1, dump(*load(contexts)[:2])))
-                yield pd.DataFrame(out, columns=["target", "source", "payload"])
+            for bucket, payload in zip(pdf["bucket"], pdf["words"], strict=True):
+                own = load_sorted(payload, 1)[0][0]
+                ends = np.searchsorted(own, bases)
+                yield pd.DataFrame([(int(bucket), r, dump_sorted([own[a:b] - bases[r]])) for r, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a], columns=MESSAGE_COLUMNS)
+
+    def tell(key: tuple, asked: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        (counts,) = load(of["payload"].iloc[0])
+        return pd.DataFrame([(int(s), int(key[0]), dump(counts[load_sorted(p, 1)[0][0]])) for s, p in zip(asked["source"], asked["payload"], strict=True)], columns=MESSAGE_COLUMNS)
+
+    asked = table.select("bucket", "words").mapInPandas(ask, MESSAGE)
+    told = common.materialise(asked.groupBy("target").cogroup(words.where("source < 0").select(*MESSAGE_COLUMNS).groupBy("target")).applyInPandas(tell, MESSAGE), "katz-counts")
+
+    def bucket_of(bucket: int, counts: pd.DataFrame) -> tuple[Levels, list[np.ndarray], np.ndarray, np.ndarray]:
+        """The n-grams; their columns, the last word first as a place in the bucket's words; these words' probabilities."""
+        words, grams = _read_raw(table_at, bucket, ["words", "grams"])
+        columns, (c,) = load_sorted(grams, order)
+        columns = [np.searchsorted(load_sorted(words, 1)[0][0], columns[-1]), *columns[:-1]]
+        return Levels(columns, c.astype(np.int64)), columns, stats.unigram(_joined(counts).astype(np.int64))
+
+    def share(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A frequent word's bucket tells what it knows of its contexts."""
+        levels, columns, unigram = bucket_of(int(key[0]), pdf)
+        keys, own = levels.keys(columns), np.concatenate(list(levels.sums(unigram, columns[0], stats).values()), axis=1)
+        place = np.argsort(keys)
+        out = [(int(key[0]), r, dump(keys[place][part], *own[:, place[part]])) for r, part in _slices(keys[place], ranges)]
+        return pd.DataFrame(out, columns=MESSAGE_COLUMNS)
+
+    def add_up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        loaded = [load(p) for p in pdf["payload"]]
+        keys, of = np.unique(np.concatenate([x[0] for x in loaded]), return_inverse=True)
+        count, least, mass, seen = (np.concatenate([x[1 + i] for x in loaded]) for i in range(4))
+        low = np.full(len(keys), np.inf)
+        np.minimum.at(low, of, least)
+        total = [np.bincount(of, count), low, np.bincount(of, mass), np.bincount(of, seen)]
+        ends = np.cumsum([len(x[0]) for x in loaded])
+        out = [(int(s), int(key[0]), dump(*[t[of[b - len(x[0]) : b]] for t in total])) for s, x, b in zip(pdf["source"], loaded, ends, strict=True)]
+        return pd.DataFrame(out, columns=["source", "target", "payload"])
+
+    ranges = max(1, -(-(sums[-1] or 0) // RANGE_KEYS))
+    told = told.withColumn("context", F.lit(False))
+    if hot:
+        shared = told.where(F.col("source") >= buckets).groupBy("source").applyInPandas(share, MESSAGE)
+        told = told.unionByName(common.materialise(shared.groupBy("target").applyInPandas(add_up, MESSAGE), "katz-contexts").withColumn("context", F.lit(True)))
 
     def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        known = [load(p) for p, s in zip(pdf["payload"], pdf["source"], strict=True) if s < 0]
-        contexts, c1 = known[0] if known else (np.zeros(0, U), np.zeros(0, np.int64))
-        out = []
-        for source, payload in zip(pdf["source"], pdf["payload"], strict=True):
-            if source >= 0:
-                words = load(payload)[0]
-                at = np.minimum(np.searchsorted(contexts, words), max(0, len(contexts) - 1))
-                got = np.where(contexts[at] == words, c1[at], 0) if len(contexts) else np.zeros(len(words), np.int64)
-                out.append((int(source), int(key[0]), dump(got)))
-        return pd.DataFrame(out, columns=["source", "target", "payload"])
+        """A bucket's probabilities for every block that asked, in the order of its question."""
+        bucket, is_context = int(key[0]), pdf["context"].to_numpy()
+        levels, columns, unigram = bucket_of(bucket, pdf[~is_context])
+        if bucket >= buckets:
+            place = np.argsort(levels.keys(columns))
+            own = np.empty((4, len(place)))
+            own[:, place] = np.concatenate([np.stack(x) for x in _in_order(pdf[is_context])], axis=1)
+            cuts = np.cumsum([int(c[-1]) + 1 for c in levels.contexts.values()])
+            sums = dict(zip(levels.contexts, np.split(own, cuts[:-1], axis=1), strict=True))
+        else:
+            sums = levels.sums(unigram, columns[0], stats)
+        p = levels.log_probabilities(unigram, columns[0], sums, stats)
+        ((sources, _, *of),) = _read(table_at, bucket, ["asked"])
+        return pd.DataFrame([(int(s), bucket, _coded(p[np.cumsum(x.astype(np.int64))])) for s, x in zip(sources, of, strict=True)], columns=MESSAGE_COLUMNS)
 
-    asked = table.select("bucket", "hot", "contexts", "word_list").mapInPandas(ask, "target int, source int, payload binary")
-    answers = common.materialise(asked.groupBy("target").applyInPandas(answer, "source int, target int, payload binary"), "katz-counts")
+    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """A block's documents: the sums over their tokens."""
+        is_word = pdf["words"].to_numpy()
+        numbers, c = _known(pdf[is_word], bases)
+        grams, tokens, (ids, has_id, train, sizes) = grams_of(int(key[0]), numbers)
+        first, c, p = np.cumsum(sizes.astype(np.int64)) - sizes, c[tokens].astype(np.int64), np.concatenate([values[code] for values, code in _in_order(pdf[~is_word])])
+        base = np.log10((c + 0.5) / (stats.tokens + 0.5 * (stats.words + 1)))
+        add = lambda x: np.add.reduceat(x, first)
+        return pd.DataFrame({
+            "doc_id": pd.arrays.IntegerArray(ids.astype(np.int64), ~has_id), "held_out": ~train, "n_tokens": sizes.astype(np.int64), "n_known": add((c > 0).astype(np.int64)),
+            "train_tokens": stats.tokens, "base_score": add(base), "score": add(p[grams.token_gram]),
+        })
 
-    def weights(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        t = _read_bucket(path, int(key[0]), ["contexts", "pairs", "word_list"])
-        words = t["word_list"][0]
-        unigram = stats.unigram(_answers(pdf, words, (words % U(buckets)).astype(np.int64), stats))
-        mass, seen = _mass(len(t["contexts"][0]), t["pairs"], unigram, stats)
-        return pd.DataFrame({"word": [hot_of[int(key[0])]], "mass": [mass.sum()], "seen": [seen.sum()]}).astype({"word": str})
+    answers = told.groupBy("source").applyInPandas(answer, MESSAGE)
+    back = answers.withColumn("words", F.lit(False)).unionByName(known.withColumn("words", F.lit(True)))
+    return back.groupBy("source").applyInPandas(finish, RESULT)
 
-    if hot:
-        parts = answers.where(F.col("source") >= buckets).groupBy("source").applyInPandas(weights, "word string, mass double, seen double")
-        for r in parts.groupBy("word").agg(F.sum("mass").alias("mass"), F.sum("seen").alias("seen")).collect():
-            n = stats.hot[int(r.word)]
-            plus = int(n - r.mass < 1e-9 * max(1, n))
-            stats.hot_alpha[int(r.word)] = ((n + plus - r.mass) / (n + plus) / max(1e-300, 1 - r.seen), plus)
 
-    def finish(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(key[0])
-        t = _read_bucket(path, bucket, COLUMNS)
-        (contexts, c1, least), words = t["contexts"], t["word_list"][0]
-        ids, n_tokens, n_seen, seen_sum, base, n_known = t["docs"][:6]
-        known, score = n_known.astype(np.int64), seen_sum.copy()
-        for r in range(K):
-            score += t["docs"][6 + r] * np.log10(stats.pair_d[r])
-        unigram = stats.unigram(_answers(pdf, words, (words % U(buckets)).astype(np.int64), stats))
-        if bucket in hot_of:
-            n = stats.hot[hot_of[bucket]]
-            alpha, plus = stats.hot_alpha.get(hot_of[bucket], (1.0, 0))
-            alpha = np.full(len(contexts), alpha if n else 1.0)
-            score -= n_seen * np.log10(max(1, n + plus))
-            base = n_tokens * np.log10(n + 0.5)
-            known = n_tokens.astype(np.int64) * (n > 0)
-        else:
-            mass, seen = _mass(len(contexts), t["pairs"], unigram, stats)
-            below = c1 + (least > K)
-            alpha = np.where(c1 > 0, (below - mass) / np.maximum(1, below) / np.maximum(1e-300, 1 - seen), 1.0)
-        i, j, d, n_un = t["unseen"]
-        with np.errstate(divide="ignore"):
-            score += np.bincount(d, n_un * (np.log10(alpha[i]) + np.log10(unigram[j])), minlength=len(ids))
-        part = ids % buckets
-        order = np.argsort(part, kind="stable")
-        columns = [c[order] for c in (ids, n_tokens.astype(np.uint32), known.astype(np.uint32), base, score)]
-        ends = np.searchsorted(part[order], np.arange(buckets + 1))
-        out = [(p, bucket, dump(*[c[a:b] for c in columns])) for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if b > a]
-        return pd.DataFrame(out, columns=["part", "source", "payload"])
-
-    # A document's sums come from as many buckets as hold its words: they travel packed, not as rows.
-    packed = answers.groupBy("source").applyInPandas(finish, "part int, source int, payload binary")
-    return _finish(packed.groupBy("part").applyInPandas(_sum_parts, RESULT), rows, stats)
-
-
-def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of one part's documents over all buckets, added in the order of the buckets."""
-    loaded = [load(p) for p in pdf.sort_values("source")["payload"]]
-    ids, n_tokens, known, base, score = (np.concatenate(c) for c in zip(*loaded, strict=True))
-    docs, at = np.unique(ids, return_inverse=True)
-    add = lambda x: np.bincount(at, x, minlength=len(docs))
-    return pd.DataFrame({"doc_id": docs, "n_tokens": add(n_tokens).astype(np.int64), "n_known": add(known).astype(np.int64), "base": add(base), "score": add(score)})
-
-
-def _statistics(table: DataFrame) -> Statistics:
-    """Totals over all buckets: one row, and one for each frequent word."""
-    sums = [F.sum(F.col("pair_n")[r]).alias(f"p{r}") for r in range(K + 1)] + [F.sum(F.col("word_n")[r]).alias(f"w{r}") for r in range(K + 1)]
-    row = table.agg(F.sum("n_tokens").alias("n"), F.sum("n_words").alias("v"), F.sum("n_docs").alias("docs"), *sums).first()
-    stats = Statistics(tokens=row.n + row.docs, words=row.v, docs=row.docs)
-    word_n = np.array([row[f"w{r}"] for r in range(K + 1)], np.int64)
-    alone = [row.docs]
-    for r in table.where("hot").groupBy("hot_word").agg(F.sum("hot_count").alias("n")).collect():
-        stats.hot[r.hot_word & (1 << 64) - 1] = r.n
-        alone.append(r.n)
-    stats.tokens += sum(alone[1:])
-    stats.words += sum(n > 0 for n in alone)
-    for n in alone:
-        if 0 < n <= K + 1:
-            word_n[n - 1] += 1
-    stats.pair_d = discounts(np.array([row[f"p{r}"] for r in range(K + 1)], np.int64))
-    stats.word_d = discounts(word_n)
-    small = float((word_n[:K] * np.arange(1, K + 1) * (1 - stats.word_d)).sum())
-    if small > 0:
-        stats.left = small / stats.tokens
-    elif stats.tokens:
-        stats.plus, stats.left = 1, 1 / (stats.tokens + 1)
-    return stats
-
-
-def _finish(parts: DataFrame, rows: DataFrame, stats: Statistics) -> DataFrame:
-    """Sums the buckets' parts by document, with the end token's base term and the common denominator."""
-    summed = parts.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")])
-    ends = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.first("train").alias("train"))
-    n = float(np.log10(stats.tokens + 0.5 * (stats.words + 1)))
-    named = ends.join(summed, "doc_id").select(
-        "doc_id", "train", F.col("n_tokens").cast("long").alias("n_tokens"), (F.col("n_known") + F.col("n_rows") * int(stats.docs > 0)).cast("long").alias("n_known"), F.lit(stats.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("n_rows") * float(np.log10(stats.docs + 0.5)) - F.col("n_tokens") * n).alias("base_score"), F.col("score"),
-    )
-    nothing = rows.where("doc_id is null").select(
-        "doc_id", F.lit(None).cast("boolean").alias("train"), *[F.lit(None).cast("long").alias(c) for c in ("n_tokens", "n_known")], F.lit(stats.tokens).cast("long").alias("train_tokens"),
-        *[F.lit(None).cast("double").alias(c) for c in ("base_score", "score")],
-    )
-    return named.unionByName(nothing).withColumn("held_out", ~F.col("train")).drop("train")
+MESSAGE_COLUMNS = ["source", "target", "payload"]
+
+
+def _in_order(pdf: pd.DataFrame) -> list[list[np.ndarray]]:
+    """The answers of all targets, in their order."""
+    return [load(p) for _, p in sorted(zip(pdf["target"], pdf["payload"], strict=True), key=lambda x: x[0])]
+
+
+def _coded(p: np.ndarray) -> bytes:
+    """Probabilities, of which most n-grams share a few, as their values and places."""
+    values, code = np.unique(p, return_inverse=True)
+    return dump(values, code.astype(np.uint32))
+
+
+def _joined(pdf: pd.DataFrame) -> np.ndarray:
+    return np.concatenate([x[0] for x in _in_order(pdf)])
+
+
+def _known(pdf: pd.DataFrame, bases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, counts) of a block's words from the answers of the ranges."""
+    targets, loaded = sorted(pdf["target"]), _in_order(pdf)
+    return np.concatenate([np.cumsum(x[0].astype(np.int64)) + bases[t] for t, x in zip(targets, loaded, strict=True)]), np.concatenate([x[1] for x in loaded])
+
+
+def _word_counts(blocks: DataFrame, ranges: int) -> tuple[DataFrame, Statistics, np.ndarray, dict[int, int]]:
+    """For each block and range the numbers within the range (as differences) and training counts of the block's words,
+    and with source -1 for each range the counts of all its words (source, target, payload); the statistics of words;
+    the number of the first word of each range, and of all words; and the words that fill half a bucket or more, with
+    their tokens in all documents."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, payload in zip(pdf["part"], pdf["words"], strict=True):
+                columns = load(payload)
+                yield pd.DataFrame([(int(part), r, dump(*[c[own] for c in columns])) for r, own in _slices(columns[0], ranges)], columns=MESSAGE_COLUMNS)
+
+    def answer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        loaded = [load(p) for p in pdf["payload"]]
+        words, of = np.unique(np.concatenate([x[0] for x in loaded]), return_inverse=True)
+        learned, tokens = (np.bincount(of, np.concatenate([x[i] for x in loaded]), minlength=len(words)).astype(np.int64) for i in (1, 2))
+        out, end = [], 0
+        for source, x in zip(pdf["source"], loaded, strict=True):
+            own = of[end : end + len(x[0])]
+            end += len(own)
+            out.append((int(source), int(key[0]), dump(np.diff(own, prepend=0).astype(np.uint32), learned[own]), None, None, None))
+        often = np.flatnonzero(tokens >= BUCKET_TOKENS // 2)
+        facts = [len(words), int(learned.sum()), int((learned > 0).sum()), *[int((learned == r).sum()) for r in range(1, K + 2)]]
+        out.append((-1, int(key[0]), dump(learned), facts, often.tolist(), tokens[often].tolist()))
+        return pd.DataFrame(out, columns=[*MESSAGE_COLUMNS, "facts", "often", "often_n"])
+
+    asked = blocks.select("part", "words").mapInPandas(ask, MESSAGE)
+    found = common.materialise(asked.groupBy("target").applyInPandas(answer, f"{MESSAGE}, facts array<long>, often array<long>, often_n array<long>"), "katz-words")
+    facts = found.where("source < 0")
+    n, v, *word_n = facts.agg(*[F.sum(F.col("facts")[i]) for i in range(1, K + 4)]).first()
+    sizes = np.zeros(ranges, np.int64)
+    for r in facts.select("target", F.col("facts")[0].alias("n")).toLocalIterator():
+        sizes[r.target] = r.n
+    bases = np.r_[0, np.cumsum(sizes)]
+    often = facts.select("target", F.explode(F.arrays_zip("often", "often_n")).alias("x")).select("target", "x.often", "x.often_n")
+    frequent = {int(bases[r.target] + r.often): r.often_n for r in often.toLocalIterator()}
+    return found, Statistics.of(n, v, np.array(word_n, np.int64)), bases, frequent

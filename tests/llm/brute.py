@@ -17,53 +17,50 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(FOLD))
 
 
-def katz(docs: list[tuple[int, str | None]], modulus: int = 5, rest: int = 1):
-    """doc_id to (held_out, n_tokens, n_known, train_tokens, base, score); also P(w | h) and the known words."""
+def katz(docs: list[tuple[int, str | None]], modulus: int = 5, rest: int = 1, order: int = 3):
+    """For each row (held_out, n_tokens, n_known, train_tokens, base, score); also P(w | history) and the known words."""
     import numpy as np
 
     start, end = ("start",), ("end",)
-    held = {i: zlib.crc32(str(i).encode()) % modulus == rest for i, _ in docs}
-    uni, pair, ctx = Counter(), defaultdict(Counter), Counter()
-    for i, t in docs:
-        if not held[i]:
-            seq = [*words(t), end]
-            uni.update(seq)
-            for h, w in zip([start, *seq[:-1]], seq, strict=True):
-                pair[h][w] += 1
-                ctx[h] += 1
+    held = [i is None or zlib.crc32(str(i).encode()) % modulus == rest for i, _ in docs]
+    padded = [[start] * (order - 1) + [*words(t), end] for _, t in docs]
+    uni = Counter(w for x, h in zip(padded, held) if not h for w in x[order - 1 :])
+    grams = {o: defaultdict(Counter) for o in range(2, order + 1)}
+    for x, h in zip(padded, held):
+        if not h:
+            for j in range(order - 1, len(x)):
+                for o in grams:
+                    grams[o][tuple(x[j - o + 1 : j])][x[j]] += 1
     n, v = sum(uni.values()), len(uni)
     of = lambda counts: discounts(np.array([sum(c == r for c in counts) for r in range(1, K + 2)]))
-    d1, d2 = of(list(uni.values())), of([c for x in pair.values() for c in x.values()])
-    disc = lambda d, c: d[c - 1] if c <= K else 1.0
-    left = 1 - sum(disc(d1, c) * c for c in uni.values()) / n if n else 1.0
+    d = {1: of(list(uni.values()))} | {o: of([c for x in g.values() for c in x.values()]) for o, g in grams.items()}
+    kept = lambda o, c: (d[o][c - 1] if c <= K else 1.0) * c
+    left = 1 - sum(kept(1, c) for c in uni.values()) / n if n else 1.0
     plus = int(left < 1e-12)
     if plus:
         left = 1 / (n + 1)
-
-    def p1(w) -> float:
-        c = uni.get(w, 0)
-        return (c / (n + 1) if plus else disc(d1, c) * c / n) if c else left
-
-    weights = {}
-    for h, x in pair.items():
-        below = ctx[h] + (min(x.values()) > K)
-        mass = sum(disc(d2, c) * c for c in x.values())
-        weights[h] = (below, (below - mass) / below / (1 - sum(p1(w) for w in x)))
-
-    def p2(h, w) -> float:
-        if h not in weights:
-            return p1(w)
-        below, alpha = weights[h]
-        c = pair[h].get(w, 0)
-        return disc(d2, c) * c / below if c else alpha * p1(w)
-
-    out = {}
-    for i, t in docs:
-        seq = [*words(t), end]
+    weights: dict[tuple, tuple[int, float]] = {}
+
+    def p(history: tuple, w) -> float:
+        if not history:
+            c = uni.get(w, 0)
+            return (c / (n + 1) if plus else kept(1, c) / n) if c else left
+        o = len(history) + 1
+        x = grams[o].get(history)
+        if x is None:
+            return p(history[1:], w)
+        if history not in weights:
+            below = sum(x.values()) + (min(x.values()) > K)
+            weights[history] = below, (below - sum(kept(o, c) for c in x.values())) / below / (1 - sum(p(history[1:], y) for y in x))
+        below, alpha = weights[history]
+        return kept(o, x[w]) / below if w in x else alpha * p(history[1:], w)
+
+    out = []
+    for h, x in zip(held, padded):
+        seq = x[order - 1 :]
         base = sum(math.log10((uni.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in seq)
-        score = sum(math.log10(p2(h, w)) for h, w in zip([start, *seq[:-1]], seq, strict=True))
-        out[i] = (held[i], len(seq), sum(w in uni for w in seq), n, base, score)
-    return out, p2, uni
+        out.append((h, len(seq), sum(w in uni for w in seq), n, base, sum(math.log10(p(tuple(x[j - order + 1 : j]), x[j])) for j in range(order - 1, len(x)))))
+    return out, p, uni
 
 
 def shingles(text: str | None, k: int) -> set[tuple[str, ...]]:

@@ -78,33 +78,66 @@ def test_top_k_bounds_exclude_most_of_clustered_vectors(spark, monkeypatch):
 # 2: Katz
 
 
+def katz_rows(spark, rows, order):
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
+    return katz.katz_scores(df, common.crc32_mod("doc_id", 5) != 1, order=order).collect()
+
+
+def assert_katz(got, rows, order):
+    """The same results, rows of one identifier in any order."""
+    want, p, known = brute.katz(rows, order=order)
+    plain = lambda i, x: (i is None, i or 0, x[0], x[1], x[2], x[3], round(x[4], 7), round(x[5], 7))
+    mine = sorted(plain(g.doc_id, (g.held_out, g.n_tokens, g.n_known, g.train_tokens, g.base_score, g.score)) for g in got)
+    theirs = sorted(plain(i, x) for (i, _), x in zip(rows, want, strict=True))
+    assert len(mine) == len(theirs)
+    for a, b in zip(mine, theirs, strict=True):
+        assert a[:6] == b[:6] and a[6:] == pytest.approx(b[6:])
+    return p, known
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
 @pytest.mark.parametrize("small", [False, True])
-def test_katz_matches_brute_force(spark, texts, small, monkeypatch):
+def test_katz_matches_brute_force(spark, texts, small, order, monkeypatch):
+    """Small limits: many blocks, buckets and ranges, and frequent words (the start too) with buckets of their own."""
     if small:
-        monkeypatch.setattr(katz, "BUCKET_BYTES", 3000)
-        monkeypatch.setattr(katz, "PACK_TOKENS", 700)
-    rows = list(enumerate(texts))
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double").repartition(3)
-    got = {r.doc_id: r for r in katz.katz_scores(df, common.crc32_mod("doc_id", 5) != 1).collect()}
-    want, p, known = brute.katz(rows)
-    assert len(got) == len(rows)
-    for i, (held, n, k, total, base, score) in want.items():
-        g = got[i]
-        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (held, n, k, total)
-        assert g.base_score == pytest.approx(base) and g.score == pytest.approx(score)
-    for h in ("loka", ("start",), "never"):
-        assert sum(p(h, w) for w in known) + p(h, "unknown word") == pytest.approx(1.0)
+        monkeypatch.setattr(katz, "BUCKET_TOKENS", 60)
+        monkeypatch.setattr(katz, "RANGE_KEYS", 40)
+    rows = [*enumerate(texts), (3, "one lo ka"), (None, texts[12]), (None, None), (4, texts[13]), (4, texts[13])]
+    p, known = assert_katz(katz_rows(spark, rows, order), rows, order)
+    for h in [("loka",), (("start",),), ("never",), ("loka", "rari"), (("start",), ("start",)), ("two", "words")]:
+        if len(h) < order:
+            assert sum(p(h, w) for w in known) + p(h, "unknown word") == pytest.approx(1.0)
+
+
+def test_katz_blocks_of_many_batches(texts, monkeypatch):
+    """A block holds several batches; a text longer than a block is one by itself."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 300)
+    monkeypatch.setattr(katz.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 7})()))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i, None]), pa.array([t or "", "a b"]), pa.array([True, False])], names=["doc_id", "text", "train"]) for i, t in enumerate(texts)]
+    blocks = [b.to_pylist()[0] for b in katz._blocks(iter(batches))]
+    assert [b["part"] for b in blocks] == [(7 << 32) + i for i in range(len(blocks))] and len(blocks) > 3
+    sizes, ids = [], []
+    for b in blocks:
+        words, learned, every = katz.load(b["words"])
+        tokens, (own, has_id, train, n) = katz.load(b["tokens"])[0], katz.load(b["docs"])
+        assert (np.diff(words.astype(object)) > 0).all() and every.sum() == len(tokens) == n.sum() == b["n_tokens"]
+        assert learned.sum() == n[train].sum() and (words[tokens[np.cumsum(n) - 1]] == katz.END).all()
+        sizes += n.tolist()
+        ids += [int(i) if h else None for i, h in zip(own, has_id)]
+    assert ids == [x for i in range(len(texts)) for x in (i, None)]
+    assert sizes == [x for t in texts for x in (len(brute.words(t)) + 1, 3)]
 
 
 def test_katz_edge_cases(spark, nothing):
     learn = common.crc32_mod("doc_id", 5) != 1
     assert katz.katz_scores(nothing, learn).count() == 0
-    odd = spark.createDataFrame([(None, "a b"), (3, None), (4, "a a a")], "doc_id long, text string")
-    rows = {r.doc_id: r for r in katz.katz_scores(odd, learn).collect()}
-    assert rows[None].score is None and rows[3].n_tokens == 1 and rows[4].n_tokens == 4
+    rows = [(None, "a b"), (3, None), (4, "a a a"), (4, "a a a"), (7, "x " * 50_000)]
+    assert_katz(katz_rows(spark, rows, 3), rows, 3)
     none = spark.createDataFrame([(3, "a b")], "doc_id long, text string")
     r = katz.katz_scores(none, F.lit(False)).first()
-    assert r.train_tokens == 0 and r.n_known == 0 and r.held_out
+    assert r.train_tokens == 0 and r.n_known == 0 and r.held_out and r.score == 0 and r.base_score == 0
 
 
 # 3: quality
