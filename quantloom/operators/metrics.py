@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import asof_join
+
 C = F.col
 DAYS = 252.0
 #: What infinite ratios are set to in the metric bundle.
@@ -59,27 +63,37 @@ def drawdown_periods(equity: DataFrame, by: list[str]) -> DataFrame:
     return runs.withColumn("days", F.datediff(F.coalesce("recovery", "end_date"), "start")).drop("run", "end_date")
 
 
-def relative(r: DataFrame, benchmark: DataFrame, by: list[str]) -> DataFrame:
-    """Beta, alpha, information ratio, tracking error, captures and Treynor ratio against benchmark returns (date, b)."""
+def relative(r: DataFrame, benchmark: DataFrame, by: list[str], rf: float = 0.0) -> DataFrame:
+    """Beta, alpha, information ratio, tracking error and captures against benchmark returns (date, b)."""
     j = r.join(benchmark, "date")
     active = C("r") - C("b")
     beta = safe(F.covar_samp("r", "b"), F.var_samp("b"))
     capture = lambda test: safe(F.avg(F.when(test, C("r"))), F.avg(F.when(test, C("b")))) * 100.0
     return j.groupBy(*by).agg(
-        beta.alias("beta"), ((F.avg("r") - beta * F.avg("b")) * DAYS).alias("alpha"), (safe(F.avg(active), F.stddev_samp(active)) * F.sqrt(F.lit(DAYS))).alias("information_ratio"),
+        beta.alias("beta"), ((F.avg("r") - rf / DAYS - beta * (F.avg("b") - rf / DAYS)) * DAYS).alias("alpha"), (safe(F.avg(active), F.stddev_samp(active)) * F.sqrt(F.lit(DAYS))).alias("information_ratio"),
         (F.stddev_samp(active) * F.sqrt(F.lit(DAYS))).alias("tracking_error"), capture(C("b") > 0).alias("up_capture"), capture(C("b") < 0).alias("down_capture"),
-        safe(F.avg("r") * DAYS, beta).alias("treynor"),
     )
 
 
+def treynor(relative_to: DataFrame, grown: DataFrame, by: list[str], rf: float = 0.0) -> DataFrame:
+    """relative() with the Treynor ratio: yearly growth above the risk-free rate for each unit of beta, 0 without beta."""
+    joined = relative_to.join(grown.select(*by, C("cagr").alias("_cagr")), by)
+    return joined.withColumn("treynor", F.coalesce(safe(C("_cagr") - rf, C("beta")), F.lit(0.0))).drop("_cagr")
+
+
 def value_at_risk(r: DataFrame, by: list[str], level: float = 0.05) -> DataFrame:
     """The lower percentile of returns by linear interpolation, and the mean of returns at or below it."""
     q = r.groupBy(*by).agg(F.expr(f"percentile(r, {level})").alias("var"))
     return r.join(q, by).groupBy(*by, "var").agg(F.avg(F.when(C("r") <= C("var"), C("r"))).alias("cvar"))
 
 
+def _unless_lossless(gain: Column, loss: Column) -> Column:
+    """gain / loss; infinite for gains without a loss, 0 without either."""
+    return F.when(loss > 0, gain / loss).when(gain > 0, F.lit(float("inf"))).otherwise(0.0)
+
+
 def omega(r: Column, threshold: float = 0.0) -> Column:
-    return safe(F.sum(F.greatest(r - threshold, F.lit(0.0))), F.sum(F.greatest(threshold - r, F.lit(0.0))))
+    return _unless_lossless(F.sum(F.greatest(r - threshold, F.lit(0.0))), F.sum(F.greatest(threshold - r, F.lit(0.0))))
 
 
 def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
@@ -87,16 +101,17 @@ def trade_metrics(trades: DataFrame, by: list[str]) -> DataFrame:
     gain, loss = F.sum(F.when(won, pnl).otherwise(0.0)), F.abs(F.sum(F.when(lost, pnl).otherwise(0.0)))
     return trades.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_trades"), F.avg(F.when(won, 1.0).otherwise(0.0)).alias("win_rate"), F.when(loss == 0, F.when(gain > 0, F.lit(CLAMP)).otherwise(0.0)).otherwise(safe(gain, loss)).alias("profit_factor"),
-        F.avg(pnl).alias("expectancy"), F.avg(F.when(won, pnl)).alias("avg_win"), F.avg(F.when(lost, pnl)).alias("avg_loss"), F.abs(safe(F.avg(F.when(won, pnl)), F.avg(F.when(lost, pnl)))).alias("payoff"),
+        F.avg(pnl).alias("expectancy"), F.avg(F.when(won, pnl)).alias("avg_win"), F.avg(F.when(lost, pnl)).alias("avg_loss"), _unless_lossless(F.coalesce(F.avg(F.when(won, pnl)), F.lit(0.0)), F.coalesce(-F.avg(F.when(lost, pnl)), F.lit(0.0))).alias("payoff"),
         F.avg("holding_days").alias("avg_holding"), F.expr("percentile(holding_days, 0.5)").alias("median_holding"), F.max("holding_days").alias("max_holding"), F.min("holding_days").alias("min_holding"),
+        F.coalesce(F.avg(F.when(won, C("holding_days"))), F.lit(0.0)).alias("avg_holding_winners"), F.coalesce(F.avg(F.when(lost, C("holding_days"))), F.lit(0.0)).alias("avg_holding_losers"),
     )
 
 
-def streaks(trades: DataFrame, by: list[str], order: str) -> DataFrame:
+def streaks(trades: DataFrame, by: list[str], *order: str) -> DataFrame:
     """Longest runs of wins and of losses; a trade without profit or loss ends both."""
     sign = F.signum("pnl").cast("int")
-    a = Window.partitionBy(*by).orderBy(order)
-    s = trades.withColumn("s", sign).withColumn("g", F.row_number().over(a) - F.row_number().over(Window.partitionBy(*by, "s").orderBy(order)))
+    a = Window.partitionBy(*by).orderBy(*order)
+    s = trades.withColumn("s", sign).withColumn("g", F.row_number().over(a) - F.row_number().over(Window.partitionBy(*by, "s").orderBy(*order)))
     runs = s.groupBy(*by, "s", "g").agg(F.count(F.lit(1)).alias("n"))
     return runs.groupBy(*by).agg(F.coalesce(F.max(F.when(C("s") > 0, C("n"))), F.lit(0)).alias("max_wins"), F.coalesce(F.max(F.when(C("s") < 0, C("n"))), F.lit(0)).alias("max_losses"))
 
@@ -109,14 +124,18 @@ def exposure(trades: DataFrame, dates: DataFrame, by: list[str]) -> DataFrame:
     return n.join(held, by, "left").select(*by, F.coalesce(safe(C("h").cast("double"), C("n").cast("double")), F.lit(0.0)).alias("exposure"))
 
 
-def bundle(equity: DataFrame, trades: DataFrame, by: list[str]) -> DataFrame:
-    """One row of headline metrics for each key; infinite ratios are clamped."""
+def bundle(equity: DataFrame, trades: DataFrame, by: list[str], benchmark: DataFrame | None = None, rf: float = 0.0) -> DataFrame:
+    """One row of headline metrics for each key, with those against benchmark returns (date, b) if given; infinite
+    ratios are clamped, missing ones are 0."""
     clamp = lambda x: F.when(x == float("inf"), CLAMP).when(x == float("-inf"), -CLAMP).otherwise(x)
     g, r = growth(equity, by), returns(equity, by)
-    risk = r.groupBy(*by).agg(sharpe(C("r")).alias("sharpe"), clamp(sortino(C("r"))).alias("sortino"), (F.stddev_samp("r") * F.sqrt(F.lit(DAYS))).alias("volatility"), omega(C("r")).alias("omega"))
+    risk = r.groupBy(*by).agg(sharpe(C("r"), rf).alias("sharpe"), clamp(sortino(C("r"), rf)).alias("sortino"), (F.stddev_samp("r") * F.sqrt(F.lit(DAYS))).alias("volatility"), clamp(omega(C("r"))).alias("omega"))
     dd = drawdowns(equity, by).groupBy(*by).agg(F.min("drawdown").alias("max_drawdown"))
     length = drawdown_periods(equity, by).groupBy(*by).agg(F.max("days").alias("max_drawdown_days"))
-    out = g.join(risk, by, "left").join(dd, by, "left").join(length, by, "left").join(value_at_risk(r, by), by, "left").join(trade_metrics(trades, by), by, "left")
+    parts = [risk, dd, length, value_at_risk(r, by), trade_metrics(trades, by).withColumn("payoff", clamp(C("payoff"))), streaks(trades, by, "exit_date", "entry_date"), exposure(trades, equity.select(*by, "date"), by)]
+    if benchmark is not None:
+        parts.append(treynor(relative(r, benchmark, by, rf), g, by, rf))
+    out = reduce(lambda a, b: a.join(b, by, "left"), parts, g)
     calmar = F.when(C("max_drawdown") == 0, F.when(C("cagr") > 0, CLAMP).otherwise(0.0)).otherwise(safe(C("cagr"), F.abs(C("max_drawdown"))))
     return out.withColumn("calmar", calmar).fillna(0)
 
@@ -173,6 +192,32 @@ def correlation_matrix(r: DataFrame) -> DataFrame:
     return x.select("date", C("symbol").alias("a"), C("r").alias("ra")).join(x.select("date", C("symbol").alias("b"), C("r").alias("rb")), "date").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"))
 
 
+def regime_summary(r: DataFrame, market_labels: DataFrame, by: list[str], window: int = 63) -> DataFrame:
+    """Performance by market regime (labels of dates) and by volatility regime of the returns themselves, as kind."""
+    market = r.join(market_labels.select("date", "regime"), "date").select(*by, "date", "r", "regime").withColumn("kind", F.lit("market"))
+    own = volatility_regime(r, by, window).select(*by, "date", "r", "regime").withColumn("kind", F.lit("volatility"))
+    return regime_performance(market.unionByName(own), [*by, "kind"])
+
+
+def rolling_year(r: DataFrame, by: list[str], window: int = 252) -> DataFrame:
+    """Yearly return and Sharpe ratio of the last window returns, from the first full window on."""
+    frame = _w(by).rowsBetween(-(window - 1), 0)
+    full, spread = F.count("r").over(frame) >= window, F.stddev_samp("r").over(frame)
+    grown = F.exp(F.sum(F.log1p("r")).over(frame) * (DAYS / window)) - 1
+    out = r.select(*by, "date", F.when(full, grown).alias("rolling_return"), F.when(full & (spread > 0), F.avg("r").over(frame) / spread * F.sqrt(F.lit(DAYS))).alias("rolling_sharpe"))
+    return out.where("rolling_return is not null")
+
+
+def attribution(equity: DataFrame, weights: DataFrame, by: str) -> DataFrame:
+    """Each strategy's weight, growth, Sharpe ratio, profit, and its percentage of all profit (equal without any)."""
+    profit = equity.groupBy(by).agg((F.max_by("equity", "date") - F.min_by("equity", "date")).alias("pnl"))
+    total = profit.agg(F.sum("pnl").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    risk = returns(equity, [by]).groupBy(by).agg(sharpe(C("r")).alias("sharpe"))
+    out = profit.join(growth(equity, [by]).select(by, "cagr"), by).join(risk, by, "left").join(weights, by, "left").crossJoin(total)
+    share = F.when(C("_all") != 0, C("pnl") / C("_all")).otherwise(1.0 / C("_n")) * 100.0
+    return out.select(by, F.coalesce("weight", F.lit(0.0)).alias("weight"), "cagr", F.coalesce("sharpe", F.lit(0.0)).alias("sharpe"), "pnl", share.alias("contribution_pct"))
+
+
 def concentration(weights: DataFrame, by: list[str]) -> DataFrame:
     """Herfindahl index, effective number and largest holding of (symbol, weight)."""
     return weights.groupBy(*by).agg(F.sum(C("weight") * C("weight")).alias("hhi"), (1.0 / F.sum(C("weight") * C("weight"))).alias("effective_n"), F.max_by("symbol", F.struct("weight", "symbol")).alias("largest"))
@@ -188,10 +233,26 @@ def signal_decay(trades: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     return met.groupBy(C("x.h").alias("horizon")).agg(F.count(F.lit(1)).alias("n"), F.avg(change).alias("mean"), F.expr("percentile((x.c - close) / close, 0.5)").alias("median"), F.stddev_samp(change).alias("std"))
 
 
+def decay_summary(decay: DataFrame) -> DataFrame:
+    """The horizon with the highest mean return of signal_decay(), that return, and the one at the last horizon. Where
+    means never fall the last horizon is best, where they never rise the first."""
+    w = Window.orderBy("horizon")  # a row a horizon
+    d = decay.where("mean is not null").withColumn("step", C("mean") - F.lag("mean").over(w))
+    last, first = F.max_by("mean", "horizon"), F.min_by("mean", "horizon")
+    up, down = F.coalesce(F.min("step") >= 0, F.lit(False)), F.coalesce(F.max("step") <= 0, F.lit(False))
+    best, peak = F.max_by("horizon", F.struct(C("mean"), -C("horizon"))), F.max("mean")
+    one = F.lit(1).cast("int")
+    out = d.agg(F.when(up, F.max("horizon")).when(down, one).otherwise(best).alias("optimal_days"), F.when(up, last).when(down, first).otherwise(peak).alias("peak_return"), last.alias("return_at_max_horizon"))
+    return out.select(F.coalesce("optimal_days", F.lit(0)).cast("int").alias("optimal_days"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("peak_return", "return_at_max_horizon")])
+
+
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Worst and best move of each trade between entry and exit, both days counted."""
-    b = bars.select("symbol", "date", "high", "low")
-    met = trades.join(b, (trades.symbol == b.symbol) & b.date.between(trades.entry_date, trades.exit_date)).drop(b.symbol)
+    """Worst and best move of each trade between entry and exit, both days counted; one position a symbol at a time.
+
+    Each bar meets the trade entered last; the bar of an exit, on which the next trade may begin, meets its own too."""
+    b, t = bars.select("symbol", "date", "high", "low"), trades.select("symbol", "entry_date", "exit_date", "entry_price", "pnl_pct")
+    inside = asof_join(b, t.withColumn("date", C("entry_date")), "date", ["symbol"]).where("date <= exit_date")
+    met = inside.unionByName(b.join(t.withColumn("date", C("exit_date")), ["symbol", "date"]))
     g = met.groupBy("symbol", "entry_date", "exit_date", "entry_price", "pnl_pct").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
     return g.select("symbol", "entry_date", (C("lo") / C("entry_price") - 1).alias("mae"), (C("hi") / C("entry_price") - 1).alias("mfe"), safe(C("pnl_pct"), C("hi") / C("entry_price") - 1).alias("efficiency"))
 

@@ -76,9 +76,13 @@ def met_beta_alpha(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.relative(_returns(spark, sf), _market(spark, sf), BY).select("symbol", "beta", "alpha", "information_ratio", "tracking_error"))
 
 
-@query(f"{_REL} SELECT symbol, round(avg(r) FILTER (b > 0) / avg(b) FILTER (b > 0) * 100, 6) AS up_capture, round(avg(r) FILTER (b < 0) / avg(b) FILTER (b < 0) * 100, 6) AS down_capture, round(avg(r) * 252 / (covar_samp(r, b) / var_samp(b)), 4) AS treynor FROM j GROUP BY symbol", "brand", "mkt")
+_GROWTH = "g AS (SELECT symbol, b / a - 1 AS total_return, CASE WHEN a > 0 AND days > 0 THEN pow(b / a, 365.25 / days) - 1 ELSE 0 END AS cagr FROM (SELECT symbol, arg_min(equity, date) AS a, arg_max(equity, date) AS b, max(date) - min(date) AS days FROM eq GROUP BY symbol))"
+_CAPTURE = "avg(r) FILTER (b > 0) / avg(b) FILTER (b > 0) * 100 AS up_capture, avg(r) FILTER (b < 0) / avg(b) FILTER (b < 0) * 100 AS down_capture, coalesce(any_value(cagr) / nullif(covar_samp(r, b) / var_samp(b), 0), 0) AS treynor"
+
+
+@query(f"{_REL}, {_E}, {_GROWTH}, c AS (SELECT symbol, {_CAPTURE} FROM j JOIN g USING (symbol) GROUP BY symbol) SELECT symbol, round(up_capture, 6) AS up_capture, round(down_capture, 6) AS down_capture, round(treynor, 4) AS treynor FROM c", "brand", "mkt")
 def met_capture(spark: SparkSession, sf: str) -> DataFrame:
-    out = M.relative(_returns(spark, sf), _market(spark, sf), BY)
+    out = M.treynor(M.relative(_returns(spark, sf), _market(spark, sf), BY), M.growth(_equity(spark, sf), BY), BY)
     return out.select("symbol", r6("up_capture").alias("up_capture"), r6("down_capture").alias("down_capture"), F.round("treynor", 4).alias("treynor"))
 
 
@@ -87,16 +91,20 @@ def met_var_cvar(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.value_at_risk(_returns(spark, sf), BY))
 
 
-@query(f"WITH {_R} SELECT symbol, round(sum(greatest(r, 0)) / sum(greatest(-r, 0)), 6) AS omega FROM r GROUP BY symbol", "brand")
+_OMEGA = "CASE WHEN sum(greatest(-r, 0)) > 0 THEN sum(greatest(r, 0)) / sum(greatest(-r, 0)) WHEN sum(greatest(r, 0)) > 0 THEN 'infinity'::DOUBLE ELSE 0 END"
+
+
+@query(f"WITH {_R} SELECT symbol, round({_OMEGA}, 6) AS omega FROM r GROUP BY symbol", "brand")
 def met_omega(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_returns(spark, sf).groupBy("symbol").agg(M.omega(C("r")).alias("omega")))
 
 
 _T = f"WITH {_TRADES}, t AS (SELECT *, exit_price - entry_price AS pnl FROM trades)"
+_PAYOFF = "CASE WHEN count(*) FILTER (pnl < 0) > 0 THEN coalesce(avg(pnl) FILTER (pnl > 0), 0) / -avg(pnl) FILTER (pnl < 0) WHEN count(*) FILTER (pnl > 0) > 0 THEN 'infinity'::DOUBLE ELSE 0 END"
 
 
 @query(f"""{_T} SELECT symbol, count(*) AS n_trades, round(avg((pnl > 0)::INT), 6) AS win_rate, round(sum(pnl) FILTER (pnl > 0) / abs(sum(pnl) FILTER (pnl < 0)), 6) AS profit_factor, round(avg(pnl), 6) AS expectancy,
-round(abs(avg(pnl) FILTER (pnl > 0) / avg(pnl) FILTER (pnl < 0)), 6) AS payoff, round(avg(holding_days), 6) AS avg_holding, quantile_cont(holding_days::DOUBLE, 0.5) AS median_holding, max(holding_days) AS max_holding FROM t GROUP BY symbol""", "mkt")
+round({_PAYOFF}, 6) AS payoff, round(avg(holding_days), 6) AS avg_holding, quantile_cont(holding_days::DOUBLE, 0.5) AS median_holding, max(holding_days) AS max_holding FROM t GROUP BY symbol""", "mkt")
 def met_trades(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.trade_metrics(_trades(spark, sf), BY).select("symbol", "n_trades", "win_rate", "profit_factor", "expectancy", "payoff", "avg_holding", "median_holding", "max_holding"))
 
@@ -113,14 +121,40 @@ def met_exposure(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.exposure(_trades(spark, sf), bars.market_bars(spark, sf).select("symbol", "date"), BY))
 
 
-@query()
+_CLAMPED = "least(greatest({x}, -99999), 99999)"
+_BUNDLE = [
+    "total_return", "cagr", "sharpe", "sortino", "volatility", "omega", "max_drawdown", "max_drawdown_days", "var", "cvar", "n_trades", "win_rate", "profit_factor", "expectancy", "avg_win", "avg_loss", "payoff", "avg_holding", "median_holding",
+    "max_holding", "min_holding", "avg_holding_winners", "avg_holding_losers", "max_wins", "max_losses", "exposure", "beta", "alpha", "information_ratio", "tracking_error", "up_capture", "down_capture", "treynor", "calmar",
+]
+_WHOLE = {"max_drawdown_days", "n_trades", "max_holding", "min_holding", "max_wins", "max_losses"}
+
+
+@query(f"""{_T}, d0 AS (SELECT m.symbol, m.date, m.close, i.entry_price AS ip, o.exit_price AS op FROM mkt m LEFT JOIN trades i ON i.symbol = m.symbol AND i.entry_date = m.date LEFT JOIN trades o ON o.symbol = m.symbol AND o.exit_date = m.date),
+h0 AS (SELECT *, sum((ip IS NOT NULL)::INT - (op IS NOT NULL)::INT) OVER w AS held, lag(close) OVER w AS prior FROM d0 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+g0 AS (SELECT symbol, date, CASE WHEN ip IS NOT NULL AND op IS NULL THEN close / ip WHEN op IS NOT NULL AND ip IS NULL THEN op / prior WHEN held > 0 THEN close / prior ELSE 1 END AS f FROM h0),
+eq AS (SELECT symbol, date, round(exp(sum(ln(f)) OVER (PARTITION BY symbol ORDER BY date)), 9) AS equity FROM g0), {_DD}{_RUNS[len(_E) + len(_DD) + 2:]},
+r AS (SELECT symbol, date, r FROM (SELECT symbol, date, equity / nullif(lag(equity) OVER (PARTITION BY symbol ORDER BY date), 0) - 1 AS r FROM eq) WHERE r IS NOT NULL), {_GROWTH}, {_MR},
+k AS (SELECT symbol, coalesce(avg(r) / nullif(stddev_samp(r), 0) * sqrt(252), 0) AS sharpe, coalesce({_CLAMPED.format(x="avg(r) / nullif(sqrt(avg(pow(least(r, 0), 2))), 0) * sqrt(252)")}, 99999) AS sortino, stddev_samp(r) * sqrt(252) AS volatility, {_CLAMPED.format(x=_OMEGA)} AS omega FROM r GROUP BY symbol),
+x AS (SELECT symbol, min(drawdown) AS max_drawdown FROM dd GROUP BY symbol), y AS (SELECT symbol, max(days) AS max_drawdown_days FROM runs GROUP BY symbol),
+q AS (SELECT symbol, quantile_cont(r, 0.05) AS "var" FROM r GROUP BY symbol), v AS (SELECT symbol, any_value("var") AS "var", avg(r) FILTER (r <= "var") AS cvar FROM r JOIN q USING (symbol) GROUP BY symbol),
+u AS (SELECT symbol, count(*) AS n_trades, avg((pnl > 0)::INT) AS win_rate, CASE WHEN count(*) FILTER (pnl < 0) > 0 THEN coalesce(sum(pnl) FILTER (pnl > 0), 0) / -sum(pnl) FILTER (pnl < 0) WHEN count(*) FILTER (pnl > 0) > 0 THEN 99999 ELSE 0 END AS profit_factor, avg(pnl) AS expectancy,
+avg(pnl) FILTER (pnl > 0) AS avg_win, avg(pnl) FILTER (pnl < 0) AS avg_loss, {_CLAMPED.format(x=_PAYOFF)} AS payoff, avg(holding_days) AS avg_holding, quantile_cont(holding_days::DOUBLE, 0.5) AS median_holding, max(holding_days) AS max_holding, min(holding_days) AS min_holding,
+avg(holding_days) FILTER (pnl > 0) AS avg_holding_winners, avg(holding_days) FILTER (pnl < 0) AS avg_holding_losers FROM t GROUP BY symbol),
+sg AS (SELECT symbol, sign(pnl) AS s, row_number() OVER (ORDER BY exit_date, entry_date) - row_number() OVER (PARTITION BY sign(pnl) ORDER BY exit_date, entry_date) AS g FROM t), sr AS (SELECT symbol, s, count(*) AS n FROM sg GROUP BY symbol, s, g),
+st AS (SELECT symbol, max(n) FILTER (s > 0) AS max_wins, max(n) FILTER (s < 0) AS max_losses FROM sr GROUP BY symbol),
+hd AS (SELECT DISTINCT symbol, z::DATE AS date FROM (SELECT symbol, unnest(generate_series(entry_date::TIMESTAMP, exit_date::TIMESTAMP, INTERVAL 1 DAY)) AS z FROM t) WHERE isodow(z) < 6),
+ex AS (SELECT m.symbol, count(hd.date) / count(*) AS exposure FROM mkt m LEFT JOIN hd ON m.symbol = hd.symbol AND m.date = hd.date GROUP BY m.symbol),
+j AS (SELECT symbol, r, b FROM r JOIN mr USING (date)), ca AS (SELECT symbol, covar_samp(r, b) / var_samp(b) AS beta, (avg(r) - covar_samp(r, b) / var_samp(b) * avg(b)) * 252 AS alpha, avg(r - b) / stddev_samp(r - b) * sqrt(252) AS information_ratio, stddev_samp(r - b) * sqrt(252) AS tracking_error, {_CAPTURE} FROM j JOIN g USING (symbol) GROUP BY symbol),
+al AS (SELECT *, CASE WHEN max_drawdown = 0 THEN CASE WHEN cagr > 0 THEN 99999 ELSE 0 END ELSE cagr / abs(max_drawdown) END AS calmar FROM g LEFT JOIN k USING (symbol) LEFT JOIN x USING (symbol) LEFT JOIN y USING (symbol) LEFT JOIN v USING (symbol) LEFT JOIN u USING (symbol) LEFT JOIN st USING (symbol) LEFT JOIN ex USING (symbol) LEFT JOIN ca USING (symbol))
+SELECT symbol, {', '.join(f'coalesce("{c}", 0)::{"BIGINT" if c in _WHOLE else "DOUBLE"} AS "{c}"' if c in _WHOLE else f'round(coalesce("{c}", 0)::DOUBLE, 6) AS "{c}"' for c in _BUNDLE)} FROM al""", "mkt")
 def met_bundle(spark: SparkSession, sf: str) -> DataFrame:
-    """All headline metrics of one run; each is checked by a query of its own."""
+    """All headline metrics of one run, with those against the market itself."""
     from ..operators.execution import single_position_equity
 
     trades = _trades(spark, sf)
-    equity = single_position_equity(bars.market_bars(spark, sf), trades)
-    return rounded(M.bundle(equity, trades, BY))
+    equity = single_position_equity(bars.market_bars(spark, sf), trades).withColumn("equity", F.round("equity", 9))
+    out = rounded(M.bundle(equity, trades, BY, _market(spark, sf)))
+    return out.select("symbol", *[C(c).cast("long").alias(c) if c in _WHOLE else C(c) for c in _BUNDLE])
 
 
 @query(f"""WITH {_R}, p AS (SELECT symbol, year(date)::INTEGER AS year, month(date) AS m, exp(sum(ln(1 + r))) - 1 AS x FROM r GROUP BY ALL), y AS (SELECT symbol, year(date)::INTEGER AS year, exp(sum(ln(1 + r))) - 1 AS ytd FROM r GROUP BY ALL)
