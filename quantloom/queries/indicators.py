@@ -72,3 +72,17 @@ def _register(name: str, specs: dict, outputs: dict[str, str], ctes: list[str],
 
 for _name, _parts in _ALL.items():
     _register(_name, *_parts)
+
+# The stop of a bar follows from the one before: a recursion over each symbol's bars as lists.
+ORACLE_SQL["ind_psar"] = f"""WITH RECURSIVE {CTE["brand"]}, p AS (SELECT symbol, list(date ORDER BY date) AS d, list(high ORDER BY date) AS h, list(low ORDER BY date) AS l, list(close ORDER BY date) AS c FROM brand GROUP BY symbol),
+s AS (
+  SELECT symbol, 1 AS i, CASE WHEN c[2] > c[1] THEN 1 ELSE -1 END AS side, CASE WHEN c[2] > c[1] THEN l[1] ELSE h[1] END AS stop, CASE WHEN c[2] > c[1] THEN h[1] ELSE l[1] END AS best, 0.02::DOUBLE AS pace FROM p WHERE len(c) > 1
+  UNION ALL
+  SELECT symbol, i, CASE WHEN turn THEN -side ELSE side END, CASE WHEN turn THEN best ELSE moved END, CASE WHEN turn THEN behind WHEN side * (ahead - best) > 0 THEN ahead ELSE best END,
+    CASE WHEN turn THEN 0.02::DOUBLE WHEN side * (ahead - best) > 0 THEN least(pace + 0.02::DOUBLE, 0.2::DOUBLE) ELSE pace END
+  FROM (SELECT *, side * (behind - moved) < 0 AS turn FROM (
+    SELECT s.symbol, i + 1 AS i, side, best, pace, CASE WHEN side > 0 THEN h[i + 1] ELSE l[i + 1] END AS ahead, CASE WHEN side > 0 THEN l[i + 1] ELSE h[i + 1] END AS behind,
+      CASE WHEN side > 0 THEN least(stop + pace * (best - stop), l[i], l[greatest(i - 1, 1)]) ELSE greatest(stop + pace * (best - stop), h[i], h[greatest(i - 1, 1)]) END AS moved
+    FROM s JOIN p USING (symbol) WHERE i < len(c)))
+)
+SELECT symbol, d[i] AS date, round(stop, 6)::DOUBLE AS x FROM s JOIN p USING (symbol) UNION ALL SELECT symbol, d[1], 'nan'::DOUBLE FROM p WHERE len(c) = 1"""

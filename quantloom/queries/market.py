@@ -85,15 +85,27 @@ def coverage_check(spark: SparkSession, sf: str) -> DataFrame:
 SELECT symbol, date, coalesce(weekofyear(date) <> lag(weekofyear(date)) OVER w, true) AS weekly, coalesce(month(date) <> lag(month(date)) OVER w, true) AS monthly,
   coalesce(quarter(date) <> lag(quarter(date)) OVER w, true) AS quarterly FROM mkt WINDOW w AS (PARTITION BY symbol ORDER BY date)""", "mkt")
 def rebalance_days(spark: SparkSession, sf: str) -> DataFrame:
-    out = bars.market_bars(spark, sf).select("symbol", "date")
-    for schedule in ("weekly", "monthly", "quarterly"):
-        out = calendars.rebalance_days(out.withColumnRenamed("rebalance", "_") if "rebalance" in out.columns else out, schedule).withColumnRenamed("rebalance", schedule) if schedule == "weekly" else out.join(
-            calendars.rebalance_days(out.select("symbol", "date"), schedule).withColumnRenamed("rebalance", schedule), ["symbol", "date"]
-        )
-    return out
+    return calendars.rebalance_flags(bars.market_bars(spark, sf).select("symbol", "date"), {s: s for s in ("weekly", "monthly", "quarterly")})
 
 
-@query()
+def _nth_sql(month: int, weekday: int, n: int) -> str:
+    """The n-th weekday (1 Monday) of a month of year y."""
+    return f"make_date(y, {month}, 1) + ((7 + {weekday} - isodow(make_date(y, {month}, 1))) % 7 + {7 * (n - 1)})::INTEGER"
+
+
+def _moved_sql(month: int, day: int) -> str:
+    d = f"make_date(y, {month}, {day})"
+    return f"{d} + (CASE isodow({d}) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END)"
+
+
+@query(f"""
+WITH y AS (SELECT unnest(generate_series(1992, 2030))::INTEGER AS y), a AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c FROM y),
+h AS (SELECT *, (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM a), k AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS k FROM h),
+n AS (SELECT y, h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114 AS n FROM k),
+x AS (SELECT make_date(y, n // 31, n % 31 + 1) - 2 AS date FROM n UNION SELECT CASE WHEN isodow(make_date(y, 1, 1)) = 6 THEN NULL ELSE {_moved_sql(1, 1)} END FROM y
+  UNION SELECT {_nth_sql(1, 1, 3)} FROM y WHERE y >= 1998 UNION SELECT {_nth_sql(2, 1, 3)} FROM y UNION SELECT make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INTEGER FROM y
+  UNION SELECT {_moved_sql(6, 19)} FROM y WHERE y >= 2022 UNION SELECT {_moved_sql(7, 4)} FROM y UNION SELECT {_nth_sql(9, 1, 1)} FROM y UNION SELECT {_nth_sql(11, 4, 4)} FROM y UNION SELECT {_moved_sql(12, 25)} FROM y)
+SELECT date FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '2030-12-31', INTERVAL 1 DAY))::DATE AS date) WHERE isodow(date) < 6 AND date NOT IN (SELECT date FROM x WHERE date IS NOT NULL)""")
 def calendar_sessions(spark: SparkSession, sf: str) -> DataFrame:
     """Exchange sessions by rule; checked in the tests against known closing days."""
     return calendars.sessions(spark, "1992-01-01", "2030-12-31")
@@ -104,13 +116,12 @@ _FILINGS = "fil AS (SELECT c_mktsegment AS symbol, o_orderdate::DATE AS filed, o
 
 @query(f"""
 WITH {_FILINGS}, l AS (SELECT symbol, filed, arg_max(value, (filed, o_orderkey, value)) AS value FROM fil GROUP BY symbol, filed),
-d AS (SELECT 'AUTOMOBILE' AS symbol, date FROM mkt UNION ALL SELECT 'BUILDING', date FROM mkt)
+d AS (SELECT s.symbol, m.date FROM mkt m, (SELECT DISTINCT symbol FROM fil) s)
 SELECT d.symbol, d.date, round(l.value, 6) AS value, l.filed FROM d ASOF LEFT JOIN l ON d.symbol = l.symbol AND d.date >= l.filed""", "mkt")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     f = _filings(spark, sf)
     last = f.groupBy("symbol", C("filed_date").alias("date")).agg(F.max_by("value", F.struct("o_orderkey", "value")).alias("value")).withColumn("filed", C("date"))
-    m = bars.market_bars(spark, sf).select("date")
-    probes = m.select(F.lit("AUTOMOBILE").alias("symbol"), "date").unionAll(m.select(F.lit("BUILDING").alias("symbol"), "date"))
+    probes = f.select("symbol").distinct().crossJoin(bars.market_bars(spark, sf).select("date"))  # a row a segment and day
     return rounded(joins.asof_join(probes, last, on="date", by=["symbol"]))
 
 
@@ -128,37 +139,38 @@ def asof_pit_kv(spark: SparkSession, sf: str) -> DataFrame:
     """The latest value of each (symbol, field) known on some days."""
     f = _filings(spark, sf)
     days = spark.sql("SELECT explode(array(DATE'1996-06-30', DATE'1998-12-31', DATE'2000-03-15')) AS as_of")
-    known = f.join(F.broadcast(days), C("filed_date") <= C("as_of")).groupBy("symbol", "metric", "as_of").agg(F.max_by("value", F.struct("filed_date", "o_orderkey", "value")).alias("value"))
-    keys = f.select("symbol").distinct().crossJoin(F.broadcast(f.select("metric").distinct())).crossJoin(F.broadcast(days))
+    known = f.join(days, C("filed_date") <= C("as_of")).groupBy("symbol", "metric", "as_of").agg(F.max_by("value", F.struct("filed_date", "o_orderkey", "value")).alias("value"))
+    keys = f.select("symbol").distinct().crossJoin(f.select("metric").distinct()).crossJoin(days)
     return rounded(keys.join(known, ["symbol", "metric", "as_of"], "left"))
 
 
 @query(f"""
-WITH {_FILINGS}, l AS (SELECT filed AS date, round(avg(value), 6) AS value FROM fil WHERE symbol = 'MACHINERY' AND day(filed) % 5 = 0 GROUP BY filed)
-SELECT m.date, round(m.close, 6) AS close, last_value(l.value IGNORE NULLS) OVER (ORDER BY m.date) AS value FROM mkt m LEFT JOIN l USING (date)""", "mkt")
+WITH {_FILINGS}, l AS (SELECT symbol, filed AS date, round(avg(value), 6) AS value FROM fil GROUP BY symbol, filed), s AS (SELECT DISTINCT symbol FROM fil)
+SELECT s.symbol, m.date, round(m.close, 6) AS close, last_value(l.value IGNORE NULLS) OVER (PARTITION BY s.symbol ORDER BY m.date) AS value FROM mkt m CROSS JOIN s LEFT JOIN l ON l.symbol = s.symbol AND l.date = m.date""", "mkt")
 def exact_join_ffill(spark: SparkSession, sf: str) -> DataFrame:
-    f = _filings(spark, sf).where("symbol = 'MACHINERY' and day(filed_date) % 5 = 0").groupBy(C("filed_date").alias("date")).agg(r6(F.avg("value")).alias("value"))
-    m = bars.market_bars(spark, sf).select("symbol", "date", "close")
-    return rounded(joins.exact_join_ffill(m, f.withColumn("symbol", F.lit("MKT")), ["value"], by=["symbol"]).drop("symbol"))
+    f = _filings(spark, sf)
+    daily = f.groupBy("symbol", C("filed_date").alias("date")).agg(r6(F.avg("value")).alias("value"))
+    m = f.select("symbol").distinct().crossJoin(bars.market_bars(spark, sf).select("date", "close"))  # a row a segment and day
+    return rounded(joins.exact_join_ffill(m, daily, ["value"], by=["symbol"]))
 
 
 @query("""
-WITH a AS (SELECT date, close AS vix_close FROM evt WHERE symbol = 'click' AND day(date) % 3 <> 0), b AS (SELECT date, close AS vix_3m FROM evt WHERE symbol = 'view' AND day(date) % 4 <> 0),
+WITH a AS (SELECT date, close AS vix_close FROM brand WHERE symbol = 'Brand#12'), b AS (SELECT date, close AS vix_3m FROM brand WHERE symbol = 'Brand#34'),
 j AS (SELECT coalesce(a.date, b.date) AS date, vix_close, vix_3m FROM a FULL JOIN b ON a.date = b.date),
 f AS (SELECT date, last_value(vix_close IGNORE NULLS) OVER w AS vix_close, last_value(vix_3m IGNORE NULLS) OVER w AS vix_3m FROM j WINDOW w AS (ORDER BY date))
 SELECT date, round(vix_close, 6) AS vix_close, round(vix_3m, 6) AS vix_3m, round(vix_close / nullif(vix_3m, 0), 6) AS vix_ratio,
-  CASE WHEN vix_close / nullif(vix_3m, 0) < 1 THEN 'contango' WHEN vix_close / nullif(vix_3m, 0) >= 1 THEN 'backwardation' END AS vix_regime FROM f""", "evt")
+  CASE WHEN vix_close / nullif(vix_3m, 0) < 1 THEN 'contango' WHEN vix_close / nullif(vix_3m, 0) >= 1 THEN 'backwardation' END AS vix_regime FROM f""", "brand")
 def outer_align_ffill(spark: SparkSession, sf: str) -> DataFrame:
-    e = bars.event_bars(spark, sf)
-    a = e.where("symbol = 'click' and day(date) % 3 <> 0").select("date", C("close").alias("vix_close"))
-    b = e.where("symbol = 'view' and day(date) % 4 <> 0").select("date", C("close").alias("vix_3m"))
+    """Two series, each without the days on which nothing of its brand was sold."""
+    series = lambda symbol, name: bars.brand_bars(spark, sf).where(C("symbol") == symbol).select("date", C("close").alias(name))
+    a, b = series("Brand#12", "vix_close"), series("Brand#34", "vix_3m")
     return rounded(joins.term_structure(joins.outer_align([a, b], "date")))
 
 
 @query("""
 WITH d AS (SELECT DISTINCT date FROM evt), t AS (SELECT ts::DATE AS filed, CASE WHEN event_type = 'purchase' THEN value WHEN event_type = 'error' THEN -value END AS shares FROM events WHERE event_type IN ('purchase', 'error'))
-SELECT d.date, round(coalesce(sum(shares) FILTER (filed >= d.date - 7), 0), 6) AS net_shares_7d, count(*) FILTER (shares > 0)::BIGINT AS buys_20d, count(*) FILTER (shares < 0)::BIGINT AS sells_20d
-FROM d LEFT JOIN t ON filed BETWEEN d.date - 20 AND d.date GROUP BY d.date""", "evt")
+SELECT d.date, round(coalesce(sum(shares) FILTER (filed >= d.date - 30), 0), 6) AS net_shares_30d, count(*) FILTER (shares > 0)::BIGINT AS buys_90d, count(*) FILTER (shares < 0)::BIGINT AS sells_90d
+FROM d LEFT JOIN t ON filed BETWEEN d.date - 90 AND d.date GROUP BY d.date""", "evt")
 def range_window_30_90d(spark: SparkSession, sf: str) -> DataFrame:
     """Calendar-day windows, both ends counted, over daily sums: no row meets more than its own day."""
     e = bars.read_table(spark, sf, "events").where("event_type in ('purchase', 'error')")
@@ -167,8 +179,8 @@ def range_window_30_90d(spark: SparkSession, sf: str) -> DataFrame:
         F.sum("shares").alias("net"), F.count(F.when(C("shares") > 0, 1)).alias("b"), F.count(F.when(C("shares") < 0, 1)).alias("s")
     )
     days = bars.event_bars(spark, sf).select("date").distinct()
-    out = joins.interval_sums(days, daily, {"net_shares_7d": ("net", 7), "buys_20d": ("b", 20), "sells_20d": ("s", 20)}, "date", "filed_date")
-    return rounded(out.select("date", "net_shares_7d", C("buys_20d").cast("long").alias("buys_20d"), C("sells_20d").cast("long").alias("sells_20d")))
+    out = joins.interval_sums(days, daily, {"net_shares_30d": ("net", 30), "buys_90d": ("b", 90), "sells_90d": ("s", 90)}, "date", "filed_date")
+    return rounded(out.select("date", "net_shares_30d", C("buys_90d").cast("long").alias("buys_90d"), C("sells_90d").cast("long").alias("sells_90d")))
 
 
 @query("SELECT symbol, date, round(close, 6) AS close FROM brand WHERE symbol IN (SELECT p_brand FROM part WHERE p_size <= 10 GROUP BY p_brand HAVING count(*) >= 2)", "brand")

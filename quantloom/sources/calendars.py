@@ -44,8 +44,12 @@ def sessions(spark: SparkSession, start: str, end: str) -> DataFrame:
 
 def rebalance_days(dates: DataFrame, schedule: str) -> DataFrame:
     """date and rebalance: whether week, month or quarter differs from the session before; the first day counts."""
+    return rebalance_flags(dates, {"rebalance": schedule})
+
+
+def rebalance_flags(dates: DataFrame, schedules: dict[str, str]) -> DataFrame:
+    """dates with a flag of each name for its schedule, all over one window."""
     w = Window.partitionBy(*[c for c in dates.columns if c != "date"]).orderBy("date")
-    if schedule == "daily":
-        return dates.withColumn("rebalance", F.lit(True))
-    part = {"weekly": F.weekofyear, "monthly": F.month, "quarterly": F.quarter}[schedule]
-    return dates.withColumn("rebalance", F.coalesce(part("date") != F.lag(part("date")).over(w), F.lit(True)))
+    parts = {"weekly": F.weekofyear, "monthly": F.month, "quarterly": F.quarter}
+    starts = lambda s: F.lit(True) if s == "daily" else F.coalesce(parts[s]("date") != F.lag(parts[s]("date")).over(w), F.lit(True))
+    return dates.withColumns({name: starts(s) for name, s in schedules.items()})
