@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 def match_lots(buys: DataFrame, sells: DataFrame, by: str) -> DataFrame:
     """First-in-first-out: each buy and sell covers an interval of the running quantity; overlaps are the matches.
 
-    buys, sells: (by, seq, quantity, price). Result: by, buy_seq, sell_seq, quantity, pnl."""
+    buys, sells: (by, seq, quantity, price). Result: by, buy_seq, sell_seq, quantity, pnl. The ends of both sides'
+    intervals cut the running quantity; the part before a cut belongs to the next buy and the next sell that end at or
+    after it, which a window carries back: no join."""
 
-    def spans(side: DataFrame, name: str) -> DataFrame:
+    def ends(side: DataFrame, name: str, other: str) -> DataFrame:
         w = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-        end = F.sum("quantity").over(w)
-        return side.select(by, F.col("seq").alias(f"{name}_seq"), F.col("price").alias(f"{name}_price"), (end - F.col("quantity")).alias(f"{name}_a"), end.alias(f"{name}_b"))
+        lot = F.struct(F.col("seq"), F.col("price").cast("double").alias("price"))
+        return side.where("quantity > 0").select(by, F.sum("quantity").over(w).alias("cut"), lot.alias(name), F.lit(None).cast(f"struct<seq:{side.schema['seq'].dataType.simpleString()},price:double>").alias(other))
 
-    met = spans(buys, "buy").join(spans(sells, "sell"), by).where("buy_a < sell_b and sell_a < buy_b")
-    quantity = F.least("buy_b", "sell_b") - F.greatest("buy_a", "sell_a")
-    return met.select(by, "buy_seq", "sell_seq", quantity.alias("quantity"), (quantity * (F.col("sell_price") - F.col("buy_price"))).alias("pnl"))
+    cuts = ends(buys, "buy", "sell").unionByName(ends(sells, "sell", "buy")).groupBy(by, "cut").agg(F.max("buy").alias("buy"), F.max("sell").alias("sell"))
+    w = Window.partitionBy(by).orderBy("cut")
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    met = cuts.select(by, (F.col("cut") - F.coalesce(F.lag("cut").over(w), F.lit(0))).alias("quantity"), F.first("buy", ignorenulls=True).over(ahead).alias("buy"), F.first("sell", ignorenulls=True).over(ahead).alias("sell"))
+    met = met.where("buy is not null and sell is not null")
+    return met.select(by, F.col("buy.seq").alias("buy_seq"), F.col("sell.seq").alias("sell_seq"), "quantity", (F.col("quantity") * (F.col("sell.price") - F.col("buy.price"))).alias("pnl"))
 
 
 def rebalance_orders(holdings: DataFrame, targets: DataFrame, prices: DataFrame, by: str = "run_id") -> DataFrame:

@@ -56,22 +56,35 @@ def uniform_int(seed: Column, n: Column | int) -> Column:
 def bootstrap_paths(returns: DataFrame, sims: int, seed: int = 42) -> DataFrame:
     """sim, step, growth: paths of returns drawn with replacement. returns: (i, r), i from 0, one series.
 
-    The series is small next to the paths: it is broadcast, sims x steps rows are made in parallel."""
+    sims x steps rows are made in parallel and meet the series by position."""
     spark = returns.sparkSession
     n = returns.count()
     grid = spark.range(sims * n).select((F.col("id") / n).cast("long").alias("sim"), (F.col("id") % n).alias("step"))
     drawn = grid.withColumn("i", uniform_int(F.col("sim") * 1000003 + F.col("step") * 7919 + seed, n))
-    joined = drawn.join(F.broadcast(returns), "i")
+    joined = drawn.join(returns, "i")
     w = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return joined.withColumn("growth", F.exp(F.sum(F.log1p("r")).over(w))).select("sim", "step", "r", "growth")
 
 
+def path_summary(paths: DataFrame, days: int) -> DataFrame:
+    """Growth, Sharpe ratio (population deviation, from the second step on) and drawdown of each path, as percentiles
+    over all paths. paths: (sim, step, r, growth)."""
+    w = Window.partitionBy("sim").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    down = paths.withColumn("down", F.col("growth") / F.max("growth").over(w) - 1)
+    later = F.when(F.col("step") > 0, F.col("r"))
+    one = down.groupBy("sim").agg(F.max_by("growth", "step").alias("final"), F.coalesce(F.avg(later) / F.nullif(F.stddev_pop(later), F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"), F.min("down").alias("max_dd"))
+    one = one.withColumn("cagr", F.pow("final", F.lit(252.0 / days)) - 1)
+    wanted = {"cagr": (5, 25, 50, 75, 95), "sharpe": (25, 50, 75), "max_dd": (25, 50, 75), "final": (5, 50, 95)}
+    name = lambda c, p: f"{'median' if p == 50 else f'p{p}'}_{c}"
+    return one.agg(F.count(F.lit(1)).alias("n_simulations"), *[F.expr(f"percentile({c}, {p / 100})").alias(name(c, p)) for c, ps in wanted.items() for p in ps])
+
+
 def sign_flip_test(returns: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """The observed Sharpe ratio (population deviation) of returns (i, r), and the share of sign-flipped series
     that reach it."""
     sharpe = lambda x: F.coalesce(F.avg(x) / F.nullif(F.stddev_pop(x), F.lit(0.0)) * F.sqrt(F.lit(252.0)), F.lit(0.0))
     observed = returns.agg(sharpe(F.col("r")).alias("observed"))
     flips = returns.sparkSession.range(permutations).withColumnRenamed("id", "p")
-    signed = flips.crossJoin(F.broadcast(returns)).withColumn("r", F.when(uniform_int(F.col("p") * 1000003 + F.col("i") * 7919 + seed, 2) == 0, F.col("r")).otherwise(-F.col("r")))
+    signed = flips.crossJoin(returns).withColumn("r", F.when(uniform_int(F.col("p") * 1000003 + F.col("i") * 7919 + seed, 2) == 0, F.col("r")).otherwise(-F.col("r")))
     null = signed.groupBy("p").agg(sharpe(F.col("r")).alias("s"))
-    return null.crossJoin(F.broadcast(observed)).groupBy("observed").agg(F.avg(F.when(F.col("s") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"), F.count(F.lit(1)).alias("n"))
+    return null.crossJoin(observed).groupBy("observed").agg(F.avg(F.when(F.col("s") >= F.col("observed"), 1.0).otherwise(0.0)).alias("p_value"), F.count(F.lit(1)).alias("n"))

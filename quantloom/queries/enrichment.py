@@ -44,7 +44,7 @@ def fund_asof_daily(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.joins import asof_join
 
     f = filings(spark, sf)
-    m = bars.market_bars(spark, sf).select("date", "close").crossJoin(F.broadcast(f.select("symbol").distinct()))
+    m = bars.market_bars(spark, sf).select("date", "close").crossJoin(f.select("symbol").distinct())
     state = U.pivot_state(f, list(METRICS.values())).withColumnRenamed("filed_date", "date")
     out = asof_join(m.select("symbol", "date", "close"), state, on="date", by=["symbol"])
     return out.withColumn("close", F.round("close", 6))

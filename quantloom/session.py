@@ -47,9 +47,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below ./spark-checkpoints where
-    that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.abspath('spark-checkpoints')}"
+    """A new folder below spark.checkpoint.dir, which driver and executors share; below ./spark-checkpoints of a local
+    session without it. A cluster must name one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
+        base = f"file://{os.path.abspath('spark-checkpoints')}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
