@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, base, enrichment, indicators, market, signals, simulation
+from .queries import analytics, base, enrichment, indicators, market, signals, simulation, summaries
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "vec_backtest_sma"
-MODULES = [market, indicators, signals, analytics, enrichment, simulation]
+MODULES = [market, indicators, signals, analytics, enrichment, summaries, simulation]

@@ -84,6 +84,12 @@ def volatility_size(equity: Column, cash: Column, price: Column, atr: Column, al
     return F.when(F.coalesce(vol > 0, F.lit(False)), _whole(F.least(equity * F.least(target / F.nullif(vol, F.lit(0.0)), F.lit(alloc)), cash) / price)).otherwise(plain)
 
 
+def volatility_parity(equity: Column, cash: Column, price: Column, atr: Column, alloc: float, target: float = 0.10, lookback: int = 20) -> Column:
+    """A yearly volatility budget for each position, with ATR for its volatility; lookback is accepted from
+    configurations and says nothing, as ATR has its own period."""
+    return volatility_size(equity, cash, price, atr, alloc, target)
+
+
 def fill_price(kind: Column, side: Column, limit: Column, stop: Column, model: str = "open") -> Column:
     """The base price of an order on a bar (open, high, low, close), NULL where it does not fill.
 

@@ -140,6 +140,21 @@ def insider_windows(days: DataFrame, trades: DataFrame, by: list[str] | None = N
     return out.withColumn("insider_buy_ratio_90d", over(C("insider_buy_count_90d"), C("insider_buy_count_90d") + C("insider_sell_count_90d")))
 
 
+def resolve_tags(facts: DataFrame, tags: list[str], by: list[str], prefix: str = "us-gaap:") -> DataFrame:
+    """For each key the facts (concept, value) of the first tag, in the order given, that has a value; a concept may
+    carry the prefix. Facts without period_end or value do not count."""
+    rank = F.array_position(F.array(*[F.lit(t) for t in tags]), F.regexp_replace("concept", f"^{prefix}", ""))
+    known = facts.withColumn("_rank", rank).where("_rank > 0 and period_end is not null and value is not null")
+    return known.withColumn("_first", F.min("_rank").over(Window.partitionBy(*by))).where("_rank = _first").drop("_rank", "_first")
+
+
+def holdings_by_period(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Managers' holdings (report_date, filed_date, manager_cik, shares_held, value_held) summed for each report date."""
+    return rows.groupBy(*by, "report_date").agg(
+        F.max("filed_date").alias("filed_date"), F.countDistinct("manager_cik").alias("total_holders"), F.sum("shares_held").alias("total_shares"), F.sum("value_held").alias("total_value")
+    )
+
+
 def holdings_changes(holdings: DataFrame) -> DataFrame:
     w = by_symbol("filed_date")
     before = F.lag("total_shares").over(w)
