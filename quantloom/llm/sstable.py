@@ -234,7 +234,7 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
                     yield _rows(rows)
                 reader.close()
 
-    return shards.repartition(max(1, shards.count()), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
+    return shards.repartition(max(1, shards.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:

@@ -158,6 +158,11 @@ def test_quality_edge_cases(spark, docs, texts, nothing):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_quality_repeated_rows(spark, docs):
+    rows = lambda df: sorted(map(str, quality.quality_rules(df).collect()))
+    assert rows(docs.unionByName(docs)) == sorted(rows(docs) * 2)
+
+
 # 4 and 6: token ids
 
 
@@ -229,6 +234,15 @@ def test_packing_is_whole_gapless_and_tight(spark, docs, texts, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_packing_null_and_repeated_identifiers(spark):
+    rows = [(None, "a b"), (None, "a b"), (1, "lo ka"), (1, "lo ka"), (1, "ri"), (2, None)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), size=8).collect()
+    brute.pieces_fit([(r.sequence_id, r.offset, r.length) for r in got], 8)
+    t = tokenizer("word_bpe_49k.json")
+    want = sorted((str(i), len(t.encode(x or "", add_special_tokens=False).ids) + 1) for i, x in rows)
+    assert sorted((str(r.doc_id), r.length) for r in got) == want
+
+
 def test_best_fit_takes_the_tightest_bin():
     r = random.Random(3)
     for _ in range(30):
@@ -458,6 +472,20 @@ def test_bpe_query_digests(spark):
     assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_bpe_null_and_repeated_identifiers(spark, tmp_path):
+    """The registered query's digests for every odd text, in an own table."""
+    rows = [(None, "no id"), (1, "same"), (1, "same"), (1, "other"), (2, None), (3, "ab" * 3000 + " é")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    t = tokenizer("byte_bpe_50k.json")
+    want = []
+    for i, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids
+        digest = lambda y: hashlib.sha256(y.encode()).hexdigest()
+        want.append((str(i), len(ids), digest(",".join(map(str, ids))), digest(t.decode(ids, skip_special_tokens=False))))
+    got = queries.op8_bpe_codec(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+
+
 # 9: toxicity
 
 
@@ -512,6 +540,15 @@ def test_toxicity_edge_cases(spark, docs, texts, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_null_labels_and_long_texts(spark):
+    rows = [(i, "plain words here " * 5 + ("vile " if i % 3 == 0 else "")) for i in range(60)] + [(100, "fine words " * 40_000), (None, "vile"), (100, None)]
+    labels = [(i, int(i % 3 == 0)) for i in range(60)] + [(3, None), (None, 1), (None, None), (100, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.sample_and_train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+
+
 # 10: roles
 
 
