@@ -8,12 +8,13 @@ from quantloom.llm import common, jaccard, packing, quality, toxicity
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass the quality rules; null and empty texts do not."""
+    """The documents that pass the quality rules; null and empty texts do not. Repeated rows are judged each for itself."""
     return quality.keep_quality(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the toxicity field, trained on labelled ones among them, scores below 0.3."""
+    """The documents that the toxicity field, trained on labelled ones among them, scores below 0.3; a score of 0.3 goes.
+    Repeated rows have the same score."""
     labels = common.table(spark, sf_dir, "labels")
     model = toxicity.sample_and_train(docs, labels, common.crc32_mod("doc_id", 4) != 2)
     return toxicity.keep_clean(docs, model)
@@ -26,7 +27,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of at most 2048 tokens."""
+    """The pieces of the documents and their places in sequences of at most 2048 tokens. Repeated rows are packed each
+    for itself; pieces of one length are packed in the order of their identifiers."""
     return packing.pack(docs, size=2048)
 
 
