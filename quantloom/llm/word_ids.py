@@ -12,7 +12,7 @@ from . import common
 
 #: Distinct words of a generation. A worker remembers two: a full one replaces the one before it, and words that are
 #: met again move on from there.
-GENERATION_WORDS = 500_000
+GENERATION_WORDS = 150_000
 
 #: Words of letters alone are one piece each, so that many can be encoded as one text and told apart by piece ends.
 JOINED = 100
@@ -106,8 +106,8 @@ class WordEncoder:
         if known:
             self.new.add(known, *self.old.take(np.fromiter((self.old.place[w] for w in known), np.int64, len(known))))
             missing = [w for w in missing if w not in self.old.place]
-        for i in range(0, len(missing), 20_000):
-            self._learn(missing[i : i + 20_000])
+        for i in range(0, len(missing), 10_000):
+            self._learn(missing[i : i + 10_000])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.replace_substring_regex(pc.fill_null(texts, ""), LETTER_STOP, r"\1 \2\3")
