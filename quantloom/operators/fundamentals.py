@@ -197,9 +197,9 @@ def intermarket(df: DataFrame, lag: int = 63) -> DataFrame:
 
 
 def put_call(df: DataFrame, n: int = 10) -> DataFrame:
-    """The ratio as given, else puts over calls, and its mean of n rows."""
+    """The ratio as given, puts over calls where no column gives it, and its mean of n rows."""
     g = Get(df)
-    out = df.withColumn("sentiment_pcr", F.coalesce(g["pcr"], over(g["puts"], g["calls"])))
+    out = df.withColumn("sentiment_pcr", g["pcr"] if "pcr" in df.columns else over(g["puts"], g["calls"]))
     frame = Window.orderBy("date").rowsBetween(-(n - 1), 0)
     return out.withColumn(f"sentiment_pcr_ma{n}", F.when(F.count("sentiment_pcr").over(frame) >= n, F.avg("sentiment_pcr").over(frame)))
 

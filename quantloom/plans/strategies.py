@@ -281,6 +281,14 @@ class MomentumRotation(Strategy):
         return ~yes(c["rank"] <= self.p["top_n"])
 
 
+def ranked(df: DataFrame, score_col: str, n: int, largest: bool = True) -> DataFrame:
+    """The n rows of each date with the highest scores (or the lowest), ties by symbol, with their rank. Rows without
+    a score have no rank."""
+    order = F.desc(score_col) if largest else F.asc(score_col)
+    w = Window.partitionBy("date").orderBy(order, "symbol")
+    return df.where(F.col(score_col).isNotNull()).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
 def regime_filter(benchmark: DataFrame, fast: int = 50, slow: int = 200, condition: str = "fast_above_slow") -> DataFrame:
     """date and regime_on of a benchmark's bars: whether the fast mean is above (or below) the slow one; on where unknown."""
     out = with_indicators(benchmark, {"f": {"fn": "sma", "period": fast}, "s": {"fn": "sma", "period": slow}})

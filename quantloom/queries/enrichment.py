@@ -6,8 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fundamentals as U
+from ..operators.joins import asof_join
+from ..plans import strategies
+from ..session import shared_dir
 from ..sources import bars
+from ..sources import filings as files
 from .base import query, rounded
+from .indicators import _roll
 
 C = F.col
 METRICS = {"1-URGENT": "revenue", "2-HIGH": "net_income", "3-MEDIUM": "total_assets", "4-NOT SPECIFIED": "total_debt", "5-LOW": "operating_cf"}
@@ -41,8 +46,6 @@ def fund_ttm(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_STATE}, b AS (SELECT s.symbol, m.date, m.close FROM mkt m, (SELECT DISTINCT symbol FROM fil) s)
 SELECT b.symbol, b.date, round(b.close, 6) AS close, {', '.join(f'st.fund_{m}' for m in METRICS.values())} FROM b ASOF LEFT JOIN st ON b.symbol = st.symbol AND b.date >= st.filed_date""", "mkt")
 def fund_asof_daily(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.joins import asof_join
-
     f = filings(spark, sf)
     m = bars.market_bars(spark, sf).select("date", "close").crossJoin(f.select("symbol").distinct())
     state = U.pivot_state(f, list(METRICS.values())).withColumnRenamed("filed_date", "date")
@@ -119,26 +122,27 @@ def inst_qoq(spark: SparkSession, sf: str) -> DataFrame:
 _INS = "t AS (SELECT ts::DATE AS filed, CASE WHEN event_type = 'purchase' THEN value ELSE -value END AS shares, 2.5::DOUBLE AS price, CASE WHEN user_id % 3 = 0 THEN 'Chief Executive Officer' WHEN user_id % 3 = 1 THEN 'Director' END AS title FROM events WHERE event_type IN ('purchase', 'error'))"
 
 
-@query(f"""WITH {_INS}, d AS (SELECT DISTINCT date FROM mkt WHERE date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'), e AS (SELECT date + 9496 AS day, date FROM d),
+@query(f"""WITH {_INS}, d AS (SELECT DISTINCT date FROM mkt), e AS (SELECT date + 9496 AS day, date FROM d),
 g AS (SELECT date, round(coalesce(sum(shares) FILTER (filed >= day - 30), 0), 6) AS insider_net_shares_30d, count(*) FILTER (shares > 0)::DOUBLE AS b, count(*) FILTER (shares < 0)::DOUBLE AS s,
 round(coalesce(sum(shares * price) FILTER (filed >= day - 30), 0), 6) AS insider_net_value_30d, count(*) FILTER (shares > 0 AND lower(title) LIKE '%chief executive%')::DOUBLE AS insider_officer_buys_90d FROM e LEFT JOIN t ON filed BETWEEN day - 90 AND day GROUP BY date)
 SELECT date, insider_net_shares_30d, b AS insider_buy_count_90d, s AS insider_sell_count_90d, insider_net_value_30d, insider_officer_buys_90d, round(b / nullif(b + s, 0), 6) AS insider_buy_ratio_90d FROM g""", "mkt")
 def insider_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every market day, the trades moved back to their years."""
     e = bars.read_table(spark, sf, "events").where("event_type in ('purchase', 'error')")
     title = F.when(C("user_id") % 3 == 0, "Chief Executive Officer").when(C("user_id") % 3 == 1, "Director")
     trades = e.select(C("ts").cast("date").alias("filed_date"), F.when(C("event_type") == "purchase", C("value")).otherwise(-C("value")).alias("shares"), F.lit(2.5).alias("price"), title.alias("insider_title"))
-    days = bars.market_bars(spark, sf).where("date between DATE'1997-01-01' and DATE'1998-12-31'").select(F.date_add("date", 9496).alias("date")).distinct()
+    days = bars.market_bars(spark, sf).select(F.date_add("date", 9496).alias("date")).distinct()
     return rounded(U.insider_windows(days, trades).withColumn("date", F.date_sub("date", 9496)))
 
 
-@query("""WITH f AS (SELECT ts::DATE AS filed, event_type FROM events), d AS (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2025-03-31', INTERVAL 1 DAY))::DATE AS date)
+@query("""WITH f AS (SELECT ts::DATE AS filed, event_type FROM events), d AS (SELECT unnest(generate_series(min(filed), max(filed) + 425, INTERVAL 1 DAY))::DATE AS date FROM f)
 SELECT date, (count(*) FILTER (event_type = 'signup' AND filed >= date - 7) > 0)::INT::DOUBLE AS event_earnings_recent, (count(*) FILTER (event_type = 'purchase' AND filed >= date - 14) > 0)::INT::DOUBLE AS event_acquisition_recent,
 (count(*) FILTER (event_type = 'click' AND filed >= date - 28) > 0)::INT::DOUBLE AS event_officer_change_recent, (count(*) FILTER (event_type = 'error') > 0)::INT::DOUBLE AS event_restatement_ever, count(*) FILTER (filed >= date - 90)::DOUBLE AS event_count_90d
 FROM d LEFT JOIN f ON filed BETWEEN date - 365 AND date GROUP BY date""")
 def event_flags(spark: SparkSession, sf: str) -> DataFrame:
     kinds = {"has_earnings": "signup", "has_acquisition": "purchase", "has_officer_change": "click", "has_restatement": "error"}
     e = bars.read_table(spark, sf, "events").select(C("ts").cast("date").alias("filed_date"), *[(C("event_type") == v).alias(k) for k, v in kinds.items()])
-    days = spark.sql("SELECT explode(sequence(DATE'2024-01-01', DATE'2025-03-31')) AS date")
+    days = e.agg(F.min("filed_date").alias("a"), F.max("filed_date").alias("b")).select(F.explode(F.sequence("a", F.date_add("b", 425))).alias("date"))
     return U.event_windows(days, e)
 
 
@@ -174,3 +178,35 @@ SELECT symbol, date, CASE WHEN l THEN up END AS analyst_rev_up_7d, CASE WHEN l T
 def analyst_revisions(spark: SparkSession, sf: str) -> DataFrame:
     s = bars.read_table(spark, sf, "part").groupBy(C("p_brand").alias("symbol")).agg(F.count(F.when(C("p_size") > 25, 1)).alias("up"), F.count(F.when(C("p_size") <= 25, 1)).alias("down"))
     return rounded(U.analyst_revisions(bars.brand_bars(spark, sf).select("symbol", "date"), s))
+
+
+_TTM = "ro AS (SELECT symbol, period_end, sum(value) OVER (PARTITION BY symbol ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS ttm FROM fil WHERE metric = 'net_income'), dt AS (SELECT DISTINCT symbol, filed_date FROM fil), tt AS (SELECT dt.symbol, dt.filed_date, ttm FROM dt ASOF LEFT JOIN ro ON dt.symbol = ro.symbol AND dt.filed_date >= ro.period_end)"
+
+
+@query(f"""WITH {_STATE}, {_TTM}, b AS (SELECT s.symbol, m.date, m.close FROM mkt m, (SELECT DISTINCT symbol FROM fil) s),
+x AS (SELECT b.*, fund_revenue, fund_net_income, close / nullif(ttm / nullif(fund_total_assets / 100, 0), 0) AS pe FROM b ASOF LEFT JOIN st ON b.symbol = st.symbol AND b.date >= st.filed_date ASOF LEFT JOIN tt ON b.symbol = tt.symbol AND b.date >= tt.filed_date),
+y AS (SELECT symbol, date, pe, {_yoy('fund_revenue')} AS rg, {_yoy('fund_net_income')} AS eg, close > {_roll('avg', 'close', 50)} AS up FROM x {_W})
+SELECT symbol, date, round(pe, 6) AS fund_pe_ratio, round(rg, 6) AS fund_revenue_growth_yoy, round(eg, 6) AS fund_earnings_growth_yoy, coalesce(eg >= 0.1 AND rg >= 0.05 AND up AND pe < 40, false) AS buy,
+coalesce(eg IS NOT NULL AND rg IS NOT NULL AND up IS NOT NULL AND pe IS NOT NULL AND (eg < 0 OR NOT up), false) AS sell FROM y""", "mkt")
+def sig_enriched_earnings(spark: SparkSession, sf: str) -> DataFrame:
+    """From filings to signals: state and trailing sums as filed, joined as of each day, ratios and growth, the
+    earnings_growth strategy. A share stands for 100 of total assets."""
+    f = filings(spark, sf)
+    ttm = U.trailing_sums(f).where("metric = 'net_income'").select("symbol", "filed_date", C("ttm").alias("fund_net_income_ttm"))
+    state = U.pivot_state(f, list(METRICS.values())).join(ttm, ["symbol", "filed_date"]).withColumn("fund_shares_outstanding", C("fund_total_assets") / 100)
+    b = bars.market_bars(spark, sf).select("date", "close").crossJoin(f.select("symbol").distinct())
+    out = strategies.get_strategy("earnings_growth").signals(U.enrich(b, state))
+    return rounded(out.select("symbol", "date", "fund_pe_ratio", "fund_revenue_growth_yoy", "fund_earnings_growth_yoy", "buy", "sell"))
+
+
+@query(f"""WITH {_FIL}, n AS (SELECT symbol, metric, period_end, filed_date + 10 AS filed_date, round(value + 1, 2) AS value FROM fil WHERE metric = 'revenue')
+SELECT symbol, metric, period_end, filed_date, value FROM n UNION ALL SELECT symbol, metric, period_end, filed_date, value FROM fil WHERE metric <> 'revenue'""")
+def filings_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """All filings, then restated revenues, merged into a cache and read back."""
+    path, f = shared_dir(spark, "filings-cache"), filings(spark, sf)
+    restated = f.where("metric = 'revenue'").withColumns({"filed_date": F.date_add("filed_date", 10), "value": F.round(C("value") + 1, 2)})
+    for part in (f, restated):
+        files.merge_into_cache(spark, path, "financials", part)
+    symbols = f.select("symbol").distinct().withColumn("_key", F.upper("symbol"))
+    kept = files.read_cache(spark, path, "financials").withColumnRenamed("symbol", "_key")
+    return kept.join(symbols, "_key").select("symbol", "metric", "period_end", "filed_date", "value")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import joins
+from ..plans import strategies
 from ..sources import bars, calendars
 from .base import query, r6, rounded
 
@@ -233,3 +234,12 @@ SELECT symbol, round(avg(close), 6) AS close, round(max(volume), 6)::BIGINT AS v
 def topk_per_symbol(spark: SparkSession, sf: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy(F.desc("close"), "date")
     return rounded(bars.brand_bars(spark, sf).withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 3").select("symbol", "close", "volume", "rank"))
+
+
+@query("""
+WITH x AS (SELECT symbol, date, close, row_number() OVER (PARTITION BY date ORDER BY close DESC, symbol) AS t, row_number() OVER (PARTITION BY date ORDER BY close, symbol) AS b FROM brand)
+SELECT 'top' AS side, symbol, date, round(close, 6) AS close, t::INTEGER AS rank FROM x WHERE t <= 3 UNION ALL SELECT 'bottom', symbol, date, round(close, 6), b::INTEGER FROM x WHERE b <= 3""", "brand")
+def rank_extremes(spark: SparkSession, sf: str) -> DataFrame:
+    b = bars.brand_bars(spark, sf).select("symbol", "date", "close")
+    sides = [strategies.ranked(b, "close", 3, side == "top").select(F.lit(side).alias("side"), "symbol", "date", "close", "rank") for side in ("top", "bottom")]
+    return rounded(sides[0].unionByName(sides[1]))

@@ -183,6 +183,13 @@ def stream_session(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(streams.drained(streams.sessions(streams.events(spark, sf)), "sessions"))
 
 
+@query("SELECT event_id, ts, user_id, event_type, round(value, 6) AS value FROM events")
+def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    """The events fed twice: each is kept once."""
+    twice = streams.events(spark, sf).unionByName(streams.events(spark, sf))
+    return rounded(streams.drained(streams.deduplicated(twice), "deduplicated").select("event_id", "ts", "user_id", "event_type", "value"))
+
+
 @query()
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger over a stream of feature rows; equal to the batch run, but for the final closing."""

@@ -5,7 +5,8 @@ import pytest
 
 from quantloom import cli, session
 from quantloom.operators import simulator as S
-from quantloom.sources import bars, calendars, sinks
+from quantloom.plans import strategies
+from quantloom.sources import bars, calendars, filings, sinks
 
 
 def write_csv(folder, symbol, n=80):
@@ -67,3 +68,45 @@ def test_resample_rejects_unknown_units(spark):
 
 def test_shared_dirs_differ(spark):
     assert session.shared_dir(spark, "x") != session.shared_dir(spark, "x")
+
+
+def test_key_values_as_of(spark, tmp_path):
+    (tmp_path / "v.csv").write_text("date,symbol,field,value\n2020-01-10, aa ,eps,1.5\n2020-02-10,AA,eps,n/a\n2020-03-01,AA,eps,2\n2020-03-01,AA,eps,2.5\n,AA,eps,9\n")
+    values = filings.read_key_values(spark, str(tmp_path / "v.csv"))
+    probes = spark.createDataFrame([("aa", "eps", dt.date(2020, m, 5)) for m in (1, 2, 3)] + [("ZZ", "eps", dt.date(2020, 3, 5))], "symbol string, field string, date date")
+    got = {(r.symbol, r.date.month): r.value for r in filings.values_as_of(probes, values).collect()}
+    assert got == {("AA", 1): None, ("AA", 2): 1.5, ("AA", 3): 2.5, ("ZZ", 3): None}
+
+
+def test_put_call_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Remarks, on use\nProduct\nTrade_date,Call,Put,Total,P/C Ratio\n11/1/2006,10,5,15,0.5\n2006-11-02,10,x,15,\nnone,1,1,2,1\n")
+    rows = filings.read_put_call(spark, str(tmp_path / "a.csv")).orderBy("date").collect()
+    assert [(r.date.day, r.calls, r.puts, r.total, r.pcr) for r in rows] == [(1, 10.0, 5.0, 15.0, 0.5), (2, 10.0, None, 15.0, None)]
+    (tmp_path / "b.csv").write_text("nothing\n")
+    with pytest.raises(ValueError):
+        filings.read_put_call(spark, str(tmp_path / "b.csv"))
+
+
+def test_analyst_snapshot(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("symbol,up,down\naa,3,1\nBB,,2\n")
+    assert [tuple(r) for r in filings.read_analyst(spark, str(tmp_path / "s.csv")).orderBy("symbol").collect()] == [("AA", 3, 1), ("BB", None, 2)]
+
+
+def test_filings_replace_by_key(spark, tmp_path):
+    day = lambda d: dt.date(2020, 1, d)
+    schema = "symbol string, filed_date date, insider_name string, shares double, price double"
+    first = spark.createDataFrame([("aa", day(1), "x", 5.0, 1.0), ("aa", day(2), "y", 5.0, 1.0), ("bb", day(1), "x", 5.0, 1.0)], schema)
+    again = spark.createDataFrame([("aa", day(1), "x", 5.0, 2.0), ("aa", day(3), None, 1.0, 3.0)], schema)
+    assert filings.read_cache(spark, str(tmp_path), "insider") is None
+    for new in (first, again):
+        filings.merge_into_cache(spark, str(tmp_path), "insider", new)
+    cache = filings.read_cache(spark, str(tmp_path), "insider")
+    assert {(r.symbol, r.filed_date.day, r.price) for r in cache.collect()} == {("AA", 1, 2.0), ("AA", 2, 1.0), ("AA", 3, 3.0), ("BB", 1, 1.0)}
+    assert {(r.symbol, r.first.day, r.last.day) for r in filings.spans(cache).collect()} == {("AA", 1, 3), ("BB", 1, 1)}
+
+
+def test_ranked_breaks_ties_by_symbol(spark):
+    rows = [("A", 1.0), ("B", 1.0), ("C", None), ("D", 0.5)]
+    df = spark.createDataFrame([(s, dt.date(2020, 1, 1), x) for s, x in rows], "symbol string, date date, x double")
+    assert [r.symbol for r in strategies.ranked(df, "x", 2).orderBy("rank").collect()] == ["A", "B"]
+    assert [r.symbol for r in strategies.ranked(df, "x", 2, largest=False).orderBy("rank").collect()] == ["D", "A"]
