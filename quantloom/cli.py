@@ -1,19 +1,19 @@
 """python -m quantloom.cli: run, list-strategies, optimize, walk-forward, stress-test, clear-cache, compare.
 
-Bars come from folders of {SYMBOL}.csv or {SYMBOL}.parquet files. A TOML file of the same option names gives
-defaults that the command line overrides.
+Bars come from folders of {SYMBOL}.csv or {SYMBOL}.parquet files. A TOML or YAML file of the same option names gives
+defaults that the command line overrides. --report prints an analysis of a run: see REPORTS.
 """
 
 from __future__ import annotations
 
 import argparse
 import json
-import shutil
 import sys
 import tomllib
+from collections.abc import Callable
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import session
@@ -44,19 +44,34 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--is-months", type=int)
         p.add_argument("--oos-months", type=int)
         p.add_argument("--ranges", help="JSON list of [name, start, end]")
+        p.add_argument("--metric", help="what combinations are ordered by")
+        p.add_argument("--folds", type=int, help="purged folds in place of windows of months")
+        p.add_argument("--report", action="append", default=[], choices=sorted(REPORTS))
     c = sub.add_parser("compare")
     c.add_argument("paths", nargs="+")
     k = sub.add_parser("clear-cache")
     k.add_argument("path")
+    k.add_argument("--ticker", help="this symbol's partition alone")
+    k.add_argument("--yes", action="store_true", help="do not ask")
     return top
 
 
+def read_config(path: str) -> dict:
+    with open(path, "rb") as f:
+        if not path.endswith((".yaml", ".yml")):
+            return tomllib.load(f)
+        try:
+            import yaml
+        except ImportError:
+            raise SystemExit(f"{path}: reading YAML takes the yaml package") from None
+        return yaml.safe_load(f) or {}
+
+
 def merged(args: argparse.Namespace) -> dict:
     """Built-in values, then the file's, then the command line's; unknown names in the file are errors."""
-    options = {"format": "csv", "strategy": "sma_crossover", "params": "{}", "start": None, "end": None, "is_months": 24, "oos_months": 6, "grid": "{}", "ranges": "[]", "data": None, "save": None, "tearsheet": None, "set": []}
+    options = {"format": "csv", "strategy": "sma_crossover", "params": "{}", "start": None, "end": None, "is_months": 24, "oos_months": 6, "grid": "{}", "ranges": "[]", "data": None, "save": None, "tearsheet": None, "set": [], "metric": "sharpe", "folds": None, "report": []}
     if args.config:
-        with open(args.config, "rb") as f:
-            own = tomllib.load(f)
+        own = read_config(args.config)
         if unknown := set(own) - set(options):
             raise SystemExit(f"unknown options in {args.config}: {', '.join(sorted(unknown))}")
         options |= own
@@ -110,15 +125,66 @@ def stacked(b: DataFrame, o: dict) -> DataFrame:
     return out
 
 
+def _returns(equity: DataFrame) -> DataFrame:
+    return M.returns(equity, ["run_id"])
+
+
+def _numbered(equity: DataFrame) -> DataFrame:
+    """(i, r) of one run: a row a day."""
+    return _returns(equity).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("i"), "r")
+
+
+def _excursions(equity: DataFrame, trades: DataFrame, b: DataFrame) -> DataFrame:
+    x = M.excursions(trades, b)
+    return x.agg(F.count(F.lit(1)).alias("n_trades"), *[F.avg(c).alias(f"avg_{c}") for c in ("mae", "mfe", "efficiency")])
+
+
+def _paths(equity: DataFrame, trades: DataFrame, b: DataFrame) -> DataFrame:
+    series = _numbered(equity)
+    return research.path_summary(research.bootstrap_paths(series, 1000), max(1, series.count()))
+
+
+#: Analyses of one run by name, from its equity, its trades and the bars.
+REPORTS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
+    "calendar": lambda e, t, b: M.monthly_returns(_returns(e), ["run_id"]).drop("run_id").orderBy("year"),
+    "correlation": lambda e, t, b: M.correlation_matrix(M.returns(b, ["symbol"], "close")).orderBy("a", "b"),
+    "costs": lambda e, t, b: t.agg(F.count(F.lit(1)).alias("n_trades"), F.sum("fees").alias("fees"), F.sum("pnl").alias("pnl")).crossJoin(M.capacity(t, b)),
+    "decay": lambda e, t, b: M.decay_summary(M.signal_decay(t, b, 20)),
+    "drawdowns": lambda e, t, b: M.drawdown_periods(e, ["run_id"]).drop("run_id").orderBy("depth").limit(10),
+    "excursions": _excursions,
+    "monte-carlo": _paths,
+    "permutation": lambda e, t, b: research.sign_flip_test(_numbered(e), 1000),
+    "regime": lambda e, t, b: M.regime_performance(M.volatility_regime(_returns(e), ["run_id"]).select("run_id", "date", "r", "regime"), ["run_id"]).drop("run_id").orderBy("regime"),
+    "risk": lambda e, t, b: M.value_at_risk(_returns(e), ["run_id"]).drop("run_id"),
+    "sharpe": lambda e, t, b: M.sharpe_variance(_returns(e), ["run_id"]).drop("run_id"),
+}
+
+
+def clear_cache(spark: SparkSession, path: str, ticker: str | None, sure: bool) -> int:
+    """Removes a cache, or one symbol's partition of it, that holds nothing but partitions by symbol, once confirmed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        print(f"nothing at {path}")
+        return 1
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    if [n for n in names if not n.startswith(("symbol=", "_", "."))]:
+        print(f"{path} is no cache of bars")
+        return 1
+    target = spark._jvm.org.apache.hadoop.fs.Path(folder, f"symbol={ticker.upper()}") if ticker else folder
+    if not sure and input(f"remove {target.toString()}? [y/N] ").strip().lower() not in ("y", "yes"):
+        return 1
+    return 0 if fs.delete(target, True) else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.verb == "list-strategies":
         print("\n".join(sorted(strategies.REGISTRY)))
         return 0
-    if args.verb == "clear-cache":
-        shutil.rmtree(args.path, ignore_errors=True)
-        return 0
     spark = SparkSession.getActiveSession() or session.build()
+    if args.verb == "clear-cache":
+        return clear_cache(spark, args.path, args.ticker, args.yes)
     session.ship(spark)
     if args.verb == "compare":
         sinks.compare(spark, args.paths).show(200, False)
@@ -129,6 +195,9 @@ def main(argv: list[str] | None = None) -> int:
         events = session.materialise(S.simulate(signals(b, o, {}, o["strategy"]), own), "run")
         row = M.bundle(S.equity_of(events), S.trades_of(events), ["run_id"]).first()
         print(sinks.report(row.asDict()) if row else "no bars")
+        for name in o["report"] if row else ():
+            print(f"\n{name}")
+            REPORTS[name](S.equity_of(events), S.trades_of(events), b).show(100, False)
         if o["save"]:
             sinks.save(events, o["save"], {k: v for k, v in o.items() if k != "tearsheet"})
         if o["tearsheet"] and row:
@@ -141,12 +210,19 @@ def main(argv: list[str] | None = None) -> int:
         features = signals(b, o, {}, "x").crossJoin(F.broadcast(ranges)).where("date between cast(a as date) and cast(b as date)").drop("run_id").withColumnRenamed("name", "run_id").drop("a", "b")
     elif args.verb == "walk-forward":
         span = b.agg(F.min("date").cast("string").alias("a"), F.max("date").cast("string").alias("b")).first()
-        w = research.walk_forward_windows(spark, span.a, span.b, o["is_months"], o["oos_months"])
+        if o["folds"]:
+            w = research.purged_folds(spark, span.a, span.b, o["folds"]).toDF("window", "oos_start", "oos_end", "is_start", "is_end")
+        else:
+            w = research.walk_forward_windows(spark, span.a, span.b, o["is_months"], o["oos_months"])
         both = features.crossJoin(F.broadcast(w))
         part = F.when(F.col("date").between(F.col("is_start"), F.col("is_end")), "in").when(F.col("date").between(F.col("oos_start"), F.col("oos_end")), "out")
         features = both.withColumn("part", part).where("part is not null").withColumn("run_id", F.concat_ws(" ", "window", "part", "run_id")).select(*features.columns)
     events = session.materialise(S.simulate(features, own), "runs")
-    M.bundle(S.equity_of(events), S.trades_of(events), ["run_id"]).orderBy(F.desc("sharpe"), "run_id").select("run_id", "total_return", "cagr", "sharpe", "max_drawdown", "n_trades").show(50, False)
+    out = M.bundle(S.equity_of(events), S.trades_of(events), ["run_id"])
+    if o["metric"] not in out.columns:
+        raise SystemExit(f"unknown metric {o['metric']}; there are {', '.join(out.columns[1:])}")
+    shown = dict.fromkeys(["run_id", o["metric"], "total_return", "cagr", "sharpe", "max_drawdown", "n_trades"])
+    out.orderBy(F.desc(o["metric"]), "run_id").select(*shown).show(50, False)
     return 0
 
 

@@ -34,6 +34,15 @@ def test_csv_source_and_cli(spark, tmp_path, capsys):
     assert cli.main(["optimize", "--data", str(data), "--grid", json.dumps({"sma_fast": [2, 4], "sma_slow": [8]})]) == 0
     assert cli.main(["walk-forward", "--data", str(data), "--params", json.dumps({"sma_fast": 3, "sma_slow": 8}), "--is-months", "1", "--oos-months", "1"]) == 0
     assert cli.main(["stress-test", "--data", str(data), "--params", json.dumps({"sma_fast": 3, "sma_slow": 8}), "--ranges", json.dumps([["x", "2020-01-01", "2020-02-01"]])]) == 0
+    (tmp_path / "c.yaml").write_text("strategy: sma_crossover\nparams: {sma_fast: 3, sma_slow: 8}\n")
+    common = ["--config", str(tmp_path / "c.yaml"), "--data", str(data)]
+    capsys.readouterr()
+    assert cli.main(["run", *common, *[x for name in sorted(cli.REPORTS) for x in ("--report", name)]]) == 0
+    shown = capsys.readouterr().out
+    assert all(f"\n{name}\n" in shown for name in cli.REPORTS) and "optimal_days" in shown and "p_value" in shown
+    assert cli.main(["walk-forward", *common, "--folds", "3", "--metric", "cagr"]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["optimize", *common, "--metric", "nothing"])
     assert cli.main(["list-strategies"]) == 0 and "momentum_rotation" in capsys.readouterr().out
     (tmp_path / "bad.toml").write_text("nothing = 1\n")
     with pytest.raises(SystemExit):
@@ -47,10 +56,19 @@ def test_activity_csv(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "a")).count() == 2
 
 
-def test_cache_round_trip(spark, tmp_path):
+def test_cache_round_trip(spark, tmp_path, monkeypatch):
     b = spark.createDataFrame([("A", dt.date(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0), ("B", dt.date(2020, 1, 2), 2.0, 2.0, 2.0, 2.0, 2.0)], bars.BAR_SCHEMA)
     bars.write_cache(b, str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).where("symbol = 'B'").count() == 1
+    monkeypatch.setattr("builtins.input", lambda _: "n")
+    assert cli.main(["clear-cache", str(tmp_path / "c")]) == 1 and (tmp_path / "c" / "symbol=A").exists()
+    assert cli.main(["clear-cache", str(tmp_path / "c"), "--ticker", "a", "--yes"]) == 0
+    assert not (tmp_path / "c" / "symbol=A").exists() and (tmp_path / "c" / "symbol=B").exists()
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "text.txt").write_text("kept")
+    assert cli.main(["clear-cache", str(tmp_path / "other"), "--yes"]) == 1 and (tmp_path / "other" / "text.txt").exists()
+    monkeypatch.setattr("builtins.input", lambda _: "y")
+    assert cli.main(["clear-cache", str(tmp_path / "c")]) == 0 and not (tmp_path / "c").exists()
 
 
 def test_known_holidays(spark):
