@@ -194,6 +194,6 @@ def stream_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
 def stream_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger over a stream of feature rows; equal to the batch run, but for the final closing."""
     path = shared_dir(spark, "features")
-    _crossover(spark, sf).coalesce(1).write.parquet(path)
+    _crossover(spark, sf).write.parquet(path)  # availableNow reads all files as one batch
     stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     return rounded(S.equity_of(streams.drained(streams.ledger(stream, S.Settings(max_positions=5)), "ledger")))
