@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity
+from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,11 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.repair(common.table(spark, sf_dir, "conversations"))
 
 
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tokens of a document bear loss; at most 64 pieces in a sequence."""
+    return vector_packing.pack(common.table(spark, sf_dir, "documents"), size=4096, max_segments=64)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_katz_backoff": op2_katz_backoff,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_role_repair": op10_role_repair,
+    "op12_vector_packing": op12_vector_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
