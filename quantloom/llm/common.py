@@ -67,6 +67,20 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             start = stop
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, each of about `limit` bytes of `column` or one of the given ones."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(column)), min_count=0).as_py() or 0
+        if size >= limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(offsets, index, distinct): text i holds the words distinct[index[offsets[i]:offsets[i+1]]].
 
@@ -87,6 +101,37 @@ def split_words(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, p
     return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
 
 
+def byte_classes(words: str = "", spaces: str = "", delimiters: str = "", default: int = 0) -> np.ndarray:
+    """Class of every byte for byte_words: 0 in a word, 1 space, 2 delimiter. Bytes above 127 are in words."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[:128] = default
+    for kind, members in enumerate((words, spaces, delimiters)):
+        kinds[list(members.encode("ascii"))] = kind
+    return kinds
+
+
+def byte_words(texts: pa.Array, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(offsets, index, distinct, part): text i holds the words distinct[index[offsets[i]:offsets[i+1]]], A-Z folded; words of
+    one text without a delimiter between them have the same part. A null text has no words."""
+    texts = pc.ascii_lower(pc.fill_null(texts, ""))
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    body = texts.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[bounds[0] : bounds[-1]] if body is not None else np.zeros(0, np.uint8)
+    kind, bounds = kinds[data], (bounds - bounds[0]).astype(np.int64)
+    word = kind == 0
+    begins = word.copy()
+    begins[1:] &= ~word[:-1]
+    first = bounds[:-1][bounds[:-1] < len(data)]
+    begins[first] = word[first]
+    at = np.flatnonzero(begins)
+    offsets = np.searchsorted(at, bounds)
+    letters = data[word]
+    places = np.append(np.cumsum(word, dtype=np.int32)[at] - 1, len(letters)).astype(np.int32)
+    coded = pa.StringArray.from_buffers(len(at), pa.py_buffer(places), pa.py_buffer(letters)).dictionary_encode()
+    part = np.cumsum(kind == 2, dtype=np.int64)[at] + np.repeat(np.arange(len(texts)), np.diff(offsets))
+    return offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary, part
+
+
 def segments(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[0], starts[0]+1, ... of all segments, one after the other."""
     total = int(lengths.sum())

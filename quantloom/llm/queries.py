@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity, vector_packing
+from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity, tput, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,6 +83,10 @@ def op10_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roles.repair(common.table(spark, sf_dir, "conversations"))
 
 
+def op11_tput_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tput.search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tokens of a document bear loss; at most 64 pieces in a sequence."""
     return vector_packing.pack(common.table(spark, sf_dir, "documents"), size=4096, max_segments=64)
@@ -99,6 +103,7 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_codec": op8_bpe_codec,
     "op9_crf_toxicity": op9_crf_toxicity,
     "op10_role_repair": op10_role_repair,
+    "op11_tput_search": op11_tput_search,
     "op12_vector_packing": op12_vector_packing,
 }
 
@@ -127,4 +132,20 @@ l AS (SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE
 r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.c = l.a),
 m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)""",
+    "op11_tput_search": """
+WITH term AS (
+  SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS t
+  FROM documents WHERE text IS NOT NULL
+), n AS (SELECT doc_id, count(*) AS n FROM term GROUP BY 1), total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM n),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM term GROUP BY 1, 2),
+idf AS (SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, total GROUP BY 1),
+asked AS (
+  SELECT item_id, unnest(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')) AS t
+  FROM benchmark WHERE text IS NOT NULL
+), s AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN idf USING (t) JOIN tf USING (t) JOIN n USING (doc_id), total GROUP BY 1, 2
+)
+SELECT item_id, rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
 }
