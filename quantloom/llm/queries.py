@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity, tput, vector_packing
+from . import bpe, collocations, common, html_text, jaccard, katz, packing, quality, roles, sstable, topk, toxicity, tput, vector_packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +92,10 @@ def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_packing.pack(common.table(spark, sf_dir, "documents"), size=4096, max_segments=64)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(common.table(spark, sf_dir, "documents"), least=100, most=5, top=2000)
+
+
 QUERIES: dict[str, Query] = {
     "op1_pivot_top_k": op1_pivot_top_k,
     "op2_katz_backoff": op2_katz_backoff,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op10_role_repair": op10_role_repair,
     "op11_tput_search": op11_tput_search,
     "op12_vector_packing": op12_vector_packing,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -148,4 +153,27 @@ asked AS (
 )
 SELECT item_id, rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op13_collocations": """
+WITH w AS (
+  SELECT lang, list_filter(regexp_split_to_array(p, '[ \\t]+'), lambda x: x <> '') AS ws FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents)
+), g AS (
+  SELECT lang, k, array_to_string(ws[i:i+k-1], ' ') AS phrase FROM (SELECT lang, ws, unnest(generate_series(1, len(ws))) AS i FROM w), (VALUES (1), (2), (3), (4), (5)) AS s(k) WHERE i + k - 1 <= len(ws)
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM g WHERE k = 1 GROUP BY 1),
+cut AS (
+  SELECT lang, k, phrase, a, c, array_to_string(string_split(phrase, ' ')[1:c], ' ') AS x, array_to_string(string_split(phrase, ' ')[c+1:k], ' ') AS y
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS c FROM f WHERE k > 1)
+), s AS (
+  SELECT cut.lang, cut.k, cut.phrase, cut.a, p.a AS l, q.a AS r, n.n, ((1000::HUGEINT * cut.a * n.n) // (p.a::HUGEINT * q.a))::BIGINT AS score, c
+  FROM cut JOIN f p ON p.lang = cut.lang AND p.phrase = x JOIN f q ON q.lang = cut.lang AND q.phrase = y JOIN n ON n.lang = cut.lang
+), low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i+m-1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest(generate_series(1, k - m + 1)) AS i FROM (SELECT *, unnest(generate_series(2, k - 1)) AS m FROM f WHERE k > 2)) GROUP BY 1, 2
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT low.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM low LEFT JOIN inner_ USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 100 * a
+) WHERE rank <= 2000""",
 }
