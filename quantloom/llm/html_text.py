@@ -2,7 +2,8 @@
 
 Pass one labels each block good, bad or undecided from its place, link density, length and stop-word density.
 Pass two gives an undecided block the label of its nearest decided neighbours. A mark by class or id is taken back
-where it would take the article itself, and stop words do not decide on a page in a language that the list lacks.
+where it would take the article itself, so are forms, dialogs, asides and hidden elements around the whole of it, and
+stop words do not decide on a page in a language that the list lacks.
 """
 
 from __future__ import annotations
@@ -30,8 +31,11 @@ BLOCK = set(
     "head header hgroup hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template svg math iframe object canvas textarea select audio video head title".split())
-AWAY = set("nav footer aside form button menu dialog fieldset".split())
+RAW = set("script style noscript iframe textarea head title".split())
+EMBEDDED = set("template svg math object canvas select audio video".split())
+AWAY = set("nav footer button menu".split())
+NESTED = {"svg", "math", "object", "template"}
+WRAPPERS = set("aside form dialog fieldset".split())
 MAIN = {"article", "main"}
 #: Words of class, id and role attributes whose elements are no part of an article.
 AWAY_WORDS = set(
@@ -43,7 +47,10 @@ AWAY_WORDS = set(
 #: Parts before or after an away word that make it a remark on the layout, and endings that say nothing.
 NOT_BEFORE, NOT_AFTER = {"has", "with", "without", "no", "not", "hide", "hidden"}, {"none", "off", "no", "hidden", "disabled"}
 PLAIN_ENDS = set("wrapper wrap container inner outer area section block box list content row col".split())
-AWAY_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"}
+AWAY_ROLES = {"navigation", "banner", "contentinfo", "search", "alert", "menu", "menubar"}
+WRAPPER_ROLES = {"complementary", "dialog", "form"}
+#: Long texts that a wrapper without article or main must hold to be taken back, and how many times what is outside.
+WRAPPED_TEXTS, WRAPPED_TIMES = 3, 10
 
 #: What a tag, comment or declaration starts with; its end is looked for by itself.
 OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -55,7 +62,7 @@ WORD = re.compile(r"[^\W\d_]+")
 ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
 SENTENCE = re.compile(r"[.!?…。！？।؟۔։]")
 STOPS = frozenset(STOP_WORDS)
-IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 @dataclass
@@ -65,16 +72,18 @@ class Block:
     away: bool
     main: int  # number of the main container, 0 outside
     heading: bool
-    mark: int = -1  # the innermost enclosing element that a class or id marks away, -1 for none
+    mark: int = -1  # the innermost enclosing element that is marked away, -1 for none
 
 
 @dataclass
 class Mark:
-    """An element that a class or id marks away, with the next one around it (-1 for none)."""
+    """An element that a class or id marks away, or a wrapper, with the next one around it (-1 for none)."""
 
     outer: int
+    wrapper: bool = False
     holds: set[str] = field(default_factory=set)  # names of main containers in it
     chars: int = 0  # of long texts in it
+    texts: int = 0  # long texts in it
 
 
 def _marks_away(name: str, inside_main: bool) -> bool:
@@ -89,47 +98,79 @@ def _marks_away(name: str, inside_main: bool) -> bool:
 
 
 def _is_away(name: str, attrs: str, inside_main: bool) -> bool | None:
-    """True for away; None where only a class or id says so."""
+    """True for away; None where a class or id says so, or it is a wrapper."""
     if name in AWAY or name == "header" and not inside_main:
         return True
+    marked = is_wrapper(name, attrs)
     if not attrs or name in ("body", "html", "article", "main"):
-        return False
-    marked = False
+        return None if marked else False
     for key, a, b, c in ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key == "role" and value.strip() in AWAY_ROLES:
+        key = key.lower()
+        if key == "role" and (a or b or c).lower().strip() in AWAY_ROLES:
             return True
         if key in ("class", "id"):
             marked = marked or any(_marks_away(x, inside_main) for x in (a or b or c).split())
     return None if marked else False
 
 
-def _stay_away(blocks: list[Block], marks: list[Mark], open_main: bool) -> list[bool]:
-    """For each marked element whether its blocks are away: unless it and all marked ones around it are taken back.
+def is_wrapper(name: str, attrs: str) -> bool:
+    """Forms, dialogs, asides and hidden elements: away unless they are all there is."""
+    if name in WRAPPERS:
+        return True
+    if not attrs or name in ("body", "html", "article", "main"):
+        return False
+    for key, a, b, c in ATTR.findall(attrs):
+        key, value = key.lower(), (a or b or c).lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return True
+        if key == "role" and value.strip() in WRAPPER_ROLES:
+            return True
+    return False
+
 
-    Taken back are those that hold the article: main itself; an article of a page that has neither article nor main
-    nor a long text outside marked elements; or more than half of the page's long texts, unless an article or main
-    outside marked elements holds some."""
+def _sum_up(blocks: list[Block], marks: list[Mark]) -> tuple[int, int, int]:
+    """Characters of the page's long texts, of those outside marked elements, and of those in a main container there."""
     total = outside = apart = 0
+    for m in marks:
+        m.chars = m.texts = 0
     for b in blocks:
         if not b.away and len(b.text) >= LONG and not _linked(b):
             total += len(b.text)
             if b.mark >= 0:
                 marks[b.mark].chars += len(b.text)
+                marks[b.mark].texts += 1
             else:
                 outside += len(b.text)
                 apart += len(b.text) if b.main else 0
     for m in reversed(marks):  # an inner one comes after the one around it
         if m.outer >= 0:
-            marks[m.outer].holds |= m.holds
-            marks[m.outer].chars += m.chars
-    out: list[bool] = []
-    for m in marks:
-        back = "main" in m.holds or "article" in m.holds and not open_main and not outside or 2 * m.chars > total and not apart
-        out.append(not back or m.outer >= 0 and out[m.outer])
-    return out
+            around = marks[m.outer]
+            around.holds |= m.holds
+            around.chars, around.texts = around.chars + m.chars, around.texts + m.texts
+    return total, outside, apart
+
+
+def _put_away(blocks: list[Block], marks: list[Mark], open_main: bool) -> None:
+    """Blocks of marked elements are away, unless their element and all marked ones around it are taken back.
+
+    Taken back are wrappers that hold main; or the only article and more than half of the page's long texts; or
+    WRAPPED_TEXTS long texts and WRAPPED_TIMES as much of them as the rest of the page. Then, without the texts of the
+    other wrappers, those marked by class or id that hold the article: main itself; an article of a page that has
+    neither article nor main nor a long text outside marked elements; or more than half of the page's long texts,
+    unless an article or main outside marked elements holds some."""
+    away = [False] * len(marks)
+    for wrappers in (True, False):
+        total, outside, apart = _sum_up(blocks, marks)
+        for i, m in enumerate(marks):
+            lone = "article" in m.holds and not open_main and not outside
+            most = 2 * m.chars > total
+            if m.wrapper == wrappers:
+                wraps = lone and most or m.texts >= WRAPPED_TEXTS and WRAPPED_TIMES * (total - m.chars) <= m.chars
+                away[i] = not ("main" in m.holds or (wraps if wrappers else lone or most and not apart))
+        for i, m in enumerate(marks):
+            away[i] = away[i] or m.outer >= 0 and away[m.outer]
+        for b in blocks:
+            b.away = b.away or b.mark >= 0 and away[b.mark]
 
 
 class Tags:
@@ -139,6 +180,7 @@ class Tags:
         self.page = page
         self.ends = True  # whether a > may follow
         self.closed = {'"': True, "'": True}  # whether a quote may follow
+        self.named: dict[str, dict[int, int]] = {}  # ends of embedded elements by where their start tags end
         self.plain_before = 0  # tags that start before this place end at their first >
 
     def next(self, pos: int) -> tuple[int, int, str, str, str] | None:
@@ -161,6 +203,23 @@ class Tags:
                 continue
             return start, end + 1, m[1] or "", m[2] or "", page[after:end] if m[2] else ""
 
+    def own_end(self, name: str, at: int) -> int | None:
+        """Where the element whose start tag ended at `at` ends: after its end tag, unless another one of its name starts
+        before, inner ones of svg, math, object and template apart."""
+        if name not in self.named:
+            found = [(m.start(), m.end(), bool(m[1])) for m in re.finditer(rf"<(/?){name}\b[^<>]*>", self.page, re.I)]
+            open_, ends = [], {}
+            for start, end, slash in found:
+                if not slash:
+                    if name not in NESTED:
+                        open_.clear()
+                    if self.page[end - 2] != "/":
+                        open_.append(end)
+                elif open_:
+                    ends[open_.pop()] = end
+            self.named[name] = ends
+        return self.named[name].get(at)
+
     def _first(self, at: int) -> int:
         found = self.page.find(">", at) if self.ends else -1
         self.ends = found >= 0
@@ -191,8 +250,9 @@ def _decoded(data: str) -> str:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks in page order. Raw elements are skipped to their end tag; p, li and the like end by
-    themselves; a line break is white space, two in a row end the block."""
+    """The text blocks in page order. Raw elements are skipped to their end tag, embedded ones too if they have one of
+    their own, else their tag counts for nothing; p, li and the like end by themselves; a line break is white space,
+    two in a row end the block; what an option holds up to the next tag is dropped."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int, int]] = []  # name, away, main, mark
     opened: Counter[str] = Counter()  # the stack's names
@@ -202,6 +262,7 @@ def blocks_of(page: str) -> list[Block]:
     parts: list[str] = []
     links = mains = pending_links = breaks = 0
     pos, size = 0, len(page)
+    dropped = False  # whether text up to the next tag is
 
     def flush() -> None:
         nonlocal links, breaks
@@ -223,7 +284,7 @@ def blocks_of(page: str) -> list[Block]:
     while pos < size:
         tag = tags.next(pos)
         data = page[pos : tag[0] if tag else size]
-        if data:
+        if data and not dropped:
             if "&" in data:
                 data = _decoded(data)
             parts.append(data)
@@ -231,6 +292,7 @@ def blocks_of(page: str) -> list[Block]:
                 breaks = 0
                 if pending_links:
                     links += len("".join(data.split()))
+        dropped = False
         if not tag:
             break
         _, pos, slash, name, attrs = tag
@@ -264,8 +326,14 @@ def blocks_of(page: str) -> list[Block]:
             elif not attrs.rstrip().endswith("/"):
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, pos)
                 pos = end.end() if end else size
+        elif name in EMBEDDED:
+            if not attrs.rstrip().endswith("/"):
+                pos = tags.own_end(name, pos) or pos
         elif name in BLOCK:
             flush()
+            if name in ("option", "optgroup"):
+                dropped = True
+                continue
             if stack and stack[-1][0] == "p":
                 leave()
             for other in IMPLIED_END.get(name, ()):
@@ -284,15 +352,13 @@ def blocks_of(page: str) -> list[Block]:
                         marks[mark].holds.add(name)
             own = _is_away(name, attrs, bool(main))
             if own is None and not away:
-                marks.append(Mark(mark))
+                marks.append(Mark(mark, is_wrapper(name, attrs)))
                 mark = len(marks) - 1
             stack.append((name, away or bool(own), main, mark))
             opened[name] += 1
     flush()
     if marks:
-        away_marks = _stay_away(out, marks, open_main)
-        for b in out:
-            b.away = b.away or b.mark >= 0 and away_marks[b.mark]
+        _put_away(out, marks, open_main)
     return out
 
 

@@ -123,7 +123,7 @@ def article(page: str | None) -> str:
             self.parts = []
 
         def handle_starttag(self, name, attrs):
-            if name in h.RAW:
+            if name in h.RAW | h.EMBEDDED:
                 self.raw += 1
             elif name == "a":
                 self.in_link = True
@@ -140,7 +140,7 @@ def article(page: str | None) -> str:
                     self.path.append((name, self.get_starttag_text()[len(name) + 1 : -1], self.n))
 
         def handle_endtag(self, name):
-            if name in h.RAW:
+            if name in h.RAW | h.EMBEDDED:
                 self.raw -= 1
             elif name == "a":
                 self.in_link = False
@@ -166,22 +166,29 @@ def article(page: str | None) -> str:
         first_sure = states.index(True) if True in states else len(states)
         return True in states, [e[2] for e, s in list(zip(path, states))[:first_sure] if s is None]
 
+    wrapper = {e[2]: h.is_wrapper(e[0], e[1]) for b in blocks for e in b["path"]}
     for b in blocks:
         b["sure"], b["marks"] = around(b["path"])
         b["main"] = next((e[2] for e in b["path"] if e[0] in h.MAIN), 0)
         b["heading"] = any(re.fullmatch("h[1-6]", e[0]) for e in b["path"][-3:])
         b["linked"] = b["links"] / len(b["text"].replace(" ", "")) > h.MAX_LINKS
-    long = [b for b in blocks if not b["sure"] and len(b["text"]) >= h.LONG and not b["linked"]]
+        b["away"] = b["sure"]
     size = lambda of: sum(len(b["text"]) for b in of)
-    clear = [b for b in long if not b["marks"]]
     open_main = any(around(path) == (False, []) for _, path in containers)
     back = set()
-    for m in {m for b in blocks for m in b["marks"]}:
-        names = {name for name, path in containers if not around(path)[0] and m in around(path)[1]}
-        if "main" in names or "article" in names and not open_main and not clear or 2 * size(b for b in long if m in b["marks"]) > size(long) and not any(b["main"] for b in clear):
-            back.add(m)
+    for kind in (True, False):
+        long = [b for b in blocks if not b["away"] and len(b["text"]) >= h.LONG and not b["linked"]]
+        clear = [b for b in long if not b["marks"]]
+        for m in {m for b in blocks for m in b["marks"] if wrapper[m] == kind}:
+            names = {name for name, path in containers if not around(path)[0] and m in around(path)[1]}
+            own = [b for b in long if m in b["marks"]]
+            lone, most = "article" in names and not open_main and not clear, 2 * size(own) > size(long)
+            wraps = lone and most or len(own) >= h.WRAPPED_TEXTS and h.WRAPPED_TIMES * (size(long) - size(own)) <= size(own)
+            if "main" in names or (wraps if kind else lone or most and not any(b["main"] for b in clear)):
+                back.add(m)
+        for b in blocks:
+            b["away"] = b["away"] or any(m not in back for m in b["marks"] if kind is False or wrapper[m])
     for b in blocks:
-        b["away"] = b["sure"] or any(m not in back for m in b["marks"])
         found = h.WORD.findall(b["text"].lower())
         b["stops"] = sum(w in h.STOPS for w in found) / max(1, len(found))
 

@@ -423,7 +423,7 @@ def test_extract_matches_the_plain_version(spark):
         assert html_text.main_text(page) == brute.article(page), page
 
 
-@pytest.mark.parametrize("page", ['<a "', "<div>|</p>", "<div class=ad>|x", "<a ", "<head>", "<!--", "<a href='", "<li>|</ul>", "&#9", "<b \"'>", "<script "])
+@pytest.mark.parametrize("page", ['<a "', "<div>|</p>", "<div class=ad>|x", "<a ", "<head>", "<!--", "<a href='", "<li>|</ul>", "&#9", "<b \"'>", "<script ", "<svg>|<svg ", "<svg>|</svg>", "<form>|<p>x", "<option>"])
 def test_extract_takes_time_in_proportion(page):
     import time
 

@@ -56,3 +56,36 @@ def test_link_between_spokes_of_a_refuted_hub(spark, monkeypatch):
     star = lambda rows, percent, crossing: pairs(rows, percent, True) if crossing else spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
     monkeypatch.setattr(jaccard, "_pairs", star)
     _assert_like_brute_force(spark, [(0, " ".join(f"v{i}" for i in range(60))), *_near_copies(1, 2)])
+
+
+ARTICLE = [f"{LONG} It is number {i} of the six." for i in range(6)]
+BODY = "".join(f"<p>{t}</p>" for t in ARTICLE)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><nav><a href="/">Home</a></nav><form id="aspnetForm"><div>{BODY}</div></form><footer>Imprint</footer></body>',
+        f"<form><article>{BODY}</article></form>",
+        f"<body><aside>{BODY}</aside></body>",
+        f"<dialog open>{BODY}</dialog>",
+        f'<div role="dialog">{BODY}</div>',
+        f'<div style="visibility: hidden">{BODY}</div>',
+        f'<div aria-hidden="true"><main>{BODY}</main></div>',
+        f'<form id="f"><div class="reader-comments"><p>{COMMENT}</p></div><div>{BODY}</div><label>Name</label><select><option>One<option>Two</select><button>Send</button></form>',
+        *[f"<body><div><{name} src=x>{BODY}</div></body>" for name in ("video", "audio", "object", "canvas", "svg", "select")],
+        f"<body><p>{ARTICLE[0]}</p><video>{''.join(f'<p>{t}</p>' for t in ARTICLE[1:])}<video>no video here</video></body>",
+        f"<body><svg><svg><text>in</text></svg><text>out</text></svg>{BODY}<object><p>plug-in is missing and it is not to be shown to any of the readers of the page</p></object></body>",
+        f"<body><select><option>A<option>B{BODY}</body>",
+    ],
+)
+def test_wrappers_and_open_elements_keep_the_article(page):
+    """Pages marked by hand: the article is always the same six paragraphs."""
+    assert html_text.main_text(page) == "\n\n".join(ARTICLE)
+
+
+def test_wrappers_beside_an_article_stay_away():
+    for part in (f"<form><p>{COMMENT}</p></form>", f"<aside>{BODY}</aside>", f'<div hidden><p>{COMMENT}</p></div>', f'<div role="dialog"><p>{COMMENT}</p></div>', f"<aside><article><p>{COMMENT}</p></article></aside>"):
+        assert html_text.main_text(f"<main><p>{LONG}</p></main>{part}") == LONG
+    assert html_text.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><dialog><p>{COMMENT}</p></dialog>") == f"{LONG}\n\n{LONG}"
+    assert html_text.main_text(f"<dialog><p>{COMMENT}</p></dialog>") == ""
