@@ -57,6 +57,7 @@ OPENING = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 END_OR_QUOTE = re.compile(r"[>\"']")
 HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 WORD = re.compile(r"[^\W\d_]+")
 #: Leading zeros of a numeric reference, and numbers above all characters.
 ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[0-9]{8,};?")
@@ -97,35 +98,34 @@ def _marks_away(name: str, inside_main: bool) -> bool:
     return away(parts[0]) or away(parts[-1]) and (len(parts) == 1 or parts[-2] not in NOT_BEFORE)
 
 
+def _hides(key: str, value: str) -> bool:
+    """Whether an attribute makes its element a wrapper."""
+    return key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value.strip() in WRAPPER_ROLES or key == "style" and bool(HIDDEN.search(value))
+
+
 def _is_away(name: str, attrs: str, inside_main: bool) -> bool | None:
     """True for away; None where a class or id says so, or it is a wrapper."""
     if name in AWAY or name == "header" and not inside_main:
         return True
-    marked = is_wrapper(name, attrs)
+    marked = name in WRAPPERS
     if not attrs or name in ("body", "html", "article", "main"):
         return None if marked else False
     for key, a, b, c in ATTR.findall(attrs):
-        key = key.lower()
-        if key == "role" and (a or b or c).lower().strip() in AWAY_ROLES:
-            return True
+        key, value = key.lower(), a or b or c
         if key in ("class", "id"):
-            marked = marked or any(_marks_away(x, inside_main) for x in (a or b or c).split())
+            marked = marked or any(_marks_away(x, inside_main) for x in value.split())
+        elif key == "role" and value.lower().strip() in AWAY_ROLES:
+            return True
+        else:
+            marked = marked or _hides(key, value.lower())
     return None if marked else False
 
 
 def is_wrapper(name: str, attrs: str) -> bool:
     """Forms, dialogs, asides and hidden elements: away unless they are all there is."""
-    if name in WRAPPERS:
-        return True
-    if not attrs or name in ("body", "html", "article", "main"):
-        return False
-    for key, a, b, c in ATTR.findall(attrs):
-        key, value = key.lower(), (a or b or c).lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if key == "role" and value.strip() in WRAPPER_ROLES:
-            return True
-    return False
+    if name in WRAPPERS or not attrs or name in ("body", "html", "article", "main"):
+        return name in WRAPPERS
+    return any(_hides(key.lower(), (a or b or c).lower()) for key, a, b, c in ATTR.findall(attrs))
 
 
 def _sum_up(blocks: list[Block], marks: list[Mark]) -> tuple[int, int, int]:
