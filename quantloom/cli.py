@@ -135,8 +135,7 @@ def _numbered(equity: DataFrame) -> DataFrame:
 
 
 def _excursions(equity: DataFrame, trades: DataFrame, b: DataFrame) -> DataFrame:
-    x = M.excursions(trades, b)
-    return x.agg(F.count(F.lit(1)).alias("n_trades"), *[F.avg(c).alias(f"avg_{c}") for c in ("mae", "mfe", "efficiency")])
+    return M.excursion_summary(M.excursions(trades, b)).crossJoin(trades.agg(F.count(F.lit(1)).alias("n_trades")))
 
 
 def _paths(equity: DataFrame, trades: DataFrame, b: DataFrame) -> DataFrame:

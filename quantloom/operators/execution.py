@@ -6,17 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Quantities that are not whole are summed in this type, so that running sums of both sides meet exactly.
+EXACT = "decimal(28,9)"
+
+
+def _exact(side: DataFrame) -> DataFrame:
+    """Positive quantities, fractional ones as decimals."""
+    kind = side.schema["quantity"].dataType.simpleString()
+    return side.withColumn("quantity", F.col("quantity").cast(EXACT if kind in ("double", "float") else kind)).where("quantity > 0")
+
+
 def match_lots(buys: DataFrame, sells: DataFrame, by: str) -> DataFrame:
     """First-in-first-out: each buy and sell covers an interval of the running quantity; overlaps are the matches.
 
     buys, sells: (by, seq, quantity, price). Result: by, buy_seq, sell_seq, quantity, pnl. The ends of both sides'
     intervals cut the running quantity; the part before a cut belongs to the next buy and the next sell that end at or
-    after it, which a window carries back: no join."""
+    after it, which a window carries back: no join. Fractional quantities count to nine decimals and come back so."""
 
     def ends(side: DataFrame, name: str, other: str) -> DataFrame:
         w = Window.partitionBy(by).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
         lot = F.struct(F.col("seq"), F.col("price").cast("double").alias("price"))
-        return side.where("quantity > 0").select(by, F.sum("quantity").over(w).alias("cut"), lot.alias(name), F.lit(None).cast(f"struct<seq:{side.schema['seq'].dataType.simpleString()},price:double>").alias(other))
+        return _exact(side).select(by, F.sum("quantity").over(w).alias("cut"), lot.alias(name), F.lit(None).cast(f"struct<seq:{side.schema['seq'].dataType.simpleString()},price:double>").alias(other))
 
     cuts = ends(buys, "buy", "sell").unionByName(ends(sells, "sell", "buy")).groupBy(by, "cut").agg(F.max("buy").alias("buy"), F.max("sell").alias("sell"))
     w = Window.partitionBy(by).orderBy("cut")
@@ -26,6 +36,32 @@ def match_lots(buys: DataFrame, sells: DataFrame, by: str) -> DataFrame:
     return met.select(by, F.col("buy.seq").alias("buy_seq"), F.col("sell.seq").alias("sell_seq"), "quantity", (F.col("quantity") * (F.col("sell.price") - F.col("buy.price"))).alias("pnl"))
 
 
+def match_lots_lifo(buys: DataFrame, sells: DataFrame, by: str) -> DataFrame:
+    """Last-in-first-out, by levels of the running quantity: by, buy_seq, sell_seq, quantity, pnl.
+
+    Each order moves the running quantity across levels, buys up and sells down, so that a level is crossed up and
+    down in turn: what a sell takes away at a level was put there by the crossing before it. What a sell takes beyond
+    the quantity held matches nothing, as nothing crossed its level up before. The levels are the running quantities
+    themselves; an order has a row for each one it crosses. Buys come before sells of the same seq; fractional
+    quantities count to nine decimals."""
+    side = lambda orders, sign: _exact(orders).select(by, "seq", (F.col("quantity") * sign).alias("move"), F.col("price").cast("double").alias("price"))
+    orders = side(buys, 1).unionByName(side(sells, -1))
+    w = Window.partitionBy(by).orderBy("seq", F.desc("move"))
+    walked = orders.withColumn("after", F.sum("move").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    start = walked.select(by).distinct().select(by, F.lit(None).cast(orders.schema["seq"].dataType).alias("seq"), F.lit(0).cast(orders.schema["move"].dataType).alias("move"), F.lit(None).cast("double").alias("price"), F.lit(0).cast(walked.schema["after"].dataType).alias("after"))
+    ranked = walked.unionByName(start).withColumn("level", F.dense_rank().over(Window.partitionBy(by).orderBy("after")))
+    in_turn = Window.partitionBy(by).orderBy(F.asc_nulls_first("seq"), F.desc("move"))
+    steps = ranked.withColumn("before", F.lag("level").over(in_turn)).where("move <> 0")
+    crossed = F.explode(F.sequence(F.least("before", "level") + 1, F.greatest("before", "level")))
+    rows = steps.select(by, "seq", "move", "price", crossed.alias("level"))
+    widths = ranked.select(by, "level", "after").distinct()
+    widths = widths.select(by, "level", (F.col("after") - F.lag("after").over(Window.partitionBy(by).orderBy("level"))).alias("quantity"))
+    here = Window.partitionBy(by, "level").orderBy("seq", F.desc("move"))
+    opened = rows.withColumn("buy", F.lag(F.struct("seq", "price")).over(here)).where("move < 0 and buy is not null")
+    met = opened.join(widths, [by, "level"]).groupBy(by, F.col("buy.seq").alias("buy_seq"), F.col("seq").alias("sell_seq"), (F.col("price") - F.col("buy.price")).alias("gain"))
+    return met.agg(F.sum("quantity").alias("quantity")).select(by, "buy_seq", "sell_seq", "quantity", (F.col("quantity") * F.col("gain")).alias("pnl"))
+
+
 def rebalance_orders(holdings: DataFrame, targets: DataFrame, prices: DataFrame, by: str = "run_id") -> DataFrame:
     """Orders to target weights: sells before buys. holdings: (by, symbol, quantity, equity); targets: (by, symbol, weight)."""
     keys = [by, "symbol"]

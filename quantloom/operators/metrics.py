@@ -247,14 +247,33 @@ def decay_summary(decay: DataFrame) -> DataFrame:
 
 
 def excursions(trades: DataFrame, bars: DataFrame) -> DataFrame:
-    """Worst and best move of each trade between entry and exit, both days counted; one position a symbol at a time.
-
-    Each bar meets the trade entered last; the bar of an exit, on which the next trade may begin, meets its own too."""
-    b, t = bars.select("symbol", "date", "high", "low"), trades.select("symbol", "entry_date", "exit_date", "entry_price", "pnl_pct")
-    inside = asof_join(b, t.withColumn("date", C("entry_date")), "date", ["symbol"]).where("date <= exit_date")
-    met = inside.unionByName(b.join(t.withColumn("date", C("exit_date")), ["symbol", "date"]))
-    g = met.groupBy("symbol", "entry_date", "exit_date", "entry_price", "pnl_pct").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
-    return g.select("symbol", "entry_date", (C("lo") / C("entry_price") - 1).alias("mae"), (C("hi") / C("entry_price") - 1).alias("mfe"), safe(C("pnl_pct"), C("hi") / C("entry_price") - 1).alias("efficiency"))
+    """Worst and best move of each trade between entry and exit, both days counted, and pnl_pct by the best one.
+
+    Trades (symbol, entry_date, exit_date, entry_price, pnl_pct and, if short ones are below 0, quantity) may overlap
+    and repeat. Each meets the bars of its days by an equi-join: single days in the months of its entry and exit, the
+    extremes of whole months between. Trades without a bar or a price above 0 have moves of 0."""
+    keys = ["symbol", "entry_date", "exit_date", "entry_price", "pnl_pct", *(["quantity"] if "quantity" in trades.columns else [])]
+    days = bars.select("symbol", C("date").alias("start"), F.lit("day").alias("unit"), "low", "high")
+    months = bars.groupBy("symbol", F.trunc("date", "month").alias("start")).agg(F.min("low").alias("low"), F.max("high").alias("high")).withColumn("unit", F.lit("month"))
+    month = lambda c, n: F.add_months(F.trunc(c, "month"), n)
+    each = lambda a, b, unit: F.transform(F.when(a <= b, F.sequence(a, b, F.expr(f"interval 1 {unit}"))).otherwise(F.array()), lambda d: F.struct(F.lit(unit).alias("unit"), d.alias("start")))
+    last_month = F.greatest(month("exit_date", 0), month("entry_date", 1))
+    held = F.concat(each(C("entry_date"), F.least(C("exit_date"), F.last_day("entry_date")), "day"), each(month("entry_date", 1), month("exit_date", -1), "month"), each(last_month, C("exit_date"), "day"))
+    unique = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    met = unique.select(*keys, "_n", F.inline_outer(held)).join(days.unionByName(months), ["symbol", "unit", "start"], "left")
+    g = met.groupBy(*keys, "_n").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+    price = F.when(C("entry_price") > 0, C("entry_price"))
+    down, up = C("lo") / price - 1, C("hi") / price - 1
+    if "quantity" in keys:
+        down, up = F.when(C("quantity") < 0, 1 - C("hi") / price).otherwise(down), F.when(C("quantity") < 0, 1 - C("lo") / price).otherwise(up)
+    out = g.select(*keys, F.coalesce(down, F.lit(0.0)).alias("mae"), F.coalesce(up, F.lit(0.0)).alias("mfe"), F.explode(F.array_repeat(F.lit(0), C("_n").cast("int"))).alias("_i"))
+    return out.select(*keys, "mae", "mfe", safe(C("pnl_pct"), C("mfe")).alias("efficiency"))
+
+
+def excursion_summary(moves: DataFrame) -> DataFrame:
+    """Mean worst and best move of all trades, and the best by the worst; 0 without trades."""
+    worst, best = F.avg("mae"), F.avg("mfe")
+    return moves.agg(*[F.coalesce(c, F.lit(0.0)).alias(n) for c, n in ((worst, "avg_mae"), (best, "avg_mfe"), (F.abs(safe(best, worst)), "efficiency"))])
 
 
 def capacity(trades: DataFrame, bars: DataFrame, share: float = 0.01) -> DataFrame:

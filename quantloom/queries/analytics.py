@@ -239,7 +239,7 @@ def decay_horizons(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_TRADES}, g AS (SELECT t.symbol, entry_date, entry_price, pnl_pct, min(low) AS lo, max(high) AS hi FROM trades t JOIN mkt b ON b.symbol = t.symbol AND b.date BETWEEN entry_date AND exit_date GROUP BY ALL)
 SELECT symbol, entry_date, round(lo / entry_price - 1, 6) AS mae, round(hi / entry_price - 1, 6) AS mfe, round(pnl_pct / nullif(hi / entry_price - 1, 0), 6) AS efficiency FROM g""", "mkt")
 def mae_mfe(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(M.excursions(crossover_trades(spark, sf), bars.market_bars(spark, sf)))
+    return rounded(M.excursions(crossover_trades(spark, sf), bars.market_bars(spark, sf)).select("symbol", "entry_date", "mae", "mfe", "efficiency"))
 
 
 @query(f"""WITH {_TRADES}, e AS (SELECT avg(close) AS a, (max(date) - min(date)) / 365.25::DOUBLE AS y FROM mkt)

@@ -13,11 +13,12 @@ KEYS = {"financials": ["metric", "period_end"], "insider": ["filed_date", "insid
 
 
 def merged(old: DataFrame | None, new: DataFrame, kind: str) -> DataFrame:
-    """One row for each symbol and key of the kind: a new one before an old one, then the one filed last."""
+    """One row for each symbol and key of the kind: a new one before an old one, then the one filed last; one without
+    filing date comes after all dated ones of its age. Null symbols and keys are values like others."""
     keys = ["symbol", *KEYS[kind]]
     both = new.withColumn("_age", F.lit(0)) if old is None else old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)), allowMissingColumns=True)
     values = [c for c in both.columns if c not in (*keys, "_age")]
-    latest = F.struct(F.col("_age"), F.lit(0) if "filed_date" in keys else -F.unix_date("filed_date"), *[F.col(c) for c in values])
+    latest = F.struct(F.col("_age"), F.lit(0) if "filed_date" in keys else F.coalesce(-F.unix_date("filed_date"), F.lit(1 << 30)), *[F.col(c) for c in values])
     return both.groupBy(*keys).agg(F.min_by(F.struct(*values), latest).alias("_r")).select(*keys, "_r.*")
 
 
@@ -30,11 +31,14 @@ def read_cache(spark: SparkSession, path: str, kind: str) -> DataFrame | None:
 
 def merge_into_cache(spark: SparkSession, path: str, kind: str, new: DataFrame) -> None:
     """Merges new filings into the cache, a partition a symbol; only the partitions of symbols in new are read and
-    written, after the merged rows are safe in the shared folder."""
+    written, after the merged rows are safe in the shared folder. One writer at a time: two that merge the same symbol
+    at once would lose the rows of one. Filings without symbol are kept under the partition of null."""
     new = new.withColumn("symbol", F.upper("symbol"))
     old = read_cache(spark, path, kind)
     if old is not None:
-        old = old.withColumn("symbol", F.col("symbol").cast("string")).join(new.select("symbol").distinct(), "symbol", "left_semi")
+        old = old.withColumn("symbol", F.col("symbol").cast("string")).alias("o")
+        own = new.select(F.col("symbol").alias("_own")).distinct()
+        old = old.join(own, F.col("o.symbol").eqNullSafe(F.col("_own")), "left_semi")
     rows = materialise(merged(old, new, kind), "filings")
     order = ["symbol", "filed_date"] if "filed_date" in rows.columns else ["symbol"]
     rows.repartition("symbol").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(f"{path}/{kind}")
