@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, base, enrichment, execution, indicators, market, signals, simulation, summaries
+from .queries import analytics, base, enrichment, execution, indicators, market, signals, simulation, streams, summaries
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "vec_backtest_sma"
-MODULES = [market, indicators, signals, analytics, enrichment, summaries, execution, simulation]
+MODULES = [market, indicators, signals, analytics, enrichment, summaries, execution, streams, simulation]
