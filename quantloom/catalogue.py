@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import analytics, base, enrichment, execution, formats, indicators, loading, market, signals, simulation, streams, summaries
+from .queries import analytics, base, enrichment, execution, formats, grids, indicators, loading, market, signals, simulation, streams, summaries
 
 QUERIES = base.QUERIES
 ORACLE_SQL = base.ORACLE_SQL
 FLAGSHIP = "vec_backtest_sma"
-MODULES = [market, indicators, signals, analytics, enrichment, summaries, execution, streams, loading, formats, simulation]
+MODULES = [market, indicators, signals, analytics, enrichment, summaries, execution, streams, loading, formats, grids, simulation]
