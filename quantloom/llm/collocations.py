@@ -3,8 +3,8 @@
 Counts of hashed phrases, summed into a sketch, are upper bounds of the phrases' counts; a phrase is a candidate if its
 own bound and those of all phrases within it reach the least count. Word counts are exact, bounds of pairs come next, then
 those of three to five words where all pairs within can still be frequent. Candidates are compiled into automata of a
-bounded size. In them each word is one code point, and a guard stands where a piece ends or a word is in no candidate, so
-that neither parts of words nor words of two pieces match. Every shard of the texts is scanned for overlapping matches,
+bounded size. Delimiters stand around their words, and a guard where a piece ends or a word is in no candidate, so that
+neither parts of words nor words of two pieces match. Every shard of the texts is scanned for overlapping matches,
 the counts are summed, and only then thresholds and scores apply.
 """
 
@@ -18,14 +18,14 @@ from operator import itemgetter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Text bytes of a shard; buckets of a sketch at least and at most (a bit of each is broadcast: 16 MB); a sketch has a
 #: bucket for so many words; buckets that travel as one row; phrases of an automaton; phrases that a task remembers.
-SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED = 16 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 200_000, 300_000
+SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED = 4 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 100_000, 300_000
 
 #: Words are runs without space and tab; pieces end at `.,;:!?` and at ends of lines.
 KINDS = common.byte_classes(spaces=" \t", delimiters=".,;:!?\n\x0b\x0c\r")
@@ -222,32 +222,25 @@ def candidates(texts: DataFrame, words: DataFrame, n_words: int, most: int, leas
 
 
 class Guarded:
-    """An automaton over the phrases of one language."""
+    """An automaton over the phrases of one language, a delimiter before, between and after their words."""
 
     def __init__(self, phrases: list[str], numbers: list[int]):
         import ahocorasick
 
-        self.point: dict[str, int] = {}
+        self.words = {w for phrase in phrases for w in phrase.split(" ")}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for phrase, number in zip(phrases, numbers, strict=True):
-            self.automaton.add_word("".join([chr(self._code(w)) for w in phrase.split(" ")]), number)
+            self.automaton.add_word(f" {phrase} ", number)
         self.automaton.make_automaton()
 
-    def _code(self, word: str) -> int:
-        """A code point for each word: 1 is the guard, surrogates are left out."""
-        at = self.point.setdefault(word, len(self.point) + 2)
-        return at if at < 0xD800 else at + 0x800
-
     def scan(self, shard: Shard, language: int) -> np.ndarray:
-        """Numbers of the phrases that match, one for each occurrence, overlapping ones too."""
-        points = np.array([0] + [1] * len(shard.words), np.uint32)[1:]
-        for i, word in enumerate(shard.words.to_pylist()):
-            if word in self.point:
-                points[i] = self._code(word)
+        """Numbers of the phrases that match, one for each occurrence, overlapping ones too. A full stop, which no word
+        holds, stands where a piece ends and for words of no phrase."""
+        known = np.array([w if w in self.words else "." for w in shard.words.to_pylist()], object)
         at = np.flatnonzero(shard.language == language)
         ends = np.flatnonzero(np.diff(shard.piece[at])) + 1
-        text = np.insert(points[shard.word[at]], ends, np.uint32(1)).astype("<u4").tobytes().decode("utf-32-le")
-        return np.fromiter(map(itemgetter(1), self.automaton.iter(text)), np.int64)
+        text = " ".join(np.insert(known[shard.word[at]], ends, ".").tolist())
+        return np.fromiter(map(itemgetter(1), self.automaton.iter(f" {text} ")), np.int64)
 
 
 _COMPILED: dict[str, dict[str, Guarded]] = {}
@@ -291,6 +284,12 @@ def phrase_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     return out.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("a").alias("a"))
 
 
+def products() -> tuple[Column, Column]:
+    """1000 * a * n and l * r of longs, exact up to 38 digits."""
+    wide = lambda c: F.col(c).cast("decimal(20,0)")
+    return (F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n")).alias("above"), (wide("l") * wide("r")).alias("below")
+
+
 def mine(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, contained: int = 100, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Each language's `top` phrases of 2 to `most` words that occur `least` times or more: lang, rank, phrase, a, l, r, n, score.
 
@@ -313,8 +312,8 @@ def mine(docs: DataFrame, least: int = 100, most: int = 5, top: int = 2000, cont
     cuts = phrases.select("lang", "phrase", "words", "a", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("cut"))
     cuts = cuts.select("lang", "phrase", "a", "cut", part(1, F.col("cut")).alias("left"), part(F.col("cut") + 1, F.col("words")).alias("right"))
     cuts = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).join(words.groupBy("lang").agg(F.sum("a").alias("n")), "lang")
-    wide = lambda c: F.col(c).cast("decimal(20,0)")
-    cuts = cuts.withColumn("above", F.lit(1000).cast("decimal(4,0)") * wide("a") * wide("n")).withColumn("below", wide("l") * wide("r"))
+    above, below = products()
+    cuts = cuts.select("*", above, below)
     lowest = F.min(F.struct(F.expr("above div below").alias("score"), "cut", "l", "r"))
     scored = cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.first("n").alias("n"), lowest.alias("low")).select("lang", "phrase", "a", "low.l", "low.r", "n", "low.score")
 

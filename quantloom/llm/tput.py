@@ -53,7 +53,7 @@ def totals(texts: DataFrame) -> tuple[int, int]:
     return row[0] or 0, row[1] or 0
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Index:
     """Indexes every whole text. A term has a row for each block it occurs in, so that no row grows with its documents,
     and the rows of a term are dealt to at most SPREAD places."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -61,7 +61,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(common.chunks(common.joined(batches, "text", BLOCK_BYTES), "text", BLOCK_BYTES)):
+        for number, batch in enumerate(common.chunks(common.joined(batches, "text", block_bytes), "text", block_bytes)):
             offsets, words, distinct, _ = common.byte_words(batch.column("text"), KINDS)
             n = np.diff(offsets)
             size = max(len(distinct), 1)
