@@ -428,7 +428,7 @@ def _salted(of: DataFrame) -> DataFrame:
 def _one_each(of: DataFrame) -> DataFrame:
     """One set of each component of a tile, in blocks."""
     least = of.groupBy("tile", "comp").agg(F.min("rep").alias("rep"))
-    return _salted(least.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tile"))))
+    return _salted(least.join(least.groupBy("tile").agg(F.count(F.lit(1)).alias("size")), "tile"))
 
 
 def _crossing(of: DataFrame) -> DataFrame:
@@ -444,17 +444,24 @@ def _crossing(of: DataFrame) -> DataFrame:
 
 
 def _tiles(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """tile, rep, size: the sets that meet in a tile, one for each content, for tiles of two sets or more."""
+    """tile, rep, size: the sets that meet in a tile, one for each content, for tiles of two sets or more.
+
+    Bands and tiles are counted by aggregation, which combines before the shuffle, and the counts joined back: a band
+    that very many sets share is a skewed join, which Spark splits, and no window in one task."""
     made = tile_keys(docs, k, percent, id_col, text_col)
     members = made.groupBy("h1", "h2", "n_shingles", "class").agg(F.min("doc_id").alias("rep"), F.first(F.struct("spare", "keys")).alias("own"))
+    members = common.materialise(members.select("rep", "class", "own"), "bands")
     rows = members.select("rep", "class", F.col("own.spare").alias("spare"), F.explode("own.keys").alias("key"))
-    band = Window.partitionBy("key")
-    counted = rows.withColumn("n", F.count(F.lit(1)).over(band)).withColumn("x", F.bit_xor(F.xxhash64("rep")).over(band)).withColumn("low", F.min("rep").over(band))
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("low")).where("n > 1")
+    counted = rows.join(shared, "key")
     # A set leaves out its most frequent bands. Bands of one set alone are the rarest, and of no use.
     frequent = Window.partitionBy("rep", "class").orderBy(F.desc("n"), F.desc("key"))
-    kept = counted.where("n > 1").withColumn("place", F.row_number().over(frequent)).where("place > spare")
-    met = kept.select(F.xxhash64("n", "x", "low").alias("tile"), "rep").repartition("tile").distinct()  # bands with the same sets are one tile
-    return met.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("tile"))).where("size > 1")
+    kept = counted.withColumn("place", F.row_number().over(frequent)).where("place > spare")
+    met = kept.select(F.xxhash64("n", "x", "low").alias("tile"), "rep").distinct()  # bands with the same sets are one tile
+    sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    tiles = common.materialise(met.join(sizes, "tile"), "tiles")
+    common.discard(members)
+    return tiles
 
 
 def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -469,7 +476,7 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     sigs = common.materialise(signatures(docs, k, id_col, text_col), "signatures")
     key = ["h1", "h2", "n_shingles"]
     reps = common.materialise(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine")).alias("p")), "classes")
-    tiles = common.materialise(_tiles(docs, k, percent, id_col, text_col), "tiles")
+    tiles = _tiles(docs, k, percent, id_col, text_col)
     met_reps = tiles.select("rep").distinct()
     points = common.materialise(reps.join(met_reps, "rep", "left_semi").select("rep", "p.point", "p.fine").distinct(), "points")
     edges: DataFrame | None = None
