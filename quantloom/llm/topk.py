@@ -7,7 +7,8 @@ the order of their bounds until no bound reaches the k-th best; where bounds exc
 evaluated at once by a matrix product.
 
 Vectors are dealt to blocks, one in a task at a time, and each block of queries travels to all of them as a row. So
-neither the number of queries nor that of vectors meets the driver, and the table is read once.
+neither the number of queries nor that of vectors meets the driver. The table is scanned four times: for its size, a sample,
+the query blocks and the vector blocks.
 """
 
 from __future__ import annotations

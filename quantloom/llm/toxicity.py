@@ -238,7 +238,8 @@ class Scorer:
 def sample_and_train(docs: DataFrame, labels: DataFrame, learn_from, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS, train_chars: int = TRAIN_CHARS) -> Field:
     """Trains on at most train_docs labelled documents of at most train_chars characters, the first by a hash of
     their identifier among the rows that learn_from (a Column over doc_id) admits. Rows with a null label, text or
-    identifier are not learned from; a document with several labels counts by the highest."""
+    identifier are not learned from; a document with several labels counts by the highest, of several texts under one
+    identifier the one with the least hash."""
     y = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).alias("y")).where(learn_from & F.col("y").isNotNull())
     y = y.groupBy("doc_id").agg(F.max(F.col("y")).cast("int").alias("y"))
     x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & learn_from & (F.length("text") <= train_chars))
@@ -246,7 +247,7 @@ def sample_and_train(docs: DataFrame, labels: DataFrame, learn_from, id_col: str
     picked = y.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     chosen = {r.doc_id: r.y for r in picked.collect()}
     wanted = F.broadcast(docs.sparkSession.createDataFrame(list(chosen.items()), "doc_id long, y int"))  # at most train_docs rows
-    rows = x.join(wanted, "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = x.join(wanted, "doc_id").groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("doc_id").toArrow()
     return train(rows.column("text").combine_chunks(), rows.column("y").to_numpy().astype(float))
 
 
