@@ -32,11 +32,12 @@ def exact_join_ffill(left: DataFrame, right: DataFrame, columns: list[str], by:
     return joined.select(*left.columns, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in columns])
 
 
-def outer_align(series: list[DataFrame], on: str) -> DataFrame:
-    """All series on all dates of any of them, carried forward."""
-    joined = reduce(lambda a, b: a.join(b, on, "full_outer"), series)
-    w = Window.orderBy(on).rowsBetween(Window.unboundedPreceding, 0)  # one macro calendar: a row a day
-    return joined.select(on, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in joined.columns if c != on])
+def outer_align(series: list[DataFrame], on: str, by: list[str] | None = None) -> DataFrame:
+    """All series on all dates of any of them, carried forward, for each key of `by`."""
+    keys = [*(by or []), on]
+    joined = reduce(lambda a, b: a.join(b, keys, "full_outer"), series)
+    w = Window.partitionBy(*(by or [])).orderBy(on).rowsBetween(Window.unboundedPreceding, 0)  # without keys one macro calendar: a row a day
+    return joined.select(*keys, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in joined.columns if c not in keys])
 
 
 def term_structure(df: DataFrame) -> DataFrame:

@@ -221,10 +221,10 @@ def hhi(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.concentration(_weights(spark, sf), ["date"]))
 
 
-@query(f"""WITH {_W}, s AS (SELECT p_brand AS symbol, min(p_type) AS sector FROM part GROUP BY p_brand)
+@query(f"""WITH {_W}, s AS (SELECT p_brand AS symbol, arg_max(p_type, p_partkey) AS sector FROM part GROUP BY p_brand)
 SELECT date, coalesce(sector, 'Unknown') AS sector, count(*) AS n, round(sum(weight), 6) AS weight FROM w LEFT JOIN s USING (symbol) GROUP BY ALL""", "brand")
 def sector_exposure(spark: SparkSession, sf: str) -> DataFrame:
-    sectors = bars.read_table(spark, sf, "part").groupBy(C("p_brand").alias("symbol")).agg(F.min("p_type").alias("sector"))
+    sectors = bars.read_table(spark, sf, "part").groupBy(C("p_brand").alias("symbol")).agg(F.max_by("p_type", "p_partkey").alias("sector"))
     j = _weights(spark, sf).join(sectors, "symbol", "left")
     return rounded(j.groupBy("date", F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")))
 
@@ -273,19 +273,23 @@ def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(M.deflated_sharpe(M.sharpe_variance(_returns(spark, sf), BY), BY, 20))
 
 
-@query("""WITH w AS (SELECT i::INTEGER AS "window", (DATE '1995-01-01' + to_months(i * 6))::DATE AS s FROM (SELECT unnest(generate_series(0, 20))::INTEGER AS i)),
-x AS (SELECT "window", s AS is_start, (s + to_months(24))::DATE AS is_end FROM w), y AS (SELECT *, is_end + 1 AS oos_start FROM x)
-SELECT "window", is_start, is_end, oos_start, least((oos_start + to_months(6))::DATE, DATE '2001-10-31') AS oos_end FROM y WHERE oos_start < DATE '2001-10-31'""")
+_SPAN = "SELECT min(date) AS a, max(date) AS b FROM mkt"
+
+
+@query(f"""WITH w AS (SELECT i::INTEGER AS "window", (a + to_months(i * 6))::DATE AS s, b FROM ({_SPAN}), (SELECT unnest(generate_series(0, 40))::INTEGER AS i)),
+x AS (SELECT "window", s AS is_start, (s + to_months(24))::DATE AS is_end, b FROM w), y AS (SELECT *, is_end + 1 AS oos_start FROM x)
+SELECT "window", is_start, is_end, oos_start, least((oos_start + to_months(6))::DATE, b) AS oos_end FROM y WHERE oos_start < b""", "mkt")
 def walk_forward_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return research.walk_forward_windows(spark, "1995-01-01", "2001-10-31", 24, 6)
+    """Over the span of the market's bars."""
+    return research.walk_forward_windows(spark, *bars.span(bars.market_bars(spark, sf)), 24, 6)
 
 
-@query("""WITH c AS (SELECT DATE '1995-01-01' AS a, DATE '2001-10-31' AS b, (DATE '2001-10-31' - DATE '1995-01-01') // 5 AS z), f AS (SELECT unnest(generate_series(0, 4))::INTEGER AS i),
+@query(f"""WITH c AS (SELECT a, b, (b - a) // 5 AS z FROM ({_SPAN})), f AS (SELECT unnest(generate_series(0, 4))::INTEGER AS i),
 p AS (SELECT i, (a + (i * z)::INTEGER) AS s, CASE WHEN i = 4 THEN b ELSE (a + ((i + 1) * z - 1)::INTEGER) END AS e FROM f, c),
 t AS (SELECT x.i AS fold, x.s AS test_start, x.e AS test_end, y.i, CASE WHEN y.i = x.i + 1 THEN y.s + 5 ELSE y.s END AS s, CASE WHEN y.i = x.i - 1 THEN y.e - 10 ELSE y.e END AS e FROM p x JOIN p y ON x.i <> y.i)
-SELECT fold, test_start, test_end, s AS train_start, e AS train_end FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY e - s DESC, i) AS k FROM t WHERE s < e) WHERE k = 1""")
+SELECT fold, test_start, test_end, s AS train_start, e AS train_end FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY e - s DESC, i) AS k FROM t WHERE s < e) WHERE k = 1""", "mkt")
 def kfold_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return research.purged_folds(spark, "1995-01-01", "2001-10-31", 5)
+    return research.purged_folds(spark, *bars.span(bars.market_bars(spark, sf)), 5)
 
 
 _SERIES = "ser AS (SELECT row_number() OVER (ORDER BY date) - 1 AS i, b AS r FROM mr), n AS (SELECT count(*) AS n FROM ser)"

@@ -47,6 +47,5 @@ m AS (SELECT "window", is_start, is_end, oos_start, oos_end, combo, {_SHARPE.for
 SELECT "window", is_start, is_end, oos_start, oos_end, combo, round(is_sharpe, 6) AS is_sharpe, round(oos_sharpe, 6) AS oos_sharpe, oos_entries FROM m QUALIFY row_number() OVER (PARTITION BY "window" ORDER BY round(is_sharpe, 9) DESC, combo) = 1""", "brand")
 def rule_grid_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     """Two years in sample, half a year out of it, over the span of the bars."""
-    span = bars.brand_bars(spark, sf).agg(F.min("date").cast("string"), F.max("date").cast("string")).first()
-    windows = [tuple(w) for w in research.walk_forward_windows(spark, *span, 24, 6).collect()]
+    windows = [tuple(w) for w in research.walk_forward_windows(spark, *bars.span(bars.brand_bars(spark, sf)), 24, 6).collect()]
     return rounded(grids.walk_forward(combination_days(spark, sf), windows))

@@ -106,10 +106,12 @@ n AS (SELECT y, h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114 AS n FROM k),
 x AS (SELECT make_date(y, n // 31, n % 31 + 1) - 2 AS date FROM n UNION SELECT CASE WHEN isodow(make_date(y, 1, 1)) = 6 THEN NULL ELSE {_moved_sql(1, 1)} END FROM y
   UNION SELECT {_nth_sql(1, 1, 3)} FROM y WHERE y >= 1998 UNION SELECT {_nth_sql(2, 1, 3)} FROM y UNION SELECT make_date(y, 5, 31) - (isodow(make_date(y, 5, 31)) - 1)::INTEGER FROM y
   UNION SELECT {_moved_sql(6, 19)} FROM y WHERE y >= 2022 UNION SELECT {_moved_sql(7, 4)} FROM y UNION SELECT {_nth_sql(9, 1, 1)} FROM y UNION SELECT {_nth_sql(11, 4, 4)} FROM y UNION SELECT {_moved_sql(12, 25)} FROM y)
-SELECT date FROM (SELECT unnest(generate_series(DATE '1992-01-01', DATE '2030-12-31', INTERVAL 1 DAY))::DATE AS date) WHERE isodow(date) < 6 AND date NOT IN (SELECT date FROM x WHERE date IS NOT NULL)""")
+SELECT date, m.volume FROM (SELECT unnest(generate_series(min(date), max(date), INTERVAL 1 DAY))::DATE AS date FROM mkt) LEFT JOIN mkt m USING (date) WHERE isodow(date) < 6 AND date NOT IN (SELECT date FROM x WHERE date IS NOT NULL)""", "mkt")
 def calendar_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """Exchange sessions by rule; checked in the tests against known closing days."""
-    return calendars.sessions(spark, "1992-01-01", "2030-12-31")
+    """Exchange sessions by rule over the market's span, with what was traded on them; checked in the tests against known
+    closing days."""
+    m = bars.market_bars(spark, sf).select("date", "volume")
+    return calendars.sessions(spark, *bars.span(m)).join(m, "date", "left")
 
 
 _FILINGS = "fil AS (SELECT c_mktsegment AS symbol, o_orderdate::DATE AS filed, o_orderpriority AS metric, o_totalprice AS value, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"
@@ -156,16 +158,19 @@ def exact_join_ffill(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT date, close AS vix_close FROM brand WHERE symbol = 'Brand#12'), b AS (SELECT date, close AS vix_3m FROM brand WHERE symbol = 'Brand#34'),
-j AS (SELECT coalesce(a.date, b.date) AS date, vix_close, vix_3m FROM a FULL JOIN b ON a.date = b.date),
-f AS (SELECT date, last_value(vix_close IGNORE NULLS) OVER w AS vix_close, last_value(vix_3m IGNORE NULLS) OVER w AS vix_3m FROM j WINDOW w AS (ORDER BY date))
-SELECT date, round(vix_close, 6) AS vix_close, round(vix_3m, 6) AS vix_3m, round(vix_close / nullif(vix_3m, 0), 6) AS vix_ratio,
+WITH s AS (SELECT symbol, coalesce(lead(symbol) OVER (ORDER BY symbol), first_value(symbol) OVER (ORDER BY symbol)) AS other FROM (SELECT DISTINCT symbol FROM brand)),
+b AS (SELECT s.symbol, date, close AS vix_3m FROM brand JOIN s ON s.other = brand.symbol),
+j AS (SELECT symbol, date, a.close AS vix_close, vix_3m FROM brand a FULL JOIN b USING (symbol, date)),
+f AS (SELECT symbol, date, last_value(vix_close IGNORE NULLS) OVER w AS vix_close, last_value(vix_3m IGNORE NULLS) OVER w AS vix_3m FROM j WINDOW w AS (PARTITION BY symbol ORDER BY date))
+SELECT symbol, date, round(vix_close, 6) AS vix_close, round(vix_3m, 6) AS vix_3m, round(vix_close / nullif(vix_3m, 0), 6) AS vix_ratio,
   CASE WHEN vix_close / nullif(vix_3m, 0) < 1 THEN 'contango' WHEN vix_close / nullif(vix_3m, 0) >= 1 THEN 'backwardation' END AS vix_regime FROM f""", "brand")
 def outer_align_ffill(spark: SparkSession, sf: str) -> DataFrame:
-    """Two series, each without the days on which nothing of its brand was sold."""
-    series = lambda symbol, name: bars.brand_bars(spark, sf).where(C("symbol") == symbol).select("date", C("close").alias(name))
-    a, b = series("Brand#12", "vix_close"), series("Brand#34", "vix_3m")
-    return rounded(joins.term_structure(joins.outer_align([a, b], "date")))
+    """Each brand's series with the next one's, each without the days on which nothing of its brand was sold."""
+    a = bars.brand_bars(spark, sf).select("symbol", "date", C("close").alias("vix_close"))
+    in_turn = Window.orderBy("symbol")  # a row a symbol
+    pairs = a.select("symbol").distinct().withColumn("other", F.coalesce(F.lead("symbol").over(in_turn), F.first("symbol").over(in_turn)))
+    b = a.select(C("symbol").alias("other"), "date", C("vix_close").alias("vix_3m")).join(F.broadcast(pairs), "other").drop("other")
+    return rounded(joins.term_structure(joins.outer_align([a, b], "date", ["symbol"])))
 
 
 @query("""
@@ -184,21 +189,26 @@ def range_window_30_90d(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("date", "net_shares_30d", C("buys_90d").cast("long").alias("buys_90d"), C("sells_90d").cast("long").alias("sells_90d")))
 
 
-@query("SELECT symbol, date, round(close, 6) AS close FROM brand WHERE symbol IN (SELECT p_brand FROM part WHERE p_size <= 10 GROUP BY p_brand HAVING count(*) >= 2)", "brand")
+@query("SELECT symbol, date, round(close, 6) AS close FROM brand WHERE symbol IN (SELECT p_brand FROM part WHERE p_size <= 10 GROUP BY p_brand HAVING count(*) > (SELECT count(*) FROM part WHERE p_size <= 10) / 25.0)", "brand")
 def semi_universe(spark: SparkSession, sf: str) -> DataFrame:
-    members = bars.read_table(spark, sf, "part").where("p_size <= 10").groupBy(C("p_brand").alias("symbol")).count().where("count >= 2")
+    """The brands with more small parts than a brand has on average."""
+    members = bars.read_table(spark, sf, "part").where("p_size <= 10").groupBy(C("p_brand").alias("symbol")).count()
+    members = members.crossJoin(members.agg(F.sum("count").alias("all"))).where("count > all / 25.0")
     return rounded(bars.brand_bars(spark, sf).select("symbol", "date", "close").join(members, "symbol", "left_semi"))
 
 
 @query("""
-WITH snap AS (SELECT DISTINCT date_trunc('month', date)::DATE AS snap FROM brand WHERE month(date) IN (1, 7)), mem AS (SELECT DISTINCT date_trunc('month', date)::DATE AS snap, symbol FROM brand WHERE month(date) IN (1, 7) AND day(date) <= 10),
+WITH snap AS (SELECT DISTINCT date_trunc('month', date)::DATE AS snap FROM brand WHERE month(date) IN (1, 7)), mem AS (SELECT snap, symbol FROM (SELECT date_trunc('month', date)::DATE AS snap, symbol, sum(volume) AS v FROM brand WHERE month(date) IN (1, 7) AND day(date) <= 10 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY snap ORDER BY v DESC, symbol) <= 15),
 d AS (SELECT b.symbol, b.date, b.close, s.snap FROM brand b ASOF LEFT JOIN snap s ON b.date >= s.snap)
 SELECT symbol, date, round(close, 6) AS close FROM d WHERE snap IS NULL OR EXISTS (SELECT 1 FROM mem WHERE mem.snap = d.snap AND mem.symbol = d.symbol)""", "brand")
 def historical_universe(spark: SparkSession, sf: str) -> DataFrame:
-    b = bars.brand_bars(spark, sf).select("symbol", "date", "close")
+    """An index of the 15 brands most traded in the first ten days of each half-year."""
+    b = bars.brand_bars(spark, sf).select("symbol", "date", "close", "volume")
     named = b.where("month(date) in (1, 7)").withColumn("snap", F.trunc("date", "month"))
-    members = named.where("day(date) <= 10").select("snap", "symbol").distinct()
-    return rounded(joins.universe_filter(b, members, named.select("snap").distinct()))
+    traded = named.where("day(date) <= 10").groupBy("snap", "symbol").agg(F.sum("volume").alias("v"))
+    place = F.row_number().over(Window.partitionBy("snap").orderBy(F.desc("v"), "symbol"))
+    members = traded.withColumn("place", place).where("place <= 15").select("snap", "symbol")
+    return rounded(joins.universe_filter(b.drop("volume"), members, named.select("snap").distinct()))
 
 
 @query("SELECT DISTINCT symbol FROM brand WHERE symbol NOT IN (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 5)", "brand")
@@ -208,19 +218,23 @@ def anti_holdings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT p_brand AS symbol, min(p_type) AS sector FROM part WHERE p_size > 25 GROUP BY p_brand)
+WITH s AS (SELECT p_brand AS symbol, arg_max(p_type, p_partkey) AS sector FROM part WHERE p_size > 25 GROUP BY p_brand)
 SELECT coalesce(sector, 'Unknown') AS sector, count(*) AS n_bars, round(sum(close * volume), 2) AS value FROM brand LEFT JOIN s USING (symbol) GROUP BY 1""", "brand")
 def broadcast_sector(spark: SparkSession, sf: str) -> DataFrame:
-    sectors = bars.read_table(spark, sf, "part").where("p_size > 25").groupBy(C("p_brand").alias("symbol")).agg(F.min("p_type").alias("sector"))
+    sectors = bars.read_table(spark, sf, "part").where("p_size > 25").groupBy(C("p_brand").alias("symbol")).agg(F.max_by("p_type", "p_partkey").alias("sector"))
     b = bars.brand_bars(spark, sf).join(sectors, "symbol", "left")
     return b.groupBy(F.coalesce("sector", F.lit("Unknown")).alias("sector")).agg(F.count(F.lit(1)).alias("n_bars"), F.round(F.sum(C("close") * C("volume")), 2).alias("value"))
 
 
-@query("SELECT f AS fast, s AS slow, a AS alloc, (row_number() OVER (ORDER BY f, s, a) - 1)::BIGINT AS combo FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([50, 100]) AS s), (SELECT unnest([0.1, 0.25]::DOUBLE[]) AS a)")
+@query("""WITH g AS (SELECT f AS fast, s AS slow, a AS alloc, (row_number() OVER (ORDER BY f, s, a) - 1)::BIGINT AS combo FROM (SELECT unnest([5, 10, 20]) AS f), (SELECT unnest([50, 100]) AS s), (SELECT unnest([0.1, 0.25]::DOUBLE[]) AS a))
+SELECT symbol, n_bars, fast, slow, alloc, combo FROM g CROSS JOIN (SELECT symbol, count(*) AS n_bars FROM brand GROUP BY symbol) WHERE n_bars >= slow""", "brand")
 def cross_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The runs of a search: every combination for each brand that has as many bars as its slow mean needs."""
     from ..operators.research import parameter_grid
 
-    return parameter_grid(spark, {"fast": [5, 10, 20], "slow": [50, 100], "alloc": [0.1, 0.25]})
+    grid = parameter_grid(spark, {"fast": [5, 10, 20], "slow": [50, 100], "alloc": [0.1, 0.25]})
+    held = bars.brand_bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
+    return held.crossJoin(F.broadcast(grid)).where("n_bars >= slow").select("symbol", "n_bars", "fast", "slow", "alloc", "combo")
 
 
 @query("SELECT date FROM mkt INTERSECT SELECT date FROM evt UNION SELECT date FROM mkt EXCEPT SELECT date FROM evt", "mkt", "evt")

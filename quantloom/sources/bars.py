@@ -15,6 +15,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def span(bars: DataFrame) -> tuple[str, str]:
+    """The first and the last day of bars."""
+    return tuple(bars.agg(F.min("date").cast("string"), F.max("date").cast("string")).first())
+
+
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
