@@ -11,6 +11,7 @@ the counts are summed, and only then thresholds and scores apply.
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import itemgetter
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Text bytes of a shard; buckets of a sketch at least and at most (a bit of each is broadcast: 16 MB); a sketch has a
-#: bucket for so many words; buckets that travel as one row; phrases of an automaton; phrases that a task remembers.
-SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED = 4 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 100_000, 300_000
+#: bucket for so many words; buckets that travel as one row; phrases of an automaton; phrases that a task remembers before it
+#: sends them on; parts that a language's phrases are dealt to, a row for each task and part.
+SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED, GROUPS = 4 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 100_000, 300_000, 1024
 
 #: Words are runs without space and tab; pieces end at `.,;:!?` and at ends of lines.
 KINDS = common.byte_classes(spaces=" \t", delimiters=".,;:!?\n\x0b\x0c\r")
@@ -199,26 +201,46 @@ def candidates(texts: DataFrame, words: DataFrame, n_words: int, most: int, leas
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = [Sketch(bits, n_buckets) for bits in shared.value], set()
+
+        def packed() -> pa.RecordBatch:
+            rows: dict[tuple[str, int], list[str]] = {}
+            for lang, phrase in seen:
+                rows.setdefault((lang, zlib.crc32(phrase.encode()) % GROUPS), []).append(phrase)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.int32()), pa.array(list(rows.values()), pa.list_(pa.string()))], names=["lang", "part", "phrases"])
+
         for shard in shards(batches):
             ok, size, names = passing(shard, shard.hashes(most), own, most), max(len(shard.words), 1), shard.words.to_pylist()
             code = shard.language * size + shard.word  # codes of the phrases of one word less, the same for the same words
-            out: list[tuple[str, str, int]] = []
             for k in range(2, most + 1):
                 at = np.flatnonzero(ok[k - 1])
                 _, first, same = np.unique(code[at] * size + shard.word[at + k - 1], return_index=True, return_inverse=True)
                 code = np.zeros(len(shard.word), np.int64)
                 code[at] = same
-                for i in at[first].tolist():
-                    found = shard.languages[shard.language[i]], " ".join([names[w] for w in shard.word[i : i + k].tolist()])
-                    if found not in seen:
-                        seen.add(found)
-                        out.append((*found, k))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32()), strict=True)], names=["lang", "phrase", "words"])
+                seen.update((shard.languages[shard.language[i]], " ".join([names[w] for w in shard.word[i : i + k].tolist()])) for i in at[first].tolist())
             if len(seen) > REMEMBERED:
-                seen = set()
+                yield packed()
+                seen.clear()
+        yield packed()
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each phrase of a part once; parts come one after the other."""
+        at, phrases = None, set()
+        for batch in batches:
+            for lang, part, own in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "phrases")), strict=True):
+                if (lang, part) != at:
+                    if at:
+                        yield listed(at[0], phrases)
+                    at, phrases = (lang, part), set()
+                phrases.update(own)
+        if at:
+            yield listed(at[0], phrases)
+
+    def listed(lang: str, phrases: set[str]) -> pa.RecordBatch:
+        own = sorted(phrases)
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own, pa.string()), pa.array([p.count(" ") + 1 for p in own], pa.int32())], names=["lang", "phrase", "words"])
 
-    return texts.mapInArrow(collect, "lang string, phrase string, words int").distinct()
+    dealt = texts.mapInArrow(collect, "lang string, part int, phrases array<string>").repartition("lang", "part").sortWithinPartitions("lang", "part")
+    return dealt.mapInArrow(distinct, "lang string, phrase string, words int")
 
 
 class Guarded:
