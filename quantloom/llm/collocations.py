@@ -249,19 +249,32 @@ class Guarded:
     def __init__(self, phrases: list[str], numbers: list[int]):
         import ahocorasick
 
-        self.words = {w for phrase in phrases for w in phrase.split(" ")}
+        self.code: dict[str, int] = {}
+        pairs: set[tuple[int, int]] = set()
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for phrase, number in zip(phrases, numbers, strict=True):
             self.automaton.add_word(f" {phrase} ", number)
+            codes = [self.code.setdefault(w, len(self.code) + 1) for w in phrase.split(" ")]
+            pairs.update(zip(codes, codes[1:]))
         self.automaton.make_automaton()
+        self.base = len(self.code) + 1
+        self.pairs = np.sort(np.array([a * self.base + b for a, b in pairs], np.int64))
 
     def scan(self, shard: Shard, language: int) -> np.ndarray:
-        """Numbers of the phrases that match, one for each occurrence, overlapping ones too. A full stop, which no word
-        holds, stands where a piece ends and for words of no phrase."""
-        known = np.array([w if w in self.words else "." for w in shard.words.to_pylist()], object)
+        """Numbers of the phrases that match, one for each occurrence, overlapping ones too. Only words beside one that
+        they stand together with in a phrase are looked at; a full stop, which no word holds, stands between others."""
+        names = shard.words.to_pylist()
         at = np.flatnonzero(shard.language == language)
-        ends = np.flatnonzero(np.diff(shard.piece[at])) + 1
-        text = " ".join(np.insert(known[shard.word[at]], ends, ".").tolist())
+        code = np.fromiter((self.code.get(w, 0) for w in names), np.int64, len(names))[shard.word[at]]
+        piece = shard.piece[at]
+        near = np.flatnonzero((code[:-1] > 0) & (code[1:] > 0) & (piece[:-1] == piece[1:]))
+        pair = code[near] * self.base + code[near + 1]
+        near = near[self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair]
+        bound = np.zeros(len(at) + 1, bool)  # whether a word stands together with the one before it
+        bound[near + 1] = True
+        kept = np.flatnonzero(bound[:-1] | bound[1:])
+        text = np.array(names, object)[shard.word[at[kept]]]
+        text = " ".join(np.insert(text, np.flatnonzero(~bound[kept]), ".").tolist())
         return np.fromiter(map(itemgetter(1), self.automaton.iter(f" {text} ")), np.int64)
 
 
