@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..sources import bars, readthrough
+from ..sources import bars, readthrough, universe
 from .base import query, rounded
 
 C = F.col
@@ -39,3 +41,26 @@ def cache_first_load(spark: SparkSession, sf: str) -> DataFrame:
     sessions = bars.weekdays(spark, "1994-01-01", "2002-12-31")
     out = readthrough.load(spark, b.select("symbol").distinct(), "1994-03-01", "1997-10-31", f"{path}/cache", sessions, readthrough.source(spark, f"{path}/source"))
     return rounded(out.select("symbol", "date", "close", "volume"))
+
+
+_SEGMENTS = "seg AS (SELECT c_mktsegment AS key, 'N' || c_nationkey AS symbol, c_acctbal FROM customer)"
+
+
+@query(f"""WITH {_SEGMENTS}, snap AS (SELECT key, list_sort(list(DISTINCT symbol)) AS symbols, CASE key WHEN 'AUTOMOBILE' THEN 3 WHEN 'BUILDING' THEN 7 WHEN 'MACHINERY' THEN 30 ELSE 8 END AS age FROM seg WHERE c_acctbal < 0 AND key <> 'HOUSEHOLD' GROUP BY key),
+page AS (SELECT key, list_sort(list(DISTINCT symbol)) AS symbols FROM seg WHERE c_acctbal > 5000 AND key <> 'MACHINERY' GROUP BY key),
+u AS (SELECT k.key, s.age, CASE WHEN age <= 7 THEN 'fresh' WHEN p.key IS NOT NULL THEN 'fetched' WHEN age IS NOT NULL THEN 'stale' ELSE 'missing' END AS state, CASE WHEN age <= 7 OR p.key IS NULL THEN s.symbols ELSE p.symbols END AS symbols
+  FROM (SELECT DISTINCT key FROM seg) k LEFT JOIN snap s USING (key) LEFT JOIN page p USING (key))
+SELECT key, state, CASE state WHEN 'fetched' THEN TIMESTAMP '2024-03-31' ELSE TIMESTAMP '2024-03-31' - to_days(age) END AS loaded_at, array_to_string(symbols, ' ') AS symbols FROM u""")
+def universe_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """Segments as indices of nations: snapshots of some days, pages of four of the five segments to load from."""
+    c = bars.read_table(spark, sf, "customer").select(C("c_mktsegment").alias("key"), F.concat(F.lit("N"), "c_nationkey").alias("symbol"), "c_acctbal")
+    now = dt.datetime(2024, 3, 31)
+    age = F.when(C("key") == "AUTOMOBILE", 3).when(C("key") == "BUILDING", 7).when(C("key") == "MACHINERY", 30).otherwise(8)
+    held = c.where("c_acctbal < 0 AND key <> 'HOUSEHOLD'").groupBy("key").agg(F.array_sort(F.collect_set("symbol")).alias("symbols"))
+    held = held.select("key", F.date_sub(F.lit(now.date()), age).cast("timestamp_ntz").alias("loaded_at"), "symbols")
+    cells = F.concat(F.lit("<tr><td>"), C("symbol"), F.lit("</td><td>of</td></tr>"))
+    page = c.where("c_acctbal > 5000 AND key <> 'MACHINERY'").groupBy("key").agg(F.concat_ws("", F.collect_set(cells)).alias("rows"))
+    html = F.concat(F.lit("<html><table class='x'><tr><th><b>Symbol</b></th><th>Name</th></tr>"), "rows", F.lit("</table><table><tr><td>no</td></tr></table></html>"))
+    pages = page.select("key", html.alias("html"))
+    out, _ = universe.refresh(spark, c, held, lambda keys: universe.constituents(pages.where(C("key").isin(keys))), now)
+    return out.select("key", "state", "loaded_at", F.array_join("symbols", " ").alias("symbols"))

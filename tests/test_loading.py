@@ -41,3 +41,43 @@ def test_an_empty_cache_is_filled(spark, tmp_path):
     out = readthrough.load(spark, symbols, "2024-01-01", "2024-01-31", cache, calendar, lambda s, a, b: frame(spark, [("A", d, 3.0) for d in SESSIONS]))
     assert out.count() == len(SESSIONS) == readthrough.read(spark, cache).count()
     assert readthrough.load(spark, symbols.limit(0), "2024-01-01", "2024-01-31", cache, calendar, lambda *a: 1 / 0).count() == 0
+
+
+def test_constituents_of_pages(spark, tmp_path):
+    from quantloom.sources import universe
+
+    us = "<p>x</p><TABLE id=a><tr><th>Name</th><th> <a href='/'>Symbol</a>\n</th></tr><tr><td>B</td><td><a>BRK.B</a></td></tr><tr><td>A&amp;T</td><td> T </td></tr><tr><td>T</td><td>T</td></tr><tr><td colspan=2>note</td></tr></TABLE><table><tr><td>Symbol</td></tr><tr><td>NO</td></tr></table>"
+    ca = "<table><tr><th>Ticker</th></tr><tr><td>RY.TO</td></tr><tr><td>BNS</td></tr></table>"
+    for key, page in (("us_index", us), ("ca_index", ca), ("bad", "<table></table>"), ("none", "no table")):
+        (tmp_path / f"key={key}").mkdir()
+        (tmp_path / f"key={key}" / "page.html").write_text(page)
+    got = {r.key: r.symbols for r in universe.read_constituents(spark, str(tmp_path)).collect()}
+    assert got == {"us_index": ["BRK-B", "T"], "ca_index": ["BNS.TO", "RY.TO"]}
+
+
+def test_snapshots_by_age(spark):
+    from quantloom.sources import universe
+
+    now = dt.datetime(2024, 2, 1)
+    rows = [("young", now - dt.timedelta(days=6), ["A"]), ("old", now - dt.timedelta(days=20), ["B0"]), ("old", now - dt.timedelta(days=8), ["B"]), ("late", now + dt.timedelta(days=1), ["C"]), ("lost", now - dt.timedelta(days=9), ["D"]), ("edge", now - universe.TTL, ["E"])]
+    held = spark.createDataFrame(rows, universe.SNAPSHOTS)
+    keys = spark.createDataFrame([(k,) for k in ("young", "old", "late", "lost", "edge", "never")], "key string")
+    asked = []
+
+    def fetch(names):
+        asked.append(sorted(names))
+        return spark.createDataFrame([("old", ["B2"]), ("late", ["C2"]), ("young", ["unasked"])], "key string, symbols array<string>")
+
+    out, new = universe.refresh(spark, keys, held, fetch, now)
+    assert sorted((r.key, r.state, r.symbols) for r in out.collect()) == [("edge", "fresh", ["E"]), ("late", "fetched", ["C2"]), ("lost", "stale", ["D"]), ("never", "missing", None), ("old", "fetched", ["B2"]), ("young", "fresh", ["A"])]
+    assert asked == [["late", "lost", "never", "old"]]
+    again, none = universe.refresh(spark, keys.where("key IN ('old', 'late')"), held.unionByName(new), lambda names: 1 / 0, now + dt.timedelta(hours=1))
+    assert {r.state for r in again.collect()} == {"fresh"} and none.count() == 0
+    own = spark.createDataFrame([("us_index", ["T", "A"], now, "fresh"), ("ca_index", ["A"], now, "stale")], "key string, symbols array<string>, loaded_at timestamp_ntz, state string")
+    assert sorted(r.symbol for r in universe.tickers(own, "us_ca").collect()) == ["A", "T"]
+    for market, frame_ in (("moon", own), ("ca", own.where("key = 'us_index'"))):
+        try:
+            universe.tickers(frame_, market)
+            raise AssertionError(market)
+        except ValueError:
+            pass
