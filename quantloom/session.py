@@ -46,15 +46,26 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share; below ./spark-checkpoints of a local
-    session without it. A cluster must name one."""
+def application_root(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, which driver and executors share: below spark.checkpoint.dir of
+    the session, or below ./spark-checkpoints of a local session without it; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: set it to a folder that driver and executors share")
         base = f"file://{os.path.abspath('spark-checkpoints')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the application's; results may still read it, so that it stays until clear()."""
+    return f"{application_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes the application's folder, once nothing reads a result of it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
