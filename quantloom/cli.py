@@ -131,6 +131,8 @@ def _returns(equity: DataFrame) -> DataFrame:
 
 def _numbered(equity: DataFrame) -> DataFrame:
     """(i, r) of one run: a row a day."""
+    if equity.select("run_id").distinct().limit(2).count() > 1:
+        raise ValueError("one run at a time")
     return _returns(equity).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("i"), "r")
 
 
@@ -193,7 +195,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.verb == "run":
         events = session.materialise(S.simulate(signals(b, o, {}, o["strategy"]), own), "run")
         row = M.bundle(S.equity_of(events), S.trades_of(events), ["run_id"]).first()
-        print(sinks.report(row.asDict()) if row else "no bars")
+        print(sinks.console(S.equity_of(events), S.trades_of(events)) if row else "no bars")
         for name in o["report"] if row else ():
             print(f"\n{name}")
             REPORTS[name](S.equity_of(events), S.trades_of(events), b).show(100, False)

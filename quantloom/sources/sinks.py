@@ -46,6 +46,46 @@ def report(metrics: dict) -> str:
     return "\n".join(f"{k:<{width}}  {v:>16.4f}" if isinstance(v, float) else f"{k:<{width}}  {v!s:>16}" for k, v in metrics.items())
 
 
+MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()
+#: Marks of a month's return in a heat map: from losses of this size, and gains.
+SHADES = [(-0.05, "##"), (-0.02, "=="), (0.0, "--"), (0.02, "+ "), (0.05, "++"), (float("inf"), "**")]
+
+
+def _cell(x: float | None, form: str = "7.1%") -> str:
+    return " " * int(form.split(".")[0]) if x is None or x != x else format(x, form)
+
+
+def calendar_text(equity: DataFrame, top: int = 5) -> str:
+    """One run's months as a table and a heat map, its years and its deepest drawdowns. A row a month, a year and a period
+    come to the driver."""
+    by = ["run_id"]
+    r = M.returns(equity, by)
+    months = [x.asDict() for x in M.monthly_returns(r, by).orderBy("year").collect()]
+    years = M.yearly_summary(r, by).orderBy("year").collect()
+    falls = M.drawdown_periods(equity, by).orderBy("depth", "start").limit(top).collect()
+    out = ["Monthly returns", "Year  " + "".join(f"{m:>8}" for m in [*MONTHS, "YTD"])]
+    out += [f"{m['year']:<6}" + "".join(" " + _cell(m[str(c)]) for c in [*range(1, 13), "ytd"]) for m in months]
+    out += ["", "Heat map  " + "  ".join(f"{mark.strip()} below {limit:.0%}" if limit < float("inf") else f"{mark} above" for limit, mark in SHADES)]
+    shade = lambda x: "  " if x is None or x != x else next(mark for limit, mark in SHADES if x < limit)
+    out += [f"{m['year']:<6}" + " ".join(shade(m[str(c)]) for c in range(1, 13)) for m in months]
+    out += ["", "Years", "Year    Return   Max DD  Sharpe"] + [f"{y.year:<6}" + " " + _cell(y.total) + "  " + _cell(y.max_dd) + _cell(y.sharpe, "8.2f") for y in years]
+    out += ["", "Deepest drawdowns", "Start       Trough      Recovery       Depth  Days"]
+    return "\n".join(out + [f"{f.start!s:<12}{f.trough!s:<12}{str(f.recovery or 'ongoing'):<12}" + " " + _cell(f.depth) + f"{f.days:>6}" for f in falls])
+
+
+def console(equity: DataFrame, trades: DataFrame, benchmark: DataFrame | None = None) -> str:
+    """One run as text: headline metrics, those against benchmark returns (date, b) if given, what the trades earned, the
+    calendar and the last 20 trades."""
+    row = M.bundle(equity, trades, ["run_id"], benchmark).first()
+    if row is None:
+        return "no bars"
+    pnl = trades.agg(F.avg("pnl").alias("mean_pnl"), F.max("pnl").alias("best_pnl"), F.min("pnl").alias("worst_pnl"), F.sum("fees").alias("fees")).first().asDict()
+    last = trades.orderBy(F.desc("exit_date"), "symbol").limit(20).collect()
+    lines = [f"{t.symbol:<10}{t.entry_date!s:<12}{t.exit_date!s:<12}" + _cell(float(t.quantity), "10.0f") + _cell(t.entry_price, "12.4f") + _cell(t.exit_price, "12.4f") + _cell(t.pnl, "14.2f") for t in last]
+    parts = [report(row.asDict()), "Trades\n" + report({k: v for k, v in pnl.items() if v is not None} or {"n": 0}), calendar_text(equity), "\n".join(["Last trades", *lines])]
+    return "\n\n".join(parts)
+
+
 def _chart(values: list[float], title: str, width: int = 720, height: int = 200) -> str:
     """A line chart as SVG, of at most one point a pixel."""
     step = max(1, len(values) // width)
