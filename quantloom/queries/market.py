@@ -28,6 +28,21 @@ def bars_hourly(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(bars.event_bars(spark, sf, "hour").withColumnRenamed("date", "ts"))
 
 
+@query("""
+SELECT upper(p_brand) AS symbol, l_shipdate::DATE AS date, round(px, 6) AS open, round(px * 2, 6) AS high, NULL::DOUBLE AS low, round(CASE WHEN l_quantity % 7 <> 0 THEN px END, 6) AS close, l_quantity::DOUBLE AS volume
+FROM (SELECT *, l_extendedprice / l_quantity AS px FROM lineitem JOIN part ON l_partkey = p_partkey)
+QUALIFY row_number() OVER (PARTITION BY p_brand, l_shipdate::DATE ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) = 1""")
+def bars_normalised(spark: SparkSession, sf: str) -> DataFrame:
+    """Line items as raw rows of a source: late in the evening with an offset, NaN for some closes, several a day."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    lines = bars.read_table(spark, sf, "lineitem").select(*keys, "l_quantity", "l_shipdate")
+    parts = bars.read_table(spark, sf, "part").select(C("p_partkey").alias("l_partkey"), F.concat(F.lit(" "), F.lower("p_brand")).alias("Symbol"))
+    px = C("l_extendedprice") / C("l_quantity")
+    stamp = F.concat(C("l_shipdate").cast("date").cast("string"), F.lit("T23:30:00-05:00"))
+    raw = lines.join(parts, "l_partkey").select("Symbol", stamp.alias("Date"), px.alias("Open"), (px * 2).alias("HIGH"), F.when(C("l_quantity") % 7 == 0, float("nan")).otherwise(px).alias("close"), C("l_quantity").alias("Volume"), F.lit("x").alias("Dividends"), *keys)
+    return rounded(bars.normalise(raw, keys))
+
+
 _RESAMPLE = """
 SELECT symbol, max(date) AS date, round(arg_min(open, date), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, date), 6) AS close, sum(volume)::BIGINT AS volume
 FROM brand GROUP BY symbol, date_trunc('{}', date)"""

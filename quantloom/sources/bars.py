@@ -82,6 +82,23 @@ def _files(raw: DataFrame, kind: str, start: str | None, end: str | None) -> Dat
     return out.where(F.col("date") <= F.lit(end).cast("date")) if end else out
 
 
+def normalise(raw: DataFrame, order: list[str], time: str = "date") -> DataFrame:
+    """symbol, date and the five price columns of rows from any source, sorted within partitions of symbols.
+
+    The names of columns count without case, others are dropped, missing ones are null. Symbols are trimmed and in upper
+    case. A time is the day on its own wall clock: of a string with an offset the day it is written with, of a
+    TIMESTAMP the day in the session's zone. NaN and infinities are null. Of several rows of a day the last by `order`,
+    in which a null comes first, stays whole; rows without symbol or day are left out."""
+    names = {c.lower(): c for c in raw.columns}
+    kind = raw.schema[names[time.lower()]].dataType.simpleString()
+    at = F.col(f"`{names[time.lower()]}`")
+    day = F.expr(f"try_cast(substring(trim(`{names[time.lower()]}`), 1, 10) AS date)") if kind == "string" else at.cast("date")
+    price = lambda c: finite(F.col(f"`{names[c]}`").cast("double")) if c in names else F.lit(None).cast("double")
+    rows = raw.select(F.upper(F.trim(F.col(f"`{names['symbol']}`"))).alias("symbol"), day.alias("date"), *[price(c).alias(c) for c in OHLCV], F.struct(*order).alias("_order"))
+    last = rows.where("symbol IS NOT NULL AND date IS NOT NULL").groupBy("symbol", "date").agg(F.max_by(F.struct(*OHLCV), "_order").alias("r"))
+    return last.select("symbol", "date", "r.*").repartition("symbol").sortWithinPartitions("symbol", "date")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Union in which the later row of a key stays: new rows before old ones."""
     both = old.withColumn("_age", F.lit(1)).unionByName(new.withColumn("_age", F.lit(0)))

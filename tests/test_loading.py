@@ -81,3 +81,14 @@ def test_snapshots_by_age(spark):
             raise AssertionError(market)
         except ValueError:
             pass
+
+
+def test_rows_of_any_source_are_normalised(spark):
+    rows = [(" aa ", "2024-01-02 23:30:00+09:00", 1, 1.0, float("nan")), ("AA", "2024-01-02", 2, 2.0, float("inf")), ("AA", " 2024-01-03T00:00:00Z", 3, 3.0, 5.0), ("AA", "no day", 4, 4.0, 5.0), (None, "2024-01-02", 5, 5.0, 5.0), ("bb", "2024-01-02", None, 6.0, 5.0), ("bb", "2024-01-02", 1, 7.0, 5.0)]
+    raw = spark.createDataFrame(rows, "Symbol string, DATE string, n int, Close double, Volume double").withColumn("Adj Close", F.lit(1.0))
+    got = [tuple(r) for r in bars.normalise(raw, ["n"]).orderBy("symbol", "date").collect()]
+    day = lambda d: dt.date(2024, 1, d)
+    assert got == [("AA", day(2), None, None, None, 2.0, None), ("AA", day(3), None, None, None, 3.0, 5.0), ("BB", day(2), None, None, None, 7.0, 5.0)]
+    stamped = spark.sql("SELECT 'A' AS symbol, TIMESTAMP_NTZ'2024-01-02 23:59:59' AS time, 1 AS n UNION ALL SELECT 'A', TIMESTAMP_NTZ'2024-01-02 00:00:00', 2")
+    assert [(r.symbol, r.date) for r in bars.normalise(stamped, ["n"], "time").collect()] == [("A", day(2))]
+    assert bars.normalise(raw.limit(0), ["n"]).count() == 0
