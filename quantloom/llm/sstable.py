@@ -243,7 +243,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(ids: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
-    """The stored ids of the asked identifiers (a row for each asked row; ids null where there is none).
+    """The stored ids of the asked identifiers (a row for each asked row, repeated ones too; ids null where there is none).
+
+    Of several stored entries of one identifier it is that of the least text. A null identifier finds nothing, stored
+    or not.
 
     Each asked identifier goes to the shard whose key range may hold it; there, Bloom filter and index find
     its block. Only the manifest, a row a shard, is broadcast."""

@@ -189,6 +189,15 @@ def test_tables_round_trip_and_lookup(spark, docs, texts, nothing, monkeypatch):
     assert sstable.write_tables(nothing, empty).count() == 0 and sstable.read_tables(spark, empty).count() == 0
 
 
+def test_lookup_of_repeated_and_null_identifiers(spark):
+    path = common.shared_dir(spark, "sst")
+    sstable.write_tables(spark.createDataFrame([(4, "two words"), (4, "one"), (4, None), (5, "b"), (5, "a"), (None, "x")], "doc_id long, text string"), path, shard_bytes=4)
+    found = sstable.lookup(spark.createDataFrame([(4,), (4,), (5,), (None,)], "doc_id long"), path).collect()
+    t = tokenizer("word_bpe_49k.json")
+    want = [(4, [1]), (4, [1]), (5, [*t.encode("a", add_special_tokens=False).ids, 1]), (None, None)]
+    assert sorted(((r.doc_id, None if r.ids is None else np.frombuffer(r.ids, "<u4").tolist()) for r in found), key=repr) == sorted(want, key=repr)
+
+
 def test_ids_of_every_letter_before_a_stop():
     import sys
     import unicodedata
