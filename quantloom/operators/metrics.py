@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import asof_join
-
 C = F.col
 DAYS = 252.0
 #: What infinite ratios are set to in the metric bundle.
