@@ -121,7 +121,7 @@ class BarsReader(DataSourceReader):
                 files.setdefault(symbol, []).append(file)
         return [Place(s, tuple(f)) for s, f in files.items()]
 
-    def read(self, partition: Place) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Place | None) -> Iterator[pa.RecordBatch]:
         """Without a file to read Spark asks once for none."""
         return _batches(self.path, partition, self.first, self.last) if partition is not None else iter(())
 

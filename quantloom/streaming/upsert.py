@@ -26,8 +26,8 @@ def merge_batch(batch: DataFrame, number: int, path: str, keys: list[str], by: s
     rows = batch.withColumn(BATCH, F.lit(number).cast("long"))
     if _exists(spark, path):
         old = spark.read.schema(rows.schema).parquet(path)
-        here = batch.select(C(by).alias("_here")).distinct()
-        rows = rows.unionByName(old.join(here, C(by).eqNullSafe(C("_here")), "left_semi"))
+        here = [r[0] for r in batch.select(by).distinct().collect()]  # a name for each partition to read
+        rows = rows.unionByName(old.where(C(by).isin([x for x in here if x is not None]) | (C(by).isNull() & F.lit(None in here))))
     values = [c for c in rows.columns if c not in keys and c != BATCH]
     latest = F.max(F.struct(BATCH, *values)).alias("_r")
     merged = rows.groupBy(*keys).agg(latest).select(*keys, "_r.*")
