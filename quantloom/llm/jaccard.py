@@ -443,6 +443,27 @@ def _crossing(of: DataFrame) -> DataFrame:
     return probes.unionByName(members).select(F.xxhash64("tile", "i", "j").alias("tile"), "rep", "comp", "home", "probe")
 
 
+def _with_bands(members: DataFrame, shared: DataFrame) -> DataFrame:
+    """rep, class, spare, key: the sets' bands that a bounded Bloom filter holds for shared ones, so that most bands,
+    which are of one set alone, are not shuffled again; with too many for the filter all of them."""
+    made = _filter_of(shared.select(F.col("key").alias("id")), max(1, shared.count()))
+    if made is None:
+        return members.select("rep", "class", F.col("own.spare").alias("spare"), F.explode("own.keys").alias("key"))
+    held = members.sparkSession.sparkContext.broadcast(made)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, packed = held.value
+        wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            keys = batch.column("keys")
+            flat, of = keys.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), np.diff(keys.offsets.to_numpy()))
+            hit = wanted[_place(flat, bits)]
+            rows = pa.array(of[hit])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("rep", "class", "spare")), pa.array(flat[hit], pa.int64())], names=["rep", "class", "spare", "key"])
+
+    return members.select("rep", "class", "own.spare", "own.keys").mapInArrow(run, "rep long, class int, spare int, key long")
+
+
 def _tiles(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """tile, rep, size: the sets that meet in a tile, one for each content, for tiles of two sets or more.
 
@@ -451,8 +472,10 @@ def _tiles(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     made = tile_keys(docs, k, percent, id_col, text_col)
     members = made.groupBy("h1", "h2", "n_shingles", "class").agg(F.min("doc_id").alias("rep"), F.first(F.struct("spare", "keys")).alias("own"))
     members = common.materialise(members.select("rep", "class", "own"), "bands")
-    rows = members.select("rep", "class", F.col("own.spare").alias("spare"), F.explode("own.keys").alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("low")).where("n > 1")
+    each = members.select("rep", F.explode("own.keys").alias("key"))
+    shared = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.min("rep").alias("low")).where("n > 1")
+    shared = common.materialise(shared, "shared-bands")
+    rows = _with_bands(members, shared)
     counted = rows.join(shared, "key")
     # A set leaves out its most frequent bands. Bands of one set alone are the rarest, and of no use.
     frequent = Window.partitionBy("rep", "class").orderBy(F.desc("n"), F.desc("key"))
@@ -461,6 +484,7 @@ def _tiles(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) ->
     sizes = met.groupBy("tile").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     tiles = common.materialise(met.join(sizes, "tile"), "tiles")
     common.discard(members)
+    common.discard(shared)
     return tiles
 
 
