@@ -20,7 +20,7 @@ _MARK = "m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events)"
 SELECT key, ts AS last FROM k, m WHERE following - ts > INTERVAL 5 DAY OR following IS NULL AND ts + INTERVAL 5 DAY <= mark""")
 def stream_stale_symbols(spark: SparkSession, sf: str) -> DataFrame:
     """A user's events of one type are silent for more than five days."""
-    return streams.drained(timers.silences(streams.events(spark, sf), "concat(user_id, ':', event_type)"), "stale")
+    return streams.drained(timers.silences(streams.events(spark, sf), "concat(user_id, ':', event_type)"), "stale", timers=True)
 
 
 @query(f"""WITH {_MARK}, o AS (SELECT user_id, event_id AS id, ts, value * 0.25::DOUBLE AS level FROM events WHERE event_type = 'purchase'), t AS (SELECT * FROM events WHERE event_type <> 'purchase'),
@@ -30,7 +30,7 @@ def stream_gtc_orders(spark: SparkSession, sf: str) -> DataFrame:
     """A purchase is a limit buy at a quarter of its value, good for a day; a user's other events are prices."""
     is_order = C("event_type") == "purchase"
     rows = streams.events(spark, sf).select(C("user_id").alias("key"), C("event_id").alias("id"), "ts", is_order.alias("is_order"), F.when(is_order, C("value") * 0.25).otherwise(C("value")).alias("price"))
-    return rounded(streams.drained(timers.limit_orders(rows, dt.timedelta(days=1)), "orders"))
+    return rounded(streams.drained(timers.limit_orders(rows, dt.timedelta(days=1)), "orders", timers=True))
 
 
 @query("SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close * CASE WHEN volume % 2 = 0 THEN 2 ELSE 1 END, 6) AS close, volume FROM brand", "brand")

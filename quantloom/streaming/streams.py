@@ -19,19 +19,30 @@ from ..session import shared_dir
 
 C = F.col
 WATERMARK = "1 hour"
+#: Processors with timers need this store, which is not Spark's default.
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream, its time stamps as instants."""
-    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events table, one file or a folder of them, as a stream, its time stamps as instants."""
+    raw = spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").parquet(f"{sf_dir}/events.parque[t]")
     return raw.withColumn("ts", C("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", timers: bool = False) -> DataFrame:
     """Runs a stream over all there is and reads back what it wrote; event times come back without a zone."""
     spark = stream.sparkSession
     path = shared_dir(spark, name)
-    stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    before = spark.conf.get(STORE, None)
+    if timers:
+        spark.conf.set(STORE, ROCKSDB)
+    try:  # a query keeps the settings of its start
+        query = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    finally:
+        if timers:
+            spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
+    query.awaitTermination()
     out = spark.read.schema(stream.schema).parquet(f"{path}/data")
     return out.select(*[C(f.name).cast("timestamp_ntz").alias(f.name) if f.dataType.simpleString() == "timestamp" else C(f.name) for f in out.schema])
 

@@ -2,12 +2,16 @@
 
 import datetime as dt
 import os
+import subprocess
+import sys
 
 import pytest
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import functions as F
 
+from quantloom.queries import streams as stream_queries
 from quantloom.sources import bars, connector
-from quantloom.streaming import timers, upsert
+from quantloom.streaming import streams, timers, upsert
 
 T0 = dt.datetime(2024, 1, 1)
 BAR = "symbol string, date date, open double, high double, low double, close double, volume double"
@@ -47,6 +51,31 @@ def test_orders_fill_or_expire_once(spark, tmp_path):
     assert got == [(1, "filled", h(10), 9.0), (2, "expired", h(25), None), (3, "expired", h(35), None), (4, "expired", h(35), None)]
 
 
+@pytest.mark.parametrize("processor", [timers.Silence(dt.timedelta(days=5)), timers.Pending(dt.timedelta(days=1))])
+def test_processors_unpickle_without_the_package(processor, tmp_path):
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle, sys; sys.modules['quantloom'] = None; print(type(pickle.loads(sys.stdin.buffer.read())).__name__)"
+    out = subprocess.run([sys.executable, "-c", code], input=CloudPickleSerializer().dumps(processor), capture_output=True, env=env, cwd=tmp_path, timeout=60)
+    assert out.stdout.decode().strip() == type(processor).__name__, out.stderr.decode()
+
+
+def test_streams_of_a_folder_with_the_default_store(spark, tmp_path):
+    day = lambda d, h=0: T0 + dt.timedelta(days=d, hours=h)
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [(1, day(0), 7, "purchase", 8.0, None), (2, day(0, 1), 7, "view", 1.5, None), (3, day(9), 7, "view", 9.0, None), (4, day(20), 8, "view", 9.0, None)]
+    spark.createDataFrame(rows, schema).repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    before = spark.conf.get(streams.STORE)
+    spark.conf.set(streams.STORE, "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    try:
+        stale = stream_queries.stream_stale_symbols(spark, str(tmp_path)).collect()
+        orders = stream_queries.stream_gtc_orders(spark, str(tmp_path)).collect()
+        assert "HDFSBacked" in spark.conf.get(streams.STORE)
+    finally:
+        spark.conf.set(streams.STORE, before)
+    assert sorted((r.key, r.last) for r in stale) == [("7:purchase", day(0)), ("7:view", day(0, 1)), ("7:view", day(9))]
+    assert [(r.key, r.id, r.state, r.done_at, r.price) for r in orders] == [("7", 1, "filled", day(0, 1), 1.5)]
+
+
 def test_repeated_batches_change_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/cache"
     row = lambda s, d, c: (s, dt.date(2024, 1, d), c)
