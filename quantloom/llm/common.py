@@ -57,13 +57,16 @@ def crc32_mod(id_col: str, modulus: int) -> Column:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about `limit` bytes of `column`."""
+    """The same rows in slices of about `limit` bytes of `column`, texts or lists of texts."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes, dtype=np.int64)
+        values = batch.column(column)
+        of = values.offsets.to_numpy() - values.offsets[0].as_py() if pa.types.is_list(values.type) else np.arange(n + 1)
+        texts = values.flatten() if pa.types.is_list(values.type) else values
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))[of[1:]]
         start = 0
         while start < n:
             base = ends[start - 1] if start else 0

@@ -77,12 +77,20 @@ class Pool:
 class Loss:
     """loss(example, a, b): loss-bearing tokens of an example's tokens a..b-1, by its runs' ends and marks."""
 
-    def __init__(self, ends: list[np.ndarray], bears: list[np.ndarray]):
-        self.ends = [np.concatenate(([0], e)) for e in ends]
-        self.sums = [np.concatenate(([0], np.cumsum(np.diff(e) * b))) for e, b in zip(self.ends, bears, strict=True)]
+    def __init__(self, ends: list, bears: list):
+        # None where all tokens bear loss: nothing to look up.
+        self.runs = [None if len(e) == 1 and b[0] else self._sums(e, b) for e, b in zip(ends, bears, strict=True)]
+
+    @staticmethod
+    def _sums(ends: list, bears: list) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.concatenate(([0], ends))
+        return ends, np.concatenate(([0], np.cumsum(np.diff(ends) * bears)))
 
     def __call__(self, example: int, a: int, b: int) -> int:
-        x, y = np.interp((a, b), self.ends[example], self.sums[example])
+        run = self.runs[example]
+        if run is None:
+            return b - a
+        x, y = np.interp((a, b), *run)
         return round(y - x)
 
 
@@ -159,6 +167,32 @@ def _cuts(ends: np.ndarray, marks: np.ndarray, size: int, max_loss: int) -> list
     return out
 
 
+PIECE = "doc_id long, doc_tokens long, start long, length long, crc long, loss long, ids binary, ends array<int>, bears array<boolean>"
+PIECE_TYPES = (*[pa.int64()] * 6, pa.binary(), pa.list_(pa.int32()), pa.list_(pa.bool_()))
+PIECE_NAMES = [x.split()[0] for x in PIECE.split(", ")]
+
+
+def _all_bear(doc_ids: pa.Array, ids: np.ndarray, sizes: np.ndarray, size: int) -> pa.RecordBatch:
+    """The pieces of examples of so many ids, one after the other, all of which bear loss: cut at each `size` tokens."""
+    count = -(-sizes // size)
+    of = np.repeat(np.arange(len(sizes)), count)
+    start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * size
+    length = np.minimum(size, sizes[of] - start)
+    full = length == size
+    stops = np.cumsum(length) * 4
+    data = memoryview(ids.tobytes())
+    crc = [zlib.crc32(data[a:b]) for a, b in zip((stops - 4 * length).tolist(), stops.tolist(), strict=True)]
+    rest = ids[np.repeat(~full, length)].tobytes()
+    places = np.concatenate(([0], np.cumsum(np.where(full, 0, 4 * length)))).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(~full, bitorder="little").tobytes())
+    kept = pa.BinaryArray.from_buffers(pa.binary(), len(of), [valid, pa.py_buffer(places), pa.py_buffer(rest)])
+    each, none = pa.array(np.arange(len(of) + 1), pa.int32()), pa.array(full)
+    ends = pa.ListArray.from_arrays(each, pa.array(length, pa.int32()), mask=none)
+    bears = pa.ListArray.from_arrays(each, pa.array(np.ones(len(of), bool)), mask=none)
+    columns = [doc_ids.take(pa.array(of)), *(pa.array(x, pa.int64()) for x in (sizes[of], start, length, crc, length)), kept, ends, bears]
+    return pa.RecordBatch.from_arrays(columns, names=PIECE_NAMES)
+
+
 def encoded(examples: DataFrame, size: int, max_loss: int, vocabulary: str, end_id: int) -> DataFrame:
     """Of each example (id, texts, loss): its length and its pieces, with ids and runs of those that are not full."""
 
@@ -166,33 +200,32 @@ def encoded(examples: DataFrame, size: int, max_loss: int, vocabulary: str, end_
         coder = encoder(vocabulary)
         end = np.array([end_id], np.uint32)
         for whole in batches:
-            for batch in common.chunks(iter([whole]), "joined"):
+            for batch in common.chunks(iter([whole]), "texts"):
                 texts, marks = batch.column("texts"), batch.column("loss")
                 offsets, ids = coder.encode(texts.flatten())
                 of = texts.offsets.to_numpy() - texts.offsets[0].as_py()
                 flags = marks.flatten().to_numpy(zero_copy_only=False).astype(bool)
+                if flags.all() and max_loss >= size:
+                    stops = offsets[of]
+                    yield _all_bear(batch.column("id"), np.insert(ids, stops[1:], end_id).astype("<u4"), np.diff(stops) + 1, size)
+                    continue
                 rows: list[tuple] = []
                 for i, doc_id in enumerate(batch.column("id").to_pylist()):
                     a, b = of[i], of[i + 1]
                     own = np.concatenate((ids[offsets[a] : offsets[b]], end)).astype("<u4")
                     sizes = np.append(np.diff(offsets[a : b + 1]), 1)
                     ends, bears = _runs(np.append(flags[a:b], flags[b - 1] if b > a else True), sizes)
-                    runs, start, pieces = Loss([ends], [bears]), 0, []
+                    runs, start = Loss([ends], [bears]), 0
                     for stop in _cuts(ends, bears, size, max_loss):
                         part = own[start:stop].tobytes()
                         full = stop - start == size
                         at = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop)
                         own_ends = np.minimum(ends[at[0] : at[1] + 1], stop) - start
-                        pieces.append({"start": start, "length": stop - start, "crc": zlib.crc32(part), "loss": runs(0, start, stop), "ids": None if full else part, "ends": None if full else own_ends.tolist(), "bears": None if full else bears[at[0] : at[1] + 1].tolist()})
+                        rows.append((doc_id, len(own), start, stop - start, zlib.crc32(part), runs(0, start, stop), *((None, None, None) if full else (part, own_ends.tolist(), bears[at[0] : at[1] + 1].tolist()))))
                         start = stop
-                    rows.append((doc_id, len(own), pieces))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.list_(PIECE)), strict=True)], names=["doc_id", "doc_tokens", "pieces"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PIECE_TYPES, strict=True)], names=PIECE_NAMES)
 
-    PIECE = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64()), ("loss", pa.int64()), ("ids", pa.binary()), ("ends", pa.list_(pa.int32())), ("bears", pa.list_(pa.bool_()))])
-    kind = "doc_id long, doc_tokens long, pieces array<struct<start long, length long, crc long, loss long, ids binary, ends array<int>, bears array<boolean>>>"
-    # Only its length counts here: texts are dealt to chunks by it.
-    rows = examples.select(F.col("id"), F.col("texts"), F.col("loss"), F.concat_ws("", "texts").alias("joined"))
-    return rows.mapInArrow(encode, kind).select("doc_id", "doc_tokens", F.inline("pieces")).withColumn("row", F.monotonically_increasing_id())
+    return examples.select("id", "texts", "loss").mapInArrow(encode, PIECE).withColumn("row", F.monotonically_increasing_id())
 
 
 def pack(
@@ -219,7 +252,7 @@ def pack(
 
     def fill(key: tuple, rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("row").combine_chunks()
-        of = Loss(*([np.asarray(x) for x in rows.column(c).to_pylist()] for c in ("ends", "bears")))
+        of = Loss(*(rows.column(c).to_pylist() for c in ("ends", "bears")))
         made = np.array(pack_vectors(rows.column("length").to_pylist(), of, limits), np.int64).reshape(-1, 5)
         at, begin, length = made[:, 0], made[:, 1], made[:, 2]
         taken = rows.take(pa.array(at))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +27,15 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Full stops and commas between a Latin letter and white space: a piece of their own, so that a space before them
-#: changes nothing and leaves fewer distinct words. Not for letters that end in a combining mark once they are
-#: normalised and lower-cased, as the library keeps mark and stop together: of these Latin ones U+0130.
-LETTER_STOP = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([.,]+)(\\s)"
+#: ASCII signs between a Latin letter and white space: a piece of their own, so that a space before them changes nothing
+#: and leaves fewer distinct words. Not for letters that end in a combining mark once they are normalised and
+#: lower-cased, as the library keeps mark and sign together: of these Latin ones U+0130. Not for |, which ends the names
+#: of special tokens.
+LETTER_STOP = "([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F])([!-/:-@\\[-`{}~]+)(\\s)"
+
+#: Texts whose A-Z can't be folded before a tokenizer that folds them: a mark may compose with a small letter alone (J and
+#: U+030C do not, j does), and special tokens are found before folding.
+UNFOLDED = "[\u0300-\u036F]|<\\|"
 
 
 class Generation:
@@ -73,12 +80,14 @@ class WordEncoder:
         self.ends_piece = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends_piece[i] = token.endswith("</w>")
+        normalizer = json.loads(self.tokenizer.to_str())["normalizer"] or {}
+        self.folds = any(n["type"] == "Lowercase" for n in normalizer.get("normalizers", [normalizer]) if n)
         self.new, self.old = Generation(), Generation()
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sizes, ids) of words, each encoded by itself."""
         arrays = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter(map(len, arrays), np.int64, len(arrays)), np.fromiter((i for a in arrays for i in a), np.uint32)
+        return np.fromiter(map(len, arrays), np.int64, len(arrays)), np.fromiter(chain.from_iterable(arrays), np.uint32)
 
     def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same for words of letters, each one piece: it ends with its one id that ends a piece. Else (a letter whose lower case is two characters, say) word by word."""
@@ -96,25 +105,31 @@ class WordEncoder:
             if own:
                 self.new.add(own, *encode(own))
 
-    def _meet(self, words: list[str]) -> None:
-        """Brings words into the new generation."""
-        missing = [w for w in words if w not in self.new.place]
-        if self.new.place and len(self.new.place) + len(missing) > GENERATION_WORDS:
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in the new generation, which those that it misses are brought into."""
+        place = np.fromiter(map(self.new.place.get, words, repeat(-1)), np.int64, len(words))
+        at = np.flatnonzero(place < 0)
+        if self.new.place and len(self.new.place) + len(at) > GENERATION_WORDS:
             self.new, self.old = Generation(), self.new
-            missing = words
-        known = [w for w in missing if w in self.old.place]
-        if known:
-            self.new.add(known, *self.old.take(np.fromiter((self.old.place[w] for w in known), np.int64, len(known))))
-            missing = [w for w in missing if w not in self.old.place]
-        for i in range(0, len(missing), 10_000):
-            self._learn(missing[i : i + 10_000])
+            at = np.arange(len(words))
+        missing = [words[i] for i in at.tolist()]
+        before = np.fromiter(map(self.old.place.get, missing, repeat(-1)), np.int64, len(missing))
+        known = np.flatnonzero(before >= 0)
+        if len(known):
+            self.new.add([missing[i] for i in known.tolist()], *self.old.take(before[known]))
+        unknown = [missing[i] for i in np.flatnonzero(before < 0).tolist()]
+        for i in range(0, len(unknown), 10_000):
+            self._learn(unknown[i : i + 10_000])
+        place[at] = np.fromiter(map(self.new.place.__getitem__, missing), np.int64, len(missing))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.replace_substring_regex(pc.fill_null(texts, ""), LETTER_STOP, r"\1 \2\3")
+        if self.folds:
+            texts = pc.if_else(pc.match_substring_regex(texts, UNFOLDED), texts, pc.ascii_lower(texts))
         offsets, index, distinct = common.split_words(texts, lower=False)
-        words = distinct.to_pylist()
-        self._meet(words)
-        place = np.fromiter((self.new.place[w] for w in words), np.int64, len(words))[index] if words else np.zeros(0, np.int64)
+        words = distinct.to_numpy(zero_copy_only=False).tolist()
+        place = self._places(words)[index]
         sizes, ids = self.new.take(place)
         ends = np.concatenate(([0], np.cumsum(sizes)))
         return ends[offsets], ids

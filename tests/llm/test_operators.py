@@ -8,6 +8,7 @@ import zlib
 import brute
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from compare import SF, assert_same
 from pyspark.sql import functions as F
@@ -225,6 +226,18 @@ def test_a_full_word_cache_keeps_its_ids(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_word_variants_are_encoded_once_with_the_library_s_ids():
+    from tokenizers import Tokenizer
+
+    coder = word_ids.WordEncoder("word_bpe_49k.json")
+    coder.encode(pa.array(["Word word WORD*** word!! word ", "word (word ) "]))
+    assert set(coder.new.place) == {"word", "***", "!!", "(word", ")"}
+    texts = ["J\u030c j\u030c T\u0308x A*** b", "<|ENDOFTEXT|> a", "a<|endoftext|> B", "endoftext|> X's DON'T.' \u0130. \u0130\u0307!! ", None, "", "Aa." * 40 + " "]
+    library = Tokenizer.from_file(word_ids.vocabulary_path("word_bpe_49k.json"))
+    offsets, ids = coder.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_is_whole_gapless_and_tight(spark, docs, texts, nothing):
     size = 64
     t = tokenizer("word_bpe_49k.json")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quantloom.llm import collocations, tput, vector_packing
@@ -123,6 +124,15 @@ def test_vector_packing_is_whole_and_unpadded(spark, docs, texts, nothing, size,
     assert vector_packing.pack(nothing).count() == 0
 
 
+def test_pieces_whose_tokens_all_bear_loss_are_made_together(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, None), (None, "a"), (3, "a b c")], "doc_id long, text string")
+    got = vector_packing._all_bear(pa.array([1, 2, None, 3]), np.array([5, 6, 7, 8, 9, 2, 2, 5, 2, 5, 6, 7, 2], "<u4"), np.array([6, 1, 2, 4]), 4).to_pylist()
+    assert [(r["doc_id"], r["doc_tokens"], r["start"], r["length"], r["loss"], r["ends"], r["bears"]) for r in got] == [(1, 6, 0, 4, 4, None, None), (1, 6, 4, 2, 2, [2], [True]), (2, 1, 0, 1, 1, [1], [True]), (None, 2, 0, 2, 2, [2], [True]), (3, 4, 0, 4, 4, None, None)]
+    assert [None if r["ids"] is None else np.frombuffer(r["ids"], "<u4").tolist() for r in got] == [None, [9, 2], [2], [5, 2], None]
+    assert got[0]["crc"] == zlib.crc32(np.array([5, 6, 7, 8], "<u4").tobytes())
+    assert sum(r.length for r in vector_packing.pack(df, size=4).collect()) == 13
+
+
 def test_vector_packing_of_instructions(spark):
     """Prompts bear no loss; the limit on loss-bearing tokens cuts and closes sequences by itself."""
     r = random.Random(8)
