@@ -27,6 +27,9 @@ from .word_ids import encoder
 
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 32 << 20
+#: Text bytes that are encoded at once, and ids that are read back at once: sorting fills the heap of an executor here, so
+#: that its Python workers have less room than elsewhere.
+TEXT_BYTES, READ_IDS = 2 << 20, 1 << 18
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 MAGIC = b"SSTIDS01"
 FOOTER = struct.Struct("<QIQIQQI8s")  # index place and size, filter place and size, entries, ids, width, magic
@@ -190,7 +193,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
         fs.create_dir(root, recursive=True)
         name, writer, sink, first, last = f"{root}/shard-{shard:06d}.sst", None, None, None, None
         own = f"{name}.{context.taskAttemptId()}.tmp"
-        for batch in common.chunks(batches, "text"):
+        for batch in common.chunks(batches, "text", TEXT_BYTES):
             offsets, ids = coder.encode(batch.column("text"))
             if writer is None:
                 sink = fs.open_output_stream(own)
@@ -202,6 +205,7 @@ def write_tables(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.jso
             writer.close()
             sink.close()
             fs.move(own, name)
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_pylist([{"shard": shard, "file": f"shard-{shard:06d}.sst", "first_id": first, "last_id": last, "entries": writer.entries, "ids": writer.ids}], schema=pa.schema([("shard", pa.int32()), ("file", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("entries", pa.int64()), ("ids", pa.int64())]))
 
     ranged.mapInArrow(write, "shard int, file string, first_id long, last_id long, entries long, ids long").write.parquet(f"{path}/manifest")
@@ -222,21 +226,27 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                reader, rows, held = Reader(name), [], 0
-                for doc_id, ids in reader.scan():
-                    rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes()))
-                    start += len(ids)
-                    held += len(ids)
-                    if held > 1 << 20:
-                        yield _rows(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _rows(rows)
+                reader = Reader(name)
+                yield from _batches(reader, start)
                 reader.close()
 
     return shards.repartition(max(1, shards.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
+def _batches(reader: Reader, start: int) -> Iterator[pa.RecordBatch]:
+    """A shard's entries in batches that end once they hold READ_IDS ids."""
+    rows, held = [], 0
+    for doc_id, ids in reader.scan():
+        rows.append((doc_id, start, len(ids), ids.astype("<u4").tobytes()))
+        start += len(ids)
+        held += len(ids)
+        if held >= READ_IDS:
+            yield _rows(rows)
+            rows, held = [], 0
+    if rows:
+        yield _rows(rows)
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])

@@ -226,6 +226,19 @@ def test_a_full_word_cache_keeps_its_ids(monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_shards_are_read_in_bounded_batches(tmp_path):
+    with open(tmp_path / "a.sst", "wb") as sink:
+        writer = sstable.Writer(sink, 2)
+        for i in range(50):
+            writer.add(sstable.key_of(i), np.full(20_000, i, np.uint32))
+        writer.close()
+    reader = sstable.Reader(f"file://{tmp_path}/a.sst")
+    made = [b.to_pylist() for b in sstable._batches(reader, 7)]
+    reader.close()
+    assert max(sum(r["n_tokens"] for r in rows) for rows in made) < (1 << 18) + 20_000
+    assert [(r["doc_id"], r["start"], r["n_tokens"], set(np.frombuffer(r["ids"], "<u4"))) for rows in made for r in rows] == [(i, 7 + 20_000 * i, 20_000, {i}) for i in range(50)]
+
+
 def test_word_variants_are_encoded_once_with_the_library_s_ids():
     from tokenizers import Tokenizer
 
