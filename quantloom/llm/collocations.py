@@ -3,22 +3,20 @@
 Counts of hashed phrases, summed into a sketch, are upper bounds of the phrases' counts; a phrase is a candidate if its
 own bound and those of all phrases within it reach the least count. Word counts are exact, bounds of pairs come next, then
 those of three to five words where all pairs within can still be frequent. Candidates are compiled into automata of a
-bounded size. Delimiters stand around their words, and a guard where a piece ends or a word is in no candidate, so that
-neither parts of words nor words of two pieces match. Every shard of the texts is scanned for overlapping matches,
-the counts are summed, and only then thresholds and scores apply.
+bounded size, whose letters are words; they begin anew where a piece ends or a word is in no candidate. Every shard of the
+texts is scanned for overlapping matches, the counts are summed, and only then thresholds and scores apply.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +24,10 @@ from . import common
 
 #: Text bytes of a shard; buckets of a sketch at least and at most (a bit of each is broadcast: 16 MB); a sketch has a
 #: bucket for so many words; buckets that travel as one row; phrases of an automaton; phrases that a task remembers before it
-#: sends them on; parts that a language's phrases are dealt to, a row for each task and part.
-SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED, GROUPS = 4 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 100_000, 300_000, 1024
+#: sends them on; parts that a language's phrases are dealt to, a row for each task and part; words that an automaton reads
+#: one after the other, other stretches beside them; phrases of which the counts travel as one row.
+SHARD_BYTES, BUCKETS, WORDS_PER_BUCKET, CELL, AUTOMATON, REMEMBERED, GROUPS = 4 << 20, (1 << 16, 1 << 27), 8, 1 << 16, 1_000_000, 300_000, 1024
+STRETCH, NUMBERS = 64, 1 << 12
 
 #: Words are runs without space and tab; pieces end at `.,;:!?` and at ends of lines.
 KINDS = common.byte_classes(spaces=" \t", delimiters=".,;:!?\n\x0b\x0c\r")
@@ -243,80 +243,126 @@ def candidates(texts: DataFrame, words: DataFrame, n_words: int, most: int, leas
     return dealt.mapInArrow(distinct, "lang string, phrase string, words int")
 
 
-class Guarded:
-    """An automaton over the phrases of one language, a delimiter before, between and after their words."""
-
-    def __init__(self, phrases: list[str], numbers: list[int]):
-        import ahocorasick
-
-        self.code: dict[str, int] = {}
-        pairs: set[tuple[int, int]] = set()
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for phrase, number in zip(phrases, numbers, strict=True):
-            self.automaton.add_word(f" {phrase} ", number)
-            codes = [self.code.setdefault(w, len(self.code) + 1) for w in phrase.split(" ")]
-            pairs.update(zip(codes, codes[1:]))
-        self.automaton.make_automaton()
-        self.base = len(self.code) + 1
-        self.pairs = np.sort(np.array([a * self.base + b for a, b in pairs], np.int64))
-
-    def scan(self, shard: Shard, language: int) -> np.ndarray:
-        """Numbers of the phrases that match, one for each occurrence, overlapping ones too. Only words beside one that
-        they stand together with in a phrase are looked at; a full stop, which no word holds, stands between others."""
-        names = shard.words.to_pylist()
-        at = np.flatnonzero(shard.language == language)
-        code = np.fromiter((self.code.get(w, 0) for w in names), np.int64, len(names))[shard.word[at]]
-        piece = shard.piece[at]
-        near = np.flatnonzero((code[:-1] > 0) & (code[1:] > 0) & (piece[:-1] == piece[1:]))
-        pair = code[near] * self.base + code[near + 1]
-        near = near[self.pairs[np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)] == pair]
-        bound = np.zeros(len(at) + 1, bool)  # whether a word stands together with the one before it
-        bound[near + 1] = True
-        kept = np.flatnonzero(bound[:-1] | bound[1:])
-        text = np.array(names, object)[shard.word[at[kept]]]
-        text = " ".join(np.insert(text, np.flatnonzero(~bound[kept]), ".").tolist())
-        return np.fromiter(map(itemgetter(1), self.automaton.iter(f" {text} ")), np.int64)
-
-
-_COMPILED: dict[str, dict[str, Guarded]] = {}
-
-
-def compiled(group: dict) -> dict[str, Guarded]:
-    """The automata of a group by language; a worker holds those of one group at a time."""
-    if group["id"] not in _COMPILED:
-        _COMPILED.clear()
-        numbers: dict[str, list[int]] = {}
-        for i, name in enumerate(group["lang"]):
-            numbers.setdefault(name, []).append(i)
-        _COMPILED[group["id"]] = {name: Guarded([group["phrase"][i] for i in own], own) for name, own in numbers.items()}
-    return _COMPILED[group["id"]]
+class Automaton:
+    """An Aho-Corasick automaton over words, so that neither parts of words nor words of two pieces or languages match.
+
+    State 0 is the root; a state of one word is that word's code in its language; longer states follow by length and are
+    numbered as their edges (state and code of the next word) are sorted, which needs a number an edge and no pointer."""
+
+    def __init__(self, phrases: pa.Array, languages: pa.Array):
+        split = pc.split_pattern(phrases, " ")
+        word, language = split.flatten().dictionary_encode(), languages.dictionary_encode()
+        self.words, self.languages = word.dictionary, language.dictionary
+        lengths = np.diff(split.offsets.to_numpy()).astype(np.int64)
+        begins = np.cumsum(lengths) - lengths
+        key = np.repeat(language.indices.to_numpy(), lengths).astype(np.int64) * len(self.words) + word.indices.to_numpy()
+        self.roots, code = np.unique(key, return_inverse=True)
+        code += 1
+        self.base, self.depths = len(self.roots) + 1, [1, len(self.roots) + 1]
+        self.edges, self.fail = np.zeros(0, np.int64), np.zeros(self.base, np.int32)
+        self.ends = code[begins]
+        for k in range(1, int(lengths.max(initial=0))):
+            longer = np.flatnonzero(lengths > k)
+            edges, same = np.unique(self.ends[longer] * self.base + code[begins[longer] + k], return_inverse=True)
+            fail = self.step(self.fail[edges // self.base], edges % self.base)
+            self.ends[longer] = self.depths[-1] + same
+            self.edges, self.fail = np.append(self.edges, edges), np.append(self.fail, fail)
+            self.depths.append(len(self.fail))
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The states after one more word each: along an edge of the state or of the first of its failure states that has one."""
+        out = code.astype(np.int32)  # what the root leads to
+        at = np.flatnonzero(state)
+        state, code = state[at], code[at]
+        while len(at) and len(self.edges):
+            edge = state.astype(np.int64) * self.base + code
+            found = np.searchsorted(self.edges, edge)
+            hit = self.edges[np.minimum(found, len(self.edges) - 1)] == edge
+            out[at[hit]] = found[hit] + self.base
+            state = self.fail[state]
+            left = np.flatnonzero(~hit & (state > 0))
+            at, state, code = at[left], state[left], code[left]
+        return out
+
+    def codes(self, shard: Shard) -> np.ndarray:
+        """The code of each word of the shard, 0 for those in no phrase of their language."""
+        word, language = (pc.fill_null(pc.index_in(own, value_set=of), -1).to_numpy(zero_copy_only=False).astype(np.int64) for own, of in ((shard.words, self.words), (pa.array(shard.languages, pa.string()), self.languages)))
+        at = np.flatnonzero((word[shard.word] >= 0) & (language[shard.language] >= 0)) if len(word) else np.zeros(0, np.int64)
+        key = language[shard.language[at]] * len(self.words) + word[shard.word[at]]
+        found = np.searchsorted(self.roots, key)
+        hit = self.roots[np.minimum(found, len(self.roots) - 1)] == key
+        out = np.zeros(len(shard.word), np.int64)
+        out[at[hit]] = found[hit] + 1
+        return out
+
+    def visits(self, shard: Shard) -> np.ndarray:
+        """How often each state is reached. Stretches of at most STRETCH words, each after as many words before it as a
+        state can hold, go through the automaton side by side."""
+        code = self.codes(shard)
+        same = shard.piece[1:] == shard.piece[:-1]
+        begins = np.flatnonzero(np.r_[True, ~(same & (code[1:] > 0) & (code[:-1] > 0))][: len(code)])
+        lengths = np.diff(np.append(begins, len(code)))
+        begins, lengths = begins[lengths > 1], lengths[lengths > 1]  # no phrase has one word
+        parts = -(-lengths // STRETCH)
+        inner = common.segments(np.zeros(len(parts), np.int64), parts) * STRETCH
+        first, size = np.repeat(begins, parts) + inner, np.minimum(np.repeat(lengths, parts) - inner, STRETCH)
+        before = np.minimum(inner, len(self.depths) - 2)
+        order = np.argsort(-(size + before), kind="stable")
+        first, before, size = (first - before)[order], before[order], (size + before)[order]
+        reached, state = np.zeros(len(code), np.int32), np.zeros(len(first), np.int32)
+        for t in range(int(size.max(initial=0))):
+            active = int(np.searchsorted(-size, -t))
+            at = first[:active] + t
+            state[:active] = self.step(state[:active], code[at])
+            own = before[:active] <= t
+            reached[at[own]] = state[:active][own]
+        return np.bincount(reached, minlength=len(self.fail))
+
+    def counts(self, visits: np.ndarray) -> np.ndarray:
+        """How often each phrase occurs, overlapping ones too: a state's visits are those of its failure states as well."""
+        total = visits.copy()
+        for low, high in reversed(list(zip(self.depths[1:-1], self.depths[2:], strict=True))):
+            np.add.at(total, self.fail[low:high], total[low:high])
+        return total[self.ends]
 
 
 def phrase_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
     """lang, phrase, words, a: exact counts of the candidates that occur. Automata hold about AUTOMATON phrases, one is
-    broadcast after the other, and each scans all shards."""
+    broadcast after the other, and each scans all shards; tasks send counts of phrases by number, a row for NUMBERS of them."""
     spark = texts.sparkSession
     groups = max(1, -(-found.count() // AUTOMATON))
     out = spark.createDataFrame([], "lang string, phrase string, words int, a long")
     for g in range(groups):
-        rows = found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).toArrow()
+        rows = found.where(F.pmod(F.xxhash64("lang", "phrase"), F.lit(groups)) == g).toArrow().combine_chunks()
         if not rows.num_rows:
             continue
-        shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex} | {c: rows.column(c).to_pylist() for c in ("lang", "phrase", "words")})
+        lang, phrase, words = (rows.column(c).combine_chunks() for c in ("lang", "phrase", "words"))
+        shared, named = spark.sparkContext.broadcast(Automaton(phrase, lang)), spark.sparkContext.broadcast((lang, phrase, words))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lang, phrase, words = (shared.value[c] for c in ("lang", "phrase", "words"))
-            own = compiled(shared.value)
-            total = np.zeros(len(phrase), np.int64)
+            own = shared.value
+            visits = np.zeros(len(own.fail), np.int64)
             for shard in shards(batches):
-                for i, name in enumerate(shard.languages):
-                    if name in own:
-                        total += np.bincount(own[name].scan(shard, i), minlength=len(total))
+                visits += own.visits(shard)
+            total = own.counts(visits)
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([lang[i] for i in at], pa.string()), pa.array([phrase[i] for i in at], pa.string()), pa.array([words[i] for i in at], pa.int32()), pa.array(total[at], pa.int64())], names=["lang", "phrase", "words", "a"])
-
-        out = out.unionByName(texts.mapInArrow(scan, "lang string, phrase string, words int, a long"))
-    return out.groupBy("lang", "phrase").agg(F.first("words").alias("words"), F.sum("a").alias("a"))
+            cells, begins = np.unique(at // NUMBERS, return_index=True)
+            ends = pa.array(np.append(begins, len(at)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.ListArray.from_arrays(ends, pa.array((at % NUMBERS).astype(np.int16))), pa.ListArray.from_arrays(ends, pa.array(total[at]))], names=["cell", "places", "counts"])
+
+        def total(batches: Iterator[pa.RecordBatch], named=named) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for cell, places, counts in zip(*(batch.column(c) for c in ("cell", "places", "counts")), strict=True):
+                    own = sums.setdefault(cell.as_py(), np.zeros(NUMBERS, np.int64))
+                    own[places.values.to_numpy()] += counts.values.to_numpy()
+            for cell, own in sums.items():
+                at = np.flatnonzero(own)
+                yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at + cell * NUMBERS)) for x in named.value), pa.array(own[at])], names=["lang", "phrase", "words", "a"])
+
+        counted = texts.mapInArrow(scan, "cell long, places array<short>, counts array<long>").repartition("cell")
+        out = out.unionByName(counted.mapInArrow(total, "lang string, phrase string, words int, a long"))
+    return out
 
 
 def products() -> tuple[Column, Column]:

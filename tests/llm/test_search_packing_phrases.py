@@ -238,3 +238,25 @@ def test_sketch_bounds_are_never_below_counts():
     for value, pair in zip(h[1].tolist(), zip(text.split(), text.split()[1:])):
         by[pair].add(value)
     assert all(len(v) == 1 for v in by.values()) and len({next(iter(v)) for v in by.values()}) == len(counts)
+
+
+def test_automaton_of_many_phrases_counts_overlapping_ones_across_stretches(monkeypatch):
+    """One automaton holds as many phrases as ten did, and its failure states give what overlaps and what is within."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    assert collocations.AUTOMATON >= 1_000_000
+    texts = [" ".join(r.choices("abcd", [6, 3, 2, 1], k=n)) for n in (700, 1, 0, 90, 5)] + ["a b. a b\na b c d! a"]
+    languages = ["en", "fr", "en", "fr", "en", "en"]
+    phrases = [("en", p) for p in ("a a", "a b", "a a a", "b a b c", "a b c d a", "c d", "d d d d d")] + [("fr", "a b"), ("fr", "b a a"), ("de", "a b")]
+    shard = collocations.Shard.of(pa.record_batch([pa.array(texts), pa.array(languages)], names=["text", "lang"]))
+    own = collocations.Automaton(pa.array([p for _, p in phrases]), pa.array([g for g, _ in phrases]))
+    want = []
+    for lang, phrase in phrases:
+        pieces = [x.split() for t, g in zip(texts, languages, strict=True) if g == lang for x in re.split(r"[.!\n]", t)]
+        p = phrase.split()
+        want.append(sum(x[i : i + len(p)] == p for x in pieces for i in range(len(x))))
+    for stretch in (1, 3, 64):
+        monkeypatch.setattr(collocations, "STRETCH", stretch)
+        assert own.counts(own.visits(shard)).tolist() == want
+    assert sum(n > 0 for n in want) > 6
