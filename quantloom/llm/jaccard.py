@@ -11,8 +11,10 @@ out. So what many texts have in common brings together only those that have litt
 bands (they are few) keep all their bands, empty ones too, for each other.
 
 In each tile, an R-tree over the points finds the sets whose bound reaches the needed overlap, and the surviving pairs
-are verified on the full sets. A long set fills the groups so evenly that its bound says little, so pairs first meet
-with finer points, of about two shingles a group.
+are verified on the full sets. Counts say little where several shingles fall into a group, so of what the tree finds only
+those go on whose parities, of more groups, differ in no more places than linked sets can differ in shingles. A pair that
+meets in many tiles of a task is sent on once. A long set fills the groups so evenly that its bound says little, so pairs
+first meet with finer points, of about two shingles a group.
 
 Components need no link between sets that are connected already. So a first round verifies a star for each
 tile, a second one a star over the components left in it, and a last one all surviving pairs between different
@@ -22,7 +24,7 @@ components: no link between components is missed. No task compares more than a b
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,8 @@ GROUPS, CLASS_RATIO, LEAF, FANOUT = 128, 1.5, 32, 16
 SPARE = 1.5
 #: Members of a tile in a block; larger tiles are compared block by block.
 TILE_MEMBERS = 256
+#: Parities of a set at least and at most: two a shingle within that. Pairs that a task remembers as sent on.
+PARITIES, REMEMBERED = (256, 2048), 200_000
 #: Spokes that one task verifies against a hub.
 STAR = 256
 #: Size of a filter that is broadcast (16 MB); more identifiers than it serves meet their rows by a shuffle instead.
@@ -165,15 +169,22 @@ class RTree:
         return self.order[nodes]
 
 
-def _star(points: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """(hub, spoke) of one tile: the smallest free identifier takes all free sets that its bound reaches, and so on."""
+def may_link(points: np.ndarray, bits: np.ndarray, i: int, near: np.ndarray, percent: int) -> np.ndarray:
+    """Those of near whose parities differ from i's in no more places than linked sets differ in shingles: every place in
+    which they differ holds a shingle of one set alone."""
+    size, sizes = points[i].sum(), points[near].sum(1)
+    return near[np.bitwise_count(bits[near] ^ bits[i]).sum(1, dtype=np.int64) <= size + sizes - 2 * needed(sizes, size, percent)]
+
+
+def _star(points: np.ndarray, bits: np.ndarray, ids: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(hub, spoke) of one tile: the smallest free identifier takes all free sets that its bounds reach, and so on."""
     free = np.ones(len(ids), bool)
     tree, out = RTree(points, percent), []
     for i in np.argsort(ids, kind="stable"):
         if free[i]:
             free[i] = False
             near = tree.search(points[i])
-            near = near[free[near]]
+            near = may_link(points, bits, i, near[free[near]], percent)
             free[near] = False
             out += [(int(ids[i]), int(j)) for j in ids[near]]
     return out
@@ -192,17 +203,17 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 def signatures(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the set and its two points (null for an empty set)."""
+    """doc_id, n_shingles, two hashes of the set, its two points and its parities (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, types = ["n_shingles", "h1", "h2", "point", "fine"], [pa.int64()] * 3 + [pa.binary()] * 2
+        names, types = ["n_shingles", "h1", "h2", "point", "fine", "bits"], [pa.int64()] * 3 + [pa.binary()] * 3
         for batch in common.chunks(batches, "text"):
             with np.errstate(over="ignore"):
-                rows = [(len(s), *_hashes(s), pack_point(s), pack_fine(s)) if len(s) else (0, None, None, None, None) for s in shingle_sets(batch.column("text"), k)]
+                rows = [(len(s), *_hashes(s), pack_point(s), pack_fine(s), pack_bits(s)) if len(s) else (0, None, None, None, None, None) for s in shingle_sets(batch.column("text"), k)]
             made = _batch(rows, names, types)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made.columns], names=["doc_id", *names])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, fine binary")
+    return _texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, point binary, fine binary, bits binary")
 
 
 def tile_keys(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -242,8 +253,11 @@ def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]
 
 
 def pack_point(s: np.ndarray, groups: int = GROUPS) -> bytes:
-    """The shingles in each group (a power of two), in as many bytes a group as the largest count takes; that width first."""
+    """The shingles in each group (a power of two), in half a byte a group or as many bytes as the largest count takes; that
+    width first, 0 for half a byte."""
     counts = np.bincount((s & U(groups - 1)).astype(np.int64), minlength=groups)
+    if counts.max() < 1 << 4:
+        return bytes([0]) + (counts[::2] | counts[1::2] << 4).astype(np.uint8).tobytes()
     width = 1 if counts.max() < 1 << 8 else 2 if counts.max() < 1 << 16 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
@@ -254,31 +268,50 @@ def pack_fine(s: np.ndarray) -> bytes:
 
 
 def read_point(data: bytes) -> np.ndarray:
+    if not data[0]:
+        both = np.frombuffer(data, np.uint8, offset=1)
+        return np.stack((both & 15, both >> 4), 1).ravel().astype(np.int64)
     return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
 
 
+def pack_bits(s: np.ndarray) -> bytes:
+    """Whether the number of shingles is odd, for groups in proportion to the set."""
+    groups = min(max(1 << (2 * len(s)).bit_length(), PARITIES[0]), PARITIES[1])
+    odd = np.bincount((s & U(groups - 1)).astype(np.int64), minlength=groups) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def read_bits(column: Iterable[bytes]) -> np.ndarray:
+    """Parities of some sets, those of more groups folded to as many as the others have."""
+    least, out = min(map(len, column)), []
+    for data in column:
+        own = np.frombuffer(data, np.uint8)
+        out.append(np.bitwise_xor.reduce(own.reshape(-1, least)))
+    return np.stack(out)
+
+
 def _points(column: pd.Series) -> np.ndarray:
     return np.stack([read_point(p) for p in column])
 
 
 def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
-    """Candidate pairs (a < b) of rows (tile, rep, comp, home, probe, point), each tile's rows in one task.
+    """Candidate pairs (a < b) of rows (tile, rep, comp, home, probe, point, bits), each tile's rows in one task.
 
     Stars over the tile's rows; or, crossing, each probe with the members of other components. Every set outside the
     tile's main component (home) is a probe as well as a member, so that of two such sets the smaller asks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[tuple[int, int]] = []
+        sent: set[tuple[int, int]] = set()
         for g in _groups(batches, "tile"):
             if len(g) < 2:
                 continue
-            ids, points = g["rep"].to_numpy(), _points(g["point"])
+            ids, points, bits, out = g["rep"].to_numpy(), _points(g["point"]), read_bits(g["bits"]), []
             if not crossing:
                 if len(ids) == 2:
-                    if np.minimum(points[0], points[1]).sum() >= needed(points[0].sum(), int(points[1].sum()), percent):
+                    if np.minimum(points[0], points[1]).sum() >= needed(points[0].sum(), int(points[1].sum()), percent) and len(may_link(points, bits, 0, np.array([1]), percent)):
                         out.append((int(ids.min()), int(ids.max())))
                 else:
-                    out += _star(points, ids, percent)
+                    out = _star(points, bits, ids, percent)
             else:
                 comps, home, probe = g["comp"].to_numpy(), g["home"].to_numpy(), g["probe"].to_numpy()
                 member = np.flatnonzero(~probe)
@@ -286,14 +319,14 @@ def _pairs(rows: DataFrame, percent: int, crossing: bool) -> DataFrame:
                 for i in np.flatnonzero(probe) if len(member) else ():
                     near = member[tree.search(points[i])]
                     near = near[(comps[near] != comps[i]) & (~home[near] | (ids[near] > ids[i]))]
-                    out += [(int(min(ids[i], j)), int(max(ids[i], j))) for j in ids[near]]
-            if len(out) > 50_000:
-                yield pd.DataFrame(out, columns=["a", "b"])
-                out = []
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
-
-    cols = ["tile", "rep", "comp", "home", "probe", "point"]
+                    out += [(int(min(ids[i], j)), int(max(ids[i], j))) for j in ids[may_link(points, bits, i, near, percent)]]
+            if fresh := set(out) - sent:
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                sent |= fresh
+                yield pd.DataFrame(sorted(fresh), columns=["a", "b"])
+
+    cols = ["tile", "rep", "comp", "home", "probe", "point", "bits"]
     dealt = rows.select(*cols).repartition("tile").sortWithinPartitions("tile", "rep")
     return dealt.mapInPandas(run, "a long, b long").where("a <> b").distinct()
 
@@ -499,15 +532,15 @@ def similar(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_i
     shingle hashes."""
     sigs = common.materialise(signatures(docs, k, id_col, text_col), "signatures")
     key = ["h1", "h2", "n_shingles"]
-    reps = common.materialise(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine")).alias("p")), "classes")
+    reps = common.materialise(sigs.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("point", "fine", "bits")).alias("p")), "classes")
     tiles = _tiles(docs, k, percent, id_col, text_col)
     met_reps = tiles.select("rep").distinct()
-    points = common.materialise(reps.join(met_reps, "rep", "left_semi").select("rep", "p.point", "p.fine").distinct(), "points")
+    points = common.materialise(reps.join(met_reps, "rep", "left_semi").select("rep", "p.point", "p.fine", "p.bits").distinct(), "points")
     edges: DataFrame | None = None
     labels: DataFrame | None = None
     for choose, cross in ((_salted, False), (_one_each, False), (_crossing, True)):
         mixed = _labelled(tiles, labels)
-        rows = choose(mixed).join(points.select("rep", "point"), "rep")
+        rows = choose(mixed).join(points.select("rep", "point", "bits"), "rep")
         pairs = common.materialise(_pairs(rows, percent, cross), "pairs")
         if labels is not None:
             common.discard(mixed)

@@ -89,3 +89,27 @@ def test_wrappers_beside_an_article_stay_away():
         assert html_text.main_text(f"<main><p>{LONG}</p></main>{part}") == LONG
     assert html_text.main_text(f"<div><p>{LONG}</p><p>{LONG}</p></div><dialog><p>{COMMENT}</p></dialog>") == f"{LONG}\n\n{LONG}"
     assert html_text.main_text(f"<dialog><p>{COMMENT}</p></dialog>") == ""
+
+
+def test_a_pair_of_many_tiles_is_sent_once_and_parities_refute_what_counts_do_not(spark):
+    """Near copies share almost all bands: their number of candidate pairs is not that of tiles times pairs."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    common_part, made = r.integers(0, 1 << 63, 300, dtype=np.uint64), {}
+    for i in range(12):  # two of them share 300 of 396, which is no link
+        made[i] = np.unique(np.append(common_part, r.integers(0, 1 << 63, 96, dtype=np.uint64)))
+    made[12] = np.unique(np.append(made[11][:-3], r.integers(0, 1 << 63, 3, dtype=np.uint64)))
+    rows = [(tile, i, i, True, probe, jaccard.pack_point(s), jaccard.pack_bits(s)) for tile in range(40) for i, s in made.items() for probe in (True, False)]
+    df = spark.createDataFrame(rows, "tile long, rep long, comp long, home boolean, probe boolean, point binary, bits binary")
+    sent = []
+    plan = jaccard._pairs(df.coalesce(1), 80, True)
+    sent = [tuple(x) for x in plan.collect()]
+    assert (11, 12) in sent and len(sent) == len(set(sent)) < 12
+    for a, b in ((300, 420), (900, 1300), (5, 7)):  # linked sets always pass, whatever their numbers of groups
+        one = np.unique(r.integers(0, 1 << 63, b, dtype=np.uint64))
+        two = one[: -(-b * 80 // 100)]
+        points = np.stack([jaccard.read_point(jaccard.pack_point(s)) for s in (one, two)])
+        bits = jaccard.read_bits([jaccard.pack_bits(s) for s in (one, two)])
+        assert points.sum(1).tolist() == [len(one), len(two)]
+        assert jaccard.may_link(points, bits, 0, np.array([1]), 80).tolist() == [1]
